@@ -51,7 +51,8 @@ def score_band(score) -> Column:
 
 def clamp_score(x) -> Column:
     """V7: clamp to 0..99."""
-    return F.least(F.greatest(col(x), F.lit(C.SCORE_MIN)), F.lit(C.SCORE_MAX))
+    x = col(x)
+    return F.when(x.isNotNull(), F.least(F.greatest(x, F.lit(C.SCORE_MIN)), F.lit(C.SCORE_MAX)))
 
 
 def parse_reply(reply) -> Column:

@@ -87,7 +87,7 @@ def fmt_date(raw, epoch_ms: bool = False) -> Column:
     s = F.btrim(F.coalesce(col(raw).cast("string"), F.lit("")))
     ext = truthy(F.regexp_extract(s, r"(\d{4}-\d{2}-\d{2})", 1))
     basic_txt = F.regexp_extract(s, r"^(\d{8})(T.*)?$", 1)
-    basic = F.date_format(F.try_to_date(truthy(basic_txt), F.lit("yyyyMMdd")), "yyyy-MM-dd")
+    basic = F.date_format(F.try_to_date(truthy(basic_txt), "yyyyMMdd"), "yyyy-MM-dd")
     out = F.coalesce(ext, basic)
     if epoch_ms:
         ms = F.when(s.rlike(r"^\d{12,13}$"), s.cast("long"))

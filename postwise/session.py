@@ -29,6 +29,7 @@ def builder(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSessi
         .appName("postwise")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
     for k, v in _RUNTIME_DEFAULTS.items():

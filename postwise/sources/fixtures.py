@@ -68,9 +68,11 @@ FROM {orders} WHERE o_orderstatus = 'F'
 FIXTURES["fx_company"] = """
 SELECT c_name AS ind_name, c_custkey AS ord,
   CASE WHEN c_custkey % 5 = 0 THEN '' ELSE lpad(CAST(c_custkey % 40 AS STRING), 8, '0') END AS kvk,
-  CASE c_mktsegment WHEN 'BUILDING' THEN 'greenhouse' WHEN 'MACHINERY' THEN 'html' WHEN 'HOUSEHOLD' THEN 'workday' ELSE 'other' END AS source_type,
+  CASE c_mktsegment WHEN 'BUILDING' THEN 'greenhouse' WHEN 'MACHINERY' THEN 'html' WHEN 'HOUSEHOLD' THEN 'workday'
+    WHEN 'AUTOMOBILE' THEN 'lever' ELSE 'other' END AS source_type,
   concat('https://careers.example.org/', CAST(c_custkey AS STRING), CASE WHEN c_nationkey % 2 = 0 THEN '?location=Amsterdam' ELSE '' END) AS careers_url,
-  concat('b', CAST(c_custkey AS STRING)) AS board
+  concat('b', CAST(c_custkey AS STRING)) AS board,
+  CASE c_nationkey % 3 WHEN 0 THEN 'Amsterdam, North Holland' WHEN 1 THEN 'Den Haag/NL*~' ELSE '' END AS location_filter
 FROM {customer}
 """
 
@@ -92,9 +94,9 @@ FROM {documents}
 FIXTURES["fx_reply"] = """
 SELECT p.job_url, p.seq,
   CASE p.seq % 4
-    WHEN 0 THEN concat('```json', chr(10), '{"score": ', CAST(p.seq % 90 AS STRING), ', "reason": "fit"}', chr(10), '```')
-    WHEN 1 THEN concat('{"score": ', CAST(p.seq % 70 AS STRING), ', "reason": "ok"}')
-    WHEN 2 THEN concat('{"score": ', CAST(100 + p.seq % 50 AS STRING), '}')
+    WHEN 0 THEN concat('```json', chr(10), chr(123), '"score": ', CAST(p.seq % 90 AS STRING), ', "reason": "fit"', chr(125), chr(10), '```')
+    WHEN 1 THEN concat(chr(123), '"score": ', CAST(p.seq % 70 AS STRING), ', "reason": "ok"', chr(125))
+    WHEN 2 THEN concat(chr(123), '"score": ', CAST(100 + p.seq % 50 AS STRING), chr(125))
     ELSE concat('Sorry, no score for ', p.job_title) END AS reply
 FROM {fx_posting} p
 """
@@ -112,6 +114,40 @@ SELECT c.ind_name, e.ts AS cached_at
 FROM {fx_company} c JOIN {events} e ON e.event_id = c.ord
 """
 
+# URL shapes: '/jobs/<n>' ids, absolute and site-relative links, employer base URL.
+FIXTURES["fx_urls"] = """
+SELECT p.seq,
+  CASE WHEN p.seq % 3 = 0 THEN replace(p.job_url, '/p/', '/jobs/') ELSE NULL END AS apply_url,
+  CASE WHEN p.seq % 3 = 1 THEN p.job_url ELSE '' END AS absolute_url,
+  CASE WHEN p.seq % 4 = 0 THEN NULL ELSE p.job_url END AS url,
+  CASE WHEN p.seq % 2 = 0 THEN replace(p.job_url, 'https://jobs.example.org', '') ELSE p.job_url END AS link,
+  c.careers_url
+FROM {fx_posting} p JOIN {fx_company} c ON c.ind_name = p.company
+"""
+
+# Pages with and without the application-form marker and content words.
+FIXTURES["fx_apply_page"] = """
+SELECT page_id, url, concat(CASE WHEN page_id % 3 = 0 THEN 'Autofill with MyGreenhouse ' ELSE '' END,
+  CASE WHEN page_id % 2 = 0 THEN '<h2>Responsibilities</h2>' ELSE '' END,
+  CASE WHEN page_id % 5 = 0 THEN 'Requirements: ' ELSE '' END, html) AS html
+FROM {pages}
+"""
+
+# Date texts: extended, offset, Z, basic, basic with time, invalid basic, epoch ms, relative.
+FIXTURES["fx_dates"] = """
+SELECT o_orderkey AS seq, CASE o_orderkey % 9
+  WHEN 0 THEN CAST(CAST(o_orderdate AS DATE) AS STRING)
+  WHEN 1 THEN concat(CAST(CAST(o_orderdate AS DATE) AS STRING), 'T23:30:00-04:00')
+  WHEN 2 THEN concat(' ', CAST(CAST(o_orderdate AS DATE) AS STRING), 'T01:02:03Z ')
+  WHEN 3 THEN replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', '')
+  WHEN 4 THEN concat(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', ''), 'T101010')
+  WHEN 5 THEN concat(substr(replace(CAST(CAST(o_orderdate AS DATE) AS STRING), '-', ''), 1, 4), '1399')
+  WHEN 6 THEN concat('1', lpad(CAST(o_orderkey AS STRING), 12, '0'))
+  WHEN 7 THEN 'Posted 30+ Days Ago'
+  ELSE NULL END AS date_raw
+FROM {orders}
+"""
+
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
