@@ -108,10 +108,11 @@ SELECT concat('term', CAST(p.seq % 5 AS STRING)) AS search_term, p.seq, p.job_ur
 FROM {fx_posting} p
 """
 
-# Crawl cache entries: employers with a cache time from the events stream.
+# Crawl cache entries: employers with a cache time from the events stream
+# (events outnumber employers about 6.7 to 1 at every scale factor).
 FIXTURES["fx_cache"] = """
 SELECT c.ind_name, e.ts AS cached_at
-FROM {fx_company} c JOIN {events} e ON e.event_id = c.ord
+FROM {fx_company} c JOIN {events} e ON e.event_id = c.ord * 6
 """
 
 # URL shapes: '/jobs/<n>' ids, absolute and site-relative links, employer base URL.
@@ -148,6 +149,16 @@ SELECT o_orderkey AS seq, CASE o_orderkey % 9
 FROM {orders}
 """
 
+# Description cache: document texts keyed by posting URLs.
+FIXTURES["fx_desc_cache"] = """
+SELECT concat('https://jobs.example.org/p/', CAST(doc_id * 3 AS STRING)) AS key, text AS body FROM {documents}
+"""
+
+# Job pages: raw pages addressed by posting URLs.
+FIXTURES["fx_job_page"] = """
+SELECT page_id, concat('https://jobs.example.org/p/', CAST(page_id * 7 AS STRING)) AS url, html FROM {pages}
+"""
+
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
