@@ -57,7 +57,11 @@ def read_json_tolerant(spark: SparkSession, path: str, schema: StructType, rejec
             return empty(spark, schema)
         raise
     if rejected:
-        return df.filter(F.col(corrupt).isNotNull()).select(corrupt)
+        # the JSON reader refuses queries on the corrupt column alone, so the
+        # rejected side parses the lines itself
+        lines = spark.read.text(path)
+        parsed = F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt})
+        return lines.select(parsed[corrupt].alias(corrupt)).filter(F.col(corrupt).isNotNull())
     return df.filter(F.col(corrupt).isNull()).drop(corrupt)
 
 
