@@ -1 +1,401 @@
-"""Queries."""
+"""Queries: payload normalisers.
+
+Spark path: the format's payload is *built* from ``fx_posting`` (pages of at most
+64 postings, JSON/HTML text as a fetcher would land it) and parsed back by the
+normaliser. Oracle path: the expected postings computed straight from
+``fx_posting`` in SQL — no JSON involved, so the two paths are independent.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+from .. import config as C
+from ..functions import values as V
+from ..operators import normalize as N
+from ..sources import payloads as PL
+from ..sources.fixtures import fixture, fixtures
+from . import sqlgen as Q
+from .catalog import query
+from .q_core import _html_to_text_sql
+
+PAGE = 64
+COLS = list(N.POSTING_COLS)
+
+
+def nz(c) -> Column:
+    return F.nullif(F.col(c) if isinstance(c, str) else c, F.lit(""))
+
+
+def seq_mod(n: int) -> Column:
+    return F.col("seq") % n
+
+
+def base(spark, sf):
+    p, c = fixtures(spark, sf, "fx_posting", "fx_company")
+    return p.join(c.select(F.col("ind_name").alias("company"), "careers_url", "board", "ord"), "company")
+
+
+def dims(spark, sf):
+    c = fixture(spark, sf, "fx_company").withColumn("workday_tenant", F.col("board"))
+    return PL.company_dimension(c, ("board", "location_filter", "workday_tenant"))
+
+
+def pages_json(spark, sf, item: Column, wrap, page_size: int = PAGE, source_type: str = ""):
+    return PL.build_pages(base(spark, sf), item, wrap, page_size=page_size, source_type=source_type)
+
+
+def with_page_url(spark, sf, pages):
+    c = fixture(spark, sf, "fx_company")
+    return pages.join(c.select(F.col("ind_name").alias("company"), F.col("careers_url").alias("url")), "company")
+
+
+_BASE_SQL = """
+, base AS (SELECT p.*, c.careers_url, c.board, c.ord FROM fx_posting p JOIN fx_company c ON c.ind_name = p.company)
+"""
+_FX = ["fx_posting", "fx_company"]
+_NULLS = "CAST(NULL AS BOOLEAN) AS visa_support, CAST(NULL AS BOOLEAN) AS relocation_support"
+
+
+def _cols_sql(**kw) -> str:
+    """SELECT list in posting order; missing ones are NULL."""
+    out = []
+    for c in COLS:
+        if c in kw:
+            out.append(f"{kw[c]} AS {c}")
+        elif c in ("visa_support", "relocation_support"):
+            out.append(f"CAST(NULL AS BOOLEAN) AS {c}")
+        else:
+            out.append(f"CAST(NULL AS VARCHAR) AS {c}")
+    return ", ".join(out)
+
+
+def _html(expr, n=C.DESCRIPTION_MAX):
+    return _html_to_text_sql(expr, n)
+
+
+# ------------------------------------------------------------------ N1 greenhouse
+
+def greenhouse_pages(spark, sf):
+    dept_t = "array<struct<name: string>>"
+    depts = (F.when(seq_mod(3) == 0, F.array(F.struct(F.lit("Engineering").alias("name"))))
+             .when(seq_mod(3) == 1, F.array(F.struct(F.lit("").alias("name"))))
+             .otherwise(F.array().cast(dept_t)))
+    item = F.struct(F.col("seq").alias("id"), F.col("job_title").alias("title"),
+                    F.struct(F.col("location").alias("name")).alias("location"), nz("job_url").alias("absolute_url"),
+                    F.col("date_raw").alias("first_published"), F.lit("2021-06-30T12:00:00Z").alias("updated_at"),
+                    depts.alias("departments"), F.col("description").alias("content"))
+    return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("jobs"))), source_type="greenhouse")
+
+
+_GH_SQL = _BASE_SQL + f"""
+, gh AS (SELECT company, seq, {_cols_sql(
+    job_title="job_title",
+    location="CASE WHEN contains(location, ',') THEN location ELSE location || ', Netherlands' END",
+    careers_url="careers_url",
+    job_url="coalesce(nullif(job_url, ''), 'https://job-boards.greenhouse.io/' || board || '/jobs/' || CAST(seq AS VARCHAR))",
+    date_posted=Q.fmt_date("coalesce(nullif(date_raw, ''), '2021-06-30T12:00:00Z')"),
+    description=f"CASE WHEN seq <> 0 THEN {_html('description')} END",
+    notes="CASE WHEN seq % 3 = 0 THEN 'Dept: Engineering. Via Greenhouse board.' ELSE 'Via Greenhouse board.' END",
+    company="company")}
+  FROM base WHERE {Q.is_loc('location')} AND {Q.is_role('job_title')})
+"""
+
+
+@query("norm_greenhouse", fixtures=_FX, oracle=_GH_SQL + f"SELECT {', '.join(COLS)} FROM gh")
+def norm_greenhouse(spark, sf):
+    """Greenhouse board payloads → postings."""
+    return N.normalize_greenhouse(greenhouse_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N2 icims
+
+def icims_pages(spark, sf):
+    fields = [nz(F.regexp_extract("job_url", r"(\d+)$", 1)).alias("req_id"), F.lit(None).cast("string").alias("id"),
+              F.lit(None).cast("string").alias("slug"), F.col("job_title").alias("title"),
+              F.col("location").alias("city"), F.when(seq_mod(2) == 0, F.lit("Netherlands")).alias("country"),
+              F.when(seq_mod(2) == 1, F.lit("NL")).alias("country_name"),
+              F.when(seq_mod(3) == 0, F.replace("job_url", F.lit("/p/"), F.lit("/jobs/"))).alias("apply_url"),
+              F.when(seq_mod(3) == 1, nz("job_url")).alias("absolute_url"), nz("job_url").alias("url"),
+              F.col("date_raw").alias("posted_date"), F.lit(None).cast("string").alias("date_posted"),
+              F.col("description").alias("description")]
+    inner = F.struct(*fields)
+    wrapped = seq_mod(2) == 0
+    item = F.struct(F.when(wrapped, inner).alias("data"),
+                    *[F.when(~wrapped, f) .alias(f._jc.toString().split(" AS ")[-1].strip("`")) if False else
+                      F.when(~wrapped, inner[n]).alias(n) for f, n in zip(fields, [
+                          "req_id", "id", "slug", "title", "city", "country", "country_name", "apply_url",
+                          "absolute_url", "url", "posted_date", "date_posted", "description"])])
+    return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("jobs"))), source_type="icims")
+
+
+_VISA = Q.any_contains(Q.low("description"), C.VISA_WORDS)
+_RELOC = Q.any_contains(Q.low("description"), C.RELOCATION_WORDS)
+_IC_SQL = _BASE_SQL + """
+, ic AS (SELECT b.*, coalesce(nullif(regexp_extract(job_url, '(\\d+)$', 1), ''), '') AS uid,
+    trim(coalesce(location, '') || ', ' || CASE WHEN seq % 2 = 0 THEN 'Netherlands' ELSE 'NL' END, ', ') AS loc,
+    coalesce(nullif(CASE WHEN seq % 3 = 0 THEN replace(job_url, '/p/', '/jobs/') END, ''),
+             nullif(CASE WHEN seq % 3 = 1 THEN job_url END, ''), nullif(job_url, ''), '') AS raw
+  FROM base b),
+dd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, row_number() OVER (PARTITION BY company, uid ORDER BY seq) AS rn
+         FROM ic WHERE uid <> '') WHERE rn = 1
+       UNION ALL SELECT * FROM ic WHERE uid = '')
+"""
+
+
+@query("norm_icims", fixtures=_FX, oracle=_IC_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title", location="loc", careers_url="careers_url",
+    job_url="CASE WHEN regexp_extract(raw, '/jobs/(\\d+)', 1) <> '' THEN 'https://jobs.booking.com/booking/jobs/' || regexp_extract(raw, '/jobs/(\\d+)', 1) ELSE nullif(raw, '') END",
+    visa_support=f"CASE WHEN {_VISA} THEN TRUE END", relocation_support=f"CASE WHEN {_RELOC} THEN TRUE END",
+    date_posted=Q.fmt_date('date_raw'), notes="'Via iCIMS/Jibe API.'")}
+FROM dd WHERE {Q.is_loc('loc')} AND {Q.is_role('job_title')}""")
+def norm_icims(spark, sf):
+    """Icims pages (wrapped and flat items) → deduplicated postings."""
+    return N.normalize_icims(icims_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N3 lever
+
+def lever_pages(spark, sf):
+    item = F.struct(
+        F.col("job_title").alias("text"),
+        F.struct(F.when(seq_mod(5) != 0, F.col("location")).alias("location"),
+                 F.when(seq_mod(5) == 0, F.array(F.lit("Amsterdam"))).otherwise(F.array(F.lit("Berlin")))
+                 .alias("allLocations")).alias("categories"),
+        F.when(seq_mod(5) == 0, F.lit("Remote")).alias("workplaceType"),
+        nz("job_url").alias("hostedUrl"),
+        F.concat(F.lit("https://apply.example.org/"), F.col("seq").cast("string")).alias("applyUrl"),
+        (F.lit(1600000000000) + F.col("seq")).alias("createdAt"),
+        F.when(F.col("description").isNotNull(), F.concat(F.lit("<p>"), "description", F.lit("</p>"))).alias(
+            "description"))
+    return pages_json(spark, sf, item, lambda arr: F.to_json(arr), source_type="lever")
+
+
+_LV_LOC = "CASE WHEN seq % 5 = 0 THEN 'Remote' ELSE coalesce(location, '') END"
+
+
+@query("norm_lever", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title", location=_LV_LOC, careers_url="careers_url",
+    job_url="coalesce(nullif(job_url, ''), 'https://apply.example.org/' || CAST(seq AS VARCHAR))",
+    description=_html("CASE WHEN description IS NULL THEN '' ELSE '<p>' || description || '</p>' END"),
+    notes="'Via Lever API.'")}
+FROM base WHERE ({Q.is_loc(_LV_LOC)} OR seq % 5 = 0) AND {Q.is_role('job_title')}""")
+def norm_lever(spark, sf):
+    """Lever arrays (epoch-ms dates give no date)."""
+    return N.normalize_lever(lever_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N4 smartrecruiters
+
+def smartrecruiters_pages(spark, sf):
+    item = F.struct(F.col("job_title").alias("name"),
+                    F.struct(F.col("location").alias("city"),
+                             F.when(seq_mod(2) == 0, F.lit("nl")).alias("country")).alias("location"),
+                    F.col("job_url").alias("ref"), F.col("date_raw").alias("releasedDate"),
+                    F.lit("2022-02-02").alias("updatedOn"))
+    return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("content"))))
+
+
+@query("norm_smartrecruiters", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title",
+    location="trim(coalesce(location, '') || ', ' || CASE WHEN seq % 2 = 0 THEN 'nl' ELSE 'Netherlands' END, ', ')",
+    careers_url="careers_url", job_url="job_url",
+    date_posted=Q.fmt_date("coalesce(nullif(date_raw, ''), '2022-02-02')"), notes="'Via SmartRecruiters API.'")}
+FROM base WHERE {Q.is_role('job_title')}""")
+def norm_smartrecruiters(spark, sf):
+    """Smartrecruiters content → postings (role filter only)."""
+    return N.normalize_smartrecruiters(smartrecruiters_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N5 ashby
+
+def ashby_pages(spark, sf):
+    addr = F.struct(F.struct(F.lit("Utrecht").alias("addressLocality"), F.lit("NL").alias("addressCountry"))
+                    .alias("postalAddress"))
+    item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
+                    F.when(seq_mod(4) == 0, F.lit("Hybrid")).alias("locationName"),
+                    F.when(seq_mod(4) == 1, addr).alias("address"), nz("job_url").alias("jobUrl"),
+                    F.col("date_raw").alias("publishedAt"), F.lit("2023-03-03").alias("createdAt"),
+                    F.col("description").alias("descriptionHtml"))
+    return pages_json(spark, sf, item, lambda arr: F.when(F.col("page") % 2 == 0, F.to_json(F.struct(arr.alias("jobs"))))
+                      .otherwise(F.to_json(F.struct(arr.alias("jobPostings")))))
+
+
+_AB_LOC = "CASE WHEN seq % 4 = 0 THEN 'Hybrid' ELSE coalesce(location, '') END"
+_AB_FULL = f"trim({_AB_LOC} || ' ' || CASE WHEN seq % 4 = 1 THEN 'Utrecht NL' ELSE '' END)"
+
+
+@query("norm_ashby", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title", location=f"coalesce(nullif({_AB_LOC}, ''), 'Netherlands')",
+    careers_url="careers_url", job_url="coalesce(nullif(job_url, ''), '')",
+    date_posted=Q.fmt_date("coalesce(nullif(date_raw, ''), '2023-03-03')"),
+    description=_html("coalesce(description, '')"), notes="'Via Ashby API.'")}
+FROM base WHERE {Q.is_role('job_title')}
+  AND ({_AB_FULL} = '' OR {Q.is_loc(_AB_FULL)} OR lower({_AB_LOC}) IN ('remote', 'hybrid', ''))""")
+def norm_ashby(spark, sf):
+    """Ashby 'jobs' / 'jobPostings' payloads → postings."""
+    return N.normalize_ashby(ashby_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N6 recruitee
+
+def recruitee_pages(spark, sf):
+    item = F.struct(F.col("job_title").alias("title"), F.col("location").alias("city"),
+                    F.when(seq_mod(3) == 0, F.lit("Netherlands")).alias("country"), nz("job_url").alias("careers_url"),
+                    F.concat(F.lit("o-"), F.col("seq").cast("string")).alias("slug"),
+                    F.col("date_raw").alias("published_at"), F.col("description").alias("description"))
+    return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("offers"))))
+
+
+_RC_LOC = "trim(coalesce(location, '') || ', ' || CASE WHEN seq % 3 = 0 THEN 'Netherlands' ELSE '' END, ', ')"
+
+
+@query("norm_recruitee", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title", location=f"coalesce(nullif({_RC_LOC}, ''), 'Netherlands')",
+    careers_url="careers_url",
+    job_url="coalesce(nullif(job_url, ''), 'https://' || board || '.recruitee.com/o/o-' || CAST(seq AS VARCHAR))",
+    date_posted=Q.fmt_date('date_raw'), description=_html("coalesce(description, '')"), notes="'Via Recruitee API.'")}
+FROM base WHERE {Q.is_role('job_title')} AND ({_RC_LOC} = '' OR {Q.is_loc(_RC_LOC)})""")
+def norm_recruitee(spark, sf):
+    """Recruitee offers → postings."""
+    return N.normalize_recruitee(recruitee_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N9 static search index
+
+def index_pages(spark, sf):
+    item = F.struct(F.when(seq_mod(2) == 0, F.col("job_title")).alias("title"),
+                    F.when(seq_mod(2) == 1, F.col("job_title")).alias("vacancyTitle"),
+                    F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
+                    F.when(seq_mod(2) == 0, F.concat(F.lit("/vacature/"), F.col("seq").cast("string")))
+                    .otherwise(nz("job_url")).alias("url"),
+                    F.col("date_raw").alias("date"), F.col("description").alias("description"))
+
+    def wrap(arr):
+        return (F.when(F.col("page") % 3 == 0, F.to_json(F.struct(arr.alias("docs"))))
+                .when(F.col("page") % 3 == 1, F.to_json(F.struct(F.size(arr).alias("total"), arr.alias("results"))))
+                .otherwise(F.to_json(arr)))
+
+    return pages_json(spark, sf, item, wrap)
+
+
+@query("norm_search_index", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="trim(job_title)",
+    location="coalesce(nullif(CASE WHEN seq % 4 <> 0 THEN location END, ''), 'Netherlands')", careers_url="careers_url",
+    job_url="CASE WHEN seq % 2 = 0 THEN 'https://www.werkenbijkpmg.nl/vacature/' || CAST(seq AS VARCHAR) ELSE coalesce(nullif(job_url, ''), careers_url) END",
+    date_posted=Q.fmt_date("coalesce(nullif(date_raw, ''), '')"), description=_html("coalesce(description, '')"),
+    notes="'Via KPMG lunr JSON.'")}
+FROM base WHERE {Q.is_role('trim(job_title)')}""")
+def norm_search_index(spark, sf):
+    """Static search index (three layouts) → postings, no location filter."""
+    return N.normalize_search_index(index_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N10 workday
+
+def workday_pages(spark, sf, page_size=20):
+    ext = F.when(F.col("job_url") != "", F.concat(F.lit("/job/"), F.regexp_extract("job_url", r"(\d+)$", 1)))
+    item = F.struct(F.col("job_title").alias("title"), ext.alias("externalPath"),
+                    F.col("location").alias("locationsText"), F.lit("Posted 2 Days Ago").alias("postedOn"))
+    return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("jobPostings"), F.lit(100).alias("total"))),
+                      page_size=page_size, source_type="workday")
+
+
+_WD_EXT = "CASE WHEN job_url <> '' THEN '/job/' || regexp_extract(job_url, '(\\d+)$', 1) ELSE '' END"
+_WD_SQL = _BASE_SQL + f"""
+, wd AS (SELECT * EXCLUDE (rn) FROM (SELECT *, {_WD_EXT} AS ext, row_number() OVER (
+    PARTITION BY company, coalesce(nullif({_WD_EXT}, ''), nullif(job_title, ''), '') ORDER BY seq) AS rn FROM base) WHERE rn = 1)
+"""
+
+
+@query("norm_workday", fixtures=_FX, oracle=_WD_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title", location="coalesce(nullif(location, ''), 'Netherlands')",
+    careers_url="careers_url",
+    job_url="CASE WHEN ext <> '' THEN 'https://' || board || '.wd5.myworkdayjobs.com' || ext ELSE careers_url END",
+    notes="'Via Workday API.'")}
+FROM wd WHERE {Q.is_role('job_title')} AND (coalesce(location, '') = '' OR {Q.is_loc('location')})""")
+def norm_workday(spark, sf):
+    """Workday pages → postings deduplicated by external path (else title)."""
+    return N.normalize_workday(workday_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N13 embedded array
+
+def embedded_pages(spark, sf):
+    nested = (F.floor(F.col("seq") / PAGE) % 4) == 0
+    item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(3) != 0, F.col("location")).alias("locationName"),
+                    F.when(seq_mod(2) == 0, F.concat(F.lit("/role/"), F.col("seq").cast("string")))
+                    .otherwise(nz("job_url")).alias("link"),
+                    F.when(seq_mod(4) == 1, F.lit("Tech")).alias("departmentName"),
+                    F.when(nested, F.array(F.lit("x"))).alias("tags"))
+    return pages_json(spark, sf, item, lambda arr: F.concat(
+        F.lit('0:["$","div",null,{"props":{"jobs":'), F.to_json(arr), F.lit("}}]")))
+
+
+_EM_LOC = "coalesce(nullif(CASE WHEN seq % 3 <> 0 THEN location END, ''), 'Amsterdam, Netherlands')"
+_EM_LINK = "CASE WHEN seq % 2 = 0 THEN '/role/' || CAST(seq AS VARCHAR) ELSE coalesce(job_url, '') END"
+
+
+@query("norm_embedded_array", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title="job_title",
+    location=f"CASE WHEN contains({_EM_LOC}, ',') THEN {_EM_LOC} ELSE {_EM_LOC} || ', Netherlands' END",
+    careers_url="careers_url",
+    job_url=f"CASE WHEN starts_with({_EM_LINK}, '/') THEN 'https://jobs.bitvavo.com' || {_EM_LINK} ELSE {_EM_LINK} END",
+    notes="'Dept: ' || CASE WHEN seq % 4 = 1 THEN 'Tech' ELSE '' END || '. Via Bitvavo RSC endpoint.'")}
+FROM base WHERE floor(seq / 64) % 4 <> 0 AND {Q.is_role('job_title')}""")
+def norm_embedded_array(spark, sf):
+    """JSON array embedded in text; pages whose items hold nested arrays yield nothing."""
+    return N.normalize_embedded_array(embedded_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N16 page-state pairs
+
+def nextdata_pages(spark, sf):
+    item = F.struct(F.coalesce(nz("job_title"), F.lit("Untitled")).alias("title"), F.col("seq").alias("id"),
+                    F.when(F.col("job_url") == "", F.concat(F.lit("https://jobs.example.org/none/"),
+                                                            F.col("seq").cast("string")))
+                    .otherwise(F.col("job_url")).alias("url"))
+    pages = pages_json(spark, sf, item, lambda arr: F.concat(
+        F.lit('<html><script id="__NEXT_DATA__" type="application/json">'),
+        F.to_json(F.struct(F.struct(F.struct(arr.alias("jobs")).alias("pageProps")).alias("props"))),
+        F.lit("</script></html>")))
+    return with_page_url(spark, sf, pages)
+
+
+_ND_TITLE = "coalesce(nullif(job_title, ''), 'Untitled')"
+
+
+@query("nextdata_pairs", fixtures=_FX, oracle=_BASE_SQL + f"""
+SELECT {_cols_sql(company="company", job_title=_ND_TITLE, location="'Netherlands'", careers_url="careers_url",
+    job_url="CASE WHEN job_url = '' THEN 'https://jobs.example.org/none/' || CAST(seq AS VARCHAR) ELSE job_url END",
+    notes="'Via __NEXT_DATA__.'")}
+FROM base WHERE {Q.is_role(_ND_TITLE)}""")
+def nextdata_pairs(spark, sf):
+    """title/url pairs from embedded page state."""
+    return N.nextdata_pairs(nextdata_pages(spark, sf), dims(spark, sf)).select(*COLS)
+
+
+# ------------------------------------------------------------------ N18 aggregator rows
+
+@query("norm_search_rows", fixtures=["fx_search"], oracle=f"""
+SELECT search_term, seq, {_cols_sql(company="company", job_title="title", location="location", careers_url="job_url",
+    job_url="job_url", date_posted="coalesce(date_posted, '')", description="coalesce(description, '')",
+    notes="'Via LinkedIn / JobSpy.'")}
+FROM (SELECT *, row_number() OVER (PARTITION BY job_url ORDER BY seq) AS rn FROM fx_search WHERE coalesce(job_url, '') <> '')
+WHERE rn = 1 AND regexp_matches(coalesce(title, ''), '(?i)\\b({'|'.join(C.SEARCH_TITLE_WORDS)})\\b')""")
+def norm_search_rows(spark, sf):
+    """Aggregator search rows → postings."""
+    return N.normalize_search_rows(fixture(spark, sf, "fx_search"))
+
+
+# ------------------------------------------------------------------ J11
+
+@query("payload_company_join", fixtures=_FX, oracle="""
+SELECT p.company, CAST(floor(p.seq / 64) AS INTEGER) AS page, c.careers_url, c.board
+FROM fx_posting p JOIN fx_company c ON c.ind_name = p.company GROUP BY ALL""")
+def payload_company_join(spark, sf):
+    """Landed payload pages ⋈ employer dimension (size-checked broadcast)."""
+    pages = greenhouse_pages(spark, sf)
+    j = N.with_company(pages, dims(spark, sf))
+    return j.select("company", "page", "careers_url", F.try_element_at("params", F.lit("board")).alias("board"))

@@ -120,8 +120,8 @@ def company_dimension(spark, sf):
     """Employer dimension with a parameter map."""
     dim = PL.company_dimension(fixture(spark, sf, "fx_company"))
     return dim.select("ord", "ind_name", "kvk", "source_type", "careers_url",
-                      F.element_at("params", F.lit("board")).alias("board"),
-                      F.element_at("params", F.lit("location_filter")).alias("location_filter"))
+                      F.try_element_at("params", F.lit("board")).alias("board"),
+                      F.try_element_at("params", F.lit("location_filter")).alias("location_filter"))
 
 
 def _status(page):

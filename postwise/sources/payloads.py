@@ -81,12 +81,12 @@ def paged_prefix(pages: DataFrame, term: str = "term", page: str = "page", n: st
 def request_plan(companies: DataFrame) -> DataFrame:
     """the request URL each employer's format would fetch (a fetch plan)."""
     p = F.col("params")
-    board = F.coalesce(F.element_at(p, F.lit("board")), F.lit(""))
-    loc = F.element_at(p, F.lit("location_filter"))
-    lever_base = F.coalesce(F.element_at(p, F.lit("lever_base")), F.lit(C.URL_FORMATS["lever_base"]))
-    wd_num = F.coalesce(F.element_at(p, F.lit("workday_num")), F.lit("5"))
-    tenant = F.coalesce(F.element_at(p, F.lit("workday_tenant")), board)
-    wd_board = F.coalesce(F.element_at(p, F.lit("workday_board")), board)
+    board = F.coalesce(F.try_element_at(p, F.lit("board")), F.lit(""))
+    loc = F.try_element_at(p, F.lit("location_filter"))
+    lever_base = F.coalesce(F.try_element_at(p, F.lit("lever_base")), F.lit(C.URL_FORMATS["lever_base"]))
+    wd_num = F.coalesce(F.try_element_at(p, F.lit("workday_num")), F.lit("5"))
+    tenant = F.coalesce(F.try_element_at(p, F.lit("workday_tenant")), board)
+    wd_board = F.coalesce(F.try_element_at(p, F.lit("workday_board")), board)
 
     def fmt(template: str, **parts) -> Column:
         import re
