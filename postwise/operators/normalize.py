@@ -285,8 +285,7 @@ ATTR_ITEM = ("array<struct<title: string, name: string, location: string, city:
 
 def attribute_json(html: Column) -> Column:
     """First of the three attribute patterns that matches (its raw text)."""
-    found = [F.when(F.regexp_extract(html, F.lit(p).cast("string"), 0) != "",
-                    F.regexp_extract(html, F.lit(p).cast("string"), 1)) for p in ATTR_PATTERNS]
+    found = [F.when(F.regexp_extract(html, p, 0) != "", F.regexp_extract(html, p, 1)) for p in ATTR_PATTERNS]
     return F.coalesce(*found)
 
 
@@ -531,3 +530,132 @@ def normalize_search_rows(rows: DataFrame, order="seq") -> DataFrame:
                  date_posted=F.coalesce(F.col("date_posted"), F.lit("")),
                  description=F.coalesce(F.col("description"), F.lit("")), notes=F.lit(C.NOTES["search"]),
                  keep_order=False))
+
+
+# ----------------------------------------------------------------- P16 / N11 / N12 ladders
+
+def first_strategy(candidates: DataFrame, group=("company",), strategy: str = "strategy") -> DataFrame:
+    """Per group keep the rows of the first strategy that produced any
+    (the minimum is an aggregate, combined map-side, then a semi join)."""
+    best = candidates.groupBy(*group).agg(F.min(strategy).alias(strategy))
+    return candidates.join(best, [*group, strategy], "left_semi")
+
+
+def html_ladder(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """Per employer, JSON-LD postings, else page-state pairs."""
+    ld = jsonld_postings(pages, companies, profile=profile).withColumn("strategy", F.lit(1))
+    nd = nextdata_pairs(pages, companies, profile).withColumn("strategy", F.lit(2))
+    return first_strategy(ld.unionByName(nd))
+
+
+def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """Rendered-page captures ``(company, strategy, seq, body)``:
+    1 = JSON responses (the first response that yields), 2 = page-state
+    variables in fixed order (the first that yields), 3 = JSON-LD (lenient),
+    4 = job-like anchors. Per employer the first strategy that yields wins."""
+    from .jsonsearch import json_job_search
+
+    docs = captures.filter(F.col("strategy").isin(1, 2)).withColumn(
+        "doc_id", F.concat_ws(":", "company", F.col("strategy").cast("string"), F.col("seq").cast("string")))
+    note = F.when(F.col("strategy") == 1, F.lit(C.NOTES["xhr"])).otherwise(
+        F.concat(F.lit("Via "), F.col("var"), F.lit(" (Playwright).")))
+    docs = docs.withColumn("note", note) if "var" in captures.columns else docs.withColumn(
+        "note", F.lit(C.NOTES["xhr"]))
+    found = json_job_search(docs.select("doc_id", "company", "body"), companies, note=F.lit(""), profile=profile)
+    meta = docs.select("doc_id", "strategy", "seq", "note")
+    found = found.join(meta, "doc_id").withColumn("notes", F.col("note")).drop("note")
+    # within strategies 1 and 2 only the first document (by seq) that yields counts
+    first_doc = found.groupBy("company", "strategy").agg(F.min("seq").alias("seq"))
+    found = found.join(first_doc, ["company", "strategy", "seq"], "left_semi")
+    json_rows = found.select(*[F.col(c) for c in POSTING_COLS], F.col("strategy"),
+                             F.col("seq").alias("page"), F.col("ipos").alias("pos"), F.col("path"))
+    pages = captures.filter(F.col("strategy").isin(3, 4)).select(
+        "company", F.col("seq").alias("page"), "body", "url", "strategy")
+    ld = jsonld_postings(pages.filter(F.col("strategy") == 3), companies, lenient=True, profile=profile) \
+        .withColumn("strategy", F.lit(3))
+    dom = dom_link_postings(pages.filter(F.col("strategy") == 4), companies, profile) \
+        .withColumn("strategy", F.lit(4))
+    rows = json_rows.unionByName(ld, allowMissingColumns=True).unionByName(dom, allowMissingColumns=True)
+    return first_strategy(rows)
+
+
+# ----------------------------------------------------------------- P13 description ladder
+
+def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """A placeholder API description (< 100 characters) is replaced by the
+    employer's slug page text (> 100 characters; its URL becomes the job URL,
+    its e-mail is used), else by the job page text when that is longer and the
+    page is not an application form (the job page's e-mail is used either way).
+    A full description takes its e-mail from the content, else from the job page.
+
+    Input postings carry ``content`` (API HTML), ``has_id`` and ``jd_base_url``."""
+    pg = pages.select(F.col("url").alias("__u"), F.col("html").alias("__h"))
+    d = postings.withColumn("__desc0", F.coalesce(F.col("description"), F.lit("")))
+    short = F.col("has_id") & (F.length(F.trim("__desc0")) < C.PLACEHOLDER_DESCRIPTION_MIN)
+    slug_url = F.when(short & (F.coalesce(F.col("jd_base_url"), F.lit("")) != ""),
+                      F.concat("jd_base_url", F.lit("/"), F.btrim(F.regexp_replace(F.lower("job_title"),
+                                                                                   "[^a-z0-9]+", "-"), F.lit("-")),
+                               F.lit("/")))
+    d = d.withColumn("__slug_url", slug_url).join(
+        pg.withColumnRenamed("__u", "__slug_url").withColumnRenamed("__h", "__slug_html"), "__slug_url", "left")
+    slug_text = html_to_text(F.col("__slug_html"), C.PAGE_TEXT_MAX)
+    slug_ok = F.col("__slug_html").isNotNull() & (F.length(slug_text) > C.PLACEHOLDER_DESCRIPTION_MIN)
+    d = (d.withColumn("__desc1", F.when(slug_ok, slug_text).otherwise(F.col("__desc0")))
+         .withColumn("job_url", F.when(slug_ok, F.col("__slug_url")).otherwise(F.col("job_url")))
+         .withColumn("__email1", F.when(slug_ok, first_email(F.col("__slug_html")))))
+    need_page = F.col("has_id") & (
+        (short & (F.length(F.trim("__desc1")) < C.PLACEHOLDER_DESCRIPTION_MIN))
+        | (~short & F.col("recruiter_email").isNull()))
+    d = d.withColumn("__page_url", F.when(need_page & (F.coalesce(F.col("job_url"), F.lit("")) != ""),
+                                          F.col("job_url")))
+    d = d.join(pg.withColumnRenamed("__u", "__page_url").withColumnRenamed("__h", "__page_html"), "__page_url", "left")
+    page_text = html_to_text(F.col("__page_html"), C.PAGE_TEXT_MAX)
+    has_page = F.col("__page_html").isNotNull()
+    take_page = short & has_page & ~P.is_apply_form(F.col("__page_html")) & (
+        F.length(page_text) > F.length("__desc1"))
+    desc = F.when(take_page, page_text).otherwise(F.col("__desc1"))
+    email = (F.when(short & has_page, first_email(F.col("__page_html")))
+             .when(short, F.col("__email1"))
+             .when(has_page, first_email(F.col("__page_html")))
+             .otherwise(F.col("recruiter_email")))
+    return (d.withColumn("description", F.when(F.col("has_id"), desc).otherwise(F.col("description")))
+            .withColumn("recruiter_email", email)
+            .drop("__desc0", "__desc1", "__slug_url", "__slug_html", "__email1", "__page_url", "__page_html"))
+
+
+# ----------------------------------------------------------------- G1 registry
+
+def registry() -> dict:
+    """G1: source type → normaliser over landed payloads."""
+    return {
+        "greenhouse": normalize_greenhouse,
+        "icims": normalize_icims,
+        "lever": normalize_lever,
+        "smartrecruiters": normalize_smartrecruiters,
+        "ashby": normalize_ashby,
+        "recruitee": normalize_recruitee,
+        "homerun": normalize_attr_json,
+        "kpmg_lunr": normalize_search_index,
+        "workday": normalize_workday,
+        "bitvavo": normalize_embedded_array,
+        "html": html_ladder,
+    }
+
+
+def normalize_all(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
+                  types=None) -> DataFrame:
+    """G1: split payloads by source type, normalise each, stack the results.
+    Unknown types go to the generic HTML ladder. Types needing extra inputs
+    (slug detail pages, rendered captures) have their own entry points."""
+    reg = registry()
+    types = list(types or reg.keys())
+    known = [t for t in reg if t != "html"]
+    out = None
+    for t in types:
+        fn = reg[t]
+        part = payloads.filter(F.col("source_type") == t) if t != "html" else payloads.filter(
+            ~F.col("source_type").isin(*known))
+        rows = fn(part, companies, profile=profile) if t != "html" else fn(part, companies, profile)
+        rows = rows.select(*POSTING_COLS, *ORDER_COLS).withColumn("source_type", F.lit(t))
+        out = rows if out is None else out.unionByName(rows)
+    return out

@@ -59,3 +59,25 @@ def fmt_date(expr: str) -> str:
     return (f"coalesce(nullif(regexp_extract({e}, '(\\d{{4}}-\\d{{2}}-\\d{{2}})', 1), ''), "
             f"CASE WHEN regexp_matches({e}, '^\\d{{8}}(T.*)?$') THEN "
             f"strftime(try_strptime(substr({e}, 1, 8), '%Y%m%d'), '%Y-%m-%d') END)")
+
+
+def origin(expr: str) -> str:
+    return f"regexp_extract({expr}, '^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]*)', 1)"
+
+
+def first_email(expr: str) -> str:
+    """Smallest recruiter address in an HTML text (NULL when none)."""
+    from ..functions.text import ADDRESS_PATTERN, MAILTO_PATTERN, ROLE_ACCOUNT_PATTERN
+
+    dom = "CASE WHEN contains(e, '@') THEN split_part(e, '@', 2) ELSE '' END"
+    ok = (f"NOT regexp_matches(split_part(e, '@', 1), {lit(ROLE_ACCOUNT_PATTERN)}) "
+          f"AND NOT {any_contains(dom, C.EMAIL_BLOCKED_DOMAIN_PARTS)} "
+          f"AND length(split_part(e, '@', 1)) >= 3 AND contains({dom}, '.')")
+    found = (f"list_transform(list_concat(regexp_extract_all(coalesce({expr}, ''), {lit(MAILTO_PATTERN)}, 1), "
+             f"regexp_extract_all(coalesce({expr}, ''), {lit(ADDRESS_PATTERN)}, 1)), lambda x: lower(trim(x)))")
+    return f"list_min(list_filter({found}, lambda e: {ok}))"
+
+
+def initcap_slug(expr: str) -> str:
+    return (f"array_to_string(list_transform(string_split(replace({expr}, '-', ' '), ' '), "
+            f"lambda x: upper(substr(x, 1, 1)) || lower(substr(x, 2))), ' ')")

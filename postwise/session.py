@@ -23,9 +23,11 @@ _RUNTIME_DEFAULTS = {
 }
 
 
-def builder(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkSession.Builder:
+def builder(master: str = "local[*]", shuffle_partitions: int = 8,
+            driver_memory: str = "16g") -> SparkSession.Builder:
     b = (
         SparkSession.builder.master(master)
+        .config("spark.driver.memory", driver_memory)
         .appName("postwise")
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.ui.enabled", "false")

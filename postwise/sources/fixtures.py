@@ -72,7 +72,8 @@ SELECT c_name AS ind_name, c_custkey AS ord,
     WHEN 'AUTOMOBILE' THEN 'lever' ELSE 'other' END AS source_type,
   concat('https://careers.example.org/', CAST(c_custkey AS STRING), CASE WHEN c_nationkey % 2 = 0 THEN '?location=Amsterdam' ELSE '' END) AS careers_url,
   concat('b', CAST(c_custkey AS STRING)) AS board,
-  CASE c_nationkey % 3 WHEN 0 THEN 'Amsterdam, North Holland' WHEN 1 THEN 'Den Haag/NL*~' ELSE '' END AS location_filter
+  CASE c_nationkey % 3 WHEN 0 THEN 'Amsterdam, North Holland' WHEN 1 THEN 'Den Haag/NL*~' ELSE '' END AS location_filter,
+  CASE WHEN c_custkey % 3 = 0 THEN concat('https://jd.example.org/c', CAST(c_custkey AS STRING)) ELSE '' END AS jd_base_url
 FROM {customer}
 """
 
@@ -159,6 +160,17 @@ FIXTURES["fx_job_page"] = """
 SELECT page_id, concat('https://jobs.example.org/p/', CAST(page_id * 7 AS STRING)) AS url, html FROM {pages}
 """
 
+# Employer slug pages (long text for two titles, short for the rest), one per
+# (employer, title slug), each with a recruiter mailto.
+FIXTURES["fx_slug_page"] = """
+SELECT DISTINCT concat(c.jd_base_url, '/', CASE p.seq % 8 WHEN 0 THEN 'senior-python-engineer' WHEN 1 THEN 'java-developer'
+    WHEN 2 THEN 'account-manager' WHEN 3 THEN 'lead-ios-developer' WHEN 4 THEN 'staff-software-engineer'
+    WHEN 5 THEN 'data-analyst' WHEN 6 THEN 'platform-engineer' ELSE 'x' END, '/') AS url,
+  concat('<html><body><p>', repeat('Great team and product. ', CASE WHEN p.seq % 8 IN (0, 6) THEN 10 ELSE 1 END),
+    '</p><a href="mailto:lead', CAST(c.ord AS STRING), '@corp.nl">Mail</a></body></html>') AS html
+FROM {fx_posting} p JOIN {fx_company} c ON c.ind_name = p.company WHERE c.jd_base_url <> ''
+"""
+
 _PLACEHOLDER = re.compile(r"\{([a-z_]+)\}")
 
 
