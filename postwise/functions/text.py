@@ -37,11 +37,12 @@ def _unescape_full_udf():
     import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
-    @pandas_udf("string")
-    def unescape_full(s: pd.Series) -> pd.Series:
+    def unescape_full(s):
         return s.map(lambda v: _html.unescape(v) if isinstance(v, str) else v)
 
-    return unescape_full
+    # real type objects (this module postpones annotations)
+    unescape_full.__annotations__ = {"s": pd.Series, "return": pd.Series}
+    return pandas_udf(unescape_full, "string")
 
 
 def unescape(c: Column, full: bool = False) -> Column:

@@ -93,23 +93,31 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
     looks = F.exists(first_keys, lambda k: k.isin(*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS))
     cands = items.filter(F.coalesce(F.size("items") > 0, F.lit(False)) & _is_obj(F.try_element_at("items", F.lit(1))) & looks)
     rows = cands.select(doc_id, "path", F.posexplode("items").alias("ipos", "item")).filter(_is_obj(F.col("item")))
-    rows = rows.join(owners, doc_id)
-    m = F.from_json("item", MAP)
-    title = F.trim(_scalar_or_object(_get(m, C.JSON_TITLE_KEYS), C.JSON_TITLE_OBJECT_KEYS))
-    loc = F.trim(_scalar_or_object(_get(m, C.JSON_LOCATION_KEYS), C.JSON_LOCATION_OBJECT_KEYS))
+    # parse each item once; every key probe below reads the parsed map column
+    rows = rows.join(owners, doc_id).withColumn("m", F.from_json("item", MAP))
+    m = F.col("m")
+    title_raw = _get(m, C.JSON_TITLE_KEYS)
+    loc_raw = _get(m, C.JSON_LOCATION_KEYS)
+    rows = rows.select(doc_id, "company", "careers_url", "path", "ipos", "m",
+                       F.when(_is_obj(title_raw), F.from_json(title_raw, MAP)).alias("tm"), title_raw.alias("tr"),
+                       F.when(_is_obj(loc_raw), F.from_json(loc_raw, MAP)).alias("lm"), loc_raw.alias("lr"),
+                       F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit("")).alias("link"))
+    title = F.trim(F.when(F.col("tm").isNotNull(), F.coalesce(_get(F.col("tm"), C.JSON_TITLE_OBJECT_KEYS), F.lit("")))
+                   .otherwise(F.coalesce(F.col("tr"), F.lit(""))))
+    loc = F.trim(F.when(F.col("lm").isNotNull(), F.coalesce(_get(F.col("lm"), C.JSON_LOCATION_OBJECT_KEYS), F.lit("")))
+                 .otherwise(F.coalesce(F.col("lr"), F.lit(""))))
+    rows = rows.select(doc_id, "company", "careers_url", "path", "ipos", "m", title.alias("job_title"),
+                       loc.alias("loc"), resolve_url(F.col("link"), F.col("careers_url")).alias("job_url"))
     careers_nl = P.is_location(F.col("careers_url"), profile)
-    loc_ok = F.when(loc == "", careers_nl).otherwise(
-        F.lower(loc).isin("remote", "hybrid", "") | P.is_location(loc, profile))
-    url = resolve_url(F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit("")), F.col("careers_url"))
-    rows = rows.select(doc_id, "company", "careers_url", "path", "ipos", "item",
-                       title.alias("job_title"), loc.alias("loc"), url.alias("job_url"), loc_ok.alias("loc_ok"))
-    kept = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile) & F.col("loc_ok"))
+    loc_ok = F.when(F.col("loc") == "", careers_nl).otherwise(
+        F.lower("loc").isin("remote", "hybrid", "") | P.is_location(F.col("loc"), profile))
+    kept = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile) & loc_ok)
     w = Window.partitionBy(doc_id, "job_url").orderBy("path", "ipos")
     firsts = kept.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
     if max_rows is not None:
         firsts = firsts.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id).orderBy("path", "ipos"))) \
             .filter(F.col("__k") <= max_rows).drop("__k")
-    m = F.from_json("item", MAP)
+    m = F.col("m")
     date = fmt_date(F.coalesce(_get(m, C.JSON_DATE_KEYS), F.lit("")))
     desc = html_to_text(F.coalesce(_get(m, C.JSON_DESCRIPTION_KEYS), F.lit("")))
     note_col = F.lit(note) if isinstance(note, str) else note

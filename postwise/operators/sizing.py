@@ -19,3 +19,17 @@ def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
 
 def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
+
+
+def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
+    """Give CPU-heavy row work enough tasks: when an input has fewer partitions
+    than the cluster has cores (one small file, one row group), hash-partition
+    it on its first column (deterministic under retries). A no-op for large
+    inputs, whose scans already have many splits."""
+    try:
+        spark = df.sparkSession
+        target = min_partitions or spark.sparkContext.defaultParallelism
+        n = df.rdd.getNumPartitions()
+    except Exception:  # no RDD access (e.g. Spark Connect): leave it to the planner
+        return df
+    return df.repartition(target, df.columns[0]) if n < target else df

@@ -9,6 +9,7 @@ with the scale factor.
 
 from __future__ import annotations
 
+import os
 import re
 
 from pyspark.sql import DataFrame, SparkSession
@@ -179,19 +180,52 @@ def deps(name: str) -> list[str]:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from ..operators.sizing import spread
+
+    return spread(spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet"))
+
+
+_WRITTEN: dict = {}
+
+
+def _session_key(spark: SparkSession) -> str:
+    try:
+        return spark.sparkContext.applicationId
+    except Exception:
+        return str(id(spark))
 
 
 def fixture(spark: SparkSession, sf_dir: str, name: str, _memo: dict | None = None) -> DataFrame:
-    """Build fixture ``name`` (and what it reads) as a Spark DataFrame."""
+    """Fixture ``name`` as a Spark DataFrame.
+
+    A fixture is landed input: it is derived once per session and scale factor
+    from the driver's tables, written as parquet under the shared folder and
+    read back, so every query scans a real table (pushdown into its columns,
+    several files) instead of re-deriving synthetic CASE columns.
+    """
     memo = {} if _memo is None else _memo
     if name in memo:
         return memo[name]
     if name in BASE_TABLES:
         memo[name] = table(spark, sf_dir, name)
         return memo[name]
+    key = (_session_key(spark), os.path.abspath(sf_dir), name)
+    path = _WRITTEN.get(key)
+    if path is not None:
+        try:
+            df = spark.read.parquet(path)
+            df.schema
+            memo[name] = df
+            return df
+        except Exception:
+            _WRITTEN.pop(key, None)
+    from ..session import scratch_path
+
     args = {d: fixture(spark, sf_dir, d, memo) for d in deps(name)}
-    memo[name] = spark.sql(FIXTURES[name], **args)
+    path = scratch_path(spark, f"fixture-{name}")
+    spark.sql(FIXTURES[name], **args).write.parquet(path)
+    _WRITTEN[key] = path
+    memo[name] = spark.read.parquet(path)
     return memo[name]
 
 
