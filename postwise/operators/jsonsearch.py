@@ -110,8 +110,9 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
                        loc.alias("loc"), resolve_url(F.col("link"), F.col("careers_url")).alias("job_url"))
     careers_nl = P.is_location(F.col("careers_url"), profile)
     loc_ok = F.when(F.col("loc") == "", careers_nl).otherwise(
-        F.lower("loc").isin("remote", "hybrid", "") | P.is_location(F.col("loc"), profile))
-    kept = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile) & loc_ok)
+        F.lower("loc").isin("remote", "hybrid", "") | P.is_location(F.col("loc"), profile, compact=True))
+    kept = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)
+                       & loc_ok)
     w = Window.partitionBy(doc_id, "job_url").orderBy("path", "ipos")
     firsts = kept.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
     if max_rows is not None:

@@ -266,7 +266,7 @@ def normalize_slug_page(listing: DataFrame, details: DataFrame, companies: DataF
     title = F.when(F.length(tag) > 3, tag).otherwise(title)
     title = F.coalesce(_jsonld_title(F.coalesce(F.col("__detail"), F.lit(""))), title)
     s = s.withColumn("__title", title)
-    kept = s.filter(P.is_target_role(F.col("__title"), profile))
+    kept = s.filter(P.is_target_role(F.col("__title"), profile, compact=True))
     return kept.select(*posting(job_title="__title", location=F.lit(C.DEFAULT_CITY_LOCATION), job_url="job_url",
                                 description=F.lit(""), notes=F.lit(C.NOTES["picnic"])))
 
@@ -510,7 +510,8 @@ def dom_link_postings(pages: DataFrame, companies: DataFrame, profile: Profile =
     inner = F.trim(F.regexp_replace(F.regexp_extract("tag", r"(?is)<a\b[^>]*>(.*?)</a>", 1), r"<[^>]+>", ""))
     label = _attr(attrs, "aria-label")
     title = F.trim(first_truthy(label, inner, default=""))
-    a = a.withColumn("__title", title).filter((F.col("__title") != "") & P.is_target_role(F.col("__title"), profile))
+    a = a.withColumn("__title", title).filter(
+        (F.col("__title") != "") & P.is_target_role(F.col("__title"), profile, compact=True))
     url = resolve_url(F.col("__href"), F.col("page_url"))
     return a.select(*posting(job_title=F.substring("__title", 1, C.LINK_TITLE_MAX), location=F.lit(C.DEFAULT_COUNTRY),
                              job_url=url, description=F.lit(""), notes=F.lit(C.NOTES["dom"])))
