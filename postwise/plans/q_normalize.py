@@ -16,7 +16,7 @@ from ..functions import values as V
 from ..operators import normalize as N
 from ..sources import payloads as PL
 from ..session import scratch_path
-from ..sources.fixtures import fixture, fixtures
+from ..sources.fixtures import fixture, fixtures, landed
 from . import sqlgen as Q
 from .catalog import query
 from .q_core import _html_to_text_sql
@@ -76,9 +76,101 @@ def _html(expr, n=C.DESCRIPTION_MAX):
     return _html_to_text_sql(expr, n)
 
 
+# ------------------------------------------------------------------ landed inputs (written once per session)
+
+def greenhouse_pages(spark, sf, *args, **kw):
+    key = "greenhouse_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_greenhouse_pages(spark, sf, *args, **kw))
+
+
+def icims_pages(spark, sf, *args, **kw):
+    key = "icims_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_icims_pages(spark, sf, *args, **kw))
+
+
+def lever_pages(spark, sf, *args, **kw):
+    key = "lever_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_lever_pages(spark, sf, *args, **kw))
+
+
+def smartrecruiters_pages(spark, sf, *args, **kw):
+    key = "smartrecruiters_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_smartrecruiters_pages(spark, sf, *args, **kw))
+
+
+def ashby_pages(spark, sf, *args, **kw):
+    key = "ashby_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_ashby_pages(spark, sf, *args, **kw))
+
+
+def recruitee_pages(spark, sf, *args, **kw):
+    key = "recruitee_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_recruitee_pages(spark, sf, *args, **kw))
+
+
+def index_pages(spark, sf, *args, **kw):
+    key = "index_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_index_pages(spark, sf, *args, **kw))
+
+
+def workday_pages(spark, sf, *args, **kw):
+    key = "workday_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_workday_pages(spark, sf, *args, **kw))
+
+
+def embedded_pages(spark, sf, *args, **kw):
+    key = "embedded_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_embedded_pages(spark, sf, *args, **kw))
+
+
+def nextdata_pages(spark, sf, *args, **kw):
+    key = "nextdata_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_nextdata_pages(spark, sf, *args, **kw))
+
+
+def slug_listing(spark, sf, *args, **kw):
+    key = "slug_listing" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_slug_listing(spark, sf, *args, **kw))
+
+
+def slug_details(spark, sf, *args, **kw):
+    key = "slug_details" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_slug_details(spark, sf, *args, **kw))
+
+
+def attr_pages(spark, sf, *args, **kw):
+    key = "attr_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_attr_pages(spark, sf, *args, **kw))
+
+
+def ld_scripts(spark, sf, *args, **kw):
+    key = "ld_scripts" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_ld_scripts(spark, sf, *args, **kw))
+
+
+def ld_pages(spark, sf, *args, **kw):
+    key = "ld_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_ld_pages(spark, sf, *args, **kw))
+
+
+def anchor_pages(spark, sf, *args, **kw):
+    key = "anchor_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_anchor_pages(spark, sf, *args, **kw))
+
+
+def free_json_docs(spark, sf, *args, **kw):
+    key = "free_json_docs" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_free_json_docs(spark, sf, *args, **kw))
+
+
+def html_pages(spark, sf, *args, **kw):
+    key = "html_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
+    return landed(spark, sf, key, lambda: _build_html_pages(spark, sf, *args, **kw))
+
+
 # ------------------------------------------------------------------ N1 greenhouse
 
-def greenhouse_pages(spark, sf):
+def _build_greenhouse_pages(spark, sf):
     dept_t = "array<struct<name: string>>"
     depts = (F.when(seq_mod(3) == 0, F.array(F.struct(F.lit("Engineering").alias("name"))))
              .when(seq_mod(3) == 1, F.array(F.struct(F.lit("").alias("name"))))
@@ -112,7 +204,7 @@ def norm_greenhouse(spark, sf):
 
 # ------------------------------------------------------------------ N2 icims
 
-def icims_pages(spark, sf):
+def _build_icims_pages(spark, sf):
     fields = [nz(F.regexp_extract("job_url", r"(\d+)$", 1)).alias("req_id"), F.lit(None).cast("string").alias("id"),
               F.lit(None).cast("string").alias("slug"), F.col("job_title").alias("title"),
               F.col("location").alias("city"), F.when(seq_mod(2) == 0, F.lit("Netherlands")).alias("country"),
@@ -158,7 +250,7 @@ def norm_icims(spark, sf):
 
 # ------------------------------------------------------------------ N3 lever
 
-def lever_pages(spark, sf):
+def _build_lever_pages(spark, sf):
     item = F.struct(
         F.col("job_title").alias("text"),
         F.struct(F.when(seq_mod(5) != 0, F.col("location")).alias("location"),
@@ -189,7 +281,7 @@ def norm_lever(spark, sf):
 
 # ------------------------------------------------------------------ N4 smartrecruiters
 
-def smartrecruiters_pages(spark, sf):
+def _build_smartrecruiters_pages(spark, sf):
     item = F.struct(F.col("job_title").alias("name"),
                     F.struct(F.col("location").alias("city"),
                              F.when(seq_mod(2) == 0, F.lit("nl")).alias("country")).alias("location"),
@@ -211,7 +303,7 @@ def norm_smartrecruiters(spark, sf):
 
 # ------------------------------------------------------------------ N5 ashby
 
-def ashby_pages(spark, sf):
+def _build_ashby_pages(spark, sf):
     addr = F.struct(F.struct(F.lit("Utrecht").alias("addressLocality"), F.lit("NL").alias("addressCountry"))
                     .alias("postalAddress"))
     item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
@@ -241,7 +333,7 @@ def norm_ashby(spark, sf):
 
 # ------------------------------------------------------------------ N6 recruitee
 
-def recruitee_pages(spark, sf):
+def _build_recruitee_pages(spark, sf):
     item = F.struct(F.col("job_title").alias("title"), F.col("location").alias("city"),
                     F.when(seq_mod(3) == 0, F.lit("Netherlands")).alias("country"), nz("job_url").alias("careers_url"),
                     F.concat(F.lit("o-"), F.col("seq").cast("string")).alias("slug"),
@@ -265,7 +357,7 @@ def norm_recruitee(spark, sf):
 
 # ------------------------------------------------------------------ N9 static search index
 
-def index_pages(spark, sf):
+def _build_index_pages(spark, sf):
     item = F.struct(F.when(seq_mod(2) == 0, F.col("job_title")).alias("title"),
                     F.when(seq_mod(2) == 1, F.col("job_title")).alias("vacancyTitle"),
                     F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
@@ -295,7 +387,7 @@ def norm_search_index(spark, sf):
 
 # ------------------------------------------------------------------ N10 workday
 
-def workday_pages(spark, sf, page_size=20):
+def _build_workday_pages(spark, sf, page_size=20):
     ext = F.when(F.col("job_url") != "", F.concat(F.lit("/job/"), F.regexp_extract("job_url", r"(\d+)$", 1)))
     item = F.struct(F.col("job_title").alias("title"), ext.alias("externalPath"),
                     F.col("location").alias("locationsText"), F.lit("Posted 2 Days Ago").alias("postedOn"))
@@ -323,7 +415,7 @@ def norm_workday(spark, sf):
 
 # ------------------------------------------------------------------ N13 embedded array
 
-def embedded_pages(spark, sf):
+def _build_embedded_pages(spark, sf):
     nested = (F.floor(F.col("seq") / PAGE) % 4) == 0
     item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(3) != 0, F.col("location")).alias("locationName"),
                     F.when(seq_mod(2) == 0, F.concat(F.lit("/role/"), F.col("seq").cast("string")))
@@ -352,7 +444,7 @@ def norm_embedded_array(spark, sf):
 
 # ------------------------------------------------------------------ N16 page-state pairs
 
-def nextdata_pages(spark, sf):
+def _build_nextdata_pages(spark, sf):
     item = F.struct(F.coalesce(nz("job_title"), F.lit("Untitled")).alias("title"), F.col("seq").alias("id"),
                     F.when(F.col("job_url") == "", F.concat(F.lit("https://jobs.example.org/none/"),
                                                             F.col("seq").cast("string")))
@@ -415,14 +507,14 @@ DETAIL_PAGES = {
 }
 
 
-def slug_listing(spark, sf):
+def _build_slug_listing(spark, sf):
     slug = V.slugify("job_title")
     item = F.concat(F.lit('<a href="/en/jobs/engineering/'), slug, F.lit('/amsterdam">'), F.col("job_title"), F.lit("</a>"))
     return pages_json(spark, sf, item, lambda arr: F.concat(F.lit("<html><body>"), F.array_join(arr, ""),
                                                             F.lit("</body></html>")))
 
 
-def slug_details(spark, sf):
+def _build_slug_details(spark, sf):
     slugs = base(spark, sf).select(V.slugify("job_title").alias("slug")).distinct()
     html = None
     for s, h in DETAIL_PAGES.items():
@@ -451,7 +543,7 @@ def norm_slug_page(spark, sf):
 
 # ------------------------------------------------------------------ N8 JSON in an attribute
 
-def attr_pages(spark, sf):
+def _build_attr_pages(spark, sf):
     item = F.struct(F.when(seq_mod(2) == 0, F.col("job_title")).alias("title"),
                     F.when(seq_mod(2) == 1, F.col("job_title")).alias("name"),
                     F.when(seq_mod(3) != 0, F.col("location")).alias("location"),
@@ -488,7 +580,7 @@ def _ld_desc():
                                             F.lit('@corp.nl">us</a>'))).otherwise(F.col("description"))
 
 
-def ld_scripts(spark, sf):
+def _build_ld_scripts(spark, sf):
     """Per page two ld+json scripts (even / odd postings; a lone item is written
     as an object); the first script of every tenth page is cut short."""
     b = base(spark, sf).withColumn("page", PL.page_of(F.col("seq"), PAGE))
@@ -518,7 +610,7 @@ def ld_scripts(spark, sf):
     return g.select("company", "page", script(a_json).alias("ld_a"), script(js(F.col("b"))).alias("ld_b"))
 
 
-def ld_pages(spark, sf):
+def _build_ld_pages(spark, sf):
     s = ld_scripts(spark, sf)
     pages = s.select("company", "page", F.concat(F.lit("<html><head>"), "ld_a", "ld_b",
                                                  F.lit("</head><body>ok</body></html>")).alias("body"))
@@ -580,7 +672,7 @@ def _anchor():
                     F.lit(" role</span></a>"))
 
 
-def anchor_pages(spark, sf, chunk: int = 300, per_company: bool = False):
+def _build_anchor_pages(spark, sf, chunk: int = 300, per_company: bool = False):
     b = base(spark, sf)
     group = ["company", PL.page_of(F.col("seq"), chunk).alias("page")] if per_company else \
         [PL.page_of(F.col("seq"), chunk).alias("page")]
@@ -627,7 +719,7 @@ def dom_link_postings(spark, sf):
 
 # ------------------------------------------------------------------ N14 recursive JSON search
 
-def free_json_docs(spark, sf, page_size: int = PAGE):
+def _build_free_json_docs(spark, sf, page_size: int = PAGE):
     """Postings nested under data.jobs.items (found), x.y.z.w.v (too deep by plain
     keys) and inside list elements (never searched)."""
     b = base(spark, sf).withColumn("page", PL.page_of(F.col("seq"), page_size))
@@ -679,7 +771,7 @@ def json_job_search(spark, sf):
 
 # ------------------------------------------------------------------ N11 HTML ladder / P16
 
-def html_pages(spark, sf, nextdata_page_size: int = PAGE):
+def _build_html_pages(spark, sf, nextdata_page_size: int = PAGE):
     """Pages holding two ld+json scripts and a page-state script."""
     s = ld_scripts(spark, sf)
     nd = nextdata_pages(spark, sf).select("company", "page", F.col("body").alias("nd"))

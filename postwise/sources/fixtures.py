@@ -229,6 +229,29 @@ def fixture(spark: SparkSession, sf_dir: str, name: str, _memo: dict | None = No
     return memo[name]
 
 
+def landed(spark: SparkSession, sf_dir: str, name: str, build) -> DataFrame:
+    """Landed input built by ``build()`` (payload pages, captures): written once
+    per session and scale factor under the shared folder, then read as a table."""
+    key = (_session_key(spark), os.path.abspath(sf_dir), "landed:" + name)
+    path = _WRITTEN.get(key)
+    if path is not None:
+        try:
+            df = spark.read.parquet(path)
+            df.schema
+            return df
+        except Exception:
+            _WRITTEN.pop(key, None)
+    from ..session import scratch_path
+
+    import hashlib
+
+    tag = re.sub(r"[^A-Za-z0-9_]+", "", name.split("(")[0]) + "-" + hashlib.sha1(name.encode()).hexdigest()[:8]
+    path = scratch_path(spark, f"landed-{tag}")
+    build().write.parquet(path)
+    _WRITTEN[key] = path
+    return spark.read.parquet(path)
+
+
 def fixtures(spark: SparkSession, sf_dir: str, *names: str) -> list[DataFrame]:
     memo: dict = {}
     return [fixture(spark, sf_dir, n, memo) for n in names]
