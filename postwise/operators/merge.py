@@ -65,6 +65,21 @@ def new_postings(postings: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(seen_keys(seen), KEY, "left_anti").drop(KEY)
 
 
+def new_postings_incremental(batch: DataFrame, seen: DataFrame, max_keys: int = 2_000_000) -> DataFrame:
+    """J1 for a micro-batch against a large, growing seen store: the batch's
+    distinct keys (count checked) are broadcast, the store is only scanned and
+    filtered to them map-side (no shuffle of the store), and the small result is
+    broadcast into the anti join. Above ``max_keys`` the plain shuffle join is used."""
+    from .sizing import row_count_at_most
+
+    keyed = with_key(batch).filter(F.col(KEY) != "")
+    keys = keyed.select(KEY).distinct()
+    if not row_count_at_most(keys, max_keys):
+        return new_postings(batch, seen)
+    known = seen_keys(seen).join(F.broadcast(keys), KEY, "left_semi")
+    return keyed.join(F.broadcast(known), KEY, "left_anti").drop(KEY)
+
+
 def seen_within(postings: DataFrame, seen: DataFrame, as_of, hours: int = C.DAILY_LOOKBACK_HOURS,
                 ts: str = "seen_at") -> DataFrame:
     """Postings whose key was seen at or after ``as_of - hours``."""
@@ -108,8 +123,12 @@ def backfill_first_seen(postings: DataFrame, seen: DataFrame, as_of) -> DataFram
 # ---------------------------------------------------------------- J5
 
 def previous_by_key(prev: DataFrame, order: str = "seq") -> DataFrame:
-    """J5 step 1: previous snapshot, keyless rows dropped, last row per key."""
-    return dedup_last_by_key(with_key(prev), KEY, order=order)
+    """J5 step 1: previous snapshot, keyless rows dropped, last row per key
+    (partitioned on the key itself, so the joins on it need no new shuffle)."""
+    from .dedup import first_per_key
+
+    keyed = with_key(prev).filter(F.col(KEY) != "")
+    return first_per_key(keyed, [KEY], order, desc=True)
 
 
 def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, retain: bool = True,
@@ -122,33 +141,37 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
       as_of; stale cleared.
     * carried rows: previous key not among the new keys and
       first_truthy(last_seen, first_seen, seen date) >= as_of - retain_days.
+
+    Plan: the new load is reduced to its distinct keys (combined map-side), and
+    one full outer join per key — distinct new keys, the previous snapshot
+    (last row per key), seen dates: at most one row per key on every side, so
+    no key can skew it — yields both the stamp of each new key and the carried
+    rows. That per-key table is persisted and read twice. The new rows pick up
+    their stamp with a many-to-one left join (AQE splits a hot key there).
     """
+    from pyspark import StorageLevel
+
     today = as_of_date(as_of)
     cutoff = F.date_format(F.date_sub(_as_of(as_of).cast("date"), retain_days), "yyyy-MM-dd")
     prev1 = previous_by_key(prev, prev_order)
-    dates = seen_first_dates(seen)
-    prev_first = prev1.select(KEY, F.col("first_seen").alias("__prev_first"))
-
-    stamped = (
-        with_key(new)
-        .join(prev_first, KEY, "left")
-        .join(dates, KEY, "left")
-        .withColumn("first_seen", first_truthy("__prev_first", "__seen_date", default=today))
-        .withColumn("last_seen", today)
-        .withColumn("stale", F.lit(None).cast("boolean"))
-        .drop("__prev_first", "__seen_date", KEY)
-    )
+    prev_cols = [c for c in prev1.columns if c != KEY]
+    keyed_new = with_key(new)
+    keys = keyed_new.select(KEY).distinct().withColumn("__in_new", F.lit(True))
+    per_key = (keys.join(prev1.select(KEY, F.struct(*prev_cols).alias("__p")), KEY, "full_outer")
+               .join(seen_first_dates(seen), KEY, "left")
+               .persist(StorageLevel.MEMORY_AND_DISK))
+    stamp = per_key.filter(F.col("__in_new")).select(
+        KEY, first_truthy(F.col("__p.first_seen"), "__seen_date", default=today).alias("__stamp"))
+    stamped = (keyed_new.join(stamp, KEY, "left")
+               .withColumn("first_seen", F.coalesce("__stamp", today))
+               .withColumn("last_seen", today)
+               .withColumn("stale", F.lit(None).cast("boolean"))
+               .drop("__stamp", KEY))
     if not retain:
         return stamped
-    new_keys = with_key(new).select(KEY).distinct()
-    last = first_truthy("last_seen", "first_seen", "__seen_date", default="")
-    carried = (
-        prev1.join(new_keys, KEY, "left_anti")
-        .join(dates, KEY, "left")
-        .filter((last != "") & (last >= cutoff))
-        .withColumn("stale", F.lit(True))
-        .drop("__seen_date", KEY)
-    )
+    last = first_truthy(F.col("__p.last_seen"), F.col("__p.first_seen"), "__seen_date", default="")
+    carried = (per_key.filter(F.col("__in_new").isNull() & F.col("__p").isNotNull() & (last != "") & (last >= cutoff))
+               .select("__p.*").withColumn("stale", F.lit(True)))
     return stamped.unionByName(carried, allowMissingColumns=True)
 
 

@@ -4,7 +4,8 @@ Each micro-batch (``foreachBatch``):
   1. reads the seen store *as it was before this batch* (partitions
      ``batch_id < N`` plus the initial store), so a replayed batch gives the
      same answer (idempotent);
-  2. keeps the postings whose key the store lacks (J1, bag semantics);
+  2. keeps the postings whose key the store lacks (J1, bag semantics): the
+     batch's keys are broadcast and the store is only scanned, never shuffled;
   3. scores them, cached score first (F6);
   4. writes the digest rows and then the new seen entries, both under
      ``batch_id=N`` with overwrite (at-least-once delivery, exactly-once output).
@@ -35,7 +36,7 @@ def hourly_batch(seen_dir: str, digest_dir: str, scores: DataFrame, as_of: Calla
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = spark.read.parquet(seen_dir).filter(F.col("batch_id") < batch_id).select("job_url", "seen_at")
-        fresh = J.new_postings(batch, seen)
+        fresh = J.new_postings_incremental(batch, seen)
         scored = SO.score_with_cache(fresh, scores, notes=F.lit(notes).cast("string"))
         scored.write.mode("overwrite").parquet(f"{digest_dir}/batch_id={batch_id}")
         marked = (J.with_key(fresh).select(F.col(J.KEY).alias("job_url")).distinct()
