@@ -405,3 +405,29 @@ def pii_audit_total(spark, sf):
     """A5: values removed over all targets."""
     portal, search = pii_records(spark, sf)
     return PV.pii_audit_total(PV.pii_audit(portal, "portal").unionByName(PV.pii_audit(search, "search")))
+
+
+def demo_fetch(urls: pd.Series) -> pd.Series:
+    """A deterministic stand-in for a page fetch (derives the text from the URL)."""
+    return "Fetched description of " + urls.astype(str)
+
+
+@query("description_fetch", fixtures=["fx_posting", "fx_desc_cache"], oracle="""
+, dc AS (SELECT key, max(body) AS body FROM fx_desc_cache WHERE coalesce(key, '') <> '' GROUP BY key)
+SELECT p.seq, CASE WHEN dc.body IS NOT NULL THEN dc.body
+  WHEN coalesce(p.job_url, '') <> '' THEN 'Fetched description of ' || p.job_url END AS description,
+  CASE WHEN dc.body IS NOT NULL THEN 'cache' WHEN coalesce(p.job_url, '') <> '' THEN 'fetch' END AS source
+FROM fx_posting p LEFT JOIN dc ON dc.key = p.job_url""")
+def description_fetch(spark, sf):
+    """G3 + J10: cached description, else one fetch per distinct missing key (user
+    function through mapInPandas); the fetched rows are what K2 appends to the cache."""
+    p, dc = fixtures(spark, sf, "fx_posting", "fx_desc_cache")
+    cache = dc.filter(V.truthy("key").isNotNull()).groupBy("key").agg(F.max("body").alias("body"))
+    keyed = J.with_key(p.select("seq", "job_url"))
+    hits = keyed.join(cache.withColumnRenamed("key", J.KEY), J.KEY, "left")
+    misses = hits.filter(F.col("body").isNull() & (F.col(J.KEY) != "")).select(F.col(J.KEY).alias("key"))
+    fetched = SO.fetch_missing(misses, demo_fetch)  # one call per distinct missing key; empty results dropped
+    out = hits.join(fetched.select(F.col("key").alias(J.KEY), F.col("body").alias("__f")), J.KEY, "left")
+    return out.select("seq", F.coalesce("body", "__f").alias("description"),
+                      F.when(F.col("body").isNotNull(), F.lit("cache")).when(F.col("__f").isNotNull(), F.lit("fetch"))
+                      .alias("source"))
