@@ -15,7 +15,6 @@ import os
 import platform
 import statistics
 import sys
-import tempfile
 import time
 
 sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
@@ -49,7 +48,6 @@ HEADLINE = [
 def session(cpus: str):
     from pyspark.sql import SparkSession
 
-    ckpt = tempfile.mkdtemp(prefix="postwise-bench-")
     s = (SparkSession.builder.master(f"local[{cpus}]").appName("postwise-bench")
          .config("spark.sql.shuffle.partitions", os.environ.get("BENCH_SHUFFLE", str(max(int(cpus), 1) * 2)))
          .config("spark.sql.adaptive.enabled", "true")
@@ -58,7 +56,6 @@ def session(cpus: str):
          .config("spark.sql.session.timeZone", "UTC")
          .config("spark.driver.memory", os.environ.get("BENCH_DRIVER_MEM", "16g"))
          .config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
-         .config("spark.checkpoint.dir", ckpt)
          .getOrCreate())
     s.sparkContext.setLogLevel("ERROR")
     return s
@@ -81,8 +78,10 @@ def extras(spark, sf_dir: str, reps: int) -> dict:
     from postwise.functions import predicates as P
     from postwise.functions import text as T
 
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    pages = spark.read.parquet(f"{sf_dir}/pages.parquet")
+    from postwise.sources.fixtures import table
+
+    docs = table(spark, sf_dir, "documents")
+    pages = table(spark, sf_dir, "pages")
     low = F.lower(F.col("text"))
     cases = {
         "kw_or_contains": lambda: force(docs.select("doc_id", P.any_contains(low, C.LOCATION_WORDS).alias("m"))),

@@ -450,7 +450,9 @@ def jsonld_postings(pages: DataFrame, companies: DataFrame, lenient: bool = Fals
                            F.col("page"), (F.col("x.si") * 100000 + F.col("x.ii")).alias("pos"))
     loc = F.trim(_ld_location(F.coalesce(it["jobLocation"], F.lit("{}")), " "))
     kept = typed.filter(P.is_target_role(title, profile) & ((loc == "") | P.is_location(loc, profile)))
-    kept = kept.withColumn("__si", F.col("x.si"))
+    from pyspark import StorageLevel
+
+    kept = kept.withColumn("__si", F.col("x.si")).persist(StorageLevel.MEMORY_AND_DISK)
     first_si = kept.groupBy("company", "page").agg(F.min("__si").alias("__si"))
     kept = kept.join(first_si, ["company", "page", "__si"], "left_semi")
     url = F.when(it["url"].isNotNull(), it["url"]).otherwise(F.col("page_url"))
@@ -476,8 +478,9 @@ def nextdata_pairs(pages: DataFrame, companies: DataFrame, profile: Profile = DE
     # (whitespace between tokens) flattened so a pair may span them
     valid = F.try_parse_json(F.nullif(state, F.lit(""))).isNotNull()
     text = F.when(valid, F.regexp_replace(state, r"[\r\n]+", " ")).otherwise(F.lit(""))
-    pairs = F.arrays_zip(F.regexp_extract_all(text, F.lit(PAIR), 1).alias("t"),
-                         F.regexp_extract_all(text, F.lit(PAIR), 2).alias("u"))
+    matches = F.regexp_extract_all(text, F.lit(PAIR), 0)  # one pass over the page state
+    pairs = F.transform(matches, lambda m: F.struct(F.regexp_extract(m, PAIR, 1).alias("t"),
+                                                      F.regexp_extract(m, PAIR, 2).alias("u")))
     x = d.select("company", "careers_url", "params", "page", F.col("url").alias("page_url"),
                  F.posexplode(pairs).alias("pos", "p"))
     kept = x.filter(P.is_target_role(F.col("p.t"), profile))
@@ -537,7 +540,11 @@ def normalize_search_rows(rows: DataFrame, order="seq") -> DataFrame:
 
 def first_strategy(candidates: DataFrame, group=("company",), strategy: str = "strategy") -> DataFrame:
     """Per group keep the rows of the first strategy that produced any
-    (the minimum is an aggregate, combined map-side, then a semi join)."""
+    (the minimum is an aggregate, combined map-side, then a semi join). The
+    candidates are persisted so the normalisers behind them run once."""
+    from pyspark import StorageLevel
+
+    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
     best = candidates.groupBy(*group).agg(F.min(strategy).alias(strategy))
     return candidates.join(best, [*group, strategy], "left_semi")
 
@@ -564,7 +571,10 @@ def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEF
         "note", F.lit(C.NOTES["xhr"]))
     found = json_job_search(docs.select("doc_id", "company", "body"), companies, note=F.lit(""), profile=profile)
     meta = docs.select("doc_id", "strategy", "seq", "note")
-    found = found.join(meta, "doc_id").withColumn("notes", F.col("note")).drop("note")
+    from pyspark import StorageLevel
+
+    found = found.join(meta, "doc_id").withColumn("notes", F.col("note")).drop("note") \
+        .persist(StorageLevel.MEMORY_AND_DISK)
     # within strategies 1 and 2 only the first document (by seq) that yields counts
     first_doc = found.groupBy("company", "strategy").agg(F.min("seq").alias("seq"))
     found = found.join(first_doc, ["company", "strategy", "seq"], "left_semi")

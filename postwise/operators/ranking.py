@@ -12,7 +12,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .sizing import broadcast_if_small
 
 _LOCAL_BITS = 33  # monotonically_increasing_id = partition index << 33 | row in partition
 
@@ -39,9 +38,8 @@ def global_rank(df: DataFrame, order, rank_col: str = "rank", partitions: int |
         F.sum("__n").over(Window.orderBy("__pid").rowsBetween(Window.unboundedPreceding, -1)),
     ).select("__pid", F.coalesce("__off", F.lit(0)).alias("__off"))
     local = F.col("__mid").bitwiseAND(F.lit((1 << _LOCAL_BITS) - 1))
-    ranked = staged.withColumn("__pid", pid).join(
-        broadcast_if_small(offsets, max_rows=1_000_000), "__pid"
-    )
+    # one row per partition: the size bound is the partition count itself
+    ranked = staged.withColumn("__pid", pid).join(F.broadcast(offsets), "__pid")
     return ranked.withColumn(rank_col, (F.col("__off") + local + 1).cast("bigint")).drop(
         "__mid", "__pid", "__off"
     )
