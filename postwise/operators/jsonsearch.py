@@ -14,12 +14,11 @@ repeat rows, which lose the URL dedup, so it is not generated.
 Candidate lists: non-empty arrays whose first element is an object with a
 title-like or link-like key. Their object items become rows, filtered by role
 and location rules, deduplicated by URL per document ('' counts as a URL).
-Each level is persisted, so the union of levels reads every level once.
+Each level is one explode in a single chain (computed once, no union).
 """
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,30 +52,43 @@ def _scalar_or_object(v: Column, object_keys) -> Column:
         F.coalesce(v, F.lit("")))
 
 
+def _child_fn(n: Column, d: int, prom_map: Column, free_depth: int):
+    def child(e, i):
+        pidx = F.try_element_at(prom_map, e["key"])
+        step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + i)
+        return F.struct(F.lit(d + 1).alias("depth"), F.concat(n["path"], F.array(step.cast("int"))).alias("path"),
+                        e["value"].alias("v"), _is_obj(e["value"]).alias("obj"), step.alias("step"))
+
+    return child
+
+
 def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
                   max_depth: int = C.JSON_MAX_DEPTH, free_depth: int = C.JSON_FREE_DEPTH,
                   promising=C.JSON_PROMISING_KEYS) -> DataFrame:
-    """All list-valued nodes reachable under the edge rules, with depth and DFS path."""
+    """All list-valued nodes reachable under the edge rules, with depth and DFS path.
+
+    One chain of ``explode`` steps: at level d every object row is replaced by
+    its allowed object/list children and every list row found so far is passed
+    on unchanged, so each level is computed once, inside one stage, with no
+    union of branches and nothing persisted."""
     promising = list(promising)
     prom_map = F.create_map(*[x for i, k in enumerate(promising) for x in (F.lit(k), F.lit(i))])
-    level = docs.select(doc_id, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
-                        F.col(body).alias("v"))
-    level = level.persist(StorageLevel.MEMORY_AND_DISK)
-    lists = [level.filter(_is_list(F.col("v")))]
+    node_t = "struct<depth: int, path: array<int>, v: string, obj: boolean>"
+    rows = docs.select(doc_id, F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
+                                        F.col(body).alias("v"), _is_obj(F.col(body)).alias("obj")).alias("n"))
+    rows = rows.filter(F.col("n.obj") | _is_list(F.col("n.v")))
     for d in range(max_depth):
-        kids = level.filter(_is_obj(F.col("v"))).select(
-            doc_id, "path", F.posexplode(F.from_json("v", MAP)).alias("pos", "key", "v"))
-        kids = kids.filter(_is_obj(F.col("v")) | _is_list(F.col("v")))
-        pidx = F.try_element_at(prom_map, F.col("key"))
-        step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + F.col("pos"))
-        level = kids.withColumn("__step", step).filter(F.col("__step").isNotNull()).select(
-            doc_id, F.lit(d + 1).alias("depth"), F.concat("path", F.array(F.col("__step").cast("int"))).alias("path"),
-            "v").persist(StorageLevel.MEMORY_AND_DISK)
-        lists.append(level.filter(_is_list(F.col("v"))))
-    out = lists[0]
-    for x in lists[1:]:
-        out = out.unionByName(x)
-    return out
+        n = F.col("n")
+        entries = F.coalesce(F.map_entries(F.from_json(n["v"], MAP)),
+                             F.array().cast("array<struct<key: string, value: string>>"))
+
+        kids = F.transform(entries, _child_fn(n, d, prom_map, free_depth))
+        kids = F.filter(kids, lambda c: c["step"].isNotNull() & (_is_obj(c["v"]) | _is_list(c["v"])))
+        kids = F.transform(kids, lambda c: F.struct(c["depth"], c["path"], c["v"], c["obj"]).cast(node_t))
+        nxt = F.when(n["obj"], kids).otherwise(F.array(n.cast(node_t)))
+        rows = rows.select(doc_id, F.explode(nxt).alias("n"))
+    lists = rows.filter(~F.col("n.obj"))
+    return lists.select(doc_id, F.col("n.depth").alias("depth"), F.col("n.path").alias("path"), F.col("n.v").alias("v"))
 
 
 def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, doc_id: str = "doc_id",
