@@ -185,6 +185,30 @@ URL_FORMATS = {
     "bitvavo_list": "https://jobs.bitvavo.com/find-your-role",
 }
 
+# ---------------------------------------------------------------------------
+# Text patterns (Java regex syntax; they must match what the
+# original extraction rules match)
+# ---------------------------------------------------------------------------
+SCRIPT_BLOCK_PATTERN = r"(?is)<script[^>]*>.*?</script>"
+STYLE_BLOCK_PATTERN = r"(?is)<style[^>]*>.*?</style>"
+TAG_PATTERN = r"<[^>]+>"
+MAILTO_PATTERN = r"""(?i)href=["']mailto:([^"'?#\s]+)"""
+ADDRESS_PATTERN = r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
+ISO_DATE_PATTERN = r"(\d{4}-\d{2}-\d{2})"
+NUMERIC_JOB_ID_PATTERN = r"/jobs/(\d+)"
+SLUG_CHARS_PATTERN = "[^a-z0-9]+"
+SLUG_LIST_PATTERN = r"engineering/([a-z0-9-]+)/amsterdam"
+TITLE_TAG_PATTERN = r"<title>([^<|]+)"
+LD_SCRIPT_ANY_PATTERN = r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+LD_SCRIPT_TYPED_PATTERN = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+ATTRIBUTE_JSON_PATTERNS = (
+    r"""(?s)v-bind:jobs=['"](.*?)['"](?=\s|>)""",
+    r"""(?s):jobs=['"](.*?)['"](?=\s|>)""",
+    r"""(?s)data-jobs=['"](.*?)['"](?=\s|>)""",
+)
+EMBEDDED_JOBS_PATTERN = r'"jobs":(\[.*?\])'
+STATE_PAIR_PATTERN = r'"title"\s*:\s*"([^"]+)".*?"(?:url|href|link)"\s*:\s*"(https?://[^"]+)"'
+
 
 @dataclass(frozen=True)
 class Profile:

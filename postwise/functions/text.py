@@ -54,10 +54,10 @@ def html_to_text(raw, max_len: int | None = C.DESCRIPTION_MAX, full_unescape: bo
     """drop script/style blocks, unescape once, strip tags (also encoded ones),
     collapse whitespace, trim, then cut the cleaned text at ``max_len`` characters."""
     s = F.coalesce(col(raw).cast("string"), F.lit(""))
-    s = F.regexp_replace(s, r"(?is)<script[^>]*>.*?</script>", " ")
-    s = F.regexp_replace(s, r"(?is)<style[^>]*>.*?</style>", " ")
+    s = F.regexp_replace(s, C.SCRIPT_BLOCK_PATTERN, " ")
+    s = F.regexp_replace(s, C.STYLE_BLOCK_PATTERN, " ")
     s = unescape(s, full_unescape)
-    s = F.regexp_replace(s, r"<[^>]+>", " ")
+    s = F.regexp_replace(s, C.TAG_PATTERN, " ")
     s = F.trim(F.regexp_replace(s, r"(?U)\s+", " "))
     return F.substring(s, 1, max_len) if max_len else s
 
@@ -67,8 +67,8 @@ def truncate(c, n: int) -> Column:
     return F.substring(col(c), 1, n)
 
 
-MAILTO_PATTERN = r"""(?i)href=["']mailto:([^"'?#\s]+)"""
-ADDRESS_PATTERN = r"\b([a-zA-Z0-9._%+\-]+@[a-zA-Z0-9.\-]+\.[a-zA-Z]{2,})\b"
+MAILTO_PATTERN = C.MAILTO_PATTERN
+ADDRESS_PATTERN = C.ADDRESS_PATTERN
 ROLE_ACCOUNT_PATTERN = "(?i)^(" + "|".join(C.EMAIL_ROLE_ACCOUNTS) + r")\b"
 
 

@@ -62,14 +62,14 @@ def resolve_url(url, base) -> Column:
 def canonical_url(*raw_cols, template: str = C.URL_FORMATS["icims_job"]) -> Column:
     """URL rebuilt from the numeric id in '/jobs/<n>', else the raw URL, else NULL."""
     raw = first_truthy(*raw_cols, default="")
-    job_id = F.regexp_extract(raw, r"/jobs/(\d+)", 1)
+    job_id = F.regexp_extract(raw, C.NUMERIC_JOB_ID_PATTERN, 1)
     head, tail = template.split("{id}")
     return F.when(job_id != "", F.concat(F.lit(head), job_id, F.lit(tail))).otherwise(truthy(raw))
 
 
 def slugify(title) -> Column:
     """P10: lower-case, runs of non [a-z0-9] become '-', trimmed of '-'."""
-    return F.btrim(F.regexp_replace(F.lower(F.coalesce(col(title), F.lit(""))), "[^a-z0-9]+", "-"), F.lit("-"))
+    return F.btrim(F.regexp_replace(F.lower(F.coalesce(col(title), F.lit(""))), C.SLUG_CHARS_PATTERN, "-"), F.lit("-"))
 
 
 def slug_to_title(slug) -> Column:
@@ -85,7 +85,7 @@ def fmt_date(raw, epoch_ms: bool = False) -> Column:
     Epoch milliseconds only with ``epoch_ms``.
     """
     s = F.btrim(F.coalesce(col(raw).cast("string"), F.lit("")))
-    ext = truthy(F.regexp_extract(s, r"(\d{4}-\d{2}-\d{2})", 1))
+    ext = truthy(F.regexp_extract(s, C.ISO_DATE_PATTERN, 1))
     basic_txt = F.regexp_extract(s, r"^(\d{8})(T.*)?$", 1)
     basic = F.date_format(F.try_to_date(truthy(basic_txt), "yyyyMMdd"), "yyyy-MM-dd")
     out = F.coalesce(ext, basic)

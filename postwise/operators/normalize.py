@@ -127,7 +127,7 @@ def normalize_icims(payloads: DataFrame, companies: DataFrame, profile: Profile
     loc = join_place(jd["city"], F.coalesce(jd["country"], jd["country_name"]))
     kept = d.filter(P.is_location(loc, profile) & P.is_target_role(title, profile))
     raw = first_truthy(jd["apply_url"], jd["absolute_url"], jd["url"], default="")
-    job_id = F.regexp_extract(raw, r"/jobs/(\d+)", 1)
+    job_id = F.regexp_extract(raw, C.NUMERIC_JOB_ID_PATTERN, 1)
     url = F.when(job_id != "", _fmt(C.URL_FORMATS["icims_job"], id=job_id)).otherwise(truthy(raw))
     desc = _txt(jd["description"])
     return kept.select(*posting(job_title=title, location=loc, job_url=url,
@@ -234,9 +234,9 @@ def normalize_recruitee(payloads: DataFrame, companies: DataFrame, profile: Prof
 
 # ----------------------------------------------------------------- N7 slug list in a page
 
-SLUG_PATTERN = r"engineering/([a-z0-9-]+)/amsterdam"
-TITLE_TAG = r"<title>([^<|]+)"
-LD_SCRIPT_LOOSE = r"(?s)<script[^>]+application/ld\+json[^>]*>(.*?)</script>"
+SLUG_PATTERN = C.SLUG_LIST_PATTERN
+TITLE_TAG = C.TITLE_TAG_PATTERN
+LD_SCRIPT_LOOSE = C.LD_SCRIPT_ANY_PATTERN
 
 
 def _jsonld_title(html: Column) -> Column:
@@ -273,11 +273,7 @@ def normalize_slug_page(listing: DataFrame, details: DataFrame, companies: DataF
 
 # ----------------------------------------------------------------- N8 JSON in an HTML attribute
 
-ATTR_PATTERNS = (
-    r"""(?s)v-bind:jobs=['"](.*?)['"](?=\s|>)""",
-    r"""(?s):jobs=['"](.*?)['"](?=\s|>)""",
-    r"""(?s)data-jobs=['"](.*?)['"](?=\s|>)""",
-)
+ATTR_PATTERNS = C.ATTRIBUTE_JSON_PATTERNS
 ATTR_ITEM = ("array<struct<title: string, name: string, location: string, city: string, url: string, link: string, "
              "applyUrl: string, published_at: string, created_at: string, date: string, description: string, "
              "body: string>>")
@@ -390,7 +386,7 @@ EMBEDDED = "array<struct<title: string, locationName: string, link: string, depa
 def normalize_embedded_array(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """The first ``"jobs":[...]`` up to the first ']' (non-greedy), parsed;
     nested arrays make the text invalid and the payload yields nothing."""
-    text = F.regexp_extract("body", r'"jobs":(\[.*?\])', 1)
+    text = F.regexp_extract("body", C.EMBEDDED_JOBS_PATTERN, 1)
     d = _explode(with_company(payloads, companies), F.from_json(F.nullif(text, F.lit("")), EMBEDDED))
     j = F.col("j")
     title = _txt(j["title"])
@@ -404,7 +400,7 @@ def normalize_embedded_array(payloads: DataFrame, companies: DataFrame, profile:
 
 # ----------------------------------------------------------------- N15 JSON-LD
 
-LD_SCRIPT = r"""(?is)<script[^>]+type=["']application/ld\+json["'][^>]*>(.*?)</script>"""
+LD_SCRIPT = C.LD_SCRIPT_TYPED_PATTERN
 LD_ITEM = ("struct<`@type`: string, title: string, url: string, datePosted: string, description: string, "
            "jobLocation: string>")
 LD_ADDRESS = "struct<address: struct<addressLocality: string, addressCountry: string>>"
@@ -466,7 +462,7 @@ def jsonld_postings(pages: DataFrame, companies: DataFrame, lenient: bool = Fals
 # ----------------------------------------------------------------- N16 page-state pairs
 
 NEXT_DATA = r"""(?is)<script[^>]*id=["']__NEXT_DATA__["'][^>]*>(.*?)</script>"""
-PAIR = r'"title"\s*:\s*"([^"]+)".*?"(?:url|href|link)"\s*:\s*"(https?://[^"]+)"'
+PAIR = C.STATE_PAIR_PATTERN
 
 
 def nextdata_pairs(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
@@ -605,7 +601,7 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
     short = F.col("has_id") & (F.length(F.trim("__desc0")) < C.PLACEHOLDER_DESCRIPTION_MIN)
     slug_url = F.when(short & (F.coalesce(F.col("jd_base_url"), F.lit("")) != ""),
                       F.concat("jd_base_url", F.lit("/"), F.btrim(F.regexp_replace(F.lower("job_title"),
-                                                                                   "[^a-z0-9]+", "-"), F.lit("-")),
+                                                                                   C.SLUG_CHARS_PATTERN, "-"), F.lit("-")),
                                F.lit("/")))
     d = d.withColumn("__slug_url", slug_url).join(
         pg.withColumnRenamed("__u", "__slug_url").withColumnRenamed("__h", "__slug_html"), "__slug_url", "left")

@@ -98,7 +98,14 @@ def main(argv):
     from postwise.plans.catalog import load_all
 
     reg = load_all()
-    spark = get_session("local[8]")
+    if os.environ.get("PLAIN_SESSION"):
+        # the session the driver describes: nothing but master and shuffle partitions
+        from pyspark.sql import SparkSession
+
+        spark = (SparkSession.builder.master("local[*]").config("spark.sql.shuffle.partitions", "8")
+                 .getOrCreate())
+    else:
+        spark = get_session("local[8]")
     con = duck(sf_dir)
     bad = 0
     for name, q in reg.items():
