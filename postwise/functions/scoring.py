@@ -23,11 +23,8 @@ def rule_score(job_title="job_title", notes="notes", company="company", descript
     requirement, clamped to 0..99."""
     title = F.lower(F.concat_ws(" ", _text(job_title), _text(notes), _text(company)))
     text = F.concat(title, F.lit(" "), F.lower(_text(description)))
-    role_pts = F.greatest(F.lit(0), *[F.when(title.contains(r), F.lit(p)).otherwise(F.lit(0))
-                                      for r, p in profile.role_weights])
-    skills = list(dict.fromkeys(profile.skills))
-    skill_hits = sum((F.when(text.contains(s), F.lit(1)).otherwise(F.lit(0)) for s in skills), F.lit(0))
-    skill_pts = F.least(skill_hits * C.SKILL_POINTS, F.lit(C.SKILL_CAP))
+    role_pts = role_points(title, profile)
+    skill_pts = skill_points(text, profile)
     senior = title.contains("staff ") | title.contains(" staff") | title.contains("principal")
     score = (
         role_pts
@@ -40,6 +37,19 @@ def rule_score(job_title="job_title", notes="notes", company="company", descript
     return F.least(F.greatest(score, F.lit(C.SCORE_MIN)), F.lit(C.SCORE_MAX)).cast("int")
 
 
+def role_points(title_text: Column, profile: Profile = DEFAULT_PROFILE) -> Column:
+    """The largest weight among the role phrases the text contains (0 if none)."""
+    return F.greatest(F.lit(0), *[F.when(title_text.contains(r), F.lit(p)).otherwise(F.lit(0))
+                                  for r, p in profile.role_weights])
+
+
+def skill_points(text: Column, profile: Profile = DEFAULT_PROFILE) -> Column:
+    """3 points per distinct skill term in the text, at most 70."""
+    skills = list(dict.fromkeys(profile.skills))
+    hits = sum((F.when(text.contains(s), F.lit(1)).otherwise(F.lit(0)) for s in skills), F.lit(0))
+    return F.least(hits * C.SKILL_POINTS, F.lit(C.SKILL_CAP))
+
+
 def score_band(score) -> Column:
     """colour band of a score."""
     out = None

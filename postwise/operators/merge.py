@@ -200,6 +200,12 @@ def sponsor_update(sponsors: DataFrame, companies: DataFrame, company_order: str
 
 # ---------------------------------------------------------------- J7
 
+def cache_age_hours(cache: DataFrame, as_of, ts: str = "cached_at") -> DataFrame:
+    """age of each cache entry in hours at ``as_of`` (negative for entries after it)."""
+    secs = F.unix_micros(_as_of(as_of)) - F.unix_micros(F.col(ts).cast("timestamp"))
+    return cache.withColumn("age_hours", secs / F.lit(3_600_000_000.0))
+
+
 def fresh_cache(cache: DataFrame, as_of, ttl_hours: int = C.CACHE_TTL_HOURS, ts: str = "cached_at") -> DataFrame:
     """Cache entries younger than the TTL (strict)."""
     return cache.filter(F.col(ts) > _as_of(as_of) - F.make_interval(hours=F.lit(ttl_hours)))

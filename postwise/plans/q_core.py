@@ -395,3 +395,17 @@ def match_funnel(spark, sf):
         F.count(F.lit(1)).alias("raw_postings"),
         F.count_if(P.is_location(F.col("location")) & P.is_target_role(F.col("job_title"))).alias("matched"),
     )
+
+
+@query("score_components", fixtures=["fx_posting"], oracle=f"""
+SELECT seq,
+  greatest(0, {', '.join(f"CASE WHEN contains(lower(concat_ws(' ', coalesce(job_title, ''), '', coalesce(company, ''))), {Q.lit(r)}) THEN {p} ELSE 0 END" for r, p in C.ROLE_WEIGHTS)}) AS role_points,
+  least(3 * ({' + '.join(f"CASE WHEN contains(lower(concat_ws(' ', coalesce(job_title, ''), '', coalesce(company, ''))) || ' ' || lower(coalesce(description, '')), {Q.lit(k)}) THEN 1 ELSE 0 END" for k in dict.fromkeys(C.SKILL_TERMS))}), 70) AS skill_points
+FROM fx_posting""")
+def score_components(spark, sf):
+    """A8 + A9: the rule score's role points (max matching weight) and skill
+    points (3 per distinct skill, at most 70)."""
+    p = fixture(spark, sf, "fx_posting")
+    title = F.lower(F.concat_ws(" ", F.coalesce("job_title", F.lit("")), F.lit(""), F.coalesce("company", F.lit(""))))
+    text = F.concat(title, F.lit(" "), F.lower(F.coalesce("description", F.lit(""))))
+    return p.select("seq", S.role_points(title).alias("role_points"), S.skill_points(text).alias("skill_points"))

@@ -431,3 +431,17 @@ def description_fetch(spark, sf):
     return out.select("seq", F.coalesce("body", "__f").alias("description"),
                       F.when(F.col("body").isNotNull(), F.lit("cache")).when(F.col("__f").isNotNull(), F.lit("fetch"))
                       .alias("source"))
+
+
+@query("cache_age_hours", fixtures=["fx_company", "fx_cache"], oracle=f"""
+SELECT c.ind_name, CAST(floor(epoch(TIMESTAMP '{AS_OF_SEEN}' - k.cached_at)) AS BIGINT) AS age_seconds,
+  epoch(TIMESTAMP '{AS_OF_SEEN}' - k.cached_at) / 3600.0 < 24 AS fresh
+FROM fx_company c JOIN fx_cache k ON k.ind_name = c.ind_name""")
+def cache_age_hours(spark, sf):
+    """F10 + F11: age of every cache entry at as_of (whole seconds), and the 24-hour freshness test."""
+    co, cache = fixtures(spark, sf, "fx_company", "fx_cache")
+    age = J.cache_age_hours(cache, AS_OF_SEEN)
+    return co.select("ind_name").join(age, "ind_name").select(
+        "ind_name", F.floor((F.unix_micros(J._as_of(AS_OF_SEEN)) - F.unix_micros(F.col("cached_at").cast("timestamp")))
+                            / F.lit(1_000_000)).cast("bigint").alias("age_seconds"),
+        (F.col("age_hours") < C.CACHE_TTL_HOURS).alias("fresh"))

@@ -215,11 +215,9 @@ def _build_icims_pages(spark, sf):
               F.col("description").alias("description")]
     inner = F.struct(*fields)
     wrapped = seq_mod(2) == 0
-    item = F.struct(F.when(wrapped, inner).alias("data"),
-                    *[F.when(~wrapped, f) .alias(f._jc.toString().split(" AS ")[-1].strip("`")) if False else
-                      F.when(~wrapped, inner[n]).alias(n) for f, n in zip(fields, [
-                          "req_id", "id", "slug", "title", "city", "country", "country_name", "apply_url",
-                          "absolute_url", "url", "posted_date", "date_posted", "description"])])
+    names = ["req_id", "id", "slug", "title", "city", "country", "country_name", "apply_url", "absolute_url",
+             "url", "posted_date", "date_posted", "description"]
+    item = F.struct(F.when(wrapped, inner).alias("data"), *[F.when(~wrapped, inner[n]).alias(n) for n in names])
     return pages_json(spark, sf, item, lambda arr: F.to_json(F.struct(arr.alias("jobs"))), source_type="icims")
 
 
@@ -657,9 +655,6 @@ def jsonld_postings_lenient(spark, sf):
 
 # ------------------------------------------------------------------ N17 anchors
 
-_HREF = (F.when(seq_mod(4) == 0, F.concat(F.lit("/jobs/"), F.col("seq").cast("string")))
-         .when(seq_mod(4) == 1, F.concat(F.lit("/about/"), F.col("seq").cast("string"))) if False else None)
-
 
 def _anchor():
     s = F.col("seq").cast("string")
