@@ -1,8 +1,10 @@
 """Size-checked broadcast.
 
-A side is broadcast only after a bounded count proves it small (``limit(n+1)``
-stops reading as soon as the bound is passed). Above the bound the plain join is
-kept, and Spark/AQE pick a shuffle join from runtime sizes.
+A side is broadcast only after a bounded count proves it small. The count runs
+only on inputs with few partitions (known from planning, no job): a large input
+is never counted and never hinted — AQE then measures the real size at runtime
+and converts to a broadcast join only below its threshold, else keeps the
+shuffle join.
 """
 
 from __future__ import annotations
@@ -11,13 +13,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 DEFAULT_MAX_ROWS = 200_000
+MAX_COUNTED_PARTITIONS = 64
+
+
+def _partitions(df: DataFrame) -> int | None:
+    try:
+        return df.rdd.getNumPartitions()  # planning only
+    except Exception:
+        return None
 
 
 def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
     return df.limit(max_rows + 1).count() <= max_rows
 
 
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS) -> DataFrame:
+def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
+                       max_partitions: int = MAX_COUNTED_PARTITIONS) -> DataFrame:
+    n = _partitions(df)
+    if n is None or n > max_partitions:
+        return df  # large (or unknown): AQE decides from runtime sizes
     return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
