@@ -49,6 +49,6 @@ def query(name: str, oracle: str | None = None, fixtures=(), rows_only: str | No
 
 def load_all() -> dict[str, Query]:
     # importing the modules fills the registry
-    from . import q_core, q_merge, q_sources, q_normalize, q_stream  # noqa: F401
+    from . import q_core, q_flows, q_merge, q_normalize, q_sources, q_stream  # noqa: F401
 
     return REGISTRY
