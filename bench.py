@@ -45,6 +45,7 @@ HEADLINE = [
     "cache_hits_ranged",     # J7 / T2 batch twin (bucketed range join)
     "paged_payload_prefix",  # S9 over lineitem
     "kv_upsert",             # K2 (write + read)
+    "portal_ingest_counts",  # end to end: G1, J5, A1, A3
 ]
 
 
