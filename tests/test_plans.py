@@ -41,3 +41,26 @@ def test_filter_pushed_to_scan(spark):
     text = df._jdf.queryExecution().executedPlan().toString()
     assert "PushedFilters: [IsNotNull(event_type), EqualTo(event_type,view)]" in text
     assert "ReadSchema: struct<event_id:bigint,event_type:string>" in text
+
+
+def test_small_dimension_is_broadcast(spark):
+    """The employer dimension is hinted as a broadcast (after its bounded
+    count); the payload side is never broadcast."""
+    from postwise.operators import normalize as N
+    from postwise.plans import q_normalize as QN
+
+    pages = QN.greenhouse_pages(spark, SMALL)
+    joined = N.with_company(pages, QN.dims(spark, SMALL))
+    logical = joined._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" in logical.replace(" ", "").lower() or "broadcast" in logical.lower()
+    text = joined._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in text or "BroadcastExchange" in text
+
+
+def test_large_input_not_counted_or_hinted(spark):
+    """A side with many partitions is neither counted nor hinted."""
+    from postwise.operators.sizing import broadcast_if_small
+
+    big = spark.range(0, 1000, numPartitions=100)
+    out = broadcast_if_small(big)
+    assert "broadcast" not in out._jdf.queryExecution().logical().toString().lower()
