@@ -896,3 +896,16 @@ def description_ladder(spark, sf):
     pages = fixture(spark, sf, "fx_slug_page").unionByName(fixture(spark, sf, "fx_job_page").select("url", "html"))
     out = N.description_ladder(gh, pages)
     return out.select("company", "job_title", "job_url", "description", "recruiter_email")
+
+
+@query("coverage_summary", fixtures=_FX, oracle=_BASE_SQL + _ld_cte() + f"""
+, strict AS ({_LD_STRICT})
+SELECT count(*) AS total, count(*) FILTER (WHERE coalesce(date_posted, '') <> '') AS dated,
+  count(*) FILTER (WHERE coalesce(recruiter_email, '') <> '') AS emailed
+FROM strict""")
+def coverage_summary(spark, sf):
+    """A2: postings with a date and with a recruiter e-mail, over all postings of a run."""
+    rows = N.jsonld_postings(ld_pages(spark, sf), dims(spark, sf))
+    return rows.agg(F.count(F.lit(1)).alias("total"),
+                    F.count_if(V.truthy("date_posted").isNotNull()).alias("dated"),
+                    F.count_if(V.truthy("recruiter_email").isNotNull()).alias("emailed"))
