@@ -58,13 +58,22 @@ def prepare(spark: SparkSession) -> SparkSession:
 def storage_root(spark: SparkSession) -> str:
     """The shared folder for written tables and checkpoints.
 
-    Read from ``spark.checkpoint.dir``; only when unset (local runs, tests) a
-    folder is created and registered, so ``DataFrame.checkpoint()`` works too.
+    Read from ``spark.checkpoint.dir``; only when unset on a local master
+    (local runs, tests) a folder is created and registered, so
+    ``DataFrame.checkpoint()`` works too. On a cluster the setting is required.
     """
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         root = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not root:
+        master = ""
+        try:
+            master = spark.sparkContext.master or ""
+        except Exception:
+            pass
+        if master and not master.startswith("local"):
+            # a machine-local folder is not shared by the executors of a cluster
+            raise RuntimeError("set spark.checkpoint.dir to a folder shared by the cluster (HDFS/S3/ABFS/...)")
         root = tempfile.mkdtemp(prefix="postwise-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     try:
