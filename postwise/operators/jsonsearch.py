@@ -14,7 +14,7 @@ repeat rows, which lose the URL dedup, so it is not generated.
 Candidate lists: non-empty arrays whose first element is an object with a
 title-like or link-like key. Their object items become rows, filtered by role
 and location rules, deduplicated by URL per document ('' counts as a URL).
-Each level is one explode in a single chain (computed once, no union).
+Each level is one posexplode in a single chain (computed once, no union).
 """
 
 from __future__ import annotations
@@ -52,43 +52,39 @@ def _scalar_or_object(v: Column, object_keys) -> Column:
         F.coalesce(v, F.lit("")))
 
 
-def _child_fn(n: Column, d: int, prom_map: Column, free_depth: int):
-    def child(e, i):
-        pidx = F.try_element_at(prom_map, e["key"])
-        step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + i)
-        return F.struct(F.lit(d + 1).alias("depth"), F.concat(n["path"], F.array(step.cast("int"))).alias("path"),
-                        e["value"].alias("v"), _is_obj(e["value"]).alias("obj"), step.alias("step"))
-
-    return child
+_SELF = "\u0000self"
 
 
 def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
                   max_depth: int = C.JSON_MAX_DEPTH, free_depth: int = C.JSON_FREE_DEPTH,
-                  promising=C.JSON_PROMISING_KEYS) -> DataFrame:
+                  promising=C.JSON_PROMISING_KEYS, carry=()) -> DataFrame:
     """All list-valued nodes reachable under the edge rules, with depth and DFS path.
 
-    One chain of ``explode`` steps: at level d every object row is replaced by
-    its allowed object/list children and every list row found so far is passed
-    on unchanged, so each level is computed once, inside one stage, with no
-    union of branches and nothing persisted."""
+    One chain of ``posexplode`` steps: at level d an object row is replaced by
+    its allowed object/list children (the entries of its parsed map) and a list
+    row found earlier passes through as a single self-entry, so each level is
+    computed once, inside one stage (generator + plain column expressions, all
+    in whole-stage codegen), with no union of branches and nothing persisted."""
     promising = list(promising)
     prom_map = F.create_map(*[x for i, k in enumerate(promising) for x in (F.lit(k), F.lit(i))])
-    node_t = "struct<depth: int, path: array<int>, v: string, obj: boolean>"
-    rows = docs.select(doc_id, F.struct(F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
-                                        F.col(body).alias("v"), _is_obj(F.col(body)).alias("obj")).alias("n"))
-    rows = rows.filter(F.col("n.obj") | _is_list(F.col("n.v")))
+    keep_cols = [doc_id, *carry]
+    rows = docs.select(*keep_cols, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
+                       F.col(body).alias("v"), _is_obj(F.col(body)).alias("obj"))
+    rows = rows.filter(F.col("obj") | _is_list(F.col("v")))
     for d in range(max_depth):
-        n = F.col("n")
-        entries = F.coalesce(F.map_entries(F.from_json(n["v"], MAP)),
-                             F.array().cast("array<struct<key: string, value: string>>"))
-
-        kids = F.transform(entries, _child_fn(n, d, prom_map, free_depth))
-        kids = F.filter(kids, lambda c: c["step"].isNotNull() & (_is_obj(c["v"]) | _is_list(c["v"])))
-        kids = F.transform(kids, lambda c: F.struct(c["depth"], c["path"], c["v"], c["obj"]).cast(node_t))
-        nxt = F.when(n["obj"], kids).otherwise(F.array(n.cast(node_t)))
-        rows = rows.select(doc_id, F.explode(nxt).alias("n"))
-    lists = rows.filter(~F.col("n.obj"))
-    return lists.select(doc_id, F.col("n.depth").alias("depth"), F.col("n.path").alias("path"), F.col("n.v").alias("v"))
+        entries = F.when(F.col("obj"), F.from_json("v", MAP)).otherwise(F.create_map(F.lit(_SELF), F.col("v")))
+        ex = rows.select(*keep_cols, "depth", "path", F.posexplode(entries).alias("pos", "key", "val"))
+        is_self = F.col("key") == _SELF
+        pidx = F.try_element_at(prom_map, F.col("key"))
+        step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + F.col("pos"))
+        keep = is_self | (step.isNotNull() & (_is_obj(F.col("val")) | _is_list(F.col("val"))))
+        rows = ex.filter(keep).select(
+            *keep_cols,
+            F.when(is_self, F.col("depth")).otherwise(F.lit(d + 1)).alias("depth"),
+            F.when(is_self, F.col("path")).otherwise(F.concat("path", F.array(step.cast("int")))).alias("path"),
+            F.col("val").alias("v"),
+            (~is_self & _is_obj(F.col("val"))).alias("obj"))
+    return rows.filter(~F.col("obj")).select(*keep_cols, "depth", "path", "v")
 
 
 def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, doc_id: str = "doc_id",
@@ -97,16 +93,17 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
     from .sizing import broadcast_if_small
 
     dims = broadcast_if_small(companies.select(F.col("ind_name").alias("company"), "careers_url"))
-    owners = docs.select(doc_id, "company").join(dims, "company")
-    lists = search_levels(docs.select(doc_id, body), doc_id, body)
-    items = lists.select(doc_id, "depth", "path", F.from_json("v", "array<string>").alias("items"))
+    # the employer travels with every node, so found items need no join back to their document
+    lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, carry=["company"])
+    items = lists.select(doc_id, "company", "depth", "path", F.from_json("v", "array<string>").alias("items"))
     first = F.from_json(F.try_element_at("items", F.lit(1)), MAP)
     first_keys = F.coalesce(F.map_keys(first), F.array().cast("array<string>"))
     looks = F.exists(first_keys, lambda k: k.isin(*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS))
     cands = items.filter(F.coalesce(F.size("items") > 0, F.lit(False)) & _is_obj(F.try_element_at("items", F.lit(1))) & looks)
-    rows = cands.select(doc_id, "path", F.posexplode("items").alias("ipos", "item")).filter(_is_obj(F.col("item")))
+    rows = cands.select(doc_id, "company", "path", F.posexplode("items").alias("ipos", "item")).filter(
+        _is_obj(F.col("item")))
     # parse each item once; every key probe below reads the parsed map column
-    rows = rows.join(owners, doc_id).withColumn("m", F.from_json("item", MAP))
+    rows = rows.join(dims, "company").withColumn("m", F.from_json("item", MAP))
     m = F.col("m")
     title_raw = _get(m, C.JSON_TITLE_KEYS)
     loc_raw = _get(m, C.JSON_LOCATION_KEYS)
