@@ -6,7 +6,6 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from .. import config as C
-from ..operators import merge as J
 from ..session import scratch_path
 from ..sources.fixtures import fixtures
 from ..streaming import common as SC
@@ -16,7 +15,6 @@ from ..streaming import retention as SR
 from ..streaming import ttl_cache as ST
 from . import sqlgen as Q
 from .catalog import query
-from .q_merge import AS_OF_SEEN
 
 ROUNDS = 4
 POSTING_COLS = ["seq", "job_url", "company", "job_title", "location", "description", "visa_support",

@@ -9,7 +9,6 @@ the watermark has passed them.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
 from ..functions.values import truthy
 
