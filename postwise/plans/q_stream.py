@@ -151,3 +151,31 @@ def stream_dedup(spark, sf):
         SC.run_available(SD.dedup_stream(s).writeStream.format("parquet").option("path", out)
                          .outputMode("append"), ckpt)
     return spark.read.parquet(out).select("job_url")
+
+
+@query("stream_first_sight", fixtures=["fx_posting", "fx_seen", "fx_score"], oracle=f"""
+, sc AS (SELECT job_url, CAST(max(score) AS INTEGER) AS score FROM fx_score WHERE coalesce(job_url, '') <> '' GROUP BY job_url),
+nw AS (SELECT p.*, p.seq % {ROUNDS} AS b FROM fx_posting p WHERE coalesce(job_url, '') <> ''
+  AND NOT EXISTS (SELECT 1 FROM fx_seen s WHERE s.job_url = p.job_url)),
+mb AS (SELECT job_url, min(b) AS mb FROM nw GROUP BY job_url)
+SELECT nw.seq, nw.job_url, CASE WHEN sc.score IS NOT NULL THEN sc.score ELSE {Q.rule_score(notes='NULL')} END AS score
+FROM nw JOIN mb ON mb.job_url = nw.job_url AND mb.mb = nw.b LEFT JOIN sc ON sc.job_url = nw.job_url""")
+def stream_first_sight(spark, sf):
+    """T1 with keyed state: the seen set lives in the RocksDB state store (seeded
+    from the seen table once), so each batch touches only its own keys; four
+    rounds of postings, then the passing rows scored (cache first)."""
+    from ..operators import scoring_ops as SO
+    from ..streaming.first_sight import STATE_STORE, first_sight
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    p, seen, scores = fixtures(spark, sf, "fx_posting", "fx_seen", "fx_score")
+    p = p.select(*POSTING_COLS)
+    root = scratch_path(spark, "first-sight")
+    src, out, ckpt = f"{root}/source", f"{root}/out", f"{root}/checkpoint"
+    for part in _rounds(p, ROUNDS):
+        SC.land(part, src)
+        s = SC.stream_files(spark, src, p.schema)
+        SC.run_available(first_sight(s, seen, "2024-02-01 00:00:00").writeStream.format("parquet")
+                         .option("path", out).outputMode("append"), ckpt)
+    passed = spark.read.parquet(out)
+    return SO.score_with_cache(passed, scores, notes=F.lit(None).cast("string")).select("seq", "job_url", "score")
