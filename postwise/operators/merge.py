@@ -26,6 +26,15 @@ def with_key(df: DataFrame, name: str = KEY) -> DataFrame:
     return df.withColumn(name, posting_key(df.columns))
 
 
+def salt_empty_key(df: DataFrame, name: str = KEY, buckets: int = 4096) -> DataFrame:
+    """Rows without a key (often the hottest key of all) can never match a store
+    entry — stores hold non-empty keys only — yet would all hash to one shuffle
+    partition. They get a salted key that spreads them over ``buckets`` and still
+    matches nothing, so the join result is unchanged."""
+    salt = F.concat(F.lit("\u0000"), (F.monotonically_increasing_id() % buckets).cast("string"))
+    return df.withColumn(name, F.when(F.col(name) == "", salt).otherwise(F.col(name)))
+
+
 def _as_of(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of
@@ -100,7 +109,7 @@ def attach_scores(postings: DataFrame, scores: DataFrame, out: str = "ai_score",
                   max_broadcast_rows: int = 200_000) -> DataFrame:
     """Attach the cached score where the key has one."""
     table = broadcast_if_small(score_table(scores), max_broadcast_rows)
-    keyed = with_key(postings)
+    keyed = salt_empty_key(with_key(postings))
     joined = keyed.join(table, KEY, "left")
     if out in postings.columns:
         joined = joined.withColumn(out, F.coalesce(F.col("__score").cast("int"), F.col(out)))
@@ -111,7 +120,7 @@ def attach_scores(postings: DataFrame, scores: DataFrame, out: str = "ai_score",
 
 def backfill_first_seen(postings: DataFrame, seen: DataFrame, as_of) -> DataFrame:
     """J4 (export): first_seen = existing, else seen date, else date_posted[:10], else as_of."""
-    keyed = with_key(postings).join(seen_first_dates(seen), KEY, "left")
+    keyed = salt_empty_key(with_key(postings)).join(seen_first_dates(seen), KEY, "left")
     fs = F.col("first_seen") if "first_seen" in postings.columns else F.lit(None).cast("string")
     dp = F.col("date_posted") if "date_posted" in postings.columns else F.lit(None).cast("string")
     return keyed.withColumn(
@@ -162,7 +171,7 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
                .persist(StorageLevel.MEMORY_AND_DISK))
     stamp = per_key.filter(F.col("__in_new")).select(
         KEY, first_truthy(F.col("__p.first_seen"), "__seen_date", default=today).alias("__stamp"))
-    stamped = (keyed_new.join(stamp, KEY, "left")
+    stamped = (salt_empty_key(keyed_new).join(stamp, KEY, "left")
                .withColumn("first_seen", F.coalesce("__stamp", today))
                .withColumn("last_seen", today)
                .withColumn("stale", F.lit(None).cast("boolean"))
@@ -255,8 +264,8 @@ def description_cache_lookup(postings: DataFrame, cache: DataFrame, fresh: Colum
     extracted text. Adds ``from_cache``."""
     table = cache.filter(truthy("key").isNotNull()).groupBy(F.col("key").alias(KEY)).agg(
         F.max("body").alias("__cached"))
-    keyed = with_key(postings).join(table, KEY, "left")
-    return (keyed.withColumn("from_cache", F.col("__cached").isNotNull() & (F.col(KEY) != ""))
+    keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
+    return (keyed.withColumn("from_cache", F.col("__cached").isNotNull())
             .withColumn("description", F.when(F.col("from_cache"), F.col("__cached")).otherwise(fresh))
             .drop(KEY, "__cached"))
 

@@ -16,7 +16,7 @@ from pyspark.sql.types import IntegerType, StructField, StructType
 from .. import config as C
 from ..functions.scoring import clamp_score, rule_score
 from ..functions.text import truncate
-from .merge import KEY, score_table, with_key
+from .merge import KEY, salt_empty_key, score_table, with_key
 from .sizing import broadcast_if_small
 
 
@@ -25,10 +25,10 @@ def score_with_cache(postings: DataFrame, scores: DataFrame, scorer: Callable[[D
     """cached score when the key has one, else the rule score (or ``scorer``).
     Adds ``score`` and ``from_cache``."""
     table = broadcast_if_small(score_table(scores))
-    keyed = with_key(postings).join(table, KEY, "left")
+    keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
     fresh = rule_score(notes=notes if notes is not None else
                        (F.col("notes") if "notes" in postings.columns else F.lit(None).cast("string")))
-    hit = F.col("__score").isNotNull() & (F.col(KEY) != "")
+    hit = F.col("__score").isNotNull()
     return (keyed.withColumn("from_cache", hit)
             .withColumn("score", F.when(hit, F.col("__score").cast("int")).otherwise(fresh))
             .drop("__score", KEY))
@@ -69,8 +69,8 @@ def score_with(postings: DataFrame, scores: DataFrame, scorer: Callable[[pd.Data
     ``mapInPandas`` on cache misses only; NULL or a failing batch falls back to
     the rule score. Adds ``score`` and ``from_cache``."""
     table = broadcast_if_small(score_table(scores))
-    keyed = with_key(postings).join(table, KEY, "left")
-    hit = F.col("__score").isNotNull() & (F.col(KEY) != "")
+    keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
+    hit = F.col("__score").isNotNull()
     hits = keyed.filter(hit).withColumn("score", F.col("__score").cast("int"))
     misses = keyed.filter(~hit)
     schema = StructType(misses.schema.fields + [StructField("__plugin", IntegerType())])

@@ -31,13 +31,27 @@ def ttl_hits(lookups: DataFrame, stores: DataFrame, key: str, ts: str = "ts",
 
 def ttl_hits_batch(lookups: DataFrame, stores: DataFrame, key: str, ts: str = "ts",
                    ttl_hours: int = C.CACHE_TTL_HOURS) -> DataFrame:
-    """Batch twin without watermarks: the range join runs as an equi-join on
-    (key, day) buckets — a store can only answer lookups of its own day or the
-    next — followed by the exact time test."""
-    day = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 86400)
-    g = lookups.withColumn("__day", day)
-    s = stores.select(F.col(key).alias("__k"), F.col(ts).alias("__put_ts"),
-                      F.explode(F.array(day, day + 1)).alias("__day"))
-    cond = ((g[key] == s["__k"]) & (g["__day"] == s["__day"]) & (s["__put_ts"] <= g[ts])
-            & (s["__put_ts"] > g[ts] - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")))
-    return g.join(s, cond, "left_semi").drop("__day")
+    """Batch twin without watermarks, as equi-joins on (key, day) buckets.
+
+    With a TTL of at most one day, a lookup at t can only be answered by a store
+    of its own day or of the previous day. Of the stores of one (key, day) only
+    two matter: the earliest (a same-day lookup hits iff it is at or before t)
+    and the latest (a next-day lookup hits iff it is after t - ttl). So the store
+    side is reduced to one row per (key, day) by a map-side-combined aggregate
+    before any join — a key with millions of stores cannot skew it — and each
+    lookup is two many-to-one left joins."""
+    if ttl_hours > 24:
+        raise ValueError("day buckets assume a TTL of at most 24 hours")
+    day = F.floor(F.unix_seconds(F.col(ts).cast("timestamp")) / 86400).cast("long")
+    per_day = (stores.select(F.col(key).alias("__k"), day.alias("__day"), F.col(ts).cast("timestamp").alias("__t"))
+               .groupBy("__k", "__day").agg(F.min("__t").alias("__first"), F.max("__t").alias("__last")))
+    g = lookups.withColumn("__day", day).withColumn("__prev", F.col("__day") - 1)
+    same = per_day.select(F.col("__k").alias("__k1"), F.col("__day").alias("__d1"), "__first")
+    prev = per_day.select(F.col("__k").alias("__k2"), F.col("__day").alias("__d2"), "__last")
+    j = (g.join(same, (g[key] == same["__k1"]) & (g["__day"] == same["__d1"]), "left")
+         .join(prev, (g[key] == prev["__k2"]) & (g["__prev"] == prev["__d2"]), "left"))
+    t = F.col(ts).cast("timestamp")
+    window_start = t - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")
+    hit = (F.coalesce(F.col("__first") <= t, F.lit(False))
+           | F.coalesce((F.col("__last") > window_start) & (F.col("__last") <= t), F.lit(False)))
+    return j.filter(hit).select(*lookups.columns)
