@@ -35,6 +35,13 @@ def salt_empty_key(df: DataFrame, name: str = KEY, buckets: int = 4096) -> DataF
     return df.withColumn(name, F.when(F.col(name) == "", salt).otherwise(F.col(name)))
 
 
+def salt_missing(c: Column, buckets: int = 4096) -> Column:
+    """A lookup value for a join column: NULL or '' (no lookup wanted) becomes a
+    salted value that spreads over ``buckets`` partitions and matches nothing."""
+    salt = F.concat(F.lit("\u0000"), (F.monotonically_increasing_id() % buckets).cast("string"))
+    return F.when(F.coalesce(c, F.lit("")) == "", salt).otherwise(c)
+
+
 def _as_of(as_of) -> Column:
     if isinstance(as_of, Column):
         return as_of
@@ -287,7 +294,7 @@ def payload_company_join(payloads: DataFrame, companies: DataFrame, name: str =
 def posting_page_join(postings: DataFrame, pages: DataFrame, url: Column, page_url: str = "url") -> DataFrame:
     """Posting ⋈ page on a URL derived from the posting (left outer)."""
     p = pages.select(F.col(page_url).alias("__page_url"), F.col("html").alias("page_html"))
-    return postings.withColumn("__page_url", url).join(p, "__page_url", "left").drop("__page_url")
+    return postings.withColumn("__page_url", salt_missing(url)).join(p, "__page_url", "left").drop("__page_url")
 
 
 # ---------------------------------------------------------------- U1 / U2

@@ -259,7 +259,9 @@ def normalize_slug_page(listing: DataFrame, details: DataFrame, companies: DataF
     s = d.select("company", "careers_url", "page", F.posexplode(slugs).alias("pos", "slug"))
     head, tail = C.URL_FORMATS["picnic_job"].split("{slug}")
     s = s.withColumn("job_url", F.concat(F.lit(head), "slug", F.lit(tail)))
-    det = details.select(F.col("url").alias("job_url"), F.col("html").alias("__detail"))
+    from .sizing import broadcast_if_small
+
+    det = broadcast_if_small(details.select(F.col("url").alias("job_url"), F.col("html").alias("__detail")))
     s = s.join(det, "job_url", "left")
     title = slug_to_title(F.col("slug"))
     tag = F.trim(F.regexp_extract(F.coalesce("__detail", F.lit("")), TITLE_TAG, 1))
@@ -603,7 +605,9 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
                       F.concat("jd_base_url", F.lit("/"), F.btrim(F.regexp_replace(F.lower("job_title"),
                                                                                    C.SLUG_CHARS_PATTERN, "-"), F.lit("-")),
                                F.lit("/")))
-    d = d.withColumn("__slug_url", slug_url).join(
+    from .merge import salt_missing
+
+    d = d.withColumn("__slug_url", salt_missing(slug_url)).join(
         pg.withColumnRenamed("__u", "__slug_url").withColumnRenamed("__h", "__slug_html"), "__slug_url", "left")
     slug_text = html_to_text(F.col("__slug_html"), C.PAGE_TEXT_MAX)
     slug_ok = F.col("__slug_html").isNotNull() & (F.length(slug_text) > C.PLACEHOLDER_DESCRIPTION_MIN)
@@ -613,8 +617,8 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
     need_page = F.col("has_id") & (
         (short & (F.length(F.trim("__desc1")) < C.PLACEHOLDER_DESCRIPTION_MIN))
         | (~short & F.col("recruiter_email").isNull()))
-    d = d.withColumn("__page_url", F.when(need_page & (F.coalesce(F.col("job_url"), F.lit("")) != ""),
-                                          F.col("job_url")))
+    d = d.withColumn("__page_url", salt_missing(F.when(need_page & (F.coalesce(F.col("job_url"), F.lit("")) != ""),
+                                                       F.col("job_url"))))
     d = d.join(pg.withColumnRenamed("__u", "__page_url").withColumnRenamed("__h", "__page_html"), "__page_url", "left")
     page_text = html_to_text(F.col("__page_html"), C.PAGE_TEXT_MAX)
     has_page = F.col("__page_html").isNotNull()
