@@ -57,7 +57,9 @@ def stream_ttl_cache(spark, sf):
     """Purchases store a per-user entry, views look it up; hits within 24 hours.
     Run as a stream-stream semi join over weekly rounds of events."""
     from ..sources.fixtures import table
+    from ..streaming.first_sight import STATE_STORE
 
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)  # join state off-heap, spillable
     ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
     root = scratch_path(spark, "ttl")
     src, out, ckpt = f"{root}/source", f"{root}/hits", f"{root}/checkpoint"
@@ -140,7 +142,10 @@ def stream_retention(spark, sf):
 @query("stream_dedup", fixtures=["fx_posting"], oracle="""
 SELECT DISTINCT job_url FROM fx_posting WHERE coalesce(job_url, '') <> ''""")
 def stream_dedup(spark, sf):
-    """T5: distinct posting URLs over four rounds (state kept across batches)."""
+    """T5: distinct posting URLs over four rounds (state kept across batches, in RocksDB)."""
+    from ..streaming.first_sight import STATE_STORE
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
     (p,) = fixtures(spark, sf, "fx_posting")
     p = p.select(*POSTING_COLS)
     root = scratch_path(spark, "dedup")
