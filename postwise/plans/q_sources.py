@@ -16,6 +16,8 @@ from ..sources import payloads as PL
 from ..sources import snapshots as SN
 from ..sources.fixtures import fixture, fixtures, table
 from . import sqlgen as Q
+from .q_core import _html_to_text_sql
+from ..functions import text as T
 from .catalog import query
 from .q_core import null_str
 from .q_merge import AS_OF_SEEN
@@ -188,10 +190,25 @@ def paged_payload_prefix(spark, sf):
 @query("snapshot_write_roundtrip", fixtures=["fx_posting"], oracle=f"""
 SELECT seq, job_url, company, job_title, {Q.fmt_date('date_raw')} AS date_posted FROM fx_posting""")
 def snapshot_write_roundtrip(spark, sf):
-    """K1: a snapshot version written to a new folder and read back."""
+    """K1: two snapshot versions written to new folders; the latest is read back."""
     snap = portal_postings(spark, sf).withColumn("date_posted", V.fmt_date("date_posted"))
-    path = SN.write_snapshot(snap, SN.new_version_path(spark, "snapshot"))
-    return SN.read_table(spark, path, schemas.POSTING_SEQ).select("seq", "job_url", "company", "job_title", "date_posted")
+    root = SN.new_version_path(spark, "snapshot")
+    SN.write_version(snap.filter(F.col("job_url") == ""), root, 1)   # an older, smaller version
+    SN.write_version(snap, root, 2)
+    return SN.read_latest(spark, root).select("seq", "job_url", "company", "job_title", "date_posted")
+
+
+@query("page_files_scan", oracle=f"""
+SELECT page_id, {_html_to_text_sql('html', C.PAGE_TEXT_MAX)} AS text FROM pages""")
+def page_files_scan(spark, sf):
+    """S7 + F1: pages landed as HTML files (one file per page, in page_id=N
+    folders), read whole and cleaned."""
+    pages = table(spark, sf, "pages")
+    root = scratch_path(spark, "page-files")
+    pages.select("page_id", "html").write.partitionBy("page_id").text(root)
+    files = SN.read_page_files(spark, root)
+    return files.select(F.col("page_id").cast("bigint").alias("page_id"),
+                        T.html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"))
 
 
 @query("kv_upsert", fixtures=["fx_posting", "fx_score"], oracle=f"""

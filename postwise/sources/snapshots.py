@@ -78,6 +78,35 @@ def new_version_path(spark: SparkSession, name: str) -> str:
     return scratch_path(spark, name)
 
 
+def write_version(df: DataFrame, root: str, version: int) -> str:
+    """K1: write snapshot ``version`` under ``root/version=N`` (a new folder each
+    time; the version being read is never the one being written)."""
+    path = f"{root.rstrip('/')}/version={int(version)}"
+    df.write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_latest(spark: SparkSession, root: str, schema: StructType | None = None) -> DataFrame:
+    """The newest complete version under ``root`` (the largest ``version=N``).
+    The maximum comes from the partition values alone (no data columns read)."""
+    try:
+        all_versions = spark.read.parquet(root)
+        all_versions.schema
+    except AnalysisException as e:
+        if "PATH_NOT_FOUND" in str(e) or "Path does not exist" in str(e):
+            return empty(spark, schema) if schema is not None else spark.createDataFrame([], "version int")
+        raise
+    newest = all_versions.agg(F.max("version")).first()[0]
+    return spark.read.parquet(f"{root.rstrip('/')}/version={newest}")
+
+
+def read_page_files(spark: SparkSession, path: str) -> DataFrame:
+    """HTML pages landed as files, one row per file (whole text), with the
+    file's location and any partition columns of its folder."""
+    return (spark.read.text(path, wholetext=True)
+            .withColumnRenamed("value", "html").withColumn("file", F.input_file_name()))
+
+
 def kv_upsert(old: DataFrame, new: DataFrame, key: str = "job_url") -> DataFrame:
     """K2: store ← old entries whose key is not in ``new``, plus ``new``."""
     new_keys = new.select(key).distinct()
