@@ -32,3 +32,18 @@ def test_aggregator_ingest_and_publish(spark):
     out = FL.publish(p.withColumn("recruiter_email", F.lit("x@corp.nl")), agg.snapshot, seen, scores, "2024-01-16")
     assert "recruiter_email" not in out.columns
     assert out.filter(F.col("first_seen").isNull()).count() == 0
+
+
+def test_portal_ingest_subset_run_keeps_other_employers(spark):
+    from postwise.plans import q_normalize as QN
+
+    pages = QN.greenhouse_pages(spark, SMALL)
+    prev, seen = fixtures(spark, SMALL, "fx_prev", "fx_seen")
+    prev = prev.withColumn("company", F.when(F.col("seq") % 2 == 0, F.lit("Other Co")).otherwise(F.col("company")))
+    dims = QN.dims(spark, SMALL)
+    names = dims.select("ind_name").limit(3)
+    run = FL.portal_ingest(pages, dims, prev, seen, "1998-01-20", refreshed=names, types=["greenhouse"])
+    snap = run.snapshot
+    assert snap.filter(F.col("stale")).count() == 0                      # subset runs only stamp
+    assert snap.filter(F.col("company") == "Other Co").count() == prev.filter(F.col("company") == "Other Co").count()
+    assert snap.filter(F.col("last_seen") != "1998-01-20").count() == 0  # everything kept is stamped
