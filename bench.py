@@ -127,6 +127,14 @@ def main() -> None:
         except Exception as e:  # keep going; report the failure
             errors[name] = f"{type(e).__name__}: {str(e)[:200]}"
     sf = sf_dir.rsplit("sf", 1)[-1]
+    try:
+        extra = extras(spark, sf_dir, reps) if not only else {}
+    except Exception as e:  # the headline line must still be printed
+        extra = {"error": f"{type(e).__name__}: {str(e)[:200]}"}
+    try:
+        java = spark.sparkContext._jvm.java.lang.System.getProperty("java.version")
+    except Exception:
+        java = None
     line = {
         "metric": "headline_queries_total_median_wall",
         "value": round(sum(results.values()), 3),
@@ -135,9 +143,8 @@ def main() -> None:
         "sf": float(sf) if sf.replace(".", "", 1).isdigit() else sf,
         "cpus": int(cpus),
         "reps": reps,
-        "extras": extras(spark, sf_dir, reps) if not only else {},
-        "versions": {"spark": spark.version, "python": platform.python_version(),
-                     "java": spark.sparkContext._jvm.java.lang.System.getProperty("java.version")},
+        "extras": extra,
+        "versions": {"spark": spark.version, "python": platform.python_version(), "java": java},
     }
     if errors:
         line["errors"] = errors
