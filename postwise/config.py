@@ -144,6 +144,9 @@ JSON_DESCRIPTION_KEYS = ("description", "descriptionHtml", "body", "content")
 JSON_MAX_DEPTH = 8
 JSON_FREE_DEPTH = 4
 
+# Page-state variables of rendered pages, tried in this order.
+PAGE_STATE_VARS = ("__NEXT_DATA__", "__NUXT__", "__INITIAL_STATE__", "__APP_STATE__")
+
 # Provenance notes per source format.
 NOTES = {
     "greenhouse": "Via Greenhouse board.",

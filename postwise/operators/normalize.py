@@ -568,14 +568,19 @@ def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEF
     docs = docs.withColumn("note", note) if "var" in captures.columns else docs.withColumn(
         "note", F.lit(C.NOTES["xhr"]))
     found = json_job_search(docs.select("doc_id", "company", "body"), companies, note=F.lit(""), profile=profile)
-    meta = docs.select("doc_id", "strategy", "seq", "note")
+    var_rank = F.array_position(F.array(*[F.lit(v) for v in C.PAGE_STATE_VARS]),
+                                F.col("var")) if "var" in captures.columns else F.lit(0)
+    docs = docs.withColumn("__ord", F.when(F.col("strategy") == 2, var_rank).otherwise(F.lit(0)).cast("long"))
+    meta = docs.select("doc_id", "strategy", "seq", "note", "__ord")
     from pyspark import StorageLevel
 
     found = found.join(meta, "doc_id").withColumn("notes", F.col("note")).drop("note") \
         .persist(StorageLevel.MEMORY_AND_DISK)
-    # within strategies 1 and 2 only the first document (by seq) that yields counts
-    first_doc = found.groupBy("company", "strategy").agg(F.min("seq").alias("seq"))
-    found = found.join(first_doc, ["company", "strategy", "seq"], "left_semi")
+    # within strategies 1 and 2 only the first document that yields counts: responses
+    # in capture order, page-state variables in their fixed order
+    first_doc = found.groupBy("company", "strategy").agg(F.min(F.struct("__ord", "seq")).alias("__first"))
+    found = found.join(first_doc, ["company", "strategy"]).filter(
+        (F.col("__ord") == F.col("__first.__ord")) & (F.col("seq") == F.col("__first.seq"))).drop("__first")
     json_rows = found.select(*[F.col(c) for c in POSTING_COLS], F.col("strategy"),
                              F.col("seq").alias("page"), F.col("ipos").alias("pos"), F.col("path"))
     pages = captures.filter(F.col("strategy").isin(3, 4)).select(

@@ -52,3 +52,17 @@ def test_filters_and_dedup(spark):
 def test_candidate_needs_title_or_link_key(spark):
     doc = {"jobs": [{"label": "Senior Java Developer"}, job("Senior Java Developer", "https://j/9")]}
     assert run(spark, [doc]) == []
+
+
+def test_spa_page_state_variables_in_fixed_order(spark):
+    from postwise.operators import normalize as N
+
+    caps = spark.createDataFrame([
+        ("Co", 2, 0, json.dumps({"jobs": [job("Senior Java Developer", "https://j/nuxt")]}), "https://c/x", "__NUXT__"),
+        ("Co", 2, 1, json.dumps({"jobs": [job("Platform Engineer", "https://j/next")]}), "https://c/x", "__NEXT_DATA__"),
+        ("Co", 4, 0, '<a href="/jobs/1">Senior Java Developer</a>', "https://c/x", ""),
+    ], "company string, strategy int, seq int, body string, url string, var string")
+    dims = spark.createDataFrame([("Co", "https://careers.example.org/x", {})],
+                                 "ind_name string, careers_url string, params map<string,string>")
+    got = [(r.job_url, r.notes) for r in N.spa_ladder(caps, dims).collect()]
+    assert got == [("https://j/next", "Via __NEXT_DATA__ (Playwright).")]
