@@ -26,15 +26,6 @@ def with_key(df: DataFrame, name: str = KEY) -> DataFrame:
     return df.withColumn(name, posting_key(df.columns))
 
 
-def salt_empty_key(df: DataFrame, name: str = KEY, buckets: int = 4096) -> DataFrame:
-    """Rows without a key (often the hottest key of all) can never match a store
-    entry — stores hold non-empty keys only — yet would all hash to one shuffle
-    partition. They get a salted key that spreads them over ``buckets`` and still
-    matches nothing, so the join result is unchanged."""
-    salt = F.concat(F.lit("\u0000"), (F.monotonically_increasing_id() % buckets).cast("string"))
-    return df.withColumn(name, F.when(F.col(name) == "", salt).otherwise(F.col(name)))
-
-
 def salt_missing(c: Column, buckets: int = 4096) -> Column:
     """A lookup value for a join column: NULL or '' (no lookup wanted) becomes a
     salted value that spreads over ``buckets`` partitions and matches nothing."""
@@ -42,7 +33,16 @@ def salt_missing(c: Column, buckets: int = 4096) -> Column:
     return F.when(F.coalesce(c, F.lit("")) == "", salt).otherwise(c)
 
 
-def _as_of(as_of) -> Column:
+def salt_empty_key(df: DataFrame, name: str = KEY, buckets: int = 4096) -> DataFrame:
+    """Rows without a key (often the hottest key of all) can never match a store
+    entry — stores hold non-empty keys only — yet would all hash to one shuffle
+    partition. They get a salted key that spreads them over ``buckets`` and still
+    matches nothing, so the join result is unchanged."""
+    return df.withColumn(name, salt_missing(F.col(name), buckets))
+
+
+def as_of_ts(as_of) -> Column:
+    """``as_of`` (text, date, datetime or Column) as a timestamp Column."""
     if isinstance(as_of, Column):
         return as_of
     if isinstance(as_of, str):
@@ -55,7 +55,7 @@ def _as_of(as_of) -> Column:
 
 
 def as_of_date(as_of) -> Column:
-    return F.date_format(_as_of(as_of), "yyyy-MM-dd")
+    return F.date_format(as_of_ts(as_of), "yyyy-MM-dd")
 
 
 def seen_keys(seen: DataFrame, url: str = "job_url") -> DataFrame:
@@ -99,7 +99,7 @@ def new_postings_incremental(batch: DataFrame, seen: DataFrame, max_keys: int =
 def seen_within(postings: DataFrame, seen: DataFrame, as_of, hours: int = C.DAILY_LOOKBACK_HOURS,
                 ts: str = "seen_at") -> DataFrame:
     """Postings whose key was seen at or after ``as_of - hours``."""
-    cutoff = _as_of(as_of) - F.make_interval(hours=F.lit(hours))
+    cutoff = as_of_ts(as_of) - F.make_interval(hours=F.lit(hours))
     recent = seen.filter(F.col(ts) >= cutoff)
     keyed = with_key(postings).filter(F.col(KEY) != "")
     return keyed.join(seen_keys(recent), KEY, "left_semi").drop(KEY)
@@ -168,7 +168,7 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
     from pyspark import StorageLevel
 
     today = as_of_date(as_of)
-    cutoff = F.date_format(F.date_sub(_as_of(as_of).cast("date"), retain_days), "yyyy-MM-dd")
+    cutoff = F.date_format(F.date_sub(as_of_ts(as_of).cast("date"), retain_days), "yyyy-MM-dd")
     prev1 = previous_by_key(prev, prev_order)
     prev_cols = [c for c in prev1.columns if c != KEY]
     keyed_new = with_key(new)
@@ -218,13 +218,13 @@ def sponsor_update(sponsors: DataFrame, companies: DataFrame, company_order: str
 
 def cache_age_hours(cache: DataFrame, as_of, ts: str = "cached_at") -> DataFrame:
     """age of each cache entry in hours at ``as_of`` (negative for entries after it)."""
-    secs = F.unix_micros(_as_of(as_of)) - F.unix_micros(F.col(ts).cast("timestamp"))
+    secs = F.unix_micros(as_of_ts(as_of)) - F.unix_micros(F.col(ts).cast("timestamp"))
     return cache.withColumn("age_hours", secs / F.lit(3_600_000_000.0))
 
 
 def fresh_cache(cache: DataFrame, as_of, ttl_hours: int = C.CACHE_TTL_HOURS, ts: str = "cached_at") -> DataFrame:
     """Cache entries younger than the TTL (strict)."""
-    return cache.filter(F.col(ts) > _as_of(as_of) - F.make_interval(hours=F.lit(ttl_hours)))
+    return cache.filter(F.col(ts) > as_of_ts(as_of) - F.make_interval(hours=F.lit(ttl_hours)))
 
 
 def cache_hits(companies: DataFrame, cache: DataFrame, as_of, force: bool = False,

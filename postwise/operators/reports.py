@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.scoring import score_band
 from ..functions.values import first_truthy
-from .merge import _as_of
+from .merge import as_of_ts
 
 
 def digest_rows(scored: DataFrame) -> DataFrame:
@@ -40,7 +40,7 @@ def _plural(n: Column) -> Column:
 
 def digest_header(scored: DataFrame, as_of, kind: str = "hourly") -> DataFrame:
     """K5: one row with the count, heading and subject of a digest."""
-    ts = _as_of(as_of)
+    ts = as_of_ts(as_of)
     n = F.count(F.lit(1))
     if kind == "hourly":
         when = F.date_format(ts, "MMM dd HH:mm")

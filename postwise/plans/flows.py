@@ -72,7 +72,7 @@ def hourly_digest(postings: DataFrame, seen: DataFrame, scores: DataFrame, as_of
     rows = R.digest_rows(ranked)
     header = R.digest_header(fresh, as_of, "hourly")
     marked = (J.with_key(fresh).select(F.col(J.KEY).alias("job_url")).distinct()
-              .withColumn("seen_at", J._as_of(as_of)))
+              .withColumn("seen_at", J.as_of_ts(as_of)))
     return rows, header, marked
 
 

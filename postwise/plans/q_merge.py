@@ -442,6 +442,6 @@ def cache_age_hours(spark, sf):
     co, cache = fixtures(spark, sf, "fx_company", "fx_cache")
     age = J.cache_age_hours(cache, AS_OF_SEEN)
     return co.select("ind_name").join(age, "ind_name").select(
-        "ind_name", F.floor((F.unix_micros(J._as_of(AS_OF_SEEN)) - F.unix_micros(F.col("cached_at").cast("timestamp")))
+        "ind_name", F.floor((F.unix_micros(J.as_of_ts(AS_OF_SEEN)) - F.unix_micros(F.col("cached_at").cast("timestamp")))
                             / F.lit(1_000_000)).cast("bigint").alias("age_seconds"),
         (F.col("age_hours") < C.CACHE_TTL_HOURS).alias("fresh"))
