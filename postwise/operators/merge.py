@@ -143,6 +143,11 @@ def previous_by_key(prev: DataFrame, order: str = "seq") -> DataFrame:
     (partitioned on the key itself, so the joins on it need no new shuffle)."""
     from .dedup import first_per_key
 
+    if "url" not in prev.columns:
+        # the key is job_url itself: dedup on that column, so a snapshot bucketed on
+        # job_url needs no shuffle here, and the key alias keeps the partitioning
+        keyed = prev.filter(truthy("job_url").isNotNull())
+        return first_per_key(keyed, ["job_url"], order, desc=True).withColumn(KEY, F.col("job_url"))
     keyed = with_key(prev).filter(F.col(KEY) != "")
     return first_per_key(keyed, [KEY], order, desc=True)
 
@@ -160,10 +165,12 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
 
     Plan: the new load is reduced to its distinct keys (combined map-side), and
     one full outer join per key — distinct new keys, the previous snapshot
-    (last row per key), seen dates: at most one row per key on every side, so
-    no key can skew it — yields both the stamp of each new key and the carried
-    rows. That per-key table is persisted and read twice. The new rows pick up
-    their stamp with a many-to-one left join (AQE splits a hot key there).
+    (last row per key), each with its seen date: at most one row per key on
+    every side, so no key can skew it — yields both the stamp of each new key and
+    the carried rows. A snapshot and seen store bucketed on ``job_url``
+    (``sources.snapshots.write_bucketed``) are read without any shuffle. That
+    per-key table is persisted and read twice. The new rows pick up their stamp
+    with a many-to-one left join (AQE splits a hot key there).
     """
     from pyspark import StorageLevel
 
@@ -173,8 +180,15 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
     prev_cols = [c for c in prev1.columns if c != KEY]
     keyed_new = with_key(new)
     keys = keyed_new.select(KEY).distinct().withColumn("__in_new", F.lit(True))
-    per_key = (keys.join(prev1.select(KEY, F.struct(*prev_cols).alias("__p")), KEY, "full_outer")
-               .join(seen_first_dates(seen), KEY, "left")
+    dates = seen_first_dates(seen)
+    # seen dates are joined to each side first: both sides and the dates are then
+    # partitioned on the key (a store bucketed on it is not shuffled at all), and
+    # the full outer join needs no further exchange
+    new_side = keys.join(dates.withColumnRenamed("__seen_date", "__d_new"), KEY, "left")
+    prev_side = prev1.select(KEY, F.struct(*prev_cols).alias("__p")).join(
+        dates.withColumnRenamed("__seen_date", "__d_prev"), KEY, "left")
+    per_key = (new_side.join(prev_side, KEY, "full_outer")
+               .withColumn("__seen_date", F.coalesce("__d_new", "__d_prev")).drop("__d_new", "__d_prev")
                .persist(StorageLevel.MEMORY_AND_DISK))
     stamp = per_key.filter(F.col("__in_new")).select(
         KEY, first_truthy(F.col("__p.first_seen"), "__seen_date", default=today).alias("__stamp"))

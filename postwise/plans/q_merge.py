@@ -445,3 +445,25 @@ def cache_age_hours(spark, sf):
         "ind_name", F.floor((F.unix_micros(J.as_of_ts(AS_OF_SEEN)) - F.unix_micros(F.col("cached_at").cast("timestamp")))
                             / F.lit(1_000_000)).cast("bigint").alias("age_seconds"),
         (F.col("age_hours") < C.CACHE_TTL_HOURS).alias("fresh"))
+
+
+@query("stamp_and_retain_bucketed", fixtures=["fx_posting", "fx_prev", "fx_seen"],
+       oracle=_MERGE_SQL + "SELECT job_url, seq, job_title, first_seen, last_seen, stale FROM merged")
+def stamp_and_retain_bucketed(spark, sf):
+    """J5 over stores kept as tables bucketed on job_url (the recurring layout):
+    the previous snapshot and the seen store are read without any shuffle."""
+    import uuid
+
+    from ..session import scratch_path
+    from ..sources import snapshots as SN
+
+    new, prev, seen = fixtures(spark, sf, "fx_posting", "fx_prev", "fx_seen")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = uuid.uuid4().hex[:8]
+    pp, sp = scratch_path(spark, "bucketed-prev"), scratch_path(spark, "bucketed-seen")
+    SN.write_bucketed(prev, f"postwise_prev_{tag}", pp, buckets=n)
+    SN.write_bucketed(seen, f"postwise_seen_{tag}", sp, buckets=n)
+    bprev = SN.read_bucketed(spark, f"postwise_prev_{tag}", pp, prev.schema, buckets=n)
+    bseen = SN.read_bucketed(spark, f"postwise_seen_{tag}", sp, seen.schema, buckets=n)
+    out = J.stamp_and_retain(new.select("seq", "job_url", "job_title", "company"), bprev, bseen, AS_OF_MERGE)
+    return out.select("job_url", "seq", "job_title", "first_seen", "last_seen", "stale")

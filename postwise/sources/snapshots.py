@@ -100,6 +100,26 @@ def read_latest(spark: SparkSession, root: str, schema: StructType | None = None
     return spark.read.parquet(f"{root.rstrip('/')}/version={newest}")
 
 
+def write_bucketed(df: DataFrame, table: str, path: str, key: str = "job_url", buckets: int = 64) -> str:
+    """A store or snapshot written as a table bucketed (and sorted) on the posting
+    key at ``path`` (shared storage): later joins and per-key aggregates on that
+    key read it already partitioned instead of shuffling it on every run."""
+    (df.write.mode("overwrite").format("parquet").bucketBy(buckets, key).sortBy(key)
+     .option("path", path).saveAsTable(table))
+    return path
+
+
+def read_bucketed(spark: SparkSession, table: str, path: str, schema: StructType, key: str = "job_url",
+                  buckets: int = 64) -> DataFrame:
+    """The bucketed table at ``path``; registered in the session catalog when a
+    new session reads it (the bucket spec is not stored in the files)."""
+    if not spark.catalog.tableExists(table):
+        cols = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in schema.fields)
+        spark.sql(f"CREATE TABLE {table} ({cols}) USING parquet CLUSTERED BY (`{key}`) SORTED BY (`{key}`) "
+                  f"INTO {int(buckets)} BUCKETS LOCATION '{path}'")
+    return spark.table(table)
+
+
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """HTML pages landed as files, one row per file (whole text), with the
     file's location and any partition columns of its folder."""

@@ -64,3 +64,37 @@ def test_large_input_not_counted_or_hinted(spark):
     big = spark.range(0, 1000, numPartitions=100)
     out = broadcast_if_small(big)
     assert "broadcast" not in out._jdf.queryExecution().logical().toString().lower()
+
+
+def test_bucketed_stores_are_not_shuffled(spark):
+    """J5 over a snapshot and seen store bucketed on job_url: the only shuffle in
+    the per-key stage is of the new load's keys."""
+    import re
+    import uuid
+
+    from postwise.operators import merge as J
+    from postwise.session import scratch_path
+    from postwise.sources import snapshots as SN
+    from postwise.sources.fixtures import fixtures
+
+    new, prev, seen = fixtures(spark, SMALL, "fx_posting", "fx_prev", "fx_seen")
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    tag = uuid.uuid4().hex[:8]
+    pp, sp = scratch_path(spark, "t-bprev"), scratch_path(spark, "t-bseen")
+    SN.write_bucketed(prev, f"tp_{tag}", pp, buckets=n)
+    SN.write_bucketed(seen, f"ts_{tag}", sp, buckets=n)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    spark.conf.set("spark.sql.adaptive.autoBroadcastJoinThreshold", "-1")
+    try:
+        out = J.stamp_and_retain(new.select("seq", "job_url", "job_title", "company"),
+                                 SN.read_bucketed(spark, f"tp_{tag}", pp, prev.schema, buckets=n),
+                                 SN.read_bucketed(spark, f"ts_{tag}", sp, seen.schema, buckets=n), "1998-01-20")
+        out.count()
+        text = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.conf.unset("spark.sql.adaptive.autoBroadcastJoinThreshold")
+    assert "Bucketed: true" in text
+    # the new keys, and the two sides of the stamping join; the stores add none
+    # (unbucketed they would add three: the snapshot's window, two seen aggregates)
+    assert len(re.findall(r"Exchange hashpartitioning", text)) <= 3, text
