@@ -603,16 +603,30 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
     A full description takes its e-mail from the content, else from the job page.
 
     Input postings carry ``content`` (API HTML), ``has_id`` and ``jd_base_url``."""
-    pg = pages.select(F.col("url").alias("__u"), F.col("html").alias("__h"))
+    from pyspark import StorageLevel
+
+    from .merge import salt_missing
+    from .sizing import row_count_at_most
+
     d = postings.withColumn("__desc0", F.coalesce(F.col("description"), F.lit("")))
     short = F.col("has_id") & (F.length(F.trim("__desc0")) < C.PLACEHOLDER_DESCRIPTION_MIN)
     slug_url = F.when(short & (F.coalesce(F.col("jd_base_url"), F.lit("")) != ""),
                       F.concat("jd_base_url", F.lit("/"), F.btrim(F.regexp_replace(F.lower("job_title"),
                                                                                    C.SLUG_CHARS_PATTERN, "-"), F.lit("-")),
                                F.lit("/")))
-    from .merge import salt_missing
+    d = d.withColumn("__slug_cand", slug_url).persist(StorageLevel.MEMORY_AND_DISK)
+    # the pages the ladder may read (a superset: job pages of every short or e-mail-less
+    # posting). When that URL set is small (count checked) it is broadcast and the page
+    # table is only scanned and filtered map-side, so the two lookups join a small table.
+    job_cand = F.when(F.col("has_id") & (F.coalesce(F.col("job_url"), F.lit("")) != "")
+                      & (short | F.col("recruiter_email").isNull()), F.col("job_url"))
+    needed = d.select(F.explode(F.array("__slug_cand", job_cand)).alias("url")).filter(
+        F.col("url").isNotNull()).distinct()
+    if row_count_at_most(needed, 1_000_000):
+        pages = pages.join(F.broadcast(needed), "url", "left_semi")
+    pg = pages.select(F.col("url").alias("__u"), F.col("html").alias("__h"))
 
-    d = d.withColumn("__slug_url", salt_missing(slug_url)).join(
+    d = d.withColumn("__slug_url", salt_missing(F.col("__slug_cand"))).drop("__slug_cand").join(
         pg.withColumnRenamed("__u", "__slug_url").withColumnRenamed("__h", "__slug_html"), "__slug_url", "left")
     slug_text = html_to_text(F.col("__slug_html"), C.PAGE_TEXT_MAX)
     slug_ok = F.col("__slug_html").isNotNull() & (F.length(slug_text) > C.PLACEHOLDER_DESCRIPTION_MIN)
