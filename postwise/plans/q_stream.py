@@ -30,11 +30,12 @@ def _rounds(df, n, col="seq"):
 nw AS (SELECT p.*, CAST(p.seq % {ROUNDS} AS BIGINT) AS b FROM fx_posting p WHERE coalesce(job_url, '') <> ''
   AND NOT EXISTS (SELECT 1 FROM fx_seen s WHERE s.job_url = p.job_url)),
 mb AS (SELECT job_url, min(b) AS mb FROM nw GROUP BY job_url)
-SELECT nw.b AS batch_id, nw.seq, nw.job_url,
+SELECT batch_id, seq, job_url, score, row_number() OVER (PARTITION BY batch_id ORDER BY score DESC, job_url, seq) AS rank
+FROM (SELECT nw.b AS batch_id, nw.seq, nw.job_url,
   CASE WHEN sc.score IS NOT NULL THEN sc.score ELSE {Q.rule_score(notes='NULL')} END AS score
-FROM nw JOIN mb ON mb.job_url = nw.job_url AND mb.mb = nw.b LEFT JOIN sc ON sc.job_url = nw.job_url""")
+  FROM nw JOIN mb ON mb.job_url = nw.job_url AND mb.mb = nw.b LEFT JOIN sc ON sc.job_url = nw.job_url)""")
 def stream_new_postings(spark, sf):
-    """The hourly job over four rounds of postings; digest rows of all batches."""
+    """The hourly job over four rounds of postings; the ranked digest rows of all batches."""
     p, seen, scores = fixtures(spark, sf, "fx_posting", "fx_seen", "fx_score")
     p = p.select(*POSTING_COLS)
     root = scratch_path(spark, "hourly")
@@ -46,7 +47,7 @@ def stream_new_postings(spark, sf):
         SC.run_available(SH.hourly_stream(stream, seen_dir, digest, scores,
                                           as_of=lambda b: f"2024-02-01 {b:02d}:00:00"), ckpt)
     out = spark.read.parquet(digest)
-    return out.select(F.col("batch_id").cast("bigint").alias("batch_id"), "seq", "job_url", "score")
+    return out.select(F.col("batch_id").cast("bigint").alias("batch_id"), "seq", "job_url", "score", "rank")
 
 
 @query("stream_ttl_cache", oracle="""

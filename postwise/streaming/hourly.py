@@ -6,9 +6,10 @@ Each micro-batch (``foreachBatch``):
      same answer (idempotent);
   2. keeps the postings whose key the store lacks (J1, bag semantics): the
      batch's keys are broadcast and the store is only scanned, never shuffled;
-  3. scores them, cached score first (F6);
-  4. writes the digest rows and then the new seen entries, both under
-     ``batch_id=N`` with overwrite (at-least-once delivery, exactly-once output).
+  3. scores them, cached score first (F6), and ranks them (O1);
+  4. writes the digest rows and header (K4, K5), then the new seen entries (K2),
+     all under ``batch_id=N`` with overwrite (at-least-once delivery,
+     exactly-once output).
 """
 
 from __future__ import annotations
@@ -19,6 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators import merge as J
+from ..operators import ranking as O
+from ..operators import reports as R
 from ..operators import scoring_ops as SO
 
 INITIAL_BATCH = -1
@@ -38,7 +41,10 @@ def hourly_batch(seen_dir: str, digest_dir: str, scores: DataFrame, as_of: Calla
         seen = spark.read.parquet(seen_dir).filter(F.col("batch_id") < batch_id).select("job_url", "seen_at")
         fresh = J.new_postings_incremental(batch, seen)
         scored = SO.score_with_cache(fresh, scores, notes=F.lit(notes).cast("string"))
-        scored.write.mode("overwrite").parquet(f"{digest_dir}/batch_id={batch_id}")
+        ranked = O.rank_by_score(scored)
+        ranked.write.mode("overwrite").parquet(f"{digest_dir}/batch_id={batch_id}")
+        R.digest_header(fresh, as_of(batch_id), "hourly").write.mode("overwrite").parquet(
+            f"{digest_dir}_header/batch_id={batch_id}")
         marked = (J.with_key(fresh).select(F.col(J.KEY).alias("job_url")).distinct()
                   .withColumn("seen_at", F.lit(as_of(batch_id)).cast("timestamp")))
         marked.write.mode("overwrite").parquet(f"{seen_dir}/batch_id={batch_id}")
