@@ -40,10 +40,12 @@ class IngestResult:
 def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, seen: DataFrame, as_of,
                   refreshed: DataFrame | None = None, sponsors: DataFrame | None = None,
                   write_to: str | None = None, profile: Profile = DEFAULT_PROFILE,
-                  types=None) -> IngestResult:
+                  types=None, store: SN.KeyedStore | None = None, version: int | None = None) -> IngestResult:
     """Portal run: every landed payload normalised by its format (G1), then merged
     with the previous snapshot (J5). With ``refreshed`` (an employer subset run)
-    the other employers' rows are kept (J8) and only stamping happens (no carry)."""
+    the other employers' rows are kept (J8) and only stamping happens (no carry).
+    With ``store`` the merged snapshot is written as ``version`` of a keyed store
+    (bucketed on the key), which the next run reads without a shuffle."""
     fresh = N.normalize_all(payloads, companies, profile, types=types).drop("source_type")
     fresh = fresh.withColumn("seq", (F.col("page").cast("long") * 1_000_000 + F.col("pos")))
     retain = refreshed is None
@@ -51,6 +53,8 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
         fresh = J.partial_refresh(prev, fresh, refreshed)
     merged = J.stamp_and_retain(fresh, prev, seen, as_of, retain=retain)
     path = SN.write_snapshot(merged, write_to) if write_to else None
+    if store is not None:
+        path = store.write(merged, version if version is not None else 0)
     updated = J.sponsor_update(sponsors, companies) if sponsors is not None else None
     return IngestResult(merged, updated, path)
 

@@ -120,6 +120,31 @@ def read_bucketed(spark: SparkSession, table: str, path: str, schema: StructType
     return spark.table(table)
 
 
+class KeyedStore:
+    """A snapshot or store kept as versioned tables bucketed on the posting key
+    under ``root/name/version=N`` (shared storage). Recurring runs read the last
+    version already partitioned on the key (the merge and lookups need no shuffle
+    of it) and write the next version the same way."""
+
+    def __init__(self, root: str, name: str, key: str = "job_url", buckets: int = 64):
+        import re
+
+        self.root, self.key, self.buckets = root.rstrip("/"), key, int(buckets)
+        self.name = re.sub(r"[^A-Za-z0-9_]", "_", name)
+
+    def path(self, version: int) -> str:
+        return f"{self.root}/{self.name}/version={int(version)}"
+
+    def table(self, version: int) -> str:
+        return f"{self.name}_v{int(version)}"
+
+    def write(self, df: DataFrame, version: int) -> str:
+        return write_bucketed(df, self.table(version), self.path(version), self.key, self.buckets)
+
+    def read(self, spark: SparkSession, version: int, schema: StructType) -> DataFrame:
+        return read_bucketed(spark, self.table(version), self.path(version), schema, self.key, self.buckets)
+
+
 def read_page_files(spark: SparkSession, path: str) -> DataFrame:
     """HTML pages landed as files, one row per file (whole text), with the
     file's location and any partition columns of its folder."""
