@@ -62,3 +62,29 @@ def test_dedup_null_passthrough_one_pass(spark):
     ], "company string, seq long, uid string")
     got = sorted(r.seq for r in W.dedup_null_passthrough(df, "uid", order="seq", scope=["company"]).collect())
     assert got == [1, 3, 4, 5, 6]
+
+
+def test_registry_survives_malformed_payloads(spark):
+    """A malformed or unexpected payload yields no rows; the others are
+    normalised; nothing raises."""
+    import json
+
+    from postwise.operators import normalize as N
+
+    good_gh = json.dumps({"jobs": [{"id": 7, "title": "Senior Java Developer", "location": {"name": "Amsterdam"},
+                                    "absolute_url": "https://g/7", "content": "<p>x</p>"}]})
+    good_lever = json.dumps([{"text": "Platform Engineer", "categories": {"location": "Utrecht"},
+                              "hostedUrl": "https://l/1"}])
+    payloads = spark.createDataFrame([
+        ("A", 0, "greenhouse", good_gh),
+        ("A", 1, "greenhouse", good_gh[:40]),                      # cut short
+        ("B", 0, "lever", good_lever),
+        ("B", 1, "lever", json.dumps({"not": "a list"})),          # wrong shape
+        ("C", 0, "workday", ""),                                   # empty body
+        ("D", 0, "html", "<html><script type=\"application/ld+json\">{broken</script></html>"),
+    ], "company string, page int, source_type string, body string").withColumn("url", F.lit("https://c/x"))
+    dims = spark.createDataFrame([(c, "https://careers.example.org/" + c, {"board": "b"}) for c in "ABCD"],
+                                 "ind_name string, careers_url string, params map<string,string>")
+    out = N.normalize_all(payloads, dims, types=["greenhouse", "lever", "workday", "html"])
+    got = sorted((r.company, r.job_url) for r in out.collect())
+    assert got == [("A", "https://g/7"), ("B", "https://l/1")]
