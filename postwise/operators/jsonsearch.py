@@ -98,7 +98,7 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
     items = lists.select(doc_id, "company", "depth", "path", F.from_json("v", "array<string>").alias("items"))
     first = F.from_json(F.try_element_at("items", F.lit(1)), MAP)
     first_keys = F.coalesce(F.map_keys(first), F.array().cast("array<string>"))
-    looks = F.exists(first_keys, lambda k: k.isin(*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS))
+    looks = F.arrays_overlap(first_keys, F.array(*[F.lit(k) for k in (*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS)]))
     cands = items.filter(F.coalesce(F.size("items") > 0, F.lit(False)) & _is_obj(F.try_element_at("items", F.lit(1))) & looks)
     rows = cands.select(doc_id, "company", "path", F.posexplode("items").alias("ipos", "item")).filter(
         _is_obj(F.col("item")))
