@@ -60,17 +60,21 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
 
 
 def aggregator_ingest(rows: DataFrame, prev: DataFrame, seen: DataFrame, as_of,
-                      write_to: str | None = None) -> IngestResult:
+                      write_to: str | None = None, store: SN.KeyedStore | None = None,
+                      version: int | None = None) -> IngestResult:
     """Aggregator run: search rows normalised (N18), merged with their snapshot."""
     fresh = N.normalize_search_rows(rows)
     merged = J.stamp_and_retain(fresh, prev, seen, as_of, retain=True)
     path = SN.write_snapshot(merged, write_to) if write_to else None
+    if store is not None:
+        path = store.write(merged, version if version is not None else 0)
     return IngestResult(merged, None, path)
 
 
 def hourly_digest(postings: DataFrame, seen: DataFrame, scores: DataFrame, as_of):
-    """Hourly run (T1 in batch form): rows, header, and the seen entries to append."""
-    fresh = J.new_postings(postings, seen)
+    """Hourly run (T1 in batch form): rows, header, and the seen entries to append.
+    The run's keys are broadcast (count checked) and the seen store only scanned."""
+    fresh = J.new_postings_incremental(postings, seen)
     scored = SO.score_with_cache(fresh, scores)
     ranked = O.rank_by_score(scored)
     rows = R.digest_rows(ranked)
