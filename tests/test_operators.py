@@ -88,3 +88,35 @@ def test_registry_survives_malformed_payloads(spark):
     out = N.normalize_all(payloads, dims, types=["greenhouse", "lever", "workday", "html"])
     got = sorted((r.company, r.job_url) for r in out.collect())
     assert got == [("A", "https://g/7"), ("B", "https://l/1")]
+
+
+def _dims(spark):
+    return spark.createDataFrame([("Co", "https://careers.example.org/x", {})],
+                                 "ind_name string, careers_url string, params map<string,string>")
+
+
+def test_page_state_pairs_cross_objects(spark):
+    """A title without a link pairs with the next object's link."""
+    from postwise.operators import normalize as N
+
+    state = ('{"props": {"jobs": [{"title": "Senior Java Developer", "id": 1},'
+             ' {"title": "Account Manager", "url": "https://j/2"}, {"title": "Platform Engineer", "href": "https://j/3"}]}}')
+    html = f'<script id="__NEXT_DATA__" type="application/json">{state}</script>'
+    pages = spark.createDataFrame([("Co", 0, html, "https://careers.example.org/x")],
+                                  "company string, page int, body string, url string")
+    got = sorted((r.job_title, r.job_url) for r in N.nextdata_pairs(pages, _dims(spark)).collect())
+    # the first title reaches across to the second object's url; 'Account Manager' is then consumed
+    assert got == [("Platform Engineer", "https://j/3"), ("Senior Java Developer", "https://j/2")]
+
+
+def test_attribute_json_single_object_and_pattern_order(spark):
+    """N8: ':jobs=' matches when 'v-bind:jobs=' is absent; a single object counts
+    as a list of one; the entity-encoded JSON is decoded first."""
+    from postwise.operators import normalize as N
+
+    obj = '{&quot;title&quot;: &quot;Lead Backend Engineer&quot;, &quot;url&quot;: &quot;/v/9&quot;, &quot;location&quot;: &quot;Remote&quot;}'
+    html = f'<div :jobs="{obj}" class="x"></div>'
+    pages = spark.createDataFrame([("Co", 0, html, "https://careers.example.org/x")],
+                                  "company string, page int, body string, url string")
+    got = [(r.job_title, r.job_url, r.location) for r in N.normalize_attr_json(pages, _dims(spark)).collect()]
+    assert got == [("Lead Backend Engineer", "https://careers.example.org/v/9", "Remote")]
