@@ -120,3 +120,31 @@ def test_attribute_json_single_object_and_pattern_order(spark):
                                   "company string, page int, body string, url string")
     got = [(r.job_title, r.job_url, r.location) for r in N.normalize_attr_json(pages, _dims(spark)).collect()]
     assert got == [("Lead Backend Engineer", "https://careers.example.org/v/9", "Remote")]
+
+
+def test_plugin_scorer_fallbacks(spark):
+    """The user scorer runs on cache misses only; a failing batch or a missing
+    answer falls back to the rule score; answers are clamped to 0..99."""
+    from postwise.functions.scoring import rule_score
+    from postwise.operators import scoring_ops as SO
+
+    posts = spark.createDataFrame([
+        ("https://j/1", "Senior Java Developer", "Co", None, None, None),
+        ("https://j/2", "Data Analyst", "Co", None, None, None),
+        ("https://j/3", "Platform Engineer", "Co", None, None, None),
+    ], "job_url string, job_title string, company string, location string, description string, visa_support boolean")
+    posts = posts.withColumn("relocation_support", F.lit(None).cast("boolean"))
+    cache = spark.createDataFrame([("https://j/3", 42)], "job_url string, score int")
+    rules = {r.job_url: r.s for r in posts.select("job_url", rule_score(notes=F.lit(None).cast("string")).alias("s")).collect()}
+
+    def answers(pdf):
+        import pandas as pd
+        return pd.Series([150 if t.startswith("Senior") else None for t in pdf["job_title"]])
+
+    def broken(pdf):
+        raise RuntimeError("model unavailable")
+
+    got = {r.job_url: (r.score, r.from_cache) for r in SO.score_with(posts, cache, answers).collect()}
+    assert got == {"https://j/1": (99, False), "https://j/2": (rules["https://j/2"], False), "https://j/3": (42, True)}
+    got = {r.job_url: r.score for r in SO.score_with(posts, cache, broken).collect()}
+    assert got == {"https://j/1": rules["https://j/1"], "https://j/2": rules["https://j/2"], "https://j/3": 42}
