@@ -148,3 +148,16 @@ def test_plugin_scorer_fallbacks(spark):
     assert got == {"https://j/1": (99, False), "https://j/2": (rules["https://j/2"], False), "https://j/3": (42, True)}
     got = {r.job_url: r.score for r in SO.score_with(posts, cache, broken).collect()}
     assert got == {"https://j/1": rules["https://j/1"], "https://j/2": rules["https://j/2"], "https://j/3": 42}
+
+
+def test_digest_header_plural_and_formats(spark):
+    from postwise.operators import reports as R
+
+    one = spark.createDataFrame([("u1",)], "job_url string")
+    two = spark.createDataFrame([("u1",), ("u2",)], "job_url string")
+    h1 = R.digest_header(one, "2024-03-05 07:08:00", "hourly").first()
+    h2 = R.digest_header(two, "2024-03-05 07:08:00", "hourly").first()
+    d = R.digest_header(one, "2024-03-05 07:08:00", "daily").first()
+    assert (h1.heading, h1.subject) == ("1 new job found", "1 new NL jobs | Mar 05 07:08 UTC")
+    assert h2.heading == "2 new jobs found"
+    assert (d.heading, d.subject) == ("Daily Report: 1 jobs in the last 24 hours", "Daily job report | 1 jobs | Mar 05, 2024")
