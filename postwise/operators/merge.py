@@ -153,7 +153,8 @@ def previous_by_key(prev: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, retain: bool = True,
-                     retain_days: int = C.RETAIN_DAYS, prev_order: str = "seq") -> DataFrame:
+                     retain_days: int = C.RETAIN_DAYS, prev_order: str = "seq",
+                     keep: list | None = None) -> DataFrame:
     """Stamp every new row and, when ``retain``, carry forward recently seen
     previous rows that the new load lacks (flagged stale).
 
@@ -190,6 +191,8 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
     per_key = (new_side.join(prev_side, KEY, "full_outer")
                .withColumn("__seen_date", F.coalesce("__d_new", "__d_prev")).drop("__d_new", "__d_prev")
                .persist(StorageLevel.MEMORY_AND_DISK))
+    if keep is not None:
+        keep.append(per_key)
     stamp = per_key.filter(F.col("__in_new")).select(
         KEY, first_truthy(F.col("__p.first_seen"), "__seen_date", default=today).alias("__stamp"))
     stamped = (salt_empty_key(keyed_new).join(stamp, KEY, "left")

@@ -32,12 +32,15 @@ def merge_batch(root: str, seen: DataFrame, as_of: Callable[[int], str], retain_
         spark = batch.sparkSession
         prev = spark.read.parquet(snapshot_path(root, batch_id - 1))
         new = batch.withColumn("snap_ord", F.col("seq"))
+        cached: list = []
         merged = J.stamp_and_retain(new, prev, seen, as_of(batch_id), retain=True, retain_days=retain_days,
-                                    prev_order="snap_ord")
+                                    prev_order="snap_ord", keep=cached)
         merged = merged.withColumn(
             "snap_ord", F.when(F.col("stale"), F.lit(CARRY_OFFSET) * (batch_id + 2) + F.col("snap_ord"))
             .otherwise(F.col("snap_ord")))
         merged.write.mode("overwrite").parquet(snapshot_path(root, batch_id))
+        for df in cached:  # a stream runs for long: release this batch's intermediates
+            df.unpersist()
 
     return run
 
