@@ -209,6 +209,7 @@ ATTRIBUTE_JSON_PATTERNS = (
     r"""(?s):jobs=['"](.*?)['"](?=\s|>)""",
     r"""(?s)data-jobs=['"](.*?)['"](?=\s|>)""",
 )
+ISO_WEEK_DATE_PATTERN = r"^(\d{4})(?:-W(\d{2})(?:-([1-7]))?|W(\d{2})([1-7])?)(?:T.*)?$"
 EMBEDDED_JOBS_PATTERN = r'"jobs":(\[.*?\])'
 STATE_PAIR_PATTERN = r'"title"\s*:\s*"([^"]+)".*?"(?:url|href|link)"\s*:\s*"(https?://[^"]+)"'
 

@@ -81,20 +81,35 @@ def fmt_date(raw, epoch_ms: bool = False) -> Column:
     """ISO-ish text → 'YYYY-MM-DD' (the local date; no zone shift), else NULL.
 
     Extended form: the first 'dddd-dd-dd' in the text. Basic form: exactly
-    'yyyymmdd' (optionally followed by a 'T' time) when it is a valid date.
-    Epoch milliseconds only with ``epoch_ms``.
+    'yyyymmdd' (optionally followed by a 'T' time) when it is a valid date. ISO
+    week dates ('2024-W01-1', '2024W011', '2024-W01'). Epoch milliseconds only
+    with ``epoch_ms``.
     """
     s = F.btrim(F.coalesce(col(raw).cast("string"), F.lit("")))
     ext = truthy(F.regexp_extract(s, C.ISO_DATE_PATTERN, 1))
     basic_txt = F.regexp_extract(s, r"^(\d{8})(T.*)?$", 1)
     basic = F.date_format(F.try_to_date(truthy(basic_txt), "yyyyMMdd"), "yyyy-MM-dd")
-    out = F.coalesce(ext, basic)
+    out = F.coalesce(ext, basic, _iso_week_date(s))
     if epoch_ms:
         ms = F.when(s.rlike(r"^\d{12,13}$"), s.cast("long"))
         out = F.coalesce(out, F.date_format(F.timestamp_millis(ms), "yyyy-MM-dd"))
     return out
 
 
+def _iso_week_date(s: Column) -> Column:
+    """'YYYY-Www[-D]' / 'YYYYWww[D]' (optionally with a time) → 'YYYY-MM-DD'; NULL
+    when the week does not exist in that ISO year or the text is not a week date."""
+    pat = C.ISO_WEEK_DATE_PATTERN
+    year = F.regexp_extract(s, pat, 1).cast("int")
+    week = F.coalesce(truthy(F.regexp_extract(s, pat, 2)), truthy(F.regexp_extract(s, pat, 4))).cast("int")
+    day = F.coalesce(truthy(F.regexp_extract(s, pat, 3)), truthy(F.regexp_extract(s, pat, 5)), F.lit("1")).cast("int")
+    jan4 = F.make_date(year, F.lit(1), F.lit(4))
+    monday1 = F.date_sub(jan4, F.weekday(jan4))          # Monday of ISO week 1
+    d = F.date_add(monday1, (week - 1) * 7 + (day - 1))
+    valid = week.between(1, 53) & (F.weekofyear(d) == week)
+    return F.when(s.rlike(pat), F.when(valid, F.date_format(d, "yyyy-MM-dd")))
+
+
 def date_prefix(c) -> Column:
     """first ten characters of a timestamp text."""
     return F.substring(col(c).cast("string"), 1, 10)

@@ -99,3 +99,14 @@ def test_url_helpers(spark):
     assert one(spark, V.slugify(F.col("v")), "  Senior C++ / Go Dev!") == "senior-c-go-dev"
     assert one(spark, V.quote_param(F.col("v")), "Den Haag/NL*~") == "Den%20Haag/NL%2A~"
     assert one(spark, V.join_place(F.col("v"), F.lit("")), "Amsterdam") == "Amsterdam"
+
+
+def test_fmt_date_iso_week_dates(spark):
+    cases = {
+        "2024-W01-1": "2024-01-01", "2024W011": "2024-01-01", "2024-W01": "2024-01-01", "2024W01": "2024-01-01",
+        "2024-W01-1T10:00": "2024-01-01", "2020-W53-1": "2020-12-28", "2020W537": "2021-01-03",
+        "2026-W01-1": "2025-12-29", "2027-W52-7": "2028-01-02",
+        "2024-W53-1": None, "2024-W00-1": None, "2024-W01-8": None, "2024-W011": None, "2024W01-1": None,
+    }
+    for raw, want in cases.items():
+        assert one(spark, V.fmt_date(F.col("v")), raw) == want, raw
