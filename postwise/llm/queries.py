@@ -53,10 +53,11 @@ src AS (SELECT no_source, src, CAST(sum(size) AS BIGINT) AS s,
                1 + (row_number() OVER (ORDER BY no_source, src) - 1) % 3 AS w
         FROM sized GROUP BY no_source, src),
 tot AS (SELECT CAST(sum(s) AS BIGINT) AS t, CAST(sum(w) AS BIGINT) AS tw FROM src),
-ordered AS (SELECT *, coalesce(sum(3 * s) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
+ordered AS (SELECT *, row_number() OVER (ORDER BY 3 * s / w, no_source, src) AS k,
+                   coalesce(sum(3 * s) OVER o, 0) AS cap_before, coalesce(sum(w) OVER o, 0) AS w_before
             FROM src WINDOW o AS (ORDER BY 3 * s / w, no_source, src ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 levels AS (SELECT *, CAST(t - cap_before AS DOUBLE) / CAST(tw - w_before AS DOUBLE) AS level FROM ordered, tot),
-lvl AS (SELECT min(level) AS level FROM levels WHERE level * w <= 3 * s),
+lvl AS (SELECT coalesce(min_by(level, k), 0) AS level FROM levels WHERE level * w <= 3 * s),
 aim AS (SELECT no_source, src, s, least(CAST(3 * s AS DOUBLE), lvl.level * w) AS target FROM src, lvl),
 parts AS (SELECT *, CASE WHEN s > 0 THEN CAST(floor(target / s) AS BIGINT) ELSE 0 END AS whole FROM aim),
 goal AS (SELECT *, greatest(0, least(s, CAST(floor(target + 0.5) AS BIGINT) - whole * s)) AS rest FROM parts),
@@ -87,7 +88,7 @@ _OP6_SQL = r"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)),
-                              x -> regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
+                              lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
 win AS (SELECT r, unnest(range(1, len(ws) - 1)) AS p, ws FROM d WHERE len(ws) >= 3),
 keyed AS (SELECT r, p, count(*) OVER (PARTITION BY r, ws[p], ws[p + 1], ws[p + 2]) AS n FROM win),
 hit AS (SELECT r, count(DISTINCT p + k) AS n_repeat FROM keyed, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
@@ -97,7 +98,7 @@ m AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '
         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
         length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower,
         length(text) - length(replace(text, '!', '')) AS n_bangs,
-        len(list_filter(range(2, len(ws) + 1), i -> ws[i] = ws[i - 1])) AS n_same
+        len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same
       FROM d LEFT JOIN hit USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
