@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import mixing, quality, rules, simhash, spiece
+from . import htmltext, langid, mixing, quality, rules, simhash, spiece, tokens, topk, warc
 from .common import F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,6 +44,12 @@ def op1_simhash(spark, sf_dir):
     return found.select("doc_id", simhash.hex_fingerprint(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+@query
+def op2_tokens(spark, sf_dir):
+    """All texts as token ids in shards, read back: place, length and checksum."""
+    return tokens.tokenize_documents(table(spark, sf_dir, "documents"), end_id=2)
+
+
 _OP3_SQL = r"""
 WITH sized AS (
   SELECT doc_id, source IS NULL AS no_source, coalesce(source, '') AS src,
@@ -76,6 +82,12 @@ def op3_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"), epochs=3, weights=(1, 2, 3), seed=7)
 
 
+@query
+def op4_language(spark, sf_dir):
+    """Language of every document, by the dictionary that compresses it best."""
+    return langid.identify_documents(table(spark, sf_dir, "documents"))
+
+
 @query
 def op5_sentencepiece(spark, sf_dir):
     """Every text encoded and decoded again with the 32k SentencePiece model."""
@@ -119,7 +131,46 @@ def op6_rules(spark, sf_dir):
                       (~rules.passes(rules.BASE)).alias("base_failed"), "kept")
 
 
+_OP7_SQL = r"""
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(1024 * CAST(x AS DOUBLE))) AS e FROM embeddings
+           WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+             AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_dot_product(q.e, c.e) AS BIGINT) AS score
+      FROM v q JOIN v c ON q.vec_id % 100 = 0 AND c.vec_id != q.vec_id AND len(q.e) = len(c.e)),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
+
+@query(sql=_OP7_SQL)
+def op7_top_k(spark, sf_dir):
+    """The 10 largest integer inner products of every 100th vector with all others."""
+    return topk.top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, k=10, scale=1024)
+
+
+@query
+def op8_main_text(spark, sf_dir):
+    """Main text of every page."""
+    return htmltext.main_text(table(spark, sf_dir, "pages"))
+
+
 @query
 def op9_quality(spark, sf_dir):
     """Quality score of every document, learnt from the labels outside the held-out part."""
     return quality.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
+_OP10_SQL = r"""
+WITH p AS (SELECT page_id, octet_length(encode(coalesce(html, ''))) AS n, sha256(coalesce(html, '')) AS d FROM pages),
+g AS (SELECT *, CASE WHEN n >= 100 THEN min(page_id) OVER (PARTITION BY d, n) ELSE page_id END AS first_id FROM p)
+SELECT page_id, n AS payload_bytes, d AS payload_digest,
+       CASE WHEN first_id = page_id THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN first_id != page_id THEN first_id END AS refers_to FROM g
+"""
+
+
+@query(sql=_OP10_SQL)
+def op10_warc(spark, sf_dir):
+    """All pages as WARC records in seekable bundles, read back."""
+    got = warc.archive_pages(table(spark, sf_dir, "pages"))
+    return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
