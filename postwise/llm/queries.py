@@ -101,8 +101,11 @@ WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS text,
                   regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws,
                   list_filter(string_split(coalesce(text, ''), chr(10)),
                               lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS ls FROM documents),
-win AS (SELECT r, unnest(range(1, len(ws) - 1)) AS p, ws FROM d WHERE len(ws) >= 3),
-keyed AS (SELECT r, p, count(*) OVER (PARTITION BY r, ws[p], ws[p + 1], ws[p + 2]) AS n FROM win),
+wd AS (SELECT r, generate_subscripts(ws, 1) AS p, unnest(ws) AS w FROM d),
+win AS (SELECT r, p, w, lag(w) OVER o AS w0, lead(w) OVER o AS w2, lead(w, 2) OVER o AS w3 FROM wd
+        WINDOW o AS (PARTITION BY r ORDER BY p)),
+same AS (SELECT r, count(*) AS n_same FROM win WHERE w = w0 GROUP BY r),
+keyed AS (SELECT r, p, count(*) OVER (PARTITION BY r, w, w2, w3) AS n FROM win WHERE w3 IS NOT NULL),
 hit AS (SELECT r, count(DISTINCT p + k) AS n_repeat FROM keyed, (SELECT unnest([0, 1, 2]) AS k) WHERE n > 1 GROUP BY r),
 m AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '')), 0) AS word_chars,
         length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
@@ -110,8 +113,8 @@ m AS (SELECT d.doc_id, len(ws) AS n_words, coalesce(length(array_to_string(ws, '
         length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS n_upper,
         length(text) - length(regexp_replace(text, '[a-z]', '', 'g')) AS n_lower,
         length(text) - length(replace(text, '!', '')) AS n_bangs,
-        len(list_filter(range(2, len(ws) + 1), lambda i: ws[i] = ws[i - 1])) AS n_same
-      FROM d LEFT JOIN hit USING (r)),
+        coalesce(n_same, 0) AS n_same
+      FROM d LEFT JOIN hit USING (r) LEFT JOIN same USING (r)),
 b AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
 SELECT doc_id, CAST(n_words AS BIGINT) AS n_words, CAST(word_chars AS BIGINT) AS word_chars,
   CAST(n_symbols AS BIGINT) AS n_symbols, CAST(n_dup_lines AS BIGINT) AS n_dup_lines,
