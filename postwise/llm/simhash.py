@@ -276,18 +276,22 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **
     smallest id (a null id counts as larger than any); of rows that share that
     id, one is kept."""
     found = near_duplicates(docs, id_col, text_col, **options)
-    firsts = found.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    firsts = written(firsts.groupBy("root", "doc_id").agg(F.count(F.lit(1)).alias("n")), "simhash-firsts")
-    cols = [F.col(f"d.`{c}`") for c in docs.columns]
-    same = F.col(f"d.`{id_col}`").eqNullSafe(F.col("k.doc_id"))
-    kept = docs.alias("d").join(firsts.filter("n = 1").alias("k"), same, "left_semi").select(*cols)
-    again = firsts.filter("n > 1")
+    first = F.col("doc_id").eqNullSafe(F.col("component_id"))
+    ids = written(found.groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"), F.max(first).alias("first")), "simhash-ids")
+    names = [f"`{c}`" for c in docs.columns]
+    ident = F.col(f"d.`{id_col}`")
+    # an id that names one row decides it; hashed by id on both sides at every
+    # size: only the ids are built into a table, texts are not sorted
+    once = ids.filter("n = 1 AND first AND doc_id IS NOT NULL").select("doc_id").hint("shuffle_hash")
+    kept = docs.alias("d").join(once.alias("k"), ident == F.col("k.doc_id"), "left_semi").select(
+        *[F.col(f"d.{c}") for c in names])
+    again = ids.filter("first AND (n > 1 OR doc_id IS NULL)").select("doc_id")
     if again.isEmpty():
         return kept
-    # several rows carry the smallest id: pick one by their fingerprint and content
-    many = docs.alias("d").join(again.select("doc_id").distinct().alias("k"), same, "left_semi").select(*cols)
-    fp = fingerprints(F.col(f"`{text_col}`"), options.get("shingle", 4))
-    rooted = many.withColumn("__fp", fp).join(
-        found.select(F.col("fp").alias("__fp"), F.col("root").alias("__root")).distinct(), "__fp")
-    one = rooted.join(again.select(F.col("root").alias("__root")), "__root", "left_semi").dropDuplicates(["__root"])
-    return kept.unionAll(one.select(*[F.col(f"`{c}`") for c in docs.columns]))
+    # rows without an id or with a repeated one: their fingerprint tells the component
+    rows = docs.select(F.struct(*[F.col(c) for c in names]).alias("d"),
+                       fingerprints(F.col(f"`{text_col}`"), options.get("shingle", 4)).alias("fp"))
+    rows = rows.join(again.alias("k"), ident.eqNullSafe(F.col("k.doc_id")), "left_semi")
+    classes = found.select("fp", "root", "component_id").distinct()
+    picked = rows.join(classes, "fp").filter(ident.eqNullSafe(F.col("component_id"))).dropDuplicates(["root"])
+    return kept.unionAll(picked.select(*[F.col(f"d.{c}") for c in names]))
