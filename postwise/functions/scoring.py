@@ -74,4 +74,7 @@ def parse_reply(reply) -> Column:
     fenced = F.ltrim(F.split_part(r, F.lit("```"), F.lit(2)), F.lit("json"))
     body = F.trim(F.when(r.startswith("```"), fenced).otherwise(r))
     score = F.try_variant_get(F.try_parse_json(body), "$.score", "int")
-    return clamp_score(score).cast("int")
+    # whole numbers beyond 32 bits clamp as well
+    wide = F.try_variant_get(F.try_parse_json(body), "$.score", "double")
+    far = F.when(wide >= 2147483648.0, C.SCORE_MAX).when(wide <= -2147483649.0, C.SCORE_MIN)
+    return F.coalesce(clamp_score(score), far).cast("int")

@@ -1,12 +1,14 @@
 """Text cleaning and extraction (F1, F3, F3b, P18) as Column expressions.
 
 Everything runs JVM-side (regexp_replace / regexp_extract_all / higher-order
-array functions). The only Python path is the opt-in full HTML unescape.
+array functions). The only Python path is the opt-in legacy HTML unescape.
 """
 
 from __future__ import annotations
 
+import functools
 import html as _html
+import html.entities as _entities
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -14,23 +16,42 @@ from pyspark.sql import functions as F
 from .. import config as C
 from .values import col
 
-# Named entities decoded natively ('&amp;' is applied last so the
-# nested replaces equal one decoding pass for this set).
-NATIVE_ENTITIES = (
-    ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&#x27;", "'"),
-    ("&apos;", "'"), ("&nbsp;", " "), ("&copy;", "©"), ("&reg;", "®"),
-    ("&trade;", "™"), ("&middot;", "·"), ("&bull;", "•"), ("&ndash;", "–"),
-    ("&mdash;", "—"), ("&hellip;", "…"), ("&lsquo;", "‘"), ("&rsquo;", "’"),
-    ("&ldquo;", "“"), ("&rdquo;", "”"), ("&euro;", "€"), ("&#47;", "/"),
-    ("&amp;", "&"),
-)
+@functools.cache
+def _named_entities() -> str:
+    """The HTML5 entity names (of the standard library) with their characters, the
+    most frequent ones first: one literal, which the optimizer turns into a map."""
+    first = ("amp", "nbsp", "lt", "gt", "quot", "apos", "copy", "middot", "rsquo", "lsquo", "ndash", "mdash")
+    names = {n[:-1]: v for n, v in _entities.html5.items() if n.endswith(";")}
+    return "\u0001".join(f"{n}\u0002{names[n]}" for n in dict.fromkeys((*first, *names)))
+
+
+# References to 128-159 mean the Windows-1252 character, where it has one
+_C1_CHARACTERS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i in range(128, 160))
+
+
+def _numeric_entity(name: Column) -> Column:
+    """Character of ``#65`` or ``#x41`` ('' for control codes, U+FFFD for what is no character)."""
+    code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
+        F.substr(name, F.lit(2))).cast("bigint")
+    char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
+    return (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
+            .when(code.between(128, 159), F.substr(F.lit(_C1_CHARACTERS), (code - 127).cast("int"), F.lit(1)))
+            .when(code.between(1, 8) | code.between(14, 31) | code.isin(11, 127), F.lit("")).otherwise(char))
 
 
 def unescape_native(c: Column) -> Column:
-    out = c
-    for ent, ch in NATIVE_ENTITIES:
-        out = F.replace(out, F.lit(ent), F.lit(ch))
-    return out
+    """One decoding pass over every ``&...;`` reference, JVM-side: the text is cut
+    at its ampersands and each piece starts with a reference or keeps its '&'."""
+    names = F.str_to_map(F.lit(_named_entities()), F.lit("\u0001"), F.lit("\u0002"))
+
+    def piece(p: Column) -> Column:
+        name = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        char = F.when(name.startswith("#"), _numeric_entity(name)).when(name != "", F.try_element_at(names, name))
+        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+
+    parts = F.split(c, "&")
+    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
+    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
 
 
 def _unescape_full_udf():
@@ -46,7 +67,8 @@ def _unescape_full_udf():
 
 
 def unescape(c: Column, full: bool = False) -> Column:
-    """HTML entity decoding: native set by default, every HTML5 entity when ``full``."""
+    """HTML entity decoding: every reference that ends in ';' natively; with ``full``
+    a pandas UDF that also takes the legacy names without it."""
     return _unescape_full_udf()(c) if full else unescape_native(c)
 
 

@@ -50,11 +50,11 @@ def dedup_first_keep_empty(df: DataFrame, url: str = "job_url", order="seq", sco
 
 def dedup_null_passthrough(df: DataFrame, key: Column | str, order="seq", scope=()) -> DataFrame:
     """First row per id; rows without an id ('' or NULL) are all kept. One
-    pass: a row without an id gets its own key (its arrival position, which is
-    unique and deterministic), so it is always the first of its group."""
+    pass: a row without an id gets a key of its own (its row number in its
+    partition), so it is always the first of its group."""
     k = "__k"
     ident = truthy(key) if isinstance(key, str) else F.nullif(key, F.lit(""))
-    own = F.concat(F.lit("\u0001"), F.to_json(F.struct(*_ordered(order))))
+    own = F.concat(F.lit("\u0001"), F.monotonically_increasing_id().cast("string"))
     tagged = df.withColumn(k, F.coalesce(ident, own))
     return first_per_key(tagged, list(scope) + [k], order).drop(k)
 

@@ -90,9 +90,8 @@ def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
 def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, doc_id: str = "doc_id",
                     body: str = "body", profile: Profile = DEFAULT_PROFILE, max_rows: int | None = None) -> DataFrame:
     """Postings found in free-form JSON documents ``(doc_id, company, body)``."""
-    from .sizing import broadcast_if_small
-
-    dims = broadcast_if_small(companies.select(F.col("ind_name").alias("company"), "careers_url"))
+    dims = companies.groupBy(F.col("ind_name").alias("company")).agg(
+        (F.min_by("careers_url", "ord") if "ord" in companies.columns else F.min("careers_url")).alias("careers_url"))
     # the employer travels with every node, so found items need no join back to their document
     lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, carry=["company"])
     items = lists.select(doc_id, "company", "depth", "path", F.from_json("v", "array<string>").alias("items"))

@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from .. import config as C
 from ..functions.values import date_prefix, first_truthy, posting_key, truthy
 from .dedup import dedup_last_by_key
-from .sizing import broadcast_if_small
 
 KEY = "__key"
 
@@ -81,19 +80,15 @@ def new_postings(postings: DataFrame, seen: DataFrame) -> DataFrame:
     return keyed.join(seen_keys(seen), KEY, "left_anti").drop(KEY)
 
 
-def new_postings_incremental(batch: DataFrame, seen: DataFrame, max_keys: int = 2_000_000) -> DataFrame:
-    """J1 for a micro-batch against a large, growing seen store: the batch's
-    distinct keys (count checked) are broadcast, the store is only scanned and
-    filtered to them map-side (no shuffle of the store), and the small result is
-    broadcast into the anti join. Above ``max_keys`` the plain shuffle join is used."""
-    from .sizing import row_count_at_most
-
+def new_postings_incremental(batch: DataFrame, seen: DataFrame) -> DataFrame:
+    """J1 for a micro-batch against a large, growing seen store: the store is
+    first filtered to the batch's distinct keys, and only what is left enters
+    the anti join. Both sides' real sizes decide the join at run time: a small
+    batch is broadcast and the store only scanned."""
     keyed = with_key(batch).filter(F.col(KEY) != "")
     keys = keyed.select(KEY).distinct()
-    if not row_count_at_most(keys, max_keys):
-        return new_postings(batch, seen)
-    known = seen_keys(seen).join(F.broadcast(keys), KEY, "left_semi")
-    return keyed.join(F.broadcast(known), KEY, "left_anti").drop(KEY)
+    known = seen.select(F.col("job_url").alias(KEY)).join(keys, KEY, "left_semi").distinct()
+    return keyed.join(known, KEY, "left_anti").drop(KEY)
 
 
 def seen_within(postings: DataFrame, seen: DataFrame, as_of, hours: int = C.DAILY_LOOKBACK_HOURS,
@@ -112,10 +107,9 @@ def score_table(scores: DataFrame, url: str = "job_url", score: str = "score") -
             .groupBy(F.col(url).alias(KEY)).agg(F.max(score).alias("__score")))
 
 
-def attach_scores(postings: DataFrame, scores: DataFrame, out: str = "ai_score",
-                  max_broadcast_rows: int = 200_000) -> DataFrame:
+def attach_scores(postings: DataFrame, scores: DataFrame, out: str = "ai_score") -> DataFrame:
     """Attach the cached score where the key has one."""
-    table = broadcast_if_small(score_table(scores), max_broadcast_rows)
+    table = score_table(scores)
     keyed = salt_empty_key(with_key(postings))
     joined = keyed.join(table, KEY, "left")
     if out in postings.columns:
@@ -267,7 +261,7 @@ def cache_misses(companies: DataFrame, cache: DataFrame, as_of, force: bool = Fa
 def partial_refresh(existing: DataFrame, fresh: DataFrame, refreshed_names: DataFrame,
                     name_col: str = "ind_name") -> DataFrame:
     """Keep existing rows of employers not refreshed, then the fresh rows."""
-    names = broadcast_if_small(refreshed_names.select(F.col(name_col).alias("company")).distinct())
+    names = refreshed_names.select(F.col(name_col).alias("company")).distinct()
     kept = existing.join(names, "company", "left_anti")
     return kept.unionByName(fresh, allowMissingColumns=True)
 
@@ -277,7 +271,6 @@ def company_order_concat(results: DataFrame, companies: DataFrame, dedup_employe
     dims = companies.select(F.col("ind_name").alias("company"), "ord")
     if dedup_employers:
         dims = dims.groupBy("company").agg(F.min("ord").alias("ord"))
-    dims = broadcast_if_small(dims)
     return results.join(dims, "company").orderBy("ord", "seq")
 
 
@@ -302,15 +295,26 @@ def cache_entries(postings: DataFrame, body: str = "description") -> DataFrame:
 
 
 def payload_company_join(payloads: DataFrame, companies: DataFrame, name: str = "ind_name") -> DataFrame:
-    """Payload ⋈ employer dimension (broadcast after a size check)."""
-    dims = companies.select(F.col(name).alias("company"),
-                            *[F.col(c) for c in companies.columns if c not in (name, "source_type")])
-    return payloads.join(broadcast_if_small(dims), "company")
+    """Payload ⋈ employer dimension. An employer listed twice counts once
+    (J9): its first row in dimension order, where the dimension has one."""
+    cols = [c for c in companies.columns if c not in (name, "source_type")]
+    row = F.struct(*[F.col(c) for c in cols])
+    pick = F.min_by(row, F.col("ord")) if "ord" in companies.columns else F.first(row)
+    dims = companies.groupBy(F.col(name).alias("company")).agg(pick.alias("__d"))
+    return payloads.join(dims.select("company", *[F.col(f"__d.{c}").alias(c) for c in cols]), "company")
+
+
+def last_pages(pages: DataFrame, url: str = "url", html: str = "html") -> DataFrame:
+    """One row per URL of a page table (W4): the page fetched last, where the
+    table says when, else the greatest one (map-side combined)."""
+    last = F.max_by(html, "fetched_at") if "fetched_at" in pages.columns else F.max(html)
+    return pages.filter(F.col(url).isNotNull()).groupBy(url).agg(last.alias(html))
 
 
 def posting_page_join(postings: DataFrame, pages: DataFrame, url: Column, page_url: str = "url") -> DataFrame:
-    """Posting ⋈ page on a URL derived from the posting (left outer)."""
-    p = pages.select(F.col(page_url).alias("__page_url"), F.col("html").alias("page_html"))
+    """Posting ⋈ page on a URL derived from the posting (left outer); of
+    several landings of a URL the last one counts."""
+    p = last_pages(pages, page_url).select(F.col(page_url).alias("__page_url"), F.col("html").alias("page_html"))
     return postings.withColumn("__page_url", salt_missing(url)).join(p, "__page_url", "left").drop("__page_url")
 
 

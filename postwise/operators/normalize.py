@@ -19,7 +19,7 @@ from ..functions import predicates as P
 from ..functions.text import first_email, html_to_text, unescape
 from ..functions.values import first_truthy, fmt_date, join_place, resolve_url, slug_to_title, truthy, with_country
 from .dedup import dedup_coalesced_key, dedup_first_by_url, dedup_null_passthrough
-from .merge import payload_company_join
+from .merge import last_pages, payload_company_join
 
 POSTING_COLS = ("company", "job_title", "location", "careers_url", "job_url", "visa_support",
                 "relocation_support", "date_posted", "recruiter_email", "description", "notes")
@@ -52,8 +52,8 @@ def posting(company="company", job_title=None, location=None, careers_url="caree
 
 def with_company(payloads: DataFrame, companies: DataFrame) -> DataFrame:
     """J11 with the columns the normalisers read."""
-    dims = companies.select("ind_name", "careers_url", "params")
-    return payload_company_join(payloads, dims)
+    dims = companies.select("ind_name", "careers_url", "params", *[c for c in ("ord",) if c in companies.columns])
+    return payload_company_join(payloads, dims).drop("ord")
 
 
 def param(name: str, default: str = "") -> Column:
@@ -114,14 +114,17 @@ ICIMS = f"struct<jobs: array<struct<data: struct<{ICIMS_FIELDS}>, {ICIMS_FIELDS}
 
 def normalize_icims(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Jobs (optionally wrapped in ``data``) deduplicated by id across all pages
-    of an employer (rows without an id all kept), then location AND role."""
-    d = _explode(with_company(payloads, companies), F.from_json("body", ICIMS)["jobs"])
+    of an employer (rows without an id all kept), then location AND role. Pages
+    restart per category, so a ``category`` column precedes the page in the order."""
+    category = F.col("category") if "category" in payloads.columns else F.lit("")
+    d = with_company(payloads, companies).withColumn("__category", category)
+    d = _explode(d, F.from_json("body", ICIMS)["jobs"], keep=("company", "careers_url", "params", "page", "__category"))
     j = F.col("j")
     jd = F.when(j["data"].isNotNull(), j["data"]).otherwise(F.struct(*[j[f.split(":")[0].strip()].alias(
         f.split(":")[0].strip()) for f in ICIMS_FIELDS.split(",")]))
     d = d.withColumn("jd", jd)
     uid = first_truthy(F.col("jd.req_id"), F.col("jd.id"), F.col("jd.slug"), default="")
-    d = dedup_null_passthrough(d, uid, order=list(ORDER_COLS), scope=["company"])
+    d = dedup_null_passthrough(d, uid, order=["__category", *ORDER_COLS], scope=["company"])
     jd = F.col("jd")
     title = _txt(jd["title"])
     loc = join_place(jd["city"], F.coalesce(jd["country"], jd["country_name"]))
@@ -259,9 +262,7 @@ def normalize_slug_page(listing: DataFrame, details: DataFrame, companies: DataF
     s = d.select("company", "careers_url", "page", F.posexplode(slugs).alias("pos", "slug"))
     head, tail = C.URL_FORMATS["picnic_job"].split("{slug}")
     s = s.withColumn("job_url", F.concat(F.lit(head), "slug", F.lit(tail)))
-    from .sizing import broadcast_if_small
-
-    det = broadcast_if_small(details.select(F.col("url").alias("job_url"), F.col("html").alias("__detail")))
+    det = last_pages(details).select(F.col("url").alias("job_url"), F.col("html").alias("__detail"))
     s = s.join(det, "job_url", "left")
     title = slug_to_title(F.col("slug"))
     tag = F.trim(F.regexp_extract(F.coalesce("__detail", F.lit("")), TITLE_TAG, 1))
@@ -496,9 +497,9 @@ def _attr(attrs: Column, name: str) -> Column:
 
 
 def dom_link_postings(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
-                      max_links: int = C.LINKS_PER_PAGE) -> DataFrame:
-    """Anchors whose href has a job-like path; the first ``max_links`` such
-    anchors per page; title = aria-label else inner text (cut at 120)."""
+                      max_links: int | None = None) -> DataFrame:
+    """Anchors whose href has a job-like path (with ``max_links`` only the
+    first so many per page); title = aria-label else inner text (cut at 120)."""
     d = with_company(pages, companies)
     anchors = F.regexp_extract_all("body", F.lit(ANCHOR), 0)
     a = d.select("company", "careers_url", "params", "page", F.col("url").alias("page_url"),
@@ -506,8 +507,9 @@ def dom_link_postings(pages: DataFrame, companies: DataFrame, profile: Profile =
     attrs = F.regexp_extract("tag", r"(?is)<a\b([^>]*)>", 1)
     href = _attr(attrs, "href")
     a = a.withColumn("__href", href).filter(P.any_contains(F.col("__href"), C.JOB_LINK_MARKERS))
-    a = a.withColumn("__k", F.row_number().over(Window.partitionBy("company", "page").orderBy("pos")))
-    a = a.filter(F.col("__k") <= max_links)
+    if max_links is not None:
+        a = a.withColumn("__k", F.row_number().over(Window.partitionBy("company", "page").orderBy("pos")))
+        a = a.filter(F.col("__k") <= max_links)
     inner = F.trim(F.regexp_replace(F.regexp_extract("tag", r"(?is)<a\b[^>]*>(.*?)</a>", 1), r"<[^>]+>", ""))
     label = _attr(attrs, "aria-label")
     title = F.trim(first_truthy(label, inner, default=""))
@@ -606,7 +608,6 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
     from pyspark import StorageLevel
 
     from .merge import salt_missing
-    from .sizing import row_count_at_most
 
     d = postings.withColumn("__desc0", F.coalesce(F.col("description"), F.lit("")))
     short = F.col("has_id") & (F.length(F.trim("__desc0")) < C.PLACEHOLDER_DESCRIPTION_MIN)
@@ -616,14 +617,12 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
                                F.lit("/")))
     d = d.withColumn("__slug_cand", slug_url).persist(StorageLevel.MEMORY_AND_DISK)
     # the pages the ladder may read (a superset: job pages of every short or e-mail-less
-    # posting). When that URL set is small (count checked) it is broadcast and the page
-    # table is only scanned and filtered map-side, so the two lookups join a small table.
+    # posting): the page table is filtered to them before its two lookups.
     job_cand = F.when(F.col("has_id") & (F.coalesce(F.col("job_url"), F.lit("")) != "")
                       & (short | F.col("recruiter_email").isNull()), F.col("job_url"))
     needed = d.select(F.explode(F.array("__slug_cand", job_cand)).alias("url")).filter(
         F.col("url").isNotNull()).distinct()
-    if row_count_at_most(needed, 1_000_000):
-        pages = pages.join(F.broadcast(needed), "url", "left_semi")
+    pages = last_pages(pages.join(needed, "url", "left_semi"))
     pg = pages.select(F.col("url").alias("__u"), F.col("html").alias("__h"))
 
     d = d.withColumn("__slug_url", salt_missing(F.col("__slug_cand"))).drop("__slug_cand").join(
@@ -655,6 +654,38 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
 
 # ----------------------------------------------------------------- G1 registry
 
+def normalize_pages_rendered(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """The page strategies of N12 over landed bodies: JSON-LD (lenient), else job-like anchors."""
+    ld = jsonld_postings(pages, companies, lenient=True, profile=profile).withColumn("strategy", F.lit(3))
+    dom = dom_link_postings(pages, companies, profile).withColumn("strategy", F.lit(4))
+    return first_strategy(ld.unionByName(dom))
+
+
+def normalize_rendered(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """N12 over landed page bodies: a JSON body counts as a captured response, any
+    other as a rendered page, tried for JSON-LD and then for job-like anchors."""
+    seq = F.col("page").cast("int").alias("seq")
+    is_json = F.coalesce(F.ltrim("body").rlike(r"^[\[{]"), F.lit(False))
+    base = pages.select("company", seq, "body", "url", is_json.alias("__json"))
+    ways = F.when(F.col("__json"), F.array(F.lit(1))).otherwise(F.array(F.lit(3), F.lit(4)))
+    return spa_ladder(base.select("company", F.explode(ways).alias("strategy"), "seq", "body", "url"), companies, profile)
+
+
+def normalize_html(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """N11 with its second chance: an employer whose pages give no posting is
+    tried again with the page strategies of the rendered-page ladder (N12)."""
+    found = html_ladder(pages, companies, profile).select(*POSTING_COLS, *ORDER_COLS)
+    rest = pages.join(found.select("company").distinct(), "company", "left_anti")
+    again = normalize_pages_rendered(rest, companies, profile).select(*POSTING_COLS, *ORDER_COLS)
+    return found.unionByName(again)
+
+
+def normalize_slugs(listing: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """N7 when no detail pages have landed: titles come from the slugs."""
+    none = listing.select(F.col("url").alias("url"), F.col("body").alias("html")).limit(0)
+    return normalize_slug_page(listing, none, companies, profile)
+
+
 def registry() -> dict:
     """G1: source type → normaliser over landed payloads."""
     return {
@@ -664,28 +695,45 @@ def registry() -> dict:
         "smartrecruiters": normalize_smartrecruiters,
         "ashby": normalize_ashby,
         "recruitee": normalize_recruitee,
+        "picnic": normalize_slugs,
         "homerun": normalize_attr_json,
         "kpmg_lunr": normalize_search_index,
         "workday": normalize_workday,
         "bitvavo": normalize_embedded_array,
-        "html": html_ladder,
+        "spa": normalize_rendered,
+        "html": normalize_html,
     }
 
 
+#: Formats whose payload is JSON as a whole (the others hold text or HTML).
+JSON_TYPES = ("greenhouse", "icims", "lever", "smartrecruiters", "ashby", "recruitee", "kpmg_lunr", "workday")
+
+
+def rejected_payloads(payloads: DataFrame) -> DataFrame:
+    """Payloads no normaliser can read, with the reason: no body at all, or
+    a body of a JSON format that is not valid JSON."""
+    body = F.coalesce(F.trim("body"), F.lit(""))
+    broken = F.col("source_type").isin(*JSON_TYPES) & F.try_parse_json("body").isNull()
+    reason = F.when(body == "", F.lit("empty")).when(broken, F.lit("malformed"))
+    return payloads.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+
+
 def normalize_all(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
-                  types=None) -> DataFrame:
+                  types=None, details: DataFrame | None = None) -> DataFrame:
     """G1: split payloads by source type, normalise each, stack the results.
-    Unknown types go to the generic HTML ladder. Types needing extra inputs
-    (slug detail pages, rendered captures) have their own entry points."""
+
+    A null or unknown type goes to the generic HTML ladder. ``types`` restricts a
+    run to some formats (payloads of the others are not read then). ``details``
+    are the slug format's detail pages ``(url, html)``, where they have landed."""
     reg = registry()
     types = list(types or reg.keys())
+    kind = F.coalesce(F.col("source_type"), F.lit(""))
     known = [t for t in reg if t != "html"]
     out = None
     for t in types:
-        fn = reg[t]
-        part = payloads.filter(F.col("source_type") == t) if t != "html" else payloads.filter(
-            ~F.col("source_type").isin(*known))
-        rows = fn(part, companies, profile=profile) if t != "html" else fn(part, companies, profile)
+        part = payloads.filter(kind == t) if t != "html" else payloads.filter(~kind.isin(*known))
+        rows = (normalize_slug_page(part, details, companies, profile) if t == "picnic" and details is not None
+                else reg[t](part, companies, profile=profile))
         rows = rows.select(*POSTING_COLS, *ORDER_COLS).withColumn("source_type", F.lit(t))
         out = rows if out is None else out.unionByName(rows)
     return out

@@ -17,14 +17,13 @@ from .. import config as C
 from ..functions.scoring import clamp_score, rule_score
 from ..functions.text import truncate
 from .merge import KEY, salt_empty_key, score_table, with_key
-from .sizing import broadcast_if_small
 
 
 def score_with_cache(postings: DataFrame, scores: DataFrame, scorer: Callable[[DataFrame], Column] | None = None,
                      notes: Column | None = None) -> DataFrame:
     """cached score when the key has one, else the rule score (or ``scorer``).
     Adds ``score`` and ``from_cache``."""
-    table = broadcast_if_small(score_table(scores))
+    table = score_table(scores)
     keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
     fresh = rule_score(notes=notes if notes is not None else
                        (F.col("notes") if "notes" in postings.columns else F.lit(None).cast("string")))
@@ -53,7 +52,7 @@ DEFAULT_PROFILE_TEXT = "Candidate profile: (supplied by the user)"
 def score_requests(postings: DataFrame, scores: DataFrame, profile_text: str = DEFAULT_PROFILE_TEXT) -> DataFrame:
     """F8: one request text per cache miss (description cut at 2000 characters)."""
     keyed = with_key(postings)
-    misses = keyed.join(broadcast_if_small(score_table(scores)), KEY, "left_anti")
+    misses = keyed.join(score_table(scores), KEY, "left_anti")
 
     def txt(c):
         return F.coalesce(F.col(c), F.lit("")) if c in postings.columns else F.lit("")
@@ -68,7 +67,7 @@ def score_with(postings: DataFrame, scores: DataFrame, scorer: Callable[[pd.Data
     """User scorer (pandas in, one score per row out) run through
     ``mapInPandas`` on cache misses only; NULL or a failing batch falls back to
     the rule score. Adds ``score`` and ``from_cache``."""
-    table = broadcast_if_small(score_table(scores))
+    table = score_table(scores)
     keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
     hit = F.col("__score").isNotNull()
     hits = keyed.filter(hit).withColumn("score", F.col("__score").cast("int"))

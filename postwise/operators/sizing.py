@@ -1,45 +1,20 @@
-"""Size-checked broadcast.
+"""Task counts for small inputs.
 
-A side is broadcast only after a bounded count proves it small. The count runs
-only on inputs with few partitions (known from planning, no job): a large input
-is never counted and never hinted — AQE then measures the real size at runtime
-and converts to a broadcast join only below its threshold, else keeps the
-shuffle join.
+Whether a join side is broadcast is left to Spark: it knows the real sizes at
+run time, and counting rows beforehand would run jobs while a plan is built.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-DEFAULT_MAX_ROWS = 200_000
-MAX_COUNTED_PARTITIONS = 64
-
-
-def _partitions(df: DataFrame) -> int | None:
-    try:
-        return df.rdd.getNumPartitions()  # planning only
-    except Exception:
-        return None
-
-
-def row_count_at_most(df: DataFrame, max_rows: int) -> bool:
-    return df.limit(max_rows + 1).count() <= max_rows
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int = DEFAULT_MAX_ROWS,
-                       max_partitions: int = MAX_COUNTED_PARTITIONS) -> DataFrame:
-    n = _partitions(df)
-    if n is None or n > max_partitions:
-        return df  # large (or unknown): AQE decides from runtime sizes
-    return F.broadcast(df) if row_count_at_most(df, max_rows) else df
 
 
 def spread(df: DataFrame, min_partitions: int | None = None) -> DataFrame:
     """Give CPU-heavy row work enough tasks: when an input has fewer partitions
     than the cluster has cores (one small file, one row group), hash-partition
     it on its first column (deterministic under retries). A no-op for large
-    inputs, whose scans already have many splits."""
+    inputs, whose scans already have many splits. For tables as read from files
+    only: the number of their partitions is known without a job."""
     try:
         spark = df.sparkSession
         target = min_partitions or spark.sparkContext.defaultParallelism

@@ -47,7 +47,11 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
     With ``store`` the merged snapshot is written as ``version`` of a keyed store
     (bucketed on the key), which the next run reads without a shuffle."""
     fresh = N.normalize_all(payloads, companies, profile, types=types).drop("source_type")
-    fresh = fresh.withColumn("seq", (F.col("page").cast("long") * 1_000_000 + F.col("pos")))
+    # snapshot order: employer, page, position (21, 14 and 28 bits), so no two employers tie
+    place = companies.groupBy(F.col("ind_name").alias("company")).agg(F.min("ord").cast("long").alias("__ord"))
+    fresh = fresh.join(place, "company", "left")
+    fresh = fresh.withColumn("seq", F.shiftleft(F.coalesce("__ord", F.lit(0).cast("long")), 42)
+                             + F.shiftleft(F.col("page").cast("long"), 28) + F.col("pos").cast("long")).drop("__ord")
     retain = refreshed is None
     if refreshed is not None:
         fresh = J.partial_refresh(prev, fresh, refreshed)

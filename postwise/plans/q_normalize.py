@@ -709,6 +709,12 @@ FROM t WHERE title <> '' AND {Q.is_role('title')}"""
 @query("dom_link_postings", fixtures=_FX, oracle=_BASE_SQL + _dom_sql() + _DOM_SELECT)
 def dom_link_postings(spark, sf):
     """N17 + W6: job-like anchors, at most 200 per page (pages of 300 anchors)."""
+    return N.dom_link_postings(anchor_pages(spark, sf), dims(spark, sf), max_links=200).select(*COLS)
+
+
+@query("dom_link_postings_all", fixtures=_FX, oracle=_BASE_SQL + _dom_sql().replace("WHERE k <= 200", "") + _DOM_SELECT)
+def dom_link_postings_all(spark, sf):
+    """N17 without a cap: every job-like anchor."""
     return N.dom_link_postings(anchor_pages(spark, sf), dims(spark, sf)).select(*COLS)
 
 

@@ -183,10 +183,18 @@ def paged_payload_prefix(spark, sf):
     """Pages a paging loop reads, per term (short-page and offset stop rules)."""
     pages = _lineitem_pages(spark, sf)
     a = PL.paged_prefix(pages, rule="short_page").select(F.lit("short_page").alias("rule"), "term", "page", "n_jobs")
-    b = PL.paged_prefix(pages, rule="offset").select(F.lit("offset").alias("rule"), "term", "page", "n_jobs")
+    b = PL.paged_prefix(pages, rule="offset", cap=100).select(F.lit("offset").alias("rule"), "term", "page", "n_jobs")
     return a.unionByName(b)
 
 
+@query("paged_payload_all", oracle=_PAGES_SQL.replace(", pg AS", "WITH pg AS", 1).replace("least(total, 100)", "total") + """
+SELECT pg.term, pg.page, pg.n_jobs FROM pg JOIN st ON st.term = pg.term
+WHERE (st.first_bad IS NULL OR pg.page < st.first_bad) AND (st.last_off IS NULL OR pg.page <= st.last_off)""")
+def paged_payload_all(spark, sf):
+    """S9 by offset without the fetch loop's cap: every landed page up to the total."""
+    return PL.paged_prefix(_lineitem_pages(spark, sf), rule="offset").select("term", "page", "n_jobs")
+
+
 @query("snapshot_write_roundtrip", fixtures=["fx_posting"], oracle=f"""
 SELECT seq, job_url, company, job_title, {Q.fmt_date('date_raw')} AS date_posted FROM fx_posting""")
 def snapshot_write_roundtrip(spark, sf):

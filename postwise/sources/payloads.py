@@ -52,12 +52,13 @@ def search_results_union(result_sets: dict) -> DataFrame:
 
 def paged_prefix(pages: DataFrame, term: str = "term", page: str = "page", n: str = "n_jobs",
                  status: str = "status", rule: str = "short_page", total: str = "total",
-                 short_page: int = 10, limit: int = 20, cap: int = 100) -> DataFrame:
+                 short_page: int = 10, limit: int = 20, cap: int | None = None) -> DataFrame:
     """The pages a paging loop would have read, per term.
 
     * every rule stops before the first failed (non-2xx) or empty page;
     * ``short_page``: stops after the first page with fewer than ``short_page`` items;
-    * ``offset``: stops after page p when p*limit >= min(total_p, cap).
+    * ``offset``: stops after page p when p*limit >= total_p (min(total_p, cap) with a
+      ``cap``, which belongs to the fetch loop and drops pages that did land).
     The stop pages per term are found with one aggregate (map-side combined) and
     joined back on the term.
     """
@@ -65,7 +66,8 @@ def paged_prefix(pages: DataFrame, term: str = "term", page: str = "page", n: st
     if rule == "short_page":
         last = F.col(n) < short_page
     elif rule == "offset":
-        last = F.col(page) * limit >= F.least(F.col(total), F.lit(cap))
+        enough = F.col(total) if cap is None else F.least(F.col(total), F.lit(cap))
+        last = F.col(page) * limit >= enough
     else:
         raise ValueError(rule)
     stops = pages.groupBy(term).agg(

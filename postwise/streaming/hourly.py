@@ -5,7 +5,7 @@ Each micro-batch (``foreachBatch``):
      ``batch_id < N`` plus the initial store), so a replayed batch gives the
      same answer (idempotent);
   2. keeps the postings whose key the store lacks (J1, bag semantics): the
-     batch's keys are broadcast and the store is only scanned, never shuffled;
+     store is filtered to the batch's keys first, broadcast when they are small;
   3. scores them, cached score first (F6), and ranks them (O1);
   4. writes the digest rows and header (K4, K5), then the new seen entries (K2),
      all under ``batch_id=N`` with overwrite (at-least-once delivery,
@@ -16,6 +16,7 @@ from __future__ import annotations
 
 from typing import Callable
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -39,7 +40,8 @@ def hourly_batch(seen_dir: str, digest_dir: str, scores: DataFrame, as_of: Calla
     def run(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         seen = spark.read.parquet(seen_dir).filter(F.col("batch_id") < batch_id).select("job_url", "seen_at")
-        fresh = J.new_postings_incremental(batch, seen)
+        # read by the digest, the header and the new marks: computed once per batch
+        fresh = J.new_postings_incremental(batch, seen).persist(StorageLevel.MEMORY_AND_DISK)
         scored = SO.score_with_cache(fresh, scores, notes=F.lit(notes).cast("string"))
         ranked = O.rank_by_score(scored)
         ranked.write.mode("overwrite").parquet(f"{digest_dir}/batch_id={batch_id}")
@@ -48,6 +50,7 @@ def hourly_batch(seen_dir: str, digest_dir: str, scores: DataFrame, as_of: Calla
         marked = (J.with_key(fresh).select(F.col(J.KEY).alias("job_url")).distinct()
                   .withColumn("seen_at", F.lit(as_of(batch_id)).cast("timestamp")))
         marked.write.mode("overwrite").parquet(f"{seen_dir}/batch_id={batch_id}")
+        fresh.unpersist()
 
     return run
 

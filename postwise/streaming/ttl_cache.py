@@ -19,8 +19,9 @@ from .. import config as C
 
 
 def ttl_hits(lookups: DataFrame, stores: DataFrame, key: str, ts: str = "ts",
-             ttl_hours: int = C.CACHE_TTL_HOURS, lateness: str = "1 hour") -> DataFrame:
-    """Lookups that find a fresh entry (works on streams and on tables)."""
+             ttl_hours: int = C.CACHE_TTL_HOURS, *, lateness: str) -> DataFrame:
+    """Lookups that find a fresh entry (works on streams and on tables). Rows
+    that arrive more than ``lateness`` behind the stream are dropped."""
     g = lookups.withWatermark(ts, lateness).alias("g")
     s = stores.select(F.col(key).alias("__k"), F.col(ts).alias("__put_ts")).withWatermark("__put_ts", lateness).alias("s")
     cond = ((F.col(f"g.{key}") == F.col("s.__k"))

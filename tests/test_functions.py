@@ -110,3 +110,19 @@ def test_fmt_date_iso_week_dates(spark):
     }
     for raw, want in cases.items():
         assert one(spark, V.fmt_date(F.col("v")), raw) == want, raw
+
+
+def test_every_reference_is_decoded_natively(spark):
+    import html
+
+    texts = ["Caf&eacute; &#8217;x&#8217; M&uuml;nchen", "&#34;a&#x22; &amp;lt; &amp;#34;", "R&D & &unknown; &;", "&#128; &#x9f;",
+             "&#0; &#xD800; &#1114112; &#x1F600; &NotEqualTilde;", "&", "&&amp;&", "", "no reference", "&#7;x"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, t string")
+    got = [r.u for r in df.select("i", T.unescape(F.col("t")).alias("u")).orderBy("i").collect()]
+    assert got == [html.unescape(t) for t in texts]
+
+
+def test_scores_beyond_32_bits_clamp(spark):
+    df = spark.createDataFrame([('{"score": 99999999999}',), ('{"score": -99999999999}',), ('{"score": 50}',),
+                                ('{"score": "x"}',)], "r string")
+    assert [r.s for r in df.select(S.parse_reply(F.col("r")).alias("s")).collect()] == [99, 0, 50, None]

@@ -161,3 +161,55 @@ def test_digest_header_plural_and_formats(spark):
     assert (h1.heading, h1.subject) == ("1 new job found", "1 new NL jobs | Mar 05 07:08 UTC")
     assert h2.heading == "2 new jobs found"
     assert (d.heading, d.subject) == ("Daily Report: 1 jobs in the last 24 hours", "Daily job report | 1 jobs | Mar 05, 2024")
+
+
+def test_all_formats_null_and_unknown_types(spark):
+    """G1: every format has a normaliser, null and unknown types take the HTML
+    ladder, an employer without a posting there is tried as a rendered page, and
+    unreadable payloads are listed."""
+    from postwise.operators import normalize as N
+
+    ld = ('<script type="application/ld+json">{"@type": "JobPosting", "title": "Java Developer", "url": "https://%s/1",'
+          ' "jobLocation": {"address": {"addressLocality": "Amsterdam", "addressCountry": "NL"}}}</script>')
+    anchor = '<a href="/jobs/7">Senior Java Developer</a>'
+    payloads = spark.createDataFrame([
+        ("A", 0, None, ld % "a"), ("B", 0, "something new", ld % "b"), ("C", 0, "html", anchor), ("D", 0, "spa", anchor),
+        ("E", 0, "picnic", "x engineering/senior-java-developer/amsterdam x"),
+        ("F", 0, "lever", "{broken"), ("G", 0, "workday", ""),
+    ], "company string, page int, source_type string, body string").withColumn("url", F.lit("https://c/x"))
+    dims = spark.createDataFrame([(i, c, "https://careers.example.org/" + c, {}) for i, c in enumerate("ABCDEFGA")],
+                                 "ord int, ind_name string, careers_url string, params map<string,string>")
+    assert len(N.registry()) == 13
+    got = sorted((r.company, r.source_type) for r in N.normalize_all(payloads, dims).collect())
+    assert got == [("A", "html"), ("B", "html"), ("C", "html"), ("D", "spa"), ("E", "picnic")]
+    bad = sorted((r.company, r.reason) for r in N.rejected_payloads(payloads).collect())
+    assert bad == [("F", "malformed"), ("G", "empty")]
+
+
+def test_icims_categories_restart_pages(spark):
+    """Rows without an id are all kept, also when categories repeat page numbers."""
+    import json
+
+    from postwise.operators import normalize as N
+
+    job = lambda t, **k: {"title": t, "city": "Amsterdam", "country": "NL", **k}
+    body = lambda *j: json.dumps({"jobs": list(j)})
+    payloads = spark.createDataFrame([
+        ("Co", "b", 1, body(job("Java Developer"), job("Java Developer B", id="9"))),
+        ("Co", "a", 1, body(job("Java Engineer"), job("Java Developer A", id="9")))],
+        "company string, category string, page int, body string")
+    got = sorted(r.job_title for r in N.normalize_icims(payloads, _dims(spark)).collect())
+    assert got == ["Java Developer", "Java Developer A", "Java Engineer"]
+
+
+def test_pages_landed_twice_and_employers_listed_twice(spark):
+    """One row per payload and posting."""
+    from postwise.operators import merge as J
+
+    posts = spark.createDataFrame([(1, "u")], "seq int, job_url string")
+    pages = spark.createDataFrame([("u", "old", "2024-01-01"), ("u", "new", "2024-01-02")],
+                                  "url string, html string, fetched_at string")
+    assert [r.page_html for r in J.posting_page_join(posts, pages, F.col("job_url")).collect()] == ["new"]
+    dims = spark.createDataFrame([(2, "Co", "second"), (1, "Co", "first")], "ord int, ind_name string, careers_url string")
+    joined = J.payload_company_join(spark.createDataFrame([("Co", 0)], "company string, page int"), dims)
+    assert [r.careers_url for r in joined.collect()] == ["first"]
