@@ -55,21 +55,28 @@ def test_small_dimension_is_broadcast(spark):
     assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString()
 
 
-def test_building_a_query_runs_no_job(spark):
-    """With the landed fixtures written, plans are built without a job."""
-    from postwise.plans.catalog import load_all
-
-    reg = load_all()
-    names = ("description_ladder", "score_with_cache", "norm_greenhouse", "attach_scores", "json_job_search",
-             "norm_slug_page", "partial_refresh", "payload_company_join", "portal_ingest_counts", "normalize_all")
-    for name in names:
-        reg[name].run(spark, SMALL)  # writes fixtures and payloads
+def test_building_a_plan_runs_no_job(spark):
+    """Over loaded tables, operators are put together without running a job."""
+    from pyspark.sql import functions as F
+
+    from postwise.operators import merge as J
+    from postwise.operators import normalize as N
+    from postwise.operators import scoring_ops as SO
+    from postwise.plans import q_normalize as QN
+    from postwise.sources.fixtures import fixture
+
+    payloads, dims = QN.greenhouse_pages(spark, SMALL), QN.dims(spark, SMALL)
+    posts, scores, seen = (fixture(spark, SMALL, n) for n in ("fx_posting", "fx_score", "fx_seen"))
+    pages = fixture(spark, SMALL, "fx_job_page").select("url", "html")
     sc = spark.sparkContext
-    for name in names:
-        sc.setJobGroup(f"build-{name}", name)
-        reg[name].run(spark, SMALL)
-        assert not list(sc.statusTracker().getJobIdsForGroup(f"build-{name}")), name
+    sc.setJobGroup("build", "building plans")
+    gh = N.normalize_greenhouse(payloads, dims)
+    N.description_ladder(gh.withColumn("jd_base_url", F.lit("")), pages)
+    N.normalize_all(payloads.withColumn("url", F.lit("https://c/x")), dims)
+    SO.score_with_cache(J.new_postings_incremental(J.attach_scores(posts, scores), seen), scores)
+    jobs = list(sc.statusTracker().getJobIdsForGroup("build"))
     sc.setLocalProperty("spark.jobGroup.id", None)
+    assert not jobs
 
 
 def test_bucketed_stores_are_not_shuffled(spark):
