@@ -32,12 +32,24 @@ MAP = "map<string,string>"
 _PATH_BASE = 1_000_000
 
 
+def _opens(v: Column, bracket: str) -> Column:
+    # trimming copies the whole text, so only texts that begin with a space are trimmed
+    return F.coalesce(v.startswith(bracket) | (v.startswith(" ") & F.ltrim(v).startswith(bracket)), F.lit(False))
+
+
 def _is_obj(v: Column) -> Column:
-    return F.coalesce(F.ltrim(v).startswith("{"), F.lit(False))
+    return _opens(v, "{")
 
 
 def _is_list(v: Column) -> Column:
-    return F.coalesce(F.ltrim(v).startswith("["), F.lit(False))
+    return _opens(v, "[")
+
+
+def _computed(df: DataFrame, keep, **cols: Column) -> DataFrame:
+    """``keep`` and the computed ``cols``, as a one-row generator: filters above it
+    read its output, where below a projection they would repeat the expressions."""
+    got = df.select(*keep, F.explode(F.array(F.struct(*[c.alias(n) for n, c in cols.items()]))).alias("__c"))
+    return got.select(*keep, *[F.col(f"__c.{n}").alias(n) for n in cols])
 
 
 def _get(m: Column, keys) -> Column:
@@ -63,8 +75,9 @@ def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
     One chain of ``posexplode`` steps: at level d an object row is replaced by
     its allowed object/list children (the entries of its parsed map) and a list
     row found earlier passes through as a single self-entry, so each level is
-    computed once, inside one stage (generator + plain column expressions, all
-    in whole-stage codegen), with no union of branches and nothing persisted."""
+    computed once, inside one stage (generator + plain column expressions), with
+    no union of branches and nothing persisted. The outer form adds no filter that
+    would parse every object a second time; its empty rows fail the edge rule."""
     promising = list(promising)
     prom_map = F.create_map(*[x for i, k in enumerate(promising) for x in (F.lit(k), F.lit(i))])
     keep_cols = [doc_id, *carry]
@@ -73,7 +86,7 @@ def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
     rows = rows.filter(F.col("obj") | _is_list(F.col("v")))
     for d in range(max_depth):
         entries = F.when(F.col("obj"), F.from_json("v", MAP)).otherwise(F.create_map(F.lit(_SELF), F.col("v")))
-        ex = rows.select(*keep_cols, "depth", "path", F.posexplode(entries).alias("pos", "key", "val"))
+        ex = rows.select(*keep_cols, "depth", "path", F.posexplode_outer(entries).alias("pos", "key", "val"))
         is_self = F.col("key") == _SELF
         pidx = F.try_element_at(prom_map, F.col("key"))
         step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + F.col("pos"))
@@ -94,35 +107,37 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
         (F.min_by("careers_url", "ord") if "ord" in companies.columns else F.min("careers_url")).alias("careers_url"))
     # the employer travels with every node, so found items need no join back to their document
     lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, carry=["company"])
-    items = lists.select(doc_id, "company", "depth", "path", F.from_json("v", "array<string>").alias("items"))
-    first = F.from_json(F.try_element_at("items", F.lit(1)), MAP)
-    first_keys = F.coalesce(F.map_keys(first), F.array().cast("array<string>"))
+    items = _computed(lists, [doc_id, "company", "path"], items=F.from_json("v", "array<string>"))
+    items = _computed(items, [doc_id, "company", "path", "items"],
+                      keys=F.map_keys(F.from_json(F.try_element_at("items", F.lit(1)), MAP)))
+    first_keys = F.coalesce("keys", F.array().cast("array<string>"))
     looks = F.arrays_overlap(first_keys, F.array(*[F.lit(k) for k in (*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS)]))
     cands = items.filter(F.coalesce(F.size("items") > 0, F.lit(False)) & _is_obj(F.try_element_at("items", F.lit(1))) & looks)
-    rows = cands.select(doc_id, "company", "path", F.posexplode("items").alias("ipos", "item")).filter(
+    rows = cands.select(doc_id, "company", "path", F.posexplode_outer("items").alias("ipos", "item")).filter(
         _is_obj(F.col("item")))
     # parse each item once; every key probe below reads the parsed map column
-    rows = rows.join(dims, "company").withColumn("m", F.from_json("item", MAP))
+    rows = _computed(rows.join(dims, "company"), [doc_id, "company", "careers_url", "path", "ipos"],
+                     m=F.from_json("item", MAP))
     m = F.col("m")
     title_raw = _get(m, C.JSON_TITLE_KEYS)
     loc_raw = _get(m, C.JSON_LOCATION_KEYS)
-    rows = rows.select(doc_id, "company", "careers_url", "path", "ipos", "m",
-                       F.when(_is_obj(title_raw), F.from_json(title_raw, MAP)).alias("tm"), title_raw.alias("tr"),
-                       F.when(_is_obj(loc_raw), F.from_json(loc_raw, MAP)).alias("lm"), loc_raw.alias("lr"),
-                       F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit("")).alias("link"))
+    kept = [doc_id, "company", "careers_url", "path", "ipos", "m"]
+    rows = _computed(rows, kept, tr=title_raw, lr=loc_raw, link=F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit("")))
+    rows = _computed(rows, [*kept, "tr", "lr", "link"],
+                     tm=F.when(_is_obj(F.col("tr")), F.from_json("tr", MAP)),
+                     lm=F.when(_is_obj(F.col("lr")), F.from_json("lr", MAP)))
     title = F.trim(F.when(F.col("tm").isNotNull(), F.coalesce(_get(F.col("tm"), C.JSON_TITLE_OBJECT_KEYS), F.lit("")))
                    .otherwise(F.coalesce(F.col("tr"), F.lit(""))))
     loc = F.trim(F.when(F.col("lm").isNotNull(), F.coalesce(_get(F.col("lm"), C.JSON_LOCATION_OBJECT_KEYS), F.lit("")))
                  .otherwise(F.coalesce(F.col("lr"), F.lit(""))))
-    rows = rows.select(doc_id, "company", "careers_url", "path", "ipos", "m", title.alias("job_title"),
-                       loc.alias("loc"), resolve_url(F.col("link"), F.col("careers_url")).alias("job_url"))
+    rows = _computed(rows, [*kept, "link"], job_title=title, loc=loc)
     careers_nl = P.is_location(F.col("careers_url"), profile)
     loc_ok = F.when(F.col("loc") == "", careers_nl).otherwise(
         F.lower("loc").isin("remote", "hybrid", "") | P.is_location(F.col("loc"), profile, compact=True))
-    kept = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)
-                       & loc_ok)
+    hits = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)
+                       & loc_ok).withColumn("job_url", resolve_url(F.col("link"), F.col("careers_url"))).drop("link")
     w = Window.partitionBy(doc_id, "job_url").orderBy("path", "ipos")
-    firsts = kept.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
+    firsts = hits.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
     if max_rows is not None:
         firsts = firsts.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id).orderBy("path", "ipos"))) \
             .filter(F.col("__k") <= max_rows).drop("__k")
