@@ -44,14 +44,18 @@ def unescape_native(c: Column) -> Column:
     at its ampersands and each piece starts with a reference or keeps its '&'."""
     names = F.str_to_map(F.lit(_named_entities()), F.lit("\u0001"), F.lit("\u0002"))
 
-    def piece(p: Column) -> Column:
+    # reference and piece side by side: a lambda's body repeats what it names twice
+    def cut(p: Column) -> Column:
         name = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
+        return F.struct(name.alias("name"), p.alias("p"))
+
+    def piece(x: Column) -> Column:
+        name, p = x["name"], x["p"]
         char = F.when(name.startswith("#"), _numeric_entity(name)).when(name != "", F.try_element_at(names, name))
         return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
 
-    parts = F.split(c, "&")
-    rest = F.transform(F.slice(parts, F.lit(2), F.size(parts)), piece)
-    return F.when(c.contains("&"), F.concat(parts[0], F.array_join(rest, ""))).otherwise(c)
+    rest = F.transform(F.transform(F.slice(F.split(c, "&"), 2, 2**30), cut), piece)
+    return F.when(c.contains("&"), F.concat(F.substring_index(c, "&", 1), F.array_join(rest, ""))).otherwise(c)
 
 
 def _unescape_full_udf():
