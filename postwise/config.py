@@ -188,6 +188,11 @@ URL_FORMATS = {
     "bitvavo_list": "https://jobs.bitvavo.com/find-your-role",
 }
 
+# Query parameters of the icims search and the categories it is asked for.
+ICIMS_PARAMS = (("location", "Netherlands"), ("woe", "12"), ("regionCode", "NL"), ("stretchUnit", "MILES"),
+                ("stretch", "25"))
+ICIMS_CATEGORIES = ("Engineering", "Machine Learning")
+
 # ---------------------------------------------------------------------------
 # Text patterns (Java regex syntax; they must match what the
 # original extraction rules match)

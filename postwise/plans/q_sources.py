@@ -270,3 +270,37 @@ def request_plan(spark, sf):
     """the request URL of every employer (a fetch plan)."""
     dim = PL.company_dimension(fixture(spark, sf, "fx_company"))
     return PL.request_plan(dim).select("ord", "source_type", "request_url")
+
+
+_FORMATS = ("greenhouse", "icims", "lever", "smartrecruiters", "ashby", "recruitee", "workday", "kpmg_lunr", "bitvavo",
+            "picnic", "homerun", "spa", "html")
+
+
+@query("request_plan_formats", fixtures=["fx_company"], oracle=f"""
+, c AS (SELECT *, list_extract({list(_FORMATS)}, CAST(ord % {len(_FORMATS)} + 1 AS INTEGER)) AS kind FROM fx_company),
+t AS (SELECT *, unnest(CASE WHEN kind = 'icims' THEN ['Engineering', 'Machine+Learning'] ELSE [''] END) AS term FROM c)
+SELECT ord, kind AS source_type, CASE kind
+  WHEN 'greenhouse' THEN 'https://boards-api.greenhouse.io/v1/boards/' || board || '/jobs?content=true'
+  WHEN 'icims' THEN jd_base_url || '?location=Netherlands&woe=12&regionCode=NL&stretchUnit=MILES&stretch=25&categories='
+     || term || '&page=2'
+  WHEN 'lever' THEN 'https://api.lever.co/v0/postings/' || board || '?mode=json'
+     || CASE WHEN coalesce(location_filter, '') <> '' THEN '&location=' || replace(url_encode(location_filter), '%2F', '/') ELSE '' END
+  WHEN 'smartrecruiters' THEN 'https://api.smartrecruiters.com/v1/companies/' || board || '/postings?limit=100&country=NLD'
+  WHEN 'ashby' THEN 'https://api.ashbyhq.com/posting-api/job-board/' || board
+  WHEN 'recruitee' THEN 'https://' || board || '.recruitee.com/api/offers/'
+  WHEN 'workday' THEN 'https://' || board || '.wd5.myworkdayjobs.com/wday/cxs/' || board || '/' || board || '/jobs'
+  WHEN 'kpmg_lunr' THEN 'https://www.werkenbijkpmg.nl/en/_lunr/vacancies_en'
+  WHEN 'bitvavo' THEN 'https://jobs.bitvavo.com/find-your-role'
+  ELSE careers_url END AS request_url
+FROM t
+UNION ALL SELECT ord, 'detail', 'https://boards-api.greenhouse.io/v1/boards/' || board || '/jobs/' || nullif(kvk, '')
+FROM fx_company WHERE kvk <> ''""")
+def request_plan_formats(spark, sf):
+    """second-page requests of every format, and the detail requests of listed jobs."""
+    rows = fixture(spark, sf, "fx_company")
+    kind = F.element_at(F.array(*[F.lit(t) for t in _FORMATS]), (F.col("ord") % len(_FORMATS) + 1).cast("int"))
+    named = rows.withColumn("source_type", kind).withColumn("api_url", F.col("jd_base_url"))
+    dim = PL.company_dimension(named, ("board", "location_filter", "api_url"))
+    details = PL.detail_requests(rows.select("ord", F.lit("detail").alias("source_type"), "board", F.col("kvk").alias("job_id")))
+    cols = ["ord", "source_type", "request_url"]
+    return PL.request_plan(dim, page=2).select(*cols).unionAll(details.select(*cols))

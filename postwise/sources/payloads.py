@@ -9,6 +9,8 @@ at most ``page_size`` postings), the way a paging API delivers them.
 
 from __future__ import annotations
 
+from urllib.parse import urlencode
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -80,8 +82,9 @@ def paged_prefix(pages: DataFrame, term: str = "term", page: str = "page", n: st
     return j.filter(keep).drop("__first_bad", "__last_ok")
 
 
-def request_plan(companies: DataFrame) -> DataFrame:
-    """the request URL each employer's format would fetch (a fetch plan)."""
+def request_plan(companies: DataFrame, page: int = 1) -> DataFrame:
+    """the request URLs each employer's format would fetch (a fetch plan): one
+    row per employer, for icims one per category (``term``), at ``page``."""
     p = F.col("params")
     board = F.coalesce(F.try_element_at(p, F.lit("board")), F.lit(""))
     loc = F.try_element_at(p, F.lit("location_filter"))
@@ -106,10 +109,23 @@ def request_plan(companies: DataFrame) -> DataFrame:
            .when(F.col("source_type") == "recruitee", fmt(C.URL_FORMATS["recruitee_list"], board=board))
            .when(F.col("source_type") == "workday",
                  fmt(C.URL_FORMATS["workday_list"], tenant=tenant, num=wd_num, board=wd_board))
+           .when(F.col("source_type") == "icims", F.concat(
+               F.coalesce(F.try_element_at(p, F.lit("api_url")), F.lit("")),
+               F.lit("?" + urlencode(C.ICIMS_PARAMS) + "&categories="), F.url_encode("term"), F.lit(f"&page={page}")))
            .when(F.col("source_type") == "kpmg_lunr", F.lit(C.URL_FORMATS["kpmg_list"]))
            .when(F.col("source_type") == "bitvavo", F.lit(C.URL_FORMATS["bitvavo_list"]))
            .otherwise(F.col("careers_url")))
-    return companies.withColumn("request_url", url)
+    terms = F.when(F.col("source_type") == "icims", F.array(*[F.lit(c) for c in C.ICIMS_CATEGORIES])).otherwise(
+        F.array(F.lit("")))
+    return companies.withColumn("term", F.explode(terms)).withColumn("request_url", url)
+
+
+def detail_requests(listed: DataFrame, board: str = "board", job_id: str = "job_id") -> DataFrame:
+    """the URL of each listed greenhouse job's own record; jobs without an id have none."""
+    before, between = C.URL_FORMATS["greenhouse_detail"].removesuffix("{id}").split("{board}")
+    ident = truthy(F.col(job_id).cast("string"))
+    url = F.concat(F.lit(before), F.coalesce(F.col(board), F.lit("")), F.lit(between), ident)
+    return listed.filter(ident.isNotNull()).withColumn("request_url", url)
 
 
 def company_dimension(rows: DataFrame, param_cols=("board", "location_filter")) -> DataFrame:
