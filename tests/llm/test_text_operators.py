@@ -218,6 +218,15 @@ def test_main_text_of_a_page():
     assert htmltext.blocks("<article>" + "x " * 50_000 + "</article>")[0] == [" ".join(["x"] * 50_000)]
 
 
+def test_class_names_of_neighbours_do_not_drop_the_article():
+    for begin, end in (('<main class="with-sidebar">', "</main>"), ('<article class="post has-comments">', "</article>"),
+                       ('<article class="post-comments-open">', "</article>"),
+                       ('<article><div class="content no-sidebar">', "</div></article>")):
+        assert htmltext.blocks(f"{begin}<p>kept</p>{end}") == (["kept"], [])
+    page = '<article>kept<article class="comment-body">reply</article><div class="left-sidebar">menu</div></article>'
+    assert htmltext.blocks(page) == (["kept"], [])
+
+
 def test_main_text_of_all_pages(spark):
     """The pages' articles, cut by a plain reading of their known layout."""
     import html
