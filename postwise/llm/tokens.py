@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import json
 import os
+import string
 import struct
 import zlib
 from collections.abc import Iterator
@@ -37,7 +38,7 @@ from .sharedio import reading, writing
 MAGIC = b"PWTOKEF1"
 _FOOT = struct.Struct("<QQQQQqBxxxxxxx8s")  # ids end, bounds end, docs end, documents, nulls, least id, id width, magic
 CACHE_WORDS = 500_000
-_CLOSING = ".,;:!?#*$%&|<>)"
+_CLOSING = string.punctuation
 _CACHED_LENGTH = 64
 
 
@@ -55,7 +56,9 @@ class Encoder:
         self.special = [t["content"] for t in spec.get("added_tokens") or []]
         pre = spec.get("pre_tokenizer") or {}
         # cutting at single spaces is known to be safe for this pre-tokenizer only
-        self.cuts = pre.get("type") == "ByteLevel" and not pre.get("add_prefix_space") and not spec.get("normalizer")
+        self.cuts = (pre.get("type") == "ByteLevel" and pre.get("use_regex", True)
+                     and not pre.get("add_prefix_space") and not spec.get("normalizer"))
+        self.ends: dict[str, bool] = {}  # whether a stretch ends between a character and punctuation
         vocab = self.tokenizer.get_vocab(with_added_tokens=True)
         self.opens_word = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         self.opens_word[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
@@ -94,12 +97,23 @@ class Encoder:
             return None
         return ("\t" + text).replace("\n", " \n").split(" ")
 
+    def _bare(self, word: str) -> str:
+        """``word`` without its closing punctuation where that is a stretch of its
+        own: after a letter or number, as the library sees them. After any other
+        symbol (a dash, a quote of another script) both are one stretch."""
+        bare = word.rstrip(_CLOSING)
+        if not bare or len(bare) == len(word):
+            return bare
+        ends = self.ends.get(bare[-1])
+        if ends is None:
+            ends = self.ends[bare[-1]] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(bare[-1] + ".")) > 1
+        return bare if ends else word
+
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
         """Ids of words that the table lacks; the table keeps them while it has room."""
         got: dict[str, bytes] = {}
         lone = [w for w in missing if w[0] in "\t\n"]  # not after a space
-        # a word's closing punctuation is always a stretch of its own
-        bare = {w: w.rstrip(_CLOSING) for w in missing if w[0] not in "\t\n"}
+        bare = {w: self._bare(w) for w in missing if w[0] not in "\t\n"}
         whole = [w for w, b in bare.items() if not b]
         bases = list({b for b in bare.values() if b and b not in self.spaced})
         tails = {w[len(b):] for w, b in bare.items() if b and len(b) < len(w)}

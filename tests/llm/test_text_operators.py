@@ -69,6 +69,20 @@ def test_word_wise_encoding_equals_the_library():
     assert [np.frombuffer(b, enc.kind).tolist() for b in enc.encode(texts)] == want
 
 
+def test_closing_punctuation_after_symbols():
+    """Quotes, brackets, dashes and marks before closing punctuation are one stretch with it."""
+    import string
+
+    enc = tokens.Encoder(tokens.default_tokenizer(), cache_words=200)
+    rng = random.Random(5)
+    texts = ['He said "word". Then (a]. left', 'a "word", b', "say foo'. or foo-. or foo's. end", "x e\u0301. y\u2019. z\u2014, 5\u00bd. \u2163."]
+    bits = [*string.punctuation, "a", "word", "'s", "'t", "9", "\u00bd", "\u2019", "\u2014", "\u0301", "\u6f22", " ", " ", " ", "\n"]
+    texts += [" ".join("".join(rng.choice(bits) for _ in range(rng.randint(1, 30))).split()) for _ in range(4000)]
+    assert all(enc.cut(t) for t in texts if t and "<|endoftext|>" not in t)
+    want = [e.ids for e in enc.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    assert [np.frombuffer(b, enc.kind).tolist() for b in enc.encode(texts)] == want
+
+
 def test_shard_random_access(spark, docs, tmp_path):
     manifest = tokens.write_shards(docs, tokens.default_tokenizer(), str(tmp_path / "t")).collect()
     reader = tokens.ShardReader(manifest[0]["path"])
