@@ -241,6 +241,16 @@ def test_class_names_of_neighbours_do_not_drop_the_article():
     assert htmltext.blocks(page) == (["kept"], [])
 
 
+def test_stray_quotes_in_tags_lose_no_text():
+    for tag in ("<p title=it's>", '<p title="5" disc">', "<p title='a>b' it's>", "<p '>", "<p title=a=\"b>", '<p title = "x>y">',
+                "<p title=a/>", '<p ="x">'):
+        assert htmltext.blocks(f"<article>{tag}first words</p><p>don't</p><p>\"kept\"</p></article>") == (
+            ["first words", "don't", '"kept"'], []), tag
+    assert htmltext.blocks('<article><p title="never closed>a</p><p>b</p></article>') == (["a", "b"], [])
+    assert htmltext.blocks('<article>kept<div class=ad id=x>gone</div><div data-x=\'"\' class="menu">gone</div></article>') == (
+        ["kept"], [])
+
+
 def test_main_text_of_all_pages(spark):
     """The pages' articles, cut by a plain reading of their known layout."""
     import html
