@@ -241,6 +241,24 @@ def test_class_names_of_neighbours_do_not_drop_the_article():
     assert htmltext.blocks(page) == (["kept"], [])
 
 
+def test_wrappers_and_compound_names_do_not_drop_the_article():
+    for begin, end in (('<div class="content-sidebar-wrap"><main>', "</main></div>"),
+                       ('<div class="layout-sidebar-right"><article>', "</article></div>"),
+                       ('<div class="sidebar"><article>', "</article></div>"),
+                       ('<div class="menu"><main>', "</main></div>"),
+                       ('<form id="aspnetForm"><div role="main">', "</div></form>"),
+                       ('<form><article>', "</article></form>")):
+        assert htmltext.blocks(f"<p>site</p>{begin}<p>kept</p>{end}") == (["kept"], []), begin
+    for begin, end in (('<section id="related-work">', "</section>"), ('<div class="social-studies">', "</div>"),
+                       ('<table class="share-prices"><tr><td>', "</td></tr></table>")):
+        assert htmltext.blocks(f"<article><p>a</p>{begin}kept{end}</article>") == (["a", "kept"], []), begin
+    assert htmltext.blocks("<form><p>whole page</p></form>") == ([], ["whole page"])
+    assert htmltext.blocks("<main><form><p>whole page</p></form></main>") == ([], ["whole page"])
+    page = '<div class="sidebar"><article>teaser</article></div><article>kept<div class="related-posts"><article>x</article></div></article>'
+    assert htmltext.blocks(page) == (["kept"], [])
+    assert htmltext.blocks('<aside><article>teaser</article></aside><p>open</p>') == ([], ["open"])
+
+
 def test_stray_quotes_in_tags_lose_no_text():
     for tag in ("<p title=it's>", '<p title="5" disc">', "<p title='a>b' it's>", "<p '>", "<p title=a=\"b>", '<p title = "x>y">',
                 "<p title=a/>", '<p ="x">'):
