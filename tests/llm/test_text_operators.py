@@ -298,6 +298,27 @@ def test_host_boilerplate_is_removed_from_open_pages(spark):
     assert htmltext.main_text(df.limit(0)).count() == 0
 
 
+def test_quotes_and_near_copies_stay_in_open_pages(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("abcdefghij") for _ in range(6)) for _ in range(900)]
+    prose = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    menu, quote, article, shared = prose(12), prose(14), prose(400), prose(30)
+    bodies = [prose(150) for _ in range(8)]
+    bodies[0] += " " + quote + " " + prose(60)
+    bodies[1] += " " + quote + " " + prose(90)
+    bodies += [article, article + " updated"]
+    rows = [(i, f"https://h.example/{i}", f"<div>{menu}</div><p>{b}</p>") for i, b in enumerate(bodies)]
+    rows += [(100 + i, u, f"<p>{shared}</p><p>{prose(40)}</p>") for i, u in enumerate([None, None, None, "", "one.example/a", "two.example:80/b", "x y"])]
+    rows += [(200 + i, f"{p}Bare.example/{i}", f"<p>{menu}</p><p>{prose(150)}</p>") for i, p in enumerate(["", "//", "http://u@", ""])]
+    html = {r[0]: r[2] for r in rows}
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(10)] == bodies
+    for i in range(100, 107):
+        assert got[i].startswith(shared)
+    for i in range(200, 204):
+        assert got[i] == html[i].split("<p>")[2][:-4]
+
+
 # ---- 10: WARC
 
 def test_bundles_round_trip_and_random_access(spark, tmp_path):
