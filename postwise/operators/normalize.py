@@ -709,9 +709,13 @@ def registry() -> dict:
 JSON_TYPES = ("greenhouse", "icims", "lever", "smartrecruiters", "ashby", "recruitee", "kpmg_lunr", "workday")
 
 
-def rejected_payloads(payloads: DataFrame) -> DataFrame:
+def rejected_payloads(payloads: DataFrame, types=None) -> DataFrame:
     """Payloads no normaliser can read, with the reason: no body at all, or
-    a body of a JSON format that is not valid JSON."""
+    a body of a JSON format that is not valid JSON. ``types`` as in ``normalize_all``."""
+    if types:
+        kind = F.coalesce(F.col("source_type"), F.lit(""))
+        other = ~kind.isin(*[t for t in registry() if t != "html"]) & F.lit("html" in types)
+        payloads = payloads.filter(kind.isin(*[t for t in types if t != "html"]) | other)
     body = F.coalesce(F.trim("body"), F.lit(""))
     broken = F.col("source_type").isin(*JSON_TYPES) & F.try_parse_json("body").isNull()
     reason = F.when(body == "", F.lit("empty")).when(broken, F.lit("malformed"))

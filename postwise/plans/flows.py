@@ -35,6 +35,7 @@ class IngestResult:
     snapshot: DataFrame          # merged posting table (stamped + carried)
     sponsors: DataFrame | None   # register with updated careers URLs (J6)
     path: str | None             # where the snapshot version was written
+    rejected: DataFrame | None = None  # payloads no normaliser can read, with the reason (P22)
 
 
 def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, seen: DataFrame, as_of,
@@ -45,7 +46,8 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
     with the previous snapshot (J5). With ``refreshed`` (an employer subset run)
     the other employers' rows are kept (J8) and only stamping happens (no carry).
     With ``store`` the merged snapshot is written as ``version`` of a keyed store
-    (bucketed on the key), which the next run reads without a shuffle."""
+    (bucketed on the key), which the next run reads without a shuffle. Payloads
+    without a readable body are returned as ``rejected``."""
     fresh = N.normalize_all(payloads, companies, profile, types=types).drop("source_type")
     # snapshot order: employer, page, position (21, 14 and 28 bits), so no two employers tie
     place = companies.groupBy(F.col("ind_name").alias("company")).agg(F.min("ord").cast("long").alias("__ord"))
@@ -60,7 +62,7 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
     if store is not None:
         path = store.write(merged, version if version is not None else 0)
     updated = J.sponsor_update(sponsors, companies) if sponsors is not None else None
-    return IngestResult(merged, updated, path)
+    return IngestResult(merged, updated, path, N.rejected_payloads(payloads, types))
 
 
 def aggregator_ingest(rows: DataFrame, prev: DataFrame, seen: DataFrame, as_of,

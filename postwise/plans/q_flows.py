@@ -9,7 +9,7 @@ from . import flows as FL
 from . import sqlgen as Q
 from .catalog import query
 from .q_merge import AS_OF_MERGE, CUTOFF_MERGE
-from .q_normalize import (_BASE_SQL, _GH_SQL, _LV_LOC, dims, greenhouse_pages, lever_pages)
+from .q_normalize import (_BASE_SQL, _GH_SQL, _LV_LOC, dims, greenhouse_pages, html_pages, lever_pages)
 
 
 def _ingest_oracle() -> str:
@@ -43,3 +43,25 @@ def portal_ingest_counts(spark, sf):
     run = FL.portal_ingest(gh.unionByName(lv), dims(spark, sf), prev, seen, AS_OF_MERGE, types=["greenhouse", "lever"])
     return run.snapshot.groupBy("company").agg(
         F.count(F.lit(1)).alias("n_jobs"), F.count_if(F.coalesce("stale", F.lit(False))).alias("n_stale"))
+
+
+@query("portal_ingest_rejects", fixtures=["fx_posting", "fx_company", "fx_prev", "fx_seen"], oracle=_BASE_SQL + """
+, pg AS (SELECT DISTINCT company, source_type, CAST(floor(seq / 64) AS INTEGER) AS page FROM base
+  WHERE source_type IN ('greenhouse', 'lever', 'html', 'other'))
+SELECT company, source_type, page, CASE WHEN page % 5 = 1 THEN 'malformed' ELSE 'empty' END AS reason FROM pg
+WHERE page % 5 IN (2, 3) OR (page % 5 = 1 AND source_type IN ('greenhouse', 'lever'))""")
+def portal_ingest_rejects(spark, sf):
+    """P22 of an ingest run: of every five pages one body is cut short, one null
+    and one blank; the run returns them with the reason."""
+    c = fixture(spark, sf, "fx_company").select(F.col("ind_name").alias("company"), "source_type")
+    parts = [pages(spark, sf).select("company", "page", "body").join(c, "company").filter(F.col("source_type").isin(*kinds))
+             for pages, kinds in ((greenhouse_pages, ["greenhouse"]), (lever_pages, ["lever"]), (html_pages, ["html", "other"]))]
+    payloads = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    turn = F.col("page") % 5
+    cut = F.col("body").substr(F.lit(1), F.length("body") - 1)
+    broken = F.when(turn == 1, cut).when(turn == 3, F.lit("  ")).when(turn != 2, F.col("body"))
+    c = fixture(spark, sf, "fx_company").select(F.col("ind_name").alias("company"), F.col("careers_url").alias("url"))
+    payloads = payloads.withColumn("body", broken).join(c, "company")
+    prev, seen = fixtures(spark, sf, "fx_prev", "fx_seen")
+    run = FL.portal_ingest(payloads, dims(spark, sf), prev, seen, AS_OF_MERGE, types=["greenhouse", "lever", "html"])
+    return run.rejected.select("company", "source_type", F.col("page").cast("int").alias("page"), "reason")

@@ -70,3 +70,18 @@ def test_ingest_runs_over_a_keyed_store(spark):
     a = sorted(tuple(r) for r in again.snapshot.select(*cols).collect())
     b = sorted(tuple(r) for r in plain.snapshot.select(*cols).collect())
     assert a == b and len(a) > 0
+
+
+def test_portal_ingest_returns_rejected_payloads(spark):
+    from postwise.operators import normalize as N
+    from postwise.plans.q_normalize import dims
+
+    rows = [("A", "greenhouse", 0, "u", '{"jobs": []}'), ("B", "lever", 0, "u", "[{"), ("C", None, 0, "u", None),
+            ("D", "odd", 0, "u", " "), ("E", "workday", 0, "u", "{"), ("F", "html", 0, "u", "<p>no JSON {")]
+    payloads = spark.createDataFrame(rows, "company string, source_type string, page int, url string, body string")
+    found = lambda types: sorted((r.company, r.reason) for r in N.rejected_payloads(payloads, types).collect())
+    assert found(None) == [("B", "malformed"), ("C", "empty"), ("D", "empty"), ("E", "malformed")]
+    assert found(["lever"]) == [("B", "malformed")] and found(["html"]) == [("C", "empty"), ("D", "empty")]
+    prev, seen = fixtures(spark, SMALL, "fx_prev", "fx_seen")
+    run = FL.portal_ingest(payloads, dims(spark, SMALL), prev, seen, "1998-01-20", types=["greenhouse", "lever", "html"])
+    assert sorted(r.company for r in run.rejected.collect()) == ["B", "C", "D"]
