@@ -139,6 +139,23 @@ def test_language_odd_rows(odd_docs, no_docs):
     assert langid.identify_documents(no_docs).count() == 0
 
 
+def test_language_samples_cover_whole_distinct_texts(spark):
+    rng = random.Random(4)
+    word = lambda k: "".join(rng.choice(k) for _ in range(7))
+    header = " ".join(word("xyz") for _ in range(120))  # over 600 characters before every text
+    bodies = [" ".join(f"{word('abcde')}" for _ in range(300)) for _ in range(300)]
+    rows = [(i, f"{header} {b}", "aa") for i, b in enumerate(bodies)]
+    copy = " ".join(word("pqr") for _ in range(300))
+    rows += [(1000 + i, copy, "aa") for i in range(900)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    got = langid.sample(df)
+    assert got == langid.sample(df.repartition(7)) and len(got["aa"]) <= 131072
+    words = set(got["aa"].decode().split())
+    inside = [sum(w in words for w in set(b.split())) for i, b in enumerate(bodies) if zlib.crc32(str(i).encode()) % 4 != 2]
+    assert min(inside) > 10  # every text has its share, from behind the header
+    assert got["aa"].count(b"p") + got["aa"].count(b"q") + got["aa"].count(b"r") <= 650  # the copies count once
+
+
 # ---- 5: SentencePiece
 
 def library(kind=None):
