@@ -12,7 +12,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from ..session import prepare
-from . import htmltext, langid, mixing, quality, rules, simhash, spiece, tokens, topk, warc
+from . import (chat, filteraudit, htmltext, langid, merkle, mixing, quality, rules, simhash, spiece, tokens, topk,
+               warc)
 from .common import F
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -177,3 +178,132 @@ def op10_warc(spark, sf_dir):
     """All pages as WARC records in seekable bundles, read back."""
     got = warc.archive_pages(table(spark, sf_dir, "pages"))
     return got.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+_OP11_SQL = r"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text, role AS r, text AS t
+           FROM conversations
+           UNION ALL SELECT -1, x.turn, x.role, '</s>[INST] ok [/INST]', x.role, '</s>[INST] ok [/INST]'
+           FROM (VALUES (0, 'user'), (1, 'assistant')) x(turn, role)),
+n AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, r NULLS FIRST,
+                                   sha256(t) NULLS FIRST) AS pos FROM c),
+e AS (SELECT *, length(regexp_replace(text, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|AS\])', '\1\2\\\3', 'g')) AS body,
+             length(regexp_replace(role, '([<\[])(\\*)(/?s>|/?INST\]|/?SYS\]|/?ROLE\]|AS\])', '\1\2\\\3', 'g')) AS head
+      FROM n)
+SELECT conv_id, count(*) AS n_turns,
+       sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY pos)) AS turns_sha256,
+       CAST(sum(CASE WHEN role = 'assistant' THEN length(text) ELSE 0 END) AS BIGINT) AS loss_chars,
+       sha256(string_agg(CASE WHEN role = 'assistant' THEN text ELSE '' END, '' ORDER BY pos)) AS loss_sha256,
+       CAST(sum(body + CASE role WHEN 'user' THEN 15 WHEN 'system' THEN 13 WHEN 'assistant' THEN 9
+                       ELSE 21 + head END) AS BIGINT) AS formatted_chars
+FROM e GROUP BY conv_id
+"""
+
+
+@query(sql=_OP11_SQL)
+def op11_chat(spark, sf_dir):
+    """All conversations, and conversation -1 whose texts hold control strings,
+    formatted as reply trees of one branch and read back."""
+    said = spark.sql("SELECT -1L AS conv_id, turn, role, '</s>[INST] ok [/INST]' AS text "
+                     "FROM VALUES (0L, 'user'), (1L, 'assistant') AS v(turn, role)")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    return chat.format_conversations(turns.unionByName(said))
+
+
+_OP12_SQL = r"""
+WITH RECURSIVE
+f AS (SELECT doc_id, source, text,
+        coalesce(octet_length(encode(CAST(doc_id AS VARCHAR))) || ':' || doc_id, '-')
+        || coalesce(octet_length(encode(source)) || ':' || source, '-')
+        || coalesce(octet_length(encode(lang)) || ':' || lang, '-')
+        || coalesce(octet_length(encode(CAST(n_chars AS VARCHAR))) || ':' || n_chars, '-') AS head,
+        replace(text, chr(10), '') AS cut,
+        -- lowest bit of the crc32 of the id as text, bit by bit
+        xor(list_reduce(list_concat([4294967295::BIGINT],
+              list_transform(string_split(coalesce(CAST(doc_id AS VARCHAR), ''), ''), lambda ch: ord(ch)::BIGINT)),
+            lambda c, b: list_reduce(list_concat([xor(c, b)], [0::BIGINT for i in range(8)]),
+                                     lambda v, z: xor(v >> 1, 3988292384 * (v & 1)))), 4294967295) & 1 AS odd
+      FROM documents),
+d AS (SELECT row_number() OVER () AS r, doc_id, source,
+        sha256(head || coalesce(octet_length(encode(text)) || ':' || text, '-')) AS leaf,
+        sha256(head || coalesce(octet_length(encode(CASE WHEN odd = 0 THEN cut ELSE text END)) || ':'
+               || CASE WHEN odd = 0 THEN cut ELSE text END, '-')) AS changed FROM f),
+g AS (SELECT source, row_number() OVER (ORDER BY source NULLS FIRST) - 1 AS gid, count(*) AS n FROM d GROUP BY source),
+placed AS (SELECT r, doc_id, leaf, changed, gid, n,
+             row_number() OVER (PARTITION BY gid ORDER BY doc_id NULLS FIRST, leaf) - 1 AS idx
+           FROM d JOIN g ON d.source IS NOT DISTINCT FROM g.source),
+tree AS (SELECT 0 AS lev, gid, idx, leaf AS digest, n FROM placed
+         UNION ALL
+         SELECT lev + 1, gid, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3
+         FROM tree WHERE n > 1 GROUP BY lev, gid, idx // 3, n),
+sub AS (SELECT gid, digest AS subroot, lev AS height FROM tree WHERE n = 1),
+top AS (SELECT 0 AS lev, gid AS idx, subroot AS digest, (SELECT count(*) FROM sub) AS n FROM sub
+        UNION ALL
+        SELECT lev + 1, idx // 3, sha256(string_agg(digest, '' ORDER BY idx)), (n + 2) // 3
+        FROM top WHERE n > 1 GROUP BY lev, idx // 3, n),
+lower AS (SELECT p.r, t.lev, t.digest, t.idx, p.idx // CAST(3 ** t.lev AS BIGINT) AS own
+          FROM placed p JOIN tree t ON t.gid = p.gid AND t.n > 1
+           AND t.idx // 3 = p.idx // CAST(3 ** (t.lev + 1) AS BIGINT)),
+upper AS (SELECT p.r, s.height + t.lev AS lev, t.digest, t.idx, p.gid // CAST(3 ** t.lev AS BIGINT) AS own
+          FROM placed p JOIN sub s USING (gid) JOIN top t ON t.n > 1
+           AND t.idx // 3 = p.gid // CAST(3 ** (t.lev + 1) AS BIGINT)),
+steps AS (SELECT r, lev, coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx < own), '') AS b,
+                 coalesce(string_agg(digest, '' ORDER BY idx) FILTER (idx > own), '') AS a
+          FROM (SELECT * FROM lower UNION ALL SELECT * FROM upper) GROUP BY r, lev),
+paths AS (SELECT r, list({'b': b, 'a': a} ORDER BY lev) AS path, string_agg(b || a, '' ORDER BY lev) AS proof
+          FROM steps GROUP BY r),
+done AS (SELECT p.doc_id, p.leaf, s.subroot, t.digest AS root, sha256(coalesce(proof, '')) AS proof_sha256,
+           list_reduce(list_concat([{'b': '', 'a': p.changed}], coalesce(path, [])),
+                       lambda x, y: {'b': '', 'a': sha256(y.b || x.a || y.a)}).a AS folded_root
+         FROM placed p JOIN sub s USING (gid) JOIN (SELECT digest FROM top WHERE n = 1) t ON true LEFT JOIN paths USING (r))
+SELECT *, folded_root = root AS verified FROM done
+"""
+
+
+@query(sql=_OP12_SQL)
+def op12_merkle(spark, sf_dir):
+    """Merkle manifest of all documents: proofs, and roots folded after tampering."""
+    return merkle.verify_documents(table(spark, sf_dir, "documents"))
+
+
+_OP13_SQL = r"""
+WITH RECURSIVE
+d AS (SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+             regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good,
+             max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+m AS (SELECT part, coalesce(good, 0) AS good, coalesce(toxic, 0) AS toxic,
+        CASE WHEN len(ws) < 50 THEN 1 ELSE 0 END
+        + CASE WHEN 100 * len(list_distinct(ws)) < 65 * len(ws) THEN 2 ELSE 0 END
+        + CASE WHEN 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 5 * length(text)
+               THEN 4 ELSE 0 END
+        + CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END
+        + CASE WHEN d.doc_id > min(d.doc_id) OVER (PARTITION BY text) THEN 16 ELSE 0 END AS mask
+      FROM d LEFT JOIN l USING (doc_id)),
+c AS (SELECT part, mask, count(*) AS n, sum(good) AS good, sum(toxic) AS toxic FROM m GROUP BY part, mask),
+letters AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS letter, unnest([1, 2, 4, 8, 16]) AS bit),
+walk AS (SELECT '' AS filter_order, 0 AS applied
+         UNION ALL SELECT filter_order || letter, applied | bit FROM walk JOIN letters ON applied & bit = 0),
+steps AS (SELECT filter_order, CAST(k AS INTEGER) AS step, filter_order[k] AS letter,
+                 CAST(1 << (ord(filter_order[k]) - 65) AS INTEGER) AS bit,
+                 CAST(list_sum([0] || [1 << (ord(filter_order[j]) - 65) for j in range(1, k)]) AS INTEGER) AS before
+          FROM (SELECT filter_order, unnest(range(1, 6)) AS k FROM walk WHERE length(filter_order) = 5)),
+r AS (SELECT part, filter_order, step, letter,
+        sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS kept,
+        sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN n ELSE 0 END) AS removed,
+        sum(CASE WHEN mask & bit != 0 AND mask & before != 0 THEN n ELSE 0 END) AS redundant,
+        sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS unique_fails,
+        sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN good ELSE 0 END) AS good_lost,
+        sum(CASE WHEN mask & bit != 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS toxic_lost
+      FROM c, steps GROUP BY ALL)
+SELECT part, filter_order, step, CAST(kept AS BIGINT) AS kept, CAST(removed AS BIGINT) AS removed,
+       CAST(redundant AS BIGINT) AS redundant, CAST(unique_fails AS BIGINT) AS unique_fails,
+       CAST(good_lost AS BIGINT) AS good_lost, CAST(toxic_lost AS BIGINT) AS toxic_lost,
+       CAST(sum(removed) OVER (PARTITION BY part, letter) AS BIGINT) AS shapley FROM r
+"""
+
+
+@query(sql=_OP13_SQL)
+def op13_filter_audit(spark, sf_dir):
+    """Counts of five filters in all 120 orders, per source."""
+    return filteraudit.audit_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
