@@ -147,8 +147,7 @@ def previous_by_key(prev: DataFrame, order: str = "seq") -> DataFrame:
 
 
 def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, retain: bool = True,
-                     retain_days: int = C.RETAIN_DAYS, prev_order: str = "seq",
-                     keep: list | None = None) -> DataFrame:
+                     retain_days: int = C.RETAIN_DAYS, prev_order: str = "seq") -> DataFrame:
     """Stamp every new row and, when ``retain``, carry forward recently seen
     previous rows that the new load lacks (flagged stale).
 
@@ -158,47 +157,30 @@ def stamp_and_retain(new: DataFrame, prev: DataFrame, seen: DataFrame, as_of, re
     * carried rows: previous key not among the new keys and
       first_truthy(last_seen, first_seen, seen date) >= as_of - retain_days.
 
-    Plan: the new load is reduced to its distinct keys (combined map-side), and
-    one full outer join per key — distinct new keys, the previous snapshot
-    (last row per key), each with its seen date: at most one row per key on
-    every side, so no key can skew it — yields both the stamp of each new key and
-    the carried rows. A snapshot and seen store bucketed on ``job_url``
-    (``sources.snapshots.write_bucketed``) are read without any shuffle. That
-    per-key table is persisted and read twice. The new rows pick up their stamp
-    with a many-to-one left join (AQE splits a hot key there).
+    Plan: the new rows take their stamp from the previous snapshot (last row per key,
+    its first_seen only) and the seen dates, two many-to-one left joins on one
+    partitioning of the rows (AQE splits a hot key). The carried rows are the
+    previous rows whose key the distinct new keys lack. A snapshot and seen store
+    bucketed on ``job_url`` (``sources.snapshots.write_bucketed``) are read without
+    any shuffle. Nothing is cached or written.
     """
-    from pyspark import StorageLevel
-
     today = as_of_date(as_of)
     cutoff = F.date_format(F.date_sub(as_of_ts(as_of).cast("date"), retain_days), "yyyy-MM-dd")
     prev1 = previous_by_key(prev, prev_order)
     prev_cols = [c for c in prev1.columns if c != KEY]
     keyed_new = with_key(new)
-    keys = keyed_new.select(KEY).distinct().withColumn("__in_new", F.lit(True))
     dates = seen_first_dates(seen)
-    # seen dates are joined to each side first: both sides and the dates are then
-    # partitioned on the key (a store bucketed on it is not shuffled at all), and
-    # the full outer join needs no further exchange
-    new_side = keys.join(dates.withColumnRenamed("__seen_date", "__d_new"), KEY, "left")
-    prev_side = prev1.select(KEY, F.struct(*prev_cols).alias("__p")).join(
-        dates.withColumnRenamed("__seen_date", "__d_prev"), KEY, "left")
-    per_key = (new_side.join(prev_side, KEY, "full_outer")
-               .withColumn("__seen_date", F.coalesce("__d_new", "__d_prev")).drop("__d_new", "__d_prev")
-               .persist(StorageLevel.MEMORY_AND_DISK))
-    if keep is not None:
-        keep.append(per_key)
-    stamp = per_key.filter(F.col("__in_new")).select(
-        KEY, first_truthy(F.col("__p.first_seen"), "__seen_date", default=today).alias("__stamp"))
-    stamped = (salt_empty_key(keyed_new).join(stamp, KEY, "left")
-               .withColumn("first_seen", F.coalesce("__stamp", today))
+    known = prev1.select(KEY, F.col("first_seen").alias("__first")).join(dates, KEY, "full_outer")
+    stamped = (salt_empty_key(keyed_new).join(known, KEY, "left")
+               .withColumn("first_seen", first_truthy("__first", "__seen_date", default=today))
                .withColumn("last_seen", today)
                .withColumn("stale", F.lit(None).cast("boolean"))
-               .drop("__stamp", KEY))
+               .drop("__first", "__seen_date", KEY))
     if not retain:
         return stamped
-    last = first_truthy(F.col("__p.last_seen"), F.col("__p.first_seen"), "__seen_date", default="")
-    carried = (per_key.filter(F.col("__in_new").isNull() & F.col("__p").isNotNull() & (last != "") & (last >= cutoff))
-               .select("__p.*").withColumn("stale", F.lit(True)))
+    last = first_truthy("last_seen", "first_seen", "__seen_date", default="")
+    carried = (prev1.join(keyed_new.select(KEY).distinct(), KEY, "left_anti").join(dates, KEY, "left")
+               .filter((last != "") & (last >= cutoff)).select(*prev_cols).withColumn("stale", F.lit(True)))
     return stamped.unionByName(carried, allowMissingColumns=True)
 
 

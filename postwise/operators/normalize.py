@@ -2,10 +2,14 @@
 
 Every normaliser takes landed payloads ``(company, page, body, ...)`` and the
 employer dimension ``(ind_name, careers_url, params)`` and returns postings. The
-shape is always the same: size-checked broadcast join with the dimension,
-``from_json`` with an explicit schema, ``posexplode`` (arrival order =
-(page, pos)), Column projections and the keyword filters. Malformed bodies parse
-to NULL and yield no rows (a failing source never stops the others).
+shape is always the same: join with the employer dimension, a typed reading of the
+body with an explicit schema, ``posexplode`` (arrival order = (page, pos)), Column
+projections and the keyword filters. Malformed bodies yield no rows (a failing source
+never stops the others).
+
+JSON bodies are read through a variant: the ``doc`` of payloads from a payload store
+(parsed once, when they landed), else the body parsed here. A field of another type
+than expected is null; the job it is in, and its neighbours, are kept.
 """
 
 from __future__ import annotations
@@ -18,6 +22,7 @@ from ..config import DEFAULT_PROFILE, Profile
 from ..functions import predicates as P
 from ..functions.text import first_email, html_to_text, unescape
 from ..functions.values import first_truthy, fmt_date, join_place, resolve_url, slug_to_title, truthy, with_country
+from ..sources.payload_store import payload_format
 from .dedup import dedup_coalesced_key, dedup_first_by_url, dedup_null_passthrough
 from .merge import last_pages, payload_company_join
 
@@ -60,6 +65,12 @@ def param(name: str, default: str = "") -> Column:
     return F.coalesce(F.try_element_at("params", F.lit(name)), F.lit(default))
 
 
+def _typed(payloads: DataFrame, schema: str) -> Column:
+    """The body read with ``schema``."""
+    doc = F.col("doc") if "doc" in payloads.columns else F.try_parse_json("body")
+    return F.try_variant_get(doc, "$", schema)
+
+
 def _explode(df: DataFrame, arr: Column, keep=("company", "careers_url", "params", "page")) -> DataFrame:
     return df.select(*keep, F.posexplode(arr).alias("pos", "j"))
 
@@ -86,7 +97,7 @@ GREENHOUSE = ("struct<jobs: array<struct<id: bigint, title: string, location: st
 def normalize_greenhouse(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Board JSON → postings (location AND role); description from the job's
     HTML content (the description ladder P13 handles short ones)."""
-    d = _explode(with_company(payloads, companies), F.from_json("body", GREENHOUSE)["jobs"])
+    d = _explode(with_company(payloads, companies), _typed(payloads, GREENHOUSE)["jobs"])
     j = F.col("j")
     title, loc = _txt(j["title"]), _txt(j["location"]["name"])
     kept = d.filter(P.is_location(loc, profile) & P.is_target_role(title, profile))
@@ -101,7 +112,7 @@ def normalize_greenhouse(payloads: DataFrame, companies: DataFrame, profile: Pro
     return kept.select(*posting(job_title=title, location=with_country(loc), job_url=url,
                                 date_posted=fmt_date(first_truthy(j["first_published"], j["updated_at"])),
                                 recruiter_email=email, description=desc, notes=F.lit(notes)),
-                       j["content"].alias("content"), has_id.alias("has_id"))
+                       j["content"].alias("content"), has_id.alias("has_id"), param("jd_base_url").alias("jd_base_url"))
 
 
 # ----------------------------------------------------------------- N2 icims
@@ -118,7 +129,7 @@ def normalize_icims(payloads: DataFrame, companies: DataFrame, profile: Profile
     restart per category, so a ``category`` column precedes the page in the order."""
     category = F.col("category") if "category" in payloads.columns else F.lit("")
     d = with_company(payloads, companies).withColumn("__category", category)
-    d = _explode(d, F.from_json("body", ICIMS)["jobs"], keep=("company", "careers_url", "params", "page", "__category"))
+    d = _explode(d, _typed(payloads, ICIMS)["jobs"], keep=("company", "careers_url", "params", "page", "__category"))
     j = F.col("j")
     jd = F.when(j["data"].isNotNull(), j["data"]).otherwise(F.struct(*[j[f.split(":")[0].strip()].alias(
         f.split(":")[0].strip()) for f in ICIMS_FIELDS.split(",")]))
@@ -136,7 +147,7 @@ def normalize_icims(payloads: DataFrame, companies: DataFrame, profile: Profile
     return kept.select(*posting(job_title=title, location=loc, job_url=url,
                                 visa_support=P.visa_flag(desc), relocation_support=P.relocation_flag(desc),
                                 date_posted=fmt_date(first_truthy(jd["posted_date"], jd["date_posted"])),
-                                notes=F.lit(C.NOTES["icims"])))
+                                notes=F.lit(C.NOTES["icims"])), F.col("__category").alias("term"))
 
 
 # ----------------------------------------------------------------- N3 lever
@@ -149,7 +160,7 @@ LEVER = ("array<struct<text: string, categories: struct<location: string, allLoc
 def normalize_lever(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
                     epoch_ms: bool = False) -> DataFrame:
     """Top-level array; location or any of allLocations matches, AND role."""
-    d = _explode(with_company(payloads, companies), F.from_json("body", LEVER))
+    d = _explode(with_company(payloads, companies), _typed(payloads, LEVER))
     j = F.col("j")
     title = _txt(j["text"])
     loc = first_truthy(j["categories"]["location"], j["workplaceType"], default="")
@@ -171,7 +182,7 @@ SMARTRECRUITERS = ("struct<content: array<struct<name: string, location: struct<
 
 def normalize_smartrecruiters(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Role filter only (the country is part of the request)."""
-    d = _explode(with_company(payloads, companies), F.from_json("body", SMARTRECRUITERS)["content"])
+    d = _explode(with_company(payloads, companies), _typed(payloads, SMARTRECRUITERS)["content"])
     j = F.col("j")
     title = _txt(j["name"])
     kept = d.filter(P.is_target_role(title, profile))
@@ -193,7 +204,7 @@ ASHBY = f"struct<jobs: array<{ASHBY_ITEM}>, jobPostings: array<{ASHBY_ITEM}>>"
 def normalize_ashby(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """``jobs`` else ``jobPostings``; role AND (location text with the postal
     address matches, or the location is empty/remote/hybrid)."""
-    body = F.from_json("body", ASHBY)
+    body = _typed(payloads, ASHBY)
     arr = F.when(body["jobs"].isNotNull(), body["jobs"]).otherwise(body["jobPostings"])
     d = _explode(with_company(payloads, companies), arr)
     j = F.col("j")
@@ -221,7 +232,7 @@ RECRUITEE = ("struct<offers: array<struct<title: string, city: string, country:
 
 def normalize_recruitee(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Role AND (empty location or a location match)."""
-    d = _explode(with_company(payloads, companies), F.from_json("body", RECRUITEE)["offers"])
+    d = _explode(with_company(payloads, companies), _typed(payloads, RECRUITEE)["offers"])
     j = F.col("j")
     title = _txt(j["title"])
     loc = join_place(j["city"], j["country"])
@@ -366,7 +377,7 @@ def normalize_workday(payloads: DataFrame, companies: DataFrame, profile: Profil
     term_rank = F.coalesce(F.col("term_rank"), F.lit(0)) if "term_rank" in payloads.columns else F.lit(0)
     d = d.withColumn("__term", term_rank)
     d = d.select("company", "careers_url", "params", "__term", "page",
-                 F.posexplode(F.from_json("body", WORKDAY)["jobPostings"]).alias("pos", "j"))
+                 F.posexplode(_typed(payloads, WORKDAY)["jobPostings"]).alias("pos", "j"))
     d = dedup_coalesced_key(d, [F.col("j.externalPath"), F.col("j.title")], order=["__term", "page", "pos"],
                             scope=["company"])
     j = F.col("j")
@@ -378,7 +389,8 @@ def normalize_workday(payloads: DataFrame, companies: DataFrame, profile: Profil
     url = F.when(ext != "", F.concat(base, ext)).otherwise(F.col("careers_url"))
     return kept.select(*posting(job_title=title, location=first_truthy(loc, default=C.DEFAULT_COUNTRY),
                                 job_url=url, date_posted=fmt_date(j["postedOn"]),
-                                notes=F.lit(C.NOTES["workday"])))
+                                notes=F.lit(C.NOTES["workday"])),
+                       F.lpad(F.col("__term").cast("string"), 10, "0").alias("term"))
 
 
 # ----------------------------------------------------------------- N13 JSON array embedded in text
@@ -449,11 +461,9 @@ def jsonld_postings(pages: DataFrame, companies: DataFrame, lenient: bool = Fals
                            F.col("page"), (F.col("x.si") * 100000 + F.col("x.ii")).alias("pos"))
     loc = F.trim(_ld_location(F.coalesce(it["jobLocation"], F.lit("{}")), " "))
     kept = typed.filter(P.is_target_role(title, profile) & ((loc == "") | P.is_location(loc, profile)))
-    from pyspark import StorageLevel
-
-    kept = kept.withColumn("__si", F.col("x.si")).persist(StorageLevel.MEMORY_AND_DISK)
-    first_si = kept.groupBy("company", "page").agg(F.min("__si").alias("__si"))
-    kept = kept.join(first_si, ["company", "page", "__si"], "left_semi")
+    # of a page the rows of its first script that has any; only those are shuffled
+    first = Window.partitionBy("company", "page").orderBy("x.si")
+    kept = kept.withColumn("__rank", F.rank().over(first)).filter(F.col("__rank") == 1).drop("__rank")
     url = F.when(it["url"].isNotNull(), it["url"]).otherwise(F.col("page_url"))
     return kept.select(*posting(job_title=title, location=first_truthy(loc, default=C.DEFAULT_COUNTRY), job_url=url,
                                 date_posted=fmt_date(_txt(it["datePosted"])),
@@ -538,22 +548,44 @@ def normalize_search_rows(rows: DataFrame, order="seq") -> DataFrame:
 
 # ----------------------------------------------------------------- P16 / N11 / N12 ladders
 
-def first_strategy(candidates: DataFrame, group=("company",), strategy: str = "strategy") -> DataFrame:
-    """Per group keep the rows of the first strategy that produced any
-    (the minimum is an aggregate, combined map-side, then a semi join). The
-    candidates are persisted so the normalisers behind them run once."""
-    from pyspark import StorageLevel
-
-    candidates = candidates.persist(StorageLevel.MEMORY_AND_DISK)
-    best = candidates.groupBy(*group).agg(F.min(strategy).alias(strategy))
-    return candidates.join(best, [*group, strategy], "left_semi")
+def in_turn(inputs: DataFrame, strategies) -> DataFrame:
+    """Strategies tried one after another per employer: each sees only the
+    inputs of employers for whom none before has yielded a row. ``strategies`` is a
+    list of (number, inputs → rows); the rows come with their ``strategy``."""
+    out, rest = None, inputs
+    for i, (number, strategy) in enumerate(strategies):
+        rows = strategy(rest).withColumn("strategy", F.lit(number))
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+        if i + 1 < len(strategies):
+            rest = rest.join(rows.select("company").distinct(), "company", "left_anti")
+    return out
 
 
 def html_ladder(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Per employer, JSON-LD postings, else page-state pairs."""
-    ld = jsonld_postings(pages, companies, profile=profile).withColumn("strategy", F.lit(1))
-    nd = nextdata_pairs(pages, companies, profile).withColumn("strategy", F.lit(2))
-    return first_strategy(ld.unionByName(nd))
+    return in_turn(pages, [(1, lambda p: jsonld_postings(p, companies, profile=profile)),
+                           (2, lambda p: nextdata_pairs(p, companies, profile))])
+
+
+def json_documents(captures: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
+    """Postings of captured JSON documents: per employer those of the first document
+    that yields any (responses in capture order, page-state variables in their fixed
+    order)."""
+    from .jsonsearch import json_job_search
+
+    docs = captures.withColumn("doc_id", F.concat_ws(":", "company", F.col("strategy").cast("string"),
+                                                     F.col("seq").cast("string")))
+    found = json_job_search(docs.select("doc_id", "company", "body"), companies, note=F.lit(""), profile=profile)
+    var = F.col("var") if "var" in captures.columns else F.lit(None).cast("string")
+    note = F.when(var.isNull() | (F.col("strategy") == 1), F.lit(C.NOTES["xhr"])).otherwise(
+        F.concat(F.lit("Via "), var, F.lit(" (Playwright).")))
+    var_rank = F.coalesce(F.array_position(F.array(*[F.lit(v) for v in C.PAGE_STATE_VARS]), var), F.lit(0))
+    place = F.when(F.col("strategy") == 2, var_rank).otherwise(F.lit(0)).cast("long")
+    meta = docs.select("doc_id", "seq", note.alias("__note"), place.alias("__ord"))
+    first = Window.partitionBy("company").orderBy("__ord", "seq")
+    found = found.join(meta, "doc_id").withColumn("__rank", F.rank().over(first)).filter(F.col("__rank") == 1)
+    return found.withColumn("notes", F.col("__note")).select(
+        *POSTING_COLS, F.col("seq").alias("page"), F.col("ipos").alias("pos"), "path")
 
 
 def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
@@ -561,42 +593,30 @@ def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEF
     1 = JSON responses (the first response that yields), 2 = page-state
     variables in fixed order (the first that yields), 3 = JSON-LD (lenient),
     4 = job-like anchors. Per employer the first strategy that yields wins."""
-    from .jsonsearch import json_job_search
+    def json_of(k):
+        return lambda c: json_documents(c.filter(F.col("strategy") == k), companies, profile)
 
-    docs = captures.filter(F.col("strategy").isin(1, 2)).withColumn(
-        "doc_id", F.concat_ws(":", "company", F.col("strategy").cast("string"), F.col("seq").cast("string")))
-    note = F.when(F.col("strategy") == 1, F.lit(C.NOTES["xhr"])).otherwise(
-        F.concat(F.lit("Via "), F.col("var"), F.lit(" (Playwright).")))
-    docs = docs.withColumn("note", note) if "var" in captures.columns else docs.withColumn(
-        "note", F.lit(C.NOTES["xhr"]))
-    found = json_job_search(docs.select("doc_id", "company", "body"), companies, note=F.lit(""), profile=profile)
-    var_rank = F.array_position(F.array(*[F.lit(v) for v in C.PAGE_STATE_VARS]),
-                                F.col("var")) if "var" in captures.columns else F.lit(0)
-    docs = docs.withColumn("__ord", F.when(F.col("strategy") == 2, var_rank).otherwise(F.lit(0)).cast("long"))
-    meta = docs.select("doc_id", "strategy", "seq", "note", "__ord")
-    from pyspark import StorageLevel
-
-    found = found.join(meta, "doc_id").withColumn("notes", F.col("note")).drop("note") \
-        .persist(StorageLevel.MEMORY_AND_DISK)
-    # within strategies 1 and 2 only the first document that yields counts: responses
-    # in capture order, page-state variables in their fixed order
-    first_doc = found.groupBy("company", "strategy").agg(F.min(F.struct("__ord", "seq")).alias("__first"))
-    found = found.join(first_doc, ["company", "strategy"]).filter(
-        (F.col("__ord") == F.col("__first.__ord")) & (F.col("seq") == F.col("__first.seq"))).drop("__first")
-    json_rows = found.select(*[F.col(c) for c in POSTING_COLS], F.col("strategy"),
-                             F.col("seq").alias("page"), F.col("ipos").alias("pos"), F.col("path"))
-    pages = captures.filter(F.col("strategy").isin(3, 4)).select(
-        "company", F.col("seq").alias("page"), "body", "url", "strategy")
-    ld = jsonld_postings(pages.filter(F.col("strategy") == 3), companies, lenient=True, profile=profile) \
-        .withColumn("strategy", F.lit(3))
-    dom = dom_link_postings(pages.filter(F.col("strategy") == 4), companies, profile) \
-        .withColumn("strategy", F.lit(4))
-    rows = json_rows.unionByName(ld, allowMissingColumns=True).unionByName(dom, allowMissingColumns=True)
-    return first_strategy(rows)
+    def pages_of(c, k):
+        return c.filter(F.col("strategy") == k).select("company", F.col("seq").alias("page"), "body", "url")
+
+    return in_turn(captures, [
+        (1, json_of(1)), (2, json_of(2)),
+        (3, lambda c: jsonld_postings(pages_of(c, 3), companies, lenient=True, profile=profile)),
+        (4, lambda c: dom_link_postings(pages_of(c, 4), companies, profile))])
 
 
 # ----------------------------------------------------------------- P13 description ladder
 
+def page_facts(pages: DataFrame, urls: DataFrame) -> DataFrame:
+    """What the ladder reads of the pages at ``urls`` (column url): text, e-mail and
+    the application-form flag, computed once a page (the last landing of a URL)."""
+    wanted = last_pages(pages.join(urls.select("url").distinct(), "url", "left_semi"))
+    return wanted.filter(F.col("html").isNotNull()).select(
+        "url", F.struct(html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"),
+                        first_email(F.col("html")).alias("email"),
+                        P.is_apply_form(F.col("html")).alias("form")).alias("fact"))
+
+
 def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """A placeholder API description (< 100 characters) is replaced by the
     employer's slug page text (> 100 characters; its URL becomes the job URL,
@@ -604,85 +624,78 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
     page is not an application form (the job page's e-mail is used either way).
     A full description takes its e-mail from the content, else from the job page.
 
-    Input postings carry ``content`` (API HTML), ``has_id`` and ``jd_base_url``."""
-    from pyspark import StorageLevel
+    Input postings carry ``content`` (API HTML), ``has_id`` and ``jd_base_url``.
 
+    Both page needs of a posting are known before any page is read: a slug page that
+    answers makes the job page needless, so the job URL asked for is always the given
+    one. The distinct pairs of needed URLs are stacked, looked up together (the page
+    table is exchanged once) and pivoted back to one row a pair."""
+    desc0 = F.coalesce(F.col("description"), F.lit(""))
+    short = F.col("has_id") & (F.length(F.trim(desc0)) < C.PLACEHOLDER_DESCRIPTION_MIN)
+    slug = F.btrim(F.regexp_replace(F.lower("job_title"), C.SLUG_CHARS_PATTERN, "-"), F.lit("-"))
+    slug_url = F.when(short & (F.coalesce(F.col("jd_base_url"), F.lit("")) != ""),
+                      F.concat("jd_base_url", F.lit("/"), slug, F.lit("/")))
+    job_url = F.when(F.col("has_id") & (short | F.col("recruiter_email").isNull()), truthy("job_url"))
+    # '' stands for no need, so a pair is an ordinary join key
+    d = postings.withColumn("__slug", F.coalesce(slug_url, F.lit(""))).withColumn(
+        "__job", F.coalesce(job_url, F.lit(""))).withColumn("__short", short).withColumn("__desc0", desc0)
+    pairs = d.select("__slug", "__job").filter((F.col("__slug") != "") | (F.col("__job") != "")).distinct()
+    needs = pairs.select("__slug", "__job", F.explode(F.array("__slug", "__job")).alias("url")).filter(F.col("url") != "")
+    found = needs.join(page_facts(pages, needs), "url")
+    facts = found.groupBy("__slug", "__job").agg(
+        F.max(F.when(F.col("url") == F.col("__slug"), F.col("fact"))).alias("__slug_page"),
+        F.max(F.when(F.col("url") == F.col("__job"), F.col("fact"))).alias("__job_page"))
+    # postings without a need meet no pair: their key is salted so they spread
     from .merge import salt_missing
 
-    d = postings.withColumn("__desc0", F.coalesce(F.col("description"), F.lit("")))
-    short = F.col("has_id") & (F.length(F.trim("__desc0")) < C.PLACEHOLDER_DESCRIPTION_MIN)
-    slug_url = F.when(short & (F.coalesce(F.col("jd_base_url"), F.lit("")) != ""),
-                      F.concat("jd_base_url", F.lit("/"), F.btrim(F.regexp_replace(F.lower("job_title"),
-                                                                                   C.SLUG_CHARS_PATTERN, "-"), F.lit("-")),
-                               F.lit("/")))
-    d = d.withColumn("__slug_cand", slug_url).persist(StorageLevel.MEMORY_AND_DISK)
-    # the pages the ladder may read (a superset: job pages of every short or e-mail-less
-    # posting): the page table is filtered to them before its two lookups.
-    job_cand = F.when(F.col("has_id") & (F.coalesce(F.col("job_url"), F.lit("")) != "")
-                      & (short | F.col("recruiter_email").isNull()), F.col("job_url"))
-    needed = d.select(F.explode(F.array("__slug_cand", job_cand)).alias("url")).filter(
-        F.col("url").isNotNull()).distinct()
-    pages = last_pages(pages.join(needed, "url", "left_semi"))
-    pg = pages.select(F.col("url").alias("__u"), F.col("html").alias("__h"))
-
-    d = d.withColumn("__slug_url", salt_missing(F.col("__slug_cand"))).drop("__slug_cand").join(
-        pg.withColumnRenamed("__u", "__slug_url").withColumnRenamed("__h", "__slug_html"), "__slug_url", "left")
-    slug_text = html_to_text(F.col("__slug_html"), C.PAGE_TEXT_MAX)
-    slug_ok = F.col("__slug_html").isNotNull() & (F.length(slug_text) > C.PLACEHOLDER_DESCRIPTION_MIN)
-    d = (d.withColumn("__desc1", F.when(slug_ok, slug_text).otherwise(F.col("__desc0")))
-         .withColumn("job_url", F.when(slug_ok, F.col("__slug_url")).otherwise(F.col("job_url")))
-         .withColumn("__email1", F.when(slug_ok, first_email(F.col("__slug_html")))))
-    need_page = F.col("has_id") & (
-        (short & (F.length(F.trim("__desc1")) < C.PLACEHOLDER_DESCRIPTION_MIN))
-        | (~short & F.col("recruiter_email").isNull()))
-    d = d.withColumn("__page_url", salt_missing(F.when(need_page & (F.coalesce(F.col("job_url"), F.lit("")) != ""),
-                                                       F.col("job_url"))))
-    d = d.join(pg.withColumnRenamed("__u", "__page_url").withColumnRenamed("__h", "__page_html"), "__page_url", "left")
-    page_text = html_to_text(F.col("__page_html"), C.PAGE_TEXT_MAX)
-    has_page = F.col("__page_html").isNotNull()
-    take_page = short & has_page & ~P.is_apply_form(F.col("__page_html")) & (
-        F.length(page_text) > F.length("__desc1"))
-    desc = F.when(take_page, page_text).otherwise(F.col("__desc1"))
-    email = (F.when(short & has_page, first_email(F.col("__page_html")))
-             .when(short, F.col("__email1"))
-             .when(has_page, first_email(F.col("__page_html")))
-             .otherwise(F.col("recruiter_email")))
+    none = (F.col("__slug") == "") & (F.col("__job") == "")
+    d = d.withColumn("__slug", F.when(none, salt_missing(F.lit(""))).otherwise(F.col("__slug")))
+    d = d.join(facts, ["__slug", "__job"], "left")
+    slug_ok = F.col("__short") & (F.length("__slug_page.text") > C.PLACEHOLDER_DESCRIPTION_MIN)
+    slug_ok = F.coalesce(slug_ok, F.lit(False))
+    page = F.when(~slug_ok, F.col("__job_page"))
+    has_page = page.isNotNull()
+    # a slug text that is taken is long, so its posting never turns to the job page
+    take_page = F.col("__short") & has_page & ~page["form"] & (F.length(page["text"]) > F.length("__desc0"))
+    desc = (F.when(slug_ok, F.col("__slug_page.text")).when(take_page, page["text"]).otherwise(F.col("__desc0")))
+    email = (F.when(slug_ok, F.col("__slug_page.email")).when(has_page, page["email"])
+             .when(F.col("__short"), F.lit(None)).otherwise(F.col("recruiter_email")))
     return (d.withColumn("description", F.when(F.col("has_id"), desc).otherwise(F.col("description")))
+            .withColumn("job_url", F.when(slug_ok, F.col("__slug")).otherwise(F.col("job_url")))
             .withColumn("recruiter_email", email)
-            .drop("__desc0", "__desc1", "__slug_url", "__slug_html", "__email1", "__page_url", "__page_html"))
+            .drop("__desc0", "__short", "__slug", "__job", "__slug_page", "__job_page"))
 
 
 # ----------------------------------------------------------------- G1 registry
 
-def normalize_pages_rendered(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
-    """The page strategies of N12 over landed bodies: JSON-LD (lenient), else job-like anchors."""
-    ld = jsonld_postings(pages, companies, lenient=True, profile=profile).withColumn("strategy", F.lit(3))
-    dom = dom_link_postings(pages, companies, profile).withColumn("strategy", F.lit(4))
-    return first_strategy(ld.unionByName(dom))
-
-
 def normalize_rendered(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """N12 over landed page bodies: a JSON body counts as a captured response, any
     other as a rendered page, tried for JSON-LD and then for job-like anchors."""
-    seq = F.col("page").cast("int").alias("seq")
     is_json = F.coalesce(F.ltrim("body").rlike(r"^[\[{]"), F.lit(False))
-    base = pages.select("company", seq, "body", "url", is_json.alias("__json"))
-    ways = F.when(F.col("__json"), F.array(F.lit(1))).otherwise(F.array(F.lit(3), F.lit(4)))
-    return spa_ladder(base.select("company", F.explode(ways).alias("strategy"), "seq", "body", "url"), companies, profile)
+
+    def responses(p):
+        return json_documents(p.filter(is_json).select("company", F.lit(1).alias("strategy"),
+                                                       F.col("page").cast("int").alias("seq"), "body"), companies, profile)
+
+    return in_turn(pages, [
+        (1, responses),
+        (3, lambda p: jsonld_postings(p.filter(~is_json), companies, lenient=True, profile=profile)),
+        (4, lambda p: dom_link_postings(p.filter(~is_json), companies, profile))])
 
 
 def normalize_html(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """N11 with its second chance: an employer whose pages give no posting is
     tried again with the page strategies of the rendered-page ladder (N12)."""
-    found = html_ladder(pages, companies, profile).select(*POSTING_COLS, *ORDER_COLS)
-    rest = pages.join(found.select("company").distinct(), "company", "left_anti")
-    again = normalize_pages_rendered(rest, companies, profile).select(*POSTING_COLS, *ORDER_COLS)
-    return found.unionByName(again)
+    return in_turn(pages, [
+        (1, lambda p: jsonld_postings(p, companies, profile=profile)),
+        (2, lambda p: nextdata_pairs(p, companies, profile)),
+        (3, lambda p: jsonld_postings(p, companies, lenient=True, profile=profile)),
+        (4, lambda p: dom_link_postings(p, companies, profile))])
 
 
 def normalize_slugs(listing: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """N7 when no detail pages have landed: titles come from the slugs."""
-    none = listing.select(F.col("url").alias("url"), F.col("body").alias("html")).limit(0)
+    none = listing.sparkSession.createDataFrame([], "url string, html string")
     return normalize_slug_page(listing, none, companies, profile)
 
 
@@ -707,37 +720,51 @@ def registry() -> dict:
 
 #: Formats whose payload is JSON as a whole (the others hold text or HTML).
 JSON_TYPES = ("greenhouse", "icims", "lever", "smartrecruiters", "ashby", "recruitee", "kpmg_lunr", "workday")
+#: Of these, the formats that are read from the parsed body alone; the search index
+#: depends on the order of its keys, which the text keeps and a variant does not.
+VARIANT_TYPES = tuple(t for t in JSON_TYPES if t != "kpmg_lunr")
+
+
+def of_format(payloads: DataFrame, kind: str) -> DataFrame:
+    """The payloads of one format: of a payload store its folder, else a filter on
+    the source type."""
+    if "format" in payloads.columns:
+        return payloads.filter(F.col("format") == kind).drop("format")
+    return payloads.filter(payload_format(F.col("source_type"), list(registry())) == kind)
 
 
 def rejected_payloads(payloads: DataFrame, types=None) -> DataFrame:
     """Payloads no normaliser can read, with the reason: no body at all, or
-    a body of a JSON format that is not valid JSON. ``types`` as in ``normalize_all``."""
+    a body of a JSON format that is not valid JSON. ``types`` as in ``normalize_all``.
+    A payload store has them already (``PayloadStore.rejected``)."""
+    from ..sources.payload_store import tagged
+
+    rows = tagged(payloads, list(registry()), JSON_TYPES)
     if types:
-        kind = F.coalesce(F.col("source_type"), F.lit(""))
-        other = ~kind.isin(*[t for t in registry() if t != "html"]) & F.lit("html" in types)
-        payloads = payloads.filter(kind.isin(*[t for t in types if t != "html"]) | other)
-    body = F.coalesce(F.trim("body"), F.lit(""))
-    broken = F.col("source_type").isin(*JSON_TYPES) & F.try_parse_json("body").isNull()
-    reason = F.when(body == "", F.lit("empty")).when(broken, F.lit("malformed"))
-    return payloads.withColumn("reason", reason).filter(F.col("reason").isNotNull())
+        rows = rows.filter(F.col("format").isin(*types))
+    return rows.filter(~F.col("readable")).drop("format", "doc", "readable")
 
 
 def normalize_all(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
-                  types=None, details: DataFrame | None = None) -> DataFrame:
-    """G1: split payloads by source type, normalise each, stack the results.
-
-    A null or unknown type goes to the generic HTML ladder. ``types`` restricts a
-    run to some formats (payloads of the others are not read then). ``details``
-    are the slug format's detail pages ``(url, html)``, where they have landed."""
+                  types=None, details: DataFrame | None = None, pages: DataFrame | None = None) -> DataFrame:
+    """G1: every payload normalised by its format, the results stacked.
+
+    A null or unknown type goes to the generic HTML ladder. Payloads from a payload
+    store are read format by format, each from its own folder, already parsed.
+    ``types`` restricts a run to some formats. ``details`` are the slug format's
+    detail pages ``(url, html)`` and ``pages`` the pages of the description ladder
+    (P13), where they have landed. ``term`` orders pages of different searches."""
     reg = registry()
-    types = list(types or reg.keys())
-    kind = F.coalesce(F.col("source_type"), F.lit(""))
-    known = [t for t in reg if t != "html"]
     out = None
-    for t in types:
-        part = payloads.filter(kind == t) if t != "html" else payloads.filter(~kind.isin(*known))
-        rows = (normalize_slug_page(part, details, companies, profile) if t == "picnic" and details is not None
-                else reg[t](part, companies, profile=profile))
-        rows = rows.select(*POSTING_COLS, *ORDER_COLS).withColumn("source_type", F.lit(t))
+    for kind in list(types or reg):
+        part = of_format(payloads, kind)
+        if kind == "picnic" and details is not None:
+            rows = normalize_slug_page(part, details, companies, profile)
+        elif kind == "greenhouse" and pages is not None:
+            rows = description_ladder(reg[kind](part, companies, profile=profile), pages, profile)
+        else:
+            rows = reg[kind](part, companies, profile=profile)
+        term = F.col("term") if "term" in rows.columns else F.lit("").alias("term")
+        rows = rows.select(*POSTING_COLS, term, *ORDER_COLS).withColumn("source_type", F.lit(kind))
         out = rows if out is None else out.unionByName(rows)
     return out

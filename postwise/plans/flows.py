@@ -1,8 +1,9 @@
 """End-to-end flows: the runs a user of the original tool performs, composed
 from the operators (no new logic here).
 
-* ``portal_ingest``      landed payloads → normalise (all formats) → subset refresh
-                         (optional) → snapshot merge → new snapshot version + sponsor update
+* ``portal_ingest``      landed payloads → result cache (optional) → normalise (all formats,
+                         descriptions completed from pages) → subset refresh (optional) →
+                         snapshot merge → new snapshot version + sponsor update
 * ``aggregator_ingest``  landed search rows → normalise → merge with its own snapshot
 * ``hourly_digest``      both snapshots → unseen postings → scored (cache first) → ranked
                          digest rows + header; new seen entries
@@ -27,7 +28,10 @@ from ..operators import privacy as PV
 from ..operators import ranking as O
 from ..operators import reports as R
 from ..operators import scoring_ops as SO
+from ..session import staged
 from ..sources import snapshots as SN
+from ..sources.payload_store import PayloadStore
+from ..sources.result_cache import ResultCache
 
 
 @dataclass
@@ -38,31 +42,72 @@ class IngestResult:
     rejected: DataFrame | None = None  # payloads no normaliser can read, with the reason (P22)
 
 
+#: Order of a load's postings: employer, search (category or term), page, position.
+PLACE = ("ord", "term", "page", "pos")
+
+
+@dataclass
+class CacheRun:
+    """The result cache of one ingest run: which version it reads and which it writes."""
+    cache: ResultCache
+    reads: int | None
+    writes: int
+    force: bool | DataFrame = False
+
+
 def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, seen: DataFrame, as_of,
                   refreshed: DataFrame | None = None, sponsors: DataFrame | None = None,
                   write_to: str | None = None, profile: Profile = DEFAULT_PROFILE,
-                  types=None, store: SN.KeyedStore | None = None, version: int | None = None) -> IngestResult:
+                  types=None, store: SN.KeyedStore | None = None, version: int | None = None,
+                  details: DataFrame | None = None, pages: DataFrame | None = None,
+                  cached: CacheRun | None = None) -> IngestResult:
     """Portal run: every landed payload normalised by its format (G1), then merged
-    with the previous snapshot (J5). With ``refreshed`` (an employer subset run)
-    the other employers' rows are kept (J8) and only stamping happens (no carry).
-    With ``store`` the merged snapshot is written as ``version`` of a keyed store
-    (bucketed on the key), which the next run reads without a shuffle. Payloads
-    without a readable body are returned as ``rejected``."""
-    fresh = N.normalize_all(payloads, companies, profile, types=types).drop("source_type")
-    # snapshot order: employer, page, position (21, 14 and 28 bits), so no two employers tie
+    with the previous snapshot (J5).
+
+    With ``cached`` employers whose results are younger than the TTL are answered from
+    the result cache and their payloads are not read (J7); the results of the others are
+    written back (K2). ``pages`` complete short greenhouse descriptions (P13), ``details``
+    the slug format. With ``refreshed`` (an employer subset run) the other employers' rows
+    are kept (J8) and only stamping happens (no carry). With ``store`` the merged snapshot
+    is written as ``version`` of a keyed store (bucketed on the key), which the next run
+    reads without a shuffle. Payloads without a readable body are returned as
+    ``rejected``; from a payload store they are there already (``ingest_load``)."""
+    looked = None
+    if cached is not None:
+        looked = cached.cache.look_up(companies, cached.reads, as_of, cached.force)
+        payloads = payloads.join(looked.missing, "company", "left_semi")
+    fresh = N.normalize_all(payloads, companies, profile, types=types, details=details, pages=pages).drop("source_type")
     place = companies.groupBy(F.col("ind_name").alias("company")).agg(F.min("ord").cast("long").alias("__ord"))
-    fresh = fresh.join(place, "company", "left")
-    fresh = fresh.withColumn("seq", F.shiftleft(F.coalesce("__ord", F.lit(0).cast("long")), 42)
-                             + F.shiftleft(F.col("page").cast("long"), 28) + F.col("pos").cast("long")).drop("__ord")
+    fresh = fresh.join(place, "company", "left").withColumn("place", F.struct(
+        F.col("__ord").alias("ord"), F.coalesce("term", F.lit("")).alias("term"), F.col("page").cast("long").alias("page"),
+        F.col("pos").cast("long").alias("pos"))).drop("__ord", "term", "page", "pos")
+    if cached is not None:
+        cols = [f.name for f in cached.cache.schema.fields]
+        fetched = staged(fresh, "fetched")  # written back, and merged
+        cached.cache.write_back(fetched.select(*cols), cached.writes, cached.reads, as_of, answered=looked.fresh)
+        fresh = fetched.unionByName(looked.rows, allowMissingColumns=True)
     retain = refreshed is None
     if refreshed is not None:
         fresh = J.partial_refresh(prev, fresh, refreshed)
-    merged = J.stamp_and_retain(fresh, prev, seen, as_of, retain=retain)
+    # a snapshot of an earlier layout has no place; its own order is in seq
+    order = "place" if "place" in prev.columns else "seq"
+    merged = J.stamp_and_retain(fresh, prev, seen, as_of, retain=retain, prev_order=order)
     path = SN.write_snapshot(merged, write_to) if write_to else None
     if store is not None:
         path = store.write(merged, version if version is not None else 0)
     updated = J.sponsor_update(sponsors, companies) if sponsors is not None else None
-    return IngestResult(merged, updated, path, N.rejected_payloads(payloads, types))
+    rejected = None if "format" in payloads.columns else N.rejected_payloads(payloads, types)
+    return IngestResult(merged, updated, path, rejected)
+
+
+def ingest_load(landing: PayloadStore, load: int, companies: DataFrame, prev: DataFrame, seen: DataFrame, as_of,
+                **options) -> IngestResult:
+    """``portal_ingest`` of one load of a payload store: parsed when it landed, read
+    format by format, the rejects of the load beside the snapshot."""
+    spark = companies.sparkSession
+    run = portal_ingest(landing.read(spark, load), companies, prev, seen, as_of, **options)
+    run.rejected = landing.rejected(spark, load)
+    return run
 
 
 def aggregator_ingest(rows: DataFrame, prev: DataFrame, seen: DataFrame, as_of,

@@ -8,6 +8,8 @@ normaliser. Oracle path: the expected postings computed straight from
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -76,101 +78,21 @@ def _html(expr, n=C.DESCRIPTION_MAX):
     return _html_to_text_sql(expr, n)
 
 
-# ------------------------------------------------------------------ landed inputs (written once per session)
-
-def greenhouse_pages(spark, sf, *args, **kw):
-    key = "greenhouse_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_greenhouse_pages(spark, sf, *args, **kw))
-
-
-def icims_pages(spark, sf, *args, **kw):
-    key = "icims_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_icims_pages(spark, sf, *args, **kw))
-
-
-def lever_pages(spark, sf, *args, **kw):
-    key = "lever_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_lever_pages(spark, sf, *args, **kw))
-
-
-def smartrecruiters_pages(spark, sf, *args, **kw):
-    key = "smartrecruiters_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_smartrecruiters_pages(spark, sf, *args, **kw))
-
-
-def ashby_pages(spark, sf, *args, **kw):
-    key = "ashby_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_ashby_pages(spark, sf, *args, **kw))
-
-
-def recruitee_pages(spark, sf, *args, **kw):
-    key = "recruitee_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_recruitee_pages(spark, sf, *args, **kw))
-
-
-def index_pages(spark, sf, *args, **kw):
-    key = "index_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_index_pages(spark, sf, *args, **kw))
-
-
-def workday_pages(spark, sf, *args, **kw):
-    key = "workday_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_workday_pages(spark, sf, *args, **kw))
-
-
-def embedded_pages(spark, sf, *args, **kw):
-    key = "embedded_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_embedded_pages(spark, sf, *args, **kw))
-
-
-def nextdata_pages(spark, sf, *args, **kw):
-    key = "nextdata_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_nextdata_pages(spark, sf, *args, **kw))
-
-
-def slug_listing(spark, sf, *args, **kw):
-    key = "slug_listing" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_slug_listing(spark, sf, *args, **kw))
+def landed_input(build):
+    """A builder of landed input: its result is written once per session, scale factor
+    and arguments, and read as a table from then on."""
+    @functools.wraps(build)
+    def read(spark, sf, *args, **kw):
+        key = build.__name__ + (repr((args, sorted(kw.items()))) if args or kw else "")
+        return landed(spark, sf, key, lambda: build(spark, sf, *args, **kw))
 
-
-def slug_details(spark, sf, *args, **kw):
-    key = "slug_details" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_slug_details(spark, sf, *args, **kw))
-
-
-def attr_pages(spark, sf, *args, **kw):
-    key = "attr_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_attr_pages(spark, sf, *args, **kw))
-
-
-def ld_scripts(spark, sf, *args, **kw):
-    key = "ld_scripts" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_ld_scripts(spark, sf, *args, **kw))
-
-
-def ld_pages(spark, sf, *args, **kw):
-    key = "ld_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_ld_pages(spark, sf, *args, **kw))
-
-
-def anchor_pages(spark, sf, *args, **kw):
-    key = "anchor_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_anchor_pages(spark, sf, *args, **kw))
-
-
-def free_json_docs(spark, sf, *args, **kw):
-    key = "free_json_docs" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_free_json_docs(spark, sf, *args, **kw))
-
-
-def html_pages(spark, sf, *args, **kw):
-    key = "html_pages" + ("" if not (args or kw) else repr((args, sorted(kw.items()))))
-    return landed(spark, sf, key, lambda: _build_html_pages(spark, sf, *args, **kw))
+    return read
 
 
 # ------------------------------------------------------------------ N1 greenhouse
 
-def _build_greenhouse_pages(spark, sf):
+@landed_input
+def greenhouse_pages(spark, sf):
     dept_t = "array<struct<name: string>>"
     depts = (F.when(seq_mod(3) == 0, F.array(F.struct(F.lit("Engineering").alias("name"))))
              .when(seq_mod(3) == 1, F.array(F.struct(F.lit("").alias("name"))))
@@ -204,7 +126,8 @@ def norm_greenhouse(spark, sf):
 
 # ------------------------------------------------------------------ N2 icims
 
-def _build_icims_pages(spark, sf):
+@landed_input
+def icims_pages(spark, sf):
     fields = [nz(F.regexp_extract("job_url", r"(\d+)$", 1)).alias("req_id"), F.lit(None).cast("string").alias("id"),
               F.lit(None).cast("string").alias("slug"), F.col("job_title").alias("title"),
               F.col("location").alias("city"), F.when(seq_mod(2) == 0, F.lit("Netherlands")).alias("country"),
@@ -248,7 +171,8 @@ def norm_icims(spark, sf):
 
 # ------------------------------------------------------------------ N3 lever
 
-def _build_lever_pages(spark, sf):
+@landed_input
+def lever_pages(spark, sf):
     item = F.struct(
         F.col("job_title").alias("text"),
         F.struct(F.when(seq_mod(5) != 0, F.col("location")).alias("location"),
@@ -279,7 +203,8 @@ def norm_lever(spark, sf):
 
 # ------------------------------------------------------------------ N4 smartrecruiters
 
-def _build_smartrecruiters_pages(spark, sf):
+@landed_input
+def smartrecruiters_pages(spark, sf):
     item = F.struct(F.col("job_title").alias("name"),
                     F.struct(F.col("location").alias("city"),
                              F.when(seq_mod(2) == 0, F.lit("nl")).alias("country")).alias("location"),
@@ -301,7 +226,8 @@ def norm_smartrecruiters(spark, sf):
 
 # ------------------------------------------------------------------ N5 ashby
 
-def _build_ashby_pages(spark, sf):
+@landed_input
+def ashby_pages(spark, sf):
     addr = F.struct(F.struct(F.lit("Utrecht").alias("addressLocality"), F.lit("NL").alias("addressCountry"))
                     .alias("postalAddress"))
     item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
@@ -331,7 +257,8 @@ def norm_ashby(spark, sf):
 
 # ------------------------------------------------------------------ N6 recruitee
 
-def _build_recruitee_pages(spark, sf):
+@landed_input
+def recruitee_pages(spark, sf):
     item = F.struct(F.col("job_title").alias("title"), F.col("location").alias("city"),
                     F.when(seq_mod(3) == 0, F.lit("Netherlands")).alias("country"), nz("job_url").alias("careers_url"),
                     F.concat(F.lit("o-"), F.col("seq").cast("string")).alias("slug"),
@@ -355,7 +282,8 @@ def norm_recruitee(spark, sf):
 
 # ------------------------------------------------------------------ N9 static search index
 
-def _build_index_pages(spark, sf):
+@landed_input
+def index_pages(spark, sf):
     item = F.struct(F.when(seq_mod(2) == 0, F.col("job_title")).alias("title"),
                     F.when(seq_mod(2) == 1, F.col("job_title")).alias("vacancyTitle"),
                     F.when(seq_mod(4) != 0, F.col("location")).alias("location"),
@@ -385,7 +313,8 @@ def norm_search_index(spark, sf):
 
 # ------------------------------------------------------------------ N10 workday
 
-def _build_workday_pages(spark, sf, page_size=20):
+@landed_input
+def workday_pages(spark, sf, page_size=20):
     ext = F.when(F.col("job_url") != "", F.concat(F.lit("/job/"), F.regexp_extract("job_url", r"(\d+)$", 1)))
     item = F.struct(F.col("job_title").alias("title"), ext.alias("externalPath"),
                     F.col("location").alias("locationsText"), F.lit("Posted 2 Days Ago").alias("postedOn"))
@@ -413,7 +342,8 @@ def norm_workday(spark, sf):
 
 # ------------------------------------------------------------------ N13 embedded array
 
-def _build_embedded_pages(spark, sf):
+@landed_input
+def embedded_pages(spark, sf):
     nested = (F.floor(F.col("seq") / PAGE) % 4) == 0
     item = F.struct(F.col("job_title").alias("title"), F.when(seq_mod(3) != 0, F.col("location")).alias("locationName"),
                     F.when(seq_mod(2) == 0, F.concat(F.lit("/role/"), F.col("seq").cast("string")))
@@ -442,7 +372,8 @@ def norm_embedded_array(spark, sf):
 
 # ------------------------------------------------------------------ N16 page-state pairs
 
-def _build_nextdata_pages(spark, sf):
+@landed_input
+def nextdata_pages(spark, sf):
     item = F.struct(F.coalesce(nz("job_title"), F.lit("Untitled")).alias("title"), F.col("seq").alias("id"),
                     F.when(F.col("job_url") == "", F.concat(F.lit("https://jobs.example.org/none/"),
                                                             F.col("seq").cast("string")))
@@ -505,14 +436,16 @@ DETAIL_PAGES = {
 }
 
 
-def _build_slug_listing(spark, sf):
+@landed_input
+def slug_listing(spark, sf):
     slug = V.slugify("job_title")
     item = F.concat(F.lit('<a href="/en/jobs/engineering/'), slug, F.lit('/amsterdam">'), F.col("job_title"), F.lit("</a>"))
     return pages_json(spark, sf, item, lambda arr: F.concat(F.lit("<html><body>"), F.array_join(arr, ""),
                                                             F.lit("</body></html>")))
 
 
-def _build_slug_details(spark, sf):
+@landed_input
+def slug_details(spark, sf):
     slugs = base(spark, sf).select(V.slugify("job_title").alias("slug")).distinct()
     html = None
     for s, h in DETAIL_PAGES.items():
@@ -541,7 +474,8 @@ def norm_slug_page(spark, sf):
 
 # ------------------------------------------------------------------ N8 JSON in an attribute
 
-def _build_attr_pages(spark, sf):
+@landed_input
+def attr_pages(spark, sf):
     item = F.struct(F.when(seq_mod(2) == 0, F.col("job_title")).alias("title"),
                     F.when(seq_mod(2) == 1, F.col("job_title")).alias("name"),
                     F.when(seq_mod(3) != 0, F.col("location")).alias("location"),
@@ -578,7 +512,8 @@ def _ld_desc():
                                             F.lit('@corp.nl">us</a>'))).otherwise(F.col("description"))
 
 
-def _build_ld_scripts(spark, sf):
+@landed_input
+def ld_scripts(spark, sf):
     """Per page two ld+json scripts (even / odd postings; a lone item is written
     as an object); the first script of every tenth page is cut short."""
     b = base(spark, sf).withColumn("page", PL.page_of(F.col("seq"), PAGE))
@@ -608,7 +543,8 @@ def _build_ld_scripts(spark, sf):
     return g.select("company", "page", script(a_json).alias("ld_a"), script(js(F.col("b"))).alias("ld_b"))
 
 
-def _build_ld_pages(spark, sf):
+@landed_input
+def ld_pages(spark, sf):
     s = ld_scripts(spark, sf)
     pages = s.select("company", "page", F.concat(F.lit("<html><head>"), "ld_a", "ld_b",
                                                  F.lit("</head><body>ok</body></html>")).alias("body"))
@@ -667,7 +603,8 @@ def _anchor():
                     F.lit(" role</span></a>"))
 
 
-def _build_anchor_pages(spark, sf, chunk: int = 300, per_company: bool = False):
+@landed_input
+def anchor_pages(spark, sf, chunk: int = 300, per_company: bool = False):
     b = base(spark, sf)
     group = ["company", PL.page_of(F.col("seq"), chunk).alias("page")] if per_company else \
         [PL.page_of(F.col("seq"), chunk).alias("page")]
@@ -720,7 +657,8 @@ def dom_link_postings_all(spark, sf):
 
 # ------------------------------------------------------------------ N14 recursive JSON search
 
-def _build_free_json_docs(spark, sf, page_size: int = PAGE):
+@landed_input
+def free_json_docs(spark, sf, page_size: int = PAGE):
     """Postings nested under data.jobs.items (found), x.y.z.w.v (too deep by plain
     keys) and inside list elements (never searched)."""
     b = base(spark, sf).withColumn("page", PL.page_of(F.col("seq"), page_size))
@@ -772,7 +710,8 @@ def json_job_search(spark, sf):
 
 # ------------------------------------------------------------------ N11 HTML ladder / P16
 
-def _build_html_pages(spark, sf, nextdata_page_size: int = PAGE):
+@landed_input
+def html_pages(spark, sf, nextdata_page_size: int = PAGE):
     """Pages holding two ld+json scripts and a page-state script."""
     s = ld_scripts(spark, sf)
     nd = nextdata_pages(spark, sf).select("company", "page", F.col("body").alias("nd"))
@@ -850,31 +789,14 @@ def norm_spa_ladder(spark, sf):
     return N.spa_ladder(spa_captures(spark, sf), dims(spark, sf)).select(*COLS, "strategy")
 
 
-# ------------------------------------------------------------------ G1 registry
-
-@query("normalize_all", fixtures=_FX, oracle=_BASE_SQL + _html_ladder_sql("source_type IN ('html', 'other')") + f"""
-, gh AS ({_GH_SQL.split(", gh AS (", 1)[1].rsplit(")", 1)[0].replace("FROM base WHERE", "FROM base WHERE source_type = 'greenhouse' AND")})
-SELECT {', '.join(COLS)}, 'greenhouse' AS source_type FROM gh
-UNION ALL SELECT {', '.join(COLS)}, 'html' FROM ladder
-UNION ALL SELECT {_cols_sql(company="company", job_title="job_title", location=_LV_LOC, careers_url="careers_url",
-    job_url="coalesce(nullif(job_url, ''), 'https://apply.example.org/' || CAST(seq AS VARCHAR))",
-    description=_html("CASE WHEN description IS NULL THEN '' ELSE '<p>' || description || '</p>' END"),
-    notes="'Via Lever API.'")}, 'lever'
-  FROM base WHERE source_type = 'lever' AND ({Q.is_loc(_LV_LOC)} OR seq % 5 = 0) AND {Q.is_role('job_title')}""")
-def normalize_all(spark, sf):
-    """G1: mixed landed payloads split by source type; unknown types take the HTML ladder."""
-    c = fixture(spark, sf, "fx_company").select(F.col("ind_name").alias("company"), "source_type")
-    gh = greenhouse_pages(spark, sf).drop("source_type").join(c, "company").filter(F.col("source_type") == "greenhouse")
-    lv = lever_pages(spark, sf).drop("source_type").join(c, "company").filter(F.col("source_type") == "lever")
-    ht = html_pages(spark, sf).join(c, "company").filter(F.col("source_type").isin("html", "other"))
-    payloads = gh.unionByName(lv, allowMissingColumns=True).unionByName(ht, allowMissingColumns=True)
-    return N.normalize_all(payloads, dims(spark, sf), types=["greenhouse", "lever", "html"]).select(
-        *COLS, "source_type")
+# ------------------------------------------------------------------ P13 description ladder
 
+def ladder_pages(spark, sf):
+    """The pages the ladder may read: slug pages and job pages."""
+    return fixture(spark, sf, "fx_slug_page").unionByName(fixture(spark, sf, "fx_job_page").select("url", "html"))
 
-# ------------------------------------------------------------------ P13 description ladder
 
-@query("description_ladder", fixtures=_FX + ["fx_slug_page", "fx_job_page"], oracle=_BASE_SQL + f"""
+_LADDER_SQL = f"""
 , g0 AS (SELECT b.*, CASE WHEN contains(location, ',') THEN location ELSE location || ', Netherlands' END AS loc,
     coalesce(nullif(job_url, ''), 'https://job-boards.greenhouse.io/' || board || '/jobs/' || CAST(seq AS VARCHAR)) AS url0,
     {_html('description')} AS desc0, {SLUG_SQL} AS slug
@@ -886,21 +808,23 @@ g3 AS (SELECT g2.*, slug_html IS NOT NULL AND length(slug_text) > 100 AS slug_ok
 g4 AS (SELECT g3.*, CASE WHEN slug_ok THEN slug_text ELSE desc0 END AS desc1, CASE WHEN slug_ok THEN slug_url ELSE url0 END AS url1,
     CASE WHEN slug_ok THEN {Q.first_email('slug_html')} END AS email1 FROM g3),
 g5 AS (SELECT g4.*, CASE WHEN ((short AND length(trim(desc1)) < 100) OR NOT short) AND coalesce(url1, '') <> '' THEN url1 END AS page_url FROM g4),
-g6 AS (SELECT g5.*, jp.html AS page_html, {_html('jp.html', C.PAGE_TEXT_MAX)} AS page_text FROM g5 LEFT JOIN fx_job_page jp ON jp.url = g5.page_url)
-SELECT company, job_title, url1 AS job_url,
+g6 AS (SELECT g5.*, jp.html AS page_html, {_html('jp.html', C.PAGE_TEXT_MAX)} AS page_text FROM g5 LEFT JOIN fx_job_page jp ON jp.url = g5.page_url),
+g7 AS (SELECT company, seq, job_title, url1 AS job_url,
   CASE WHEN short AND page_html IS NOT NULL AND NOT (contains(lower(page_html), 'autofill with mygreenhouse')
       AND NOT contains(lower(page_html), 'responsibilities') AND NOT contains(lower(page_html), 'requirements'))
       AND length(page_text) > length(desc1) THEN page_text ELSE desc1 END AS description,
   CASE WHEN short AND page_html IS NOT NULL THEN {Q.first_email('page_html')} WHEN short THEN email1
        WHEN page_html IS NOT NULL THEN {Q.first_email('page_html')} END AS recruiter_email
-FROM g6""")
+FROM g6)
+"""
+
+
+@query("description_ladder", fixtures=_FX + ["fx_slug_page", "fx_job_page"], oracle=_BASE_SQL + _LADDER_SQL + """
+SELECT company, job_title, job_url, description, recruiter_email FROM g7""")
 def description_ladder(spark, sf):
     """P13 + J12: placeholder descriptions replaced from slug pages, else job pages."""
     gh = N.normalize_greenhouse(greenhouse_pages(spark, sf), dims(spark, sf))
-    c = fixture(spark, sf, "fx_company").select(F.col("ind_name").alias("company"), "jd_base_url")
-    gh = gh.filter(F.col("has_id")).join(c, "company")
-    pages = fixture(spark, sf, "fx_slug_page").unionByName(fixture(spark, sf, "fx_job_page").select("url", "html"))
-    out = N.description_ladder(gh, pages)
+    out = N.description_ladder(gh.filter(F.col("has_id")), ladder_pages(spark, sf))
     return out.select("company", "job_title", "job_url", "description", "recruiter_email")
 
 

@@ -13,15 +13,20 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _RUNTIME_DEFAULTS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.adaptive.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    # of a key that a JSON object holds twice the last one counts
+    "spark.sql.variant.allowDuplicateKeys": "true",
 }
 
+#: Settings that results depend on.
+_REQUIRED = ("spark.sql.session.timeZone", "spark.sql.variant.allowDuplicateKeys")
+
 
 def builder(master: str = "local[*]", shuffle_partitions: int = 8,
             driver_memory: str = "16g") -> SparkSession.Builder:
@@ -49,7 +54,7 @@ def get_session(master: str = "local[*]", shuffle_partitions: int = 8) -> SparkS
 def prepare(spark: SparkSession) -> SparkSession:
     """Apply the runtime settings the operators assume (idempotent)."""
     for k, v in _RUNTIME_DEFAULTS.items():
-        if k == "spark.sql.session.timeZone" or spark.conf.get(k, None) is None:
+        if k in _REQUIRED or spark.conf.get(k, None) is None:
             spark.conf.set(k, v)
     storage_root(spark)
     return spark
@@ -84,9 +89,35 @@ def storage_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Locations handed out by ``scratch_path`` in this process (see ``remove_scratch``).
+_SCRATCH: list[str] = []
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, never reused location under the shared folder."""
-    return f"{storage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}"
+    _SCRATCH.append(f"{storage_root(spark)}/{name}-{uuid.uuid4().hex[:12]}")
+    return _SCRATCH[-1]
+
+
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to a fresh location of the shared folder and read back: for an
+    intermediate that is read more than once. It outlives any executor, holds no
+    memory, and is dropped with ``remove_scratch``."""
+    spark = df.sparkSession
+    path = scratch_path(spark, name)
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def remove_scratch(spark: SparkSession) -> int:
+    """Delete what this process has written under ``scratch_path`` locations; for the
+    end of a job, when no DataFrame reads them any more. Returns their number."""
+    n = 0
+    for path in _SCRATCH:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        n += bool(place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True))
+    _SCRATCH.clear()
+    return n
 
 
 def is_local_path(path: str) -> bool:
