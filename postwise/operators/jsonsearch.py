@@ -1,20 +1,26 @@
-"""Recursive job-array search in free-form JSON (N14), as a bounded level loop.
-
-Level d holds the JSON nodes at depth d of every document as text. An object
-node expands with ``posexplode(from_json(v, 'map<string,string>'))`` (document
-order kept, nested values come back as JSON text). An edge is taken when the
-key is a promising key (any depth) or the parent is shallower than 4; nodes
-deeper than 8 are ignored and lists are never descended into. Each node carries
-its DFS path as an int array — (0, promising-key index) for the promising pass,
-(1, position) for the plain pass — so sorting paths lexicographically gives the
-original visit order, which decides which duplicate URL wins. The plain pass
-over a promising key revisits a subtree already visited earlier; it can only
-repeat rows, which lose the URL dedup, so it is not generated.
+"""Recursive job-array search in free-form JSON (N14), inside one row per document.
+
+Level d holds the JSON nodes at depth d of a document as text. An object is parsed
+once, when its children are taken (``from_json(v, 'map<string,string>')``: document
+order kept, nested values come back as JSON text). An edge is taken when the key is
+a promising key (any depth) or the parent is shallower than 4; nodes deeper than 8
+are ignored and lists are never descended into. Each node carries its DFS path as an
+int array — (0, promising-key index) for the promising pass, (1, position) for the
+plain pass — so sorting paths lexicographically gives the original visit order, which
+decides which duplicate URL wins. The plain pass over a promising key revisits a
+subtree already visited earlier; it can only repeat rows, which lose the URL dedup,
+so it is not generated.
+
+The levels are a fold over the frontier of a document (``aggregate`` over the depths):
+no row is made, copied or shuffled per level, and one ``explode`` emits the lists that
+were found. The nodes of a level are parts of the document, so the frontier is never
+larger than the document itself. A binary variant would give up the order of the keys
+(its objects are sorted), on which the result depends.
 
 Candidate lists: non-empty arrays whose first element is an object with a
 title-like or link-like key. Their object items become rows, filtered by role
-and location rules, deduplicated by URL per document ('' counts as a URL).
-Each level is one posexplode in a single chain (computed once, no union).
+and location rules, deduplicated by URL per document ('' counts as a URL). The
+employer is joined after the role filter, with no document text in the row.
 """
 
 from __future__ import annotations
@@ -53,51 +59,53 @@ def _computed(df: DataFrame, keep, **cols: Column) -> DataFrame:
 
 
 def _get(m: Column, keys) -> Column:
-    """V1 over several keys of a text map ('' and NULL are missing; so are empty
-    containers)."""
-    vals = [F.try_element_at(m, F.lit(k)) for k in keys]
-    return F.coalesce(*[F.when(~F.trim(v).isin("", "{}", "[]", "false"), v) for v in vals])
+    """V1 over several fields of an item, or keys of a text map ('' and NULL are
+    missing; so are empty containers)."""
+    return F.coalesce(*[F.when(~F.trim(v).isin("", "{}", "[]", "false"), v) for v in (m[k] for k in keys)])
 
 
-def _scalar_or_object(v: Column, object_keys) -> Column:
-    return F.when(_is_obj(v), F.coalesce(_get(F.from_json(v, MAP), object_keys), F.lit(""))).otherwise(
-        F.coalesce(v, F.lit("")))
+#: The fields of a job item, each as text (of an object or list its JSON text).
+_ITEM_KEYS = tuple(dict.fromkeys((*C.JSON_TITLE_KEYS, *C.JSON_LOCATION_KEYS, *C.JSON_LINK_KEYS, *C.JSON_DATE_KEYS,
+                                  *C.JSON_DESCRIPTION_KEYS)))
+_ITEMS = "array<struct<" + ", ".join(f"`{k}`: string" for k in _ITEM_KEYS) + ">>"
 
 
-_SELF = "\u0000self"
+def _text_or_named(v: Column, named: Column, keys) -> Column:
+    """A text field; of an object the first of its ``keys`` that is not empty."""
+    return F.trim(F.coalesce(F.when(named.isNotNull(), F.coalesce(_get(named, keys), F.lit(""))).otherwise(v), F.lit("")))
+
+
+_NODES = "array<struct<path: array<int>, v: string, obj: boolean>>"
 
 
 def search_levels(docs: DataFrame, doc_id: str = "doc_id", body: str = "body",
                   max_depth: int = C.JSON_MAX_DEPTH, free_depth: int = C.JSON_FREE_DEPTH,
                   promising=C.JSON_PROMISING_KEYS, carry=()) -> DataFrame:
-    """All list-valued nodes reachable under the edge rules, with depth and DFS path.
-
-    One chain of ``posexplode`` steps: at level d an object row is replaced by
-    its allowed object/list children (the entries of its parsed map) and a list
-    row found earlier passes through as a single self-entry, so each level is
-    computed once, inside one stage (generator + plain column expressions), with
-    no union of branches and nothing persisted. The outer form adds no filter that
-    would parse every object a second time; its empty rows fail the edge rule."""
-    promising = list(promising)
-    prom_map = F.create_map(*[x for i, k in enumerate(promising) for x in (F.lit(k), F.lit(i))])
-    keep_cols = [doc_id, *carry]
-    rows = docs.select(*keep_cols, F.lit(0).alias("depth"), F.array().cast("array<int>").alias("path"),
-                       F.col(body).alias("v"), _is_obj(F.col(body)).alias("obj"))
-    rows = rows.filter(F.col("obj") | _is_list(F.col("v")))
-    for d in range(max_depth):
-        entries = F.when(F.col("obj"), F.from_json("v", MAP)).otherwise(F.create_map(F.lit(_SELF), F.col("v")))
-        ex = rows.select(*keep_cols, "depth", "path", F.posexplode_outer(entries).alias("pos", "key", "val"))
-        is_self = F.col("key") == _SELF
-        pidx = F.try_element_at(prom_map, F.col("key"))
-        step = F.when(pidx.isNotNull(), pidx).when(F.lit(d < free_depth), F.lit(_PATH_BASE) + F.col("pos"))
-        keep = is_self | (step.isNotNull() & (_is_obj(F.col("val")) | _is_list(F.col("val"))))
-        rows = ex.filter(keep).select(
-            *keep_cols,
-            F.when(is_self, F.col("depth")).otherwise(F.lit(d + 1)).alias("depth"),
-            F.when(is_self, F.col("path")).otherwise(F.concat("path", F.array(step.cast("int")))).alias("path"),
-            F.col("val").alias("v"),
-            (~is_self & _is_obj(F.col("val"))).alias("obj"))
-    return rows.filter(~F.col("obj")).select(*keep_cols, "depth", "path", "v")
+    """All list-valued nodes reachable under the edge rules: (doc_id, carry, path, v)."""
+    known = F.array(*[F.lit(k) for k in promising])
+    nothing = F.array().cast(_NODES)
+
+    def children(node: Column, depth: Column) -> Column:
+        def child(e: Column, i: Column) -> Column:
+            key = F.nullif(F.array_position(known, e["key"]), F.lit(0)) - 1
+            step = F.coalesce(key, F.when(depth < free_depth, i + _PATH_BASE)).cast("int")
+            return F.struct(F.concat(node["path"], F.array(step)).alias("path"), e["value"].alias("v"),
+                            _is_obj(e["value"]).alias("obj"))
+
+        # a refused edge has no step: a null at the end of its path
+        return F.filter(F.transform(F.map_entries(F.from_json(node["v"], MAP)), child),
+                        lambda n: F.element_at(n["path"], -1).isNotNull() & (n["obj"] | _is_list(n["v"])))
+
+    def level(nodes: Column, depth: Column) -> Column:
+        # an object gives way to its children, a list that was found stays
+        return F.flatten(F.transform(nodes, lambda n: F.when(n["obj"], F.coalesce(children(n, depth), nothing))
+                                     .otherwise(F.array(n))))
+
+    root = F.struct(F.array().cast("array<int>").alias("path"), F.col(body).alias("v"), _is_obj(F.col(body)).alias("obj"))
+    top = F.filter(F.array(root), lambda n: n["obj"] | _is_list(n["v"]))
+    nodes = F.aggregate(F.sequence(F.lit(0), F.lit(max_depth - 1)), top, level)
+    found = docs.select(doc_id, *carry, F.explode(F.filter(nodes, lambda n: ~n["obj"])).alias("n"))
+    return found.select(doc_id, *carry, "n.path", "n.v")
 
 
 def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, doc_id: str = "doc_id",
@@ -107,41 +115,31 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
         (F.min_by("careers_url", "ord") if "ord" in companies.columns else F.min("careers_url")).alias("careers_url"))
     # the employer travels with every node, so found items need no join back to their document
     lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, carry=["company"])
-    items = _computed(lists, [doc_id, "company", "path"], items=F.from_json("v", "array<string>"))
-    items = _computed(items, [doc_id, "company", "path", "items"],
-                      keys=F.map_keys(F.from_json(F.try_element_at("items", F.lit(1)), MAP)))
-    first_keys = F.coalesce("keys", F.array().cast("array<string>"))
+    # a list is parsed once: the variant answers for its first element and gives the fields of all
+    lists = lists.select(doc_id, "company", "path", F.explode(F.array(F.try_parse_json("v"))).alias("doc"))
+    first_keys = F.map_keys(F.try_variant_get("doc", "$[0]", "map<string,variant>"))
     looks = F.arrays_overlap(first_keys, F.array(*[F.lit(k) for k in (*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS)]))
-    cands = items.filter(F.coalesce(F.size("items") > 0, F.lit(False)) & _is_obj(F.try_element_at("items", F.lit(1))) & looks)
-    rows = cands.select(doc_id, "company", "path", F.posexplode_outer("items").alias("ipos", "item")).filter(
-        _is_obj(F.col("item")))
-    # parse each item once; every key probe below reads the parsed map column
-    rows = _computed(rows.join(dims, "company"), [doc_id, "company", "careers_url", "path", "ipos"],
-                     m=F.from_json("item", MAP))
+    rows = lists.filter(looks).select(doc_id, "company", "path", F.posexplode(F.try_variant_get("doc", "$", _ITEMS)).alias(
+        "ipos", "m")).filter(F.col("m").isNotNull())
     m = F.col("m")
-    title_raw = _get(m, C.JSON_TITLE_KEYS)
-    loc_raw = _get(m, C.JSON_LOCATION_KEYS)
-    kept = [doc_id, "company", "careers_url", "path", "ipos", "m"]
-    rows = _computed(rows, kept, tr=title_raw, lr=loc_raw, link=F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit("")))
-    rows = _computed(rows, [*kept, "tr", "lr", "link"],
-                     tm=F.when(_is_obj(F.col("tr")), F.from_json("tr", MAP)),
-                     lm=F.when(_is_obj(F.col("lr")), F.from_json("lr", MAP)))
-    title = F.trim(F.when(F.col("tm").isNotNull(), F.coalesce(_get(F.col("tm"), C.JSON_TITLE_OBJECT_KEYS), F.lit("")))
-                   .otherwise(F.coalesce(F.col("tr"), F.lit(""))))
-    loc = F.trim(F.when(F.col("lm").isNotNull(), F.coalesce(_get(F.col("lm"), C.JSON_LOCATION_OBJECT_KEYS), F.lit("")))
-                 .otherwise(F.coalesce(F.col("lr"), F.lit(""))))
-    rows = _computed(rows, [*kept, "link"], job_title=title, loc=loc)
-    careers_nl = P.is_location(F.col("careers_url"), profile)
+    tr, lr = _get(m, C.JSON_TITLE_KEYS), _get(m, C.JSON_LOCATION_KEYS)
+    named = _computed(rows, [doc_id, "company", "path", "ipos", "m"], tr=tr, lr=lr,
+                      tm=F.when(_is_obj(tr), F.from_json(tr, MAP)), lm=F.when(_is_obj(lr), F.from_json(lr, MAP)))
+    rows = _computed(named, [doc_id, "company", "path", "ipos", "m"],
+                     job_title=_text_or_named(F.col("tr"), F.col("tm"), C.JSON_TITLE_OBJECT_KEYS),
+                     loc=_text_or_named(F.col("lr"), F.col("lm"), C.JSON_LOCATION_OBJECT_KEYS))
+    rows = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)).join(
+        dims, "company")
+    careers_nl = P.is_location(F.col("careers_url"), profile, compact=True)
     loc_ok = F.when(F.col("loc") == "", careers_nl).otherwise(
-        F.lower("loc").isin("remote", "hybrid", "") | P.is_location(F.col("loc"), profile, compact=True))
-    hits = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)
-                       & loc_ok).withColumn("job_url", resolve_url(F.col("link"), F.col("careers_url"))).drop("link")
+        F.lower("loc").isin("remote", "hybrid") | P.is_location(F.col("loc"), profile, compact=True))
+    link = F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit(""))
+    hits = rows.filter(loc_ok).withColumn("job_url", resolve_url(link, F.col("careers_url")))
     w = Window.partitionBy(doc_id, "job_url").orderBy("path", "ipos")
     firsts = hits.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
     if max_rows is not None:
         firsts = firsts.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id).orderBy("path", "ipos"))) \
             .filter(F.col("__k") <= max_rows).drop("__k")
-    m = F.col("m")
     date = fmt_date(F.coalesce(_get(m, C.JSON_DATE_KEYS), F.lit("")))
     desc = html_to_text(F.coalesce(_get(m, C.JSON_DESCRIPTION_KEYS), F.lit("")))
     note_col = F.lit(note) if isinstance(note, str) else note

@@ -71,8 +71,11 @@ def _typed(payloads: DataFrame, schema: str) -> Column:
     return F.try_variant_get(doc, "$", schema)
 
 
-def _explode(df: DataFrame, arr: Column, keep=("company", "careers_url", "params", "page")) -> DataFrame:
-    return df.select(*keep, F.posexplode(arr).alias("pos", "j"))
+def _jobs(payloads: DataFrame, companies: DataFrame, arr: Column, keep=("page",)) -> DataFrame:
+    """One row (company, careers_url, params, ``keep``, pos, j) per element of ``arr``.
+    The bodies are taken apart before the employer is joined: filters on the elements
+    run below the join, and no body travels through it."""
+    return with_company(payloads.select("company", *keep, F.posexplode(arr).alias("pos", "j")), companies)
 
 
 def _fmt(template: str, **parts) -> Column:
@@ -97,7 +100,7 @@ GREENHOUSE = ("struct<jobs: array<struct<id: bigint, title: string, location: st
 def normalize_greenhouse(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Board JSON → postings (location AND role); description from the job's
     HTML content (the description ladder P13 handles short ones)."""
-    d = _explode(with_company(payloads, companies), _typed(payloads, GREENHOUSE)["jobs"])
+    d = _jobs(payloads, companies, _typed(payloads, GREENHOUSE)["jobs"])
     j = F.col("j")
     title, loc = _txt(j["title"]), _txt(j["location"]["name"])
     kept = d.filter(P.is_location(loc, profile) & P.is_target_role(title, profile))
@@ -128,8 +131,8 @@ def normalize_icims(payloads: DataFrame, companies: DataFrame, profile: Profile
     of an employer (rows without an id all kept), then location AND role. Pages
     restart per category, so a ``category`` column precedes the page in the order."""
     category = F.col("category") if "category" in payloads.columns else F.lit("")
-    d = with_company(payloads, companies).withColumn("__category", category)
-    d = _explode(d, _typed(payloads, ICIMS)["jobs"], keep=("company", "careers_url", "params", "page", "__category"))
+    d = _jobs(payloads.withColumn("__category", category), companies, _typed(payloads, ICIMS)["jobs"],
+              keep=("page", "__category"))
     j = F.col("j")
     jd = F.when(j["data"].isNotNull(), j["data"]).otherwise(F.struct(*[j[f.split(":")[0].strip()].alias(
         f.split(":")[0].strip()) for f in ICIMS_FIELDS.split(",")]))
@@ -160,7 +163,7 @@ LEVER = ("array<struct<text: string, categories: struct<location: string, allLoc
 def normalize_lever(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
                     epoch_ms: bool = False) -> DataFrame:
     """Top-level array; location or any of allLocations matches, AND role."""
-    d = _explode(with_company(payloads, companies), _typed(payloads, LEVER))
+    d = _jobs(payloads, companies, _typed(payloads, LEVER))
     j = F.col("j")
     title = _txt(j["text"])
     loc = first_truthy(j["categories"]["location"], j["workplaceType"], default="")
@@ -182,7 +185,7 @@ SMARTRECRUITERS = ("struct<content: array<struct<name: string, location: struct<
 
 def normalize_smartrecruiters(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Role filter only (the country is part of the request)."""
-    d = _explode(with_company(payloads, companies), _typed(payloads, SMARTRECRUITERS)["content"])
+    d = _jobs(payloads, companies, _typed(payloads, SMARTRECRUITERS)["content"])
     j = F.col("j")
     title = _txt(j["name"])
     kept = d.filter(P.is_target_role(title, profile))
@@ -206,7 +209,7 @@ def normalize_ashby(payloads: DataFrame, companies: DataFrame, profile: Profile
     address matches, or the location is empty/remote/hybrid)."""
     body = _typed(payloads, ASHBY)
     arr = F.when(body["jobs"].isNotNull(), body["jobs"]).otherwise(body["jobPostings"])
-    d = _explode(with_company(payloads, companies), arr)
+    d = _jobs(payloads, companies, arr)
     j = F.col("j")
     title = _txt(j["title"])
     loc = first_truthy(j["location"], j["locationName"], default="")
@@ -232,7 +235,7 @@ RECRUITEE = ("struct<offers: array<struct<title: string, city: string, country:
 
 def normalize_recruitee(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Role AND (empty location or a location match)."""
-    d = _explode(with_company(payloads, companies), _typed(payloads, RECRUITEE)["offers"])
+    d = _jobs(payloads, companies, _typed(payloads, RECRUITEE)["offers"])
     j = F.col("j")
     title = _txt(j["title"])
     loc = join_place(j["city"], j["country"])
@@ -268,9 +271,8 @@ def normalize_slug_page(listing: DataFrame, details: DataFrame, companies: DataF
     """Ordered-distinct slugs from the listing page; title = slug title-cased,
     replaced by the detail page's <title> text (before '|', if longer than 3),
     replaced by a JSON-LD JobPosting title; role filter on the result."""
-    d = with_company(listing, companies)
     slugs = F.array_distinct(F.regexp_extract_all("body", F.lit(SLUG_PATTERN), 1))
-    s = d.select("company", "careers_url", "page", F.posexplode(slugs).alias("pos", "slug"))
+    s = _jobs(listing, companies, slugs).withColumnRenamed("j", "slug")
     head, tail = C.URL_FORMATS["picnic_job"].split("{slug}")
     s = s.withColumn("job_url", F.concat(F.lit(head), "slug", F.lit(tail)))
     det = last_pages(details).select(F.col("url").alias("job_url"), F.col("html").alias("__detail"))
@@ -302,10 +304,8 @@ def attribute_json(html: Column) -> Column:
 def normalize_attr_json(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE,
                         full_unescape: bool = False) -> DataFrame:
     """Entity-encoded JSON in a jobs attribute; a single object counts as a list."""
-    d = with_company(pages, companies)
     raw = attribute_json(F.col("body"))
-    arr = F.from_json(unescape(raw, full_unescape), ATTR_ITEM)
-    d = _explode(d, arr, keep=("company", "careers_url", "params", "page", "url"))
+    d = _jobs(pages, companies, F.from_json(unescape(raw, full_unescape), ATTR_ITEM), keep=("page", "url"))
     j = F.col("j")
     title = first_truthy(j["title"], j["name"], default="")
     loc = first_truthy(j["location"], j["city"], default=C.DEFAULT_COUNTRY)
@@ -348,7 +348,7 @@ def normalize_search_index(payloads: DataFrame, companies: DataFrame, profile: P
     entries = F.map_entries(top)
     first_list = F.try_element_at(F.filter(entries, lambda e: _nonempty_obj_list(e["value"])), F.lit(1))["value"]
     arr_text = F.when(F.ltrim(body).startswith("["), body).otherwise(F.coalesce(*named, first_list))
-    d = _explode(with_company(payloads, companies), F.from_json(arr_text, f"array<{INDEX_ITEM}>"))
+    d = _jobs(payloads, companies, F.from_json(arr_text, f"array<{INDEX_ITEM}>"))
     j = F.col("j")
     title = F.trim(first_truthy(j["title"], j["name"], j["vacancyTitle"], default=""))
     kept = d.filter(P.is_target_role(title, profile))
@@ -373,11 +373,9 @@ WORKDAY = ("struct<jobPostings: array<struct<title: string, externalPath: string
 def normalize_workday(payloads: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Pages of all search terms deduplicated by externalPath (else title);
     role AND (empty location or a location match)."""
-    d = with_company(payloads, companies)
     term_rank = F.coalesce(F.col("term_rank"), F.lit(0)) if "term_rank" in payloads.columns else F.lit(0)
-    d = d.withColumn("__term", term_rank)
-    d = d.select("company", "careers_url", "params", "__term", "page",
-                 F.posexplode(_typed(payloads, WORKDAY)["jobPostings"]).alias("pos", "j"))
+    d = _jobs(payloads.withColumn("__term", term_rank), companies, _typed(payloads, WORKDAY)["jobPostings"],
+              keep=("__term", "page"))
     d = dedup_coalesced_key(d, [F.col("j.externalPath"), F.col("j.title")], order=["__term", "page", "pos"],
                             scope=["company"])
     j = F.col("j")
@@ -402,7 +400,7 @@ def normalize_embedded_array(payloads: DataFrame, companies: DataFrame, profile:
     """The first ``"jobs":[...]`` up to the first ']' (non-greedy), parsed;
     nested arrays make the text invalid and the payload yields nothing."""
     text = F.regexp_extract("body", C.EMBEDDED_JOBS_PATTERN, 1)
-    d = _explode(with_company(payloads, companies), F.from_json(F.nullif(text, F.lit("")), EMBEDDED))
+    d = _jobs(payloads, companies, F.from_json(F.nullif(text, F.lit("")), EMBEDDED))
     j = F.col("j")
     title = _txt(j["title"])
     kept = d.filter(P.is_target_role(title, profile))
@@ -445,9 +443,8 @@ def jsonld_postings(pages: DataFrame, companies: DataFrame, lenient: bool = Fals
     url falls back to the page, e-mail from the item's description;
     lenient (rendered pages): location joined with a space (empty accepted),
     description kept, and only the first script that yields rows is used."""
-    d = with_company(pages, companies)
-    items = d.select("company", "careers_url", "params", "page", F.col("url").alias("page_url"),
-                     F.explode(_ld_items(F.col("body"))).alias("x"))
+    items = with_company(pages.select("company", "page", F.col("url").alias("page_url"),
+                                      F.explode(_ld_items(F.col("body"))).alias("x")), companies)
     it = F.col("x.it")
     title = _txt(it["title"])
     typed = items.filter(it["@type"] == "JobPosting")
@@ -481,7 +478,6 @@ PAIR = C.STATE_PAIR_PATTERN
 def nextdata_pairs(pages: DataFrame, companies: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """Page-state JSON re-serialised, each "title" paired with the next
     url/href/link (pairs may cross objects); role filter; no dedup."""
-    d = with_company(pages, companies)
     state = F.regexp_extract("body", NEXT_DATA, 1)
     # the pattern runs on the serialised state: valid JSON only, line breaks
     # (whitespace between tokens) flattened so a pair may span them
@@ -490,8 +486,8 @@ def nextdata_pairs(pages: DataFrame, companies: DataFrame, profile: Profile = DE
     matches = F.regexp_extract_all(text, F.lit(PAIR), 0)  # one pass over the page state
     pairs = F.transform(matches, lambda m: F.struct(F.regexp_extract(m, PAIR, 1).alias("t"),
                                                       F.regexp_extract(m, PAIR, 2).alias("u")))
-    x = d.select("company", "careers_url", "params", "page", F.col("url").alias("page_url"),
-                 F.posexplode(pairs).alias("pos", "p"))
+    x = with_company(pages.select("company", "page", F.col("url").alias("page_url"),
+                                  F.posexplode(pairs).alias("pos", "p")), companies)
     kept = x.filter(P.is_target_role(F.col("p.t"), profile))
     return kept.select(*posting(job_title=F.col("p.t"), location=F.lit(C.DEFAULT_COUNTRY), careers_url="page_url",
                                 job_url=F.col("p.u"), notes=F.lit(C.NOTES["nextdata"])))
@@ -510,10 +506,9 @@ def dom_link_postings(pages: DataFrame, companies: DataFrame, profile: Profile =
                       max_links: int | None = None) -> DataFrame:
     """Anchors whose href has a job-like path (with ``max_links`` only the
     first so many per page); title = aria-label else inner text (cut at 120)."""
-    d = with_company(pages, companies)
     anchors = F.regexp_extract_all("body", F.lit(ANCHOR), 0)
-    a = d.select("company", "careers_url", "params", "page", F.col("url").alias("page_url"),
-                 F.posexplode(anchors).alias("pos", "tag"))
+    a = with_company(pages.select("company", "page", F.col("url").alias("page_url"),
+                                  F.posexplode(anchors).alias("pos", "tag")), companies)
     attrs = F.regexp_extract("tag", r"(?is)<a\b([^>]*)>", 1)
     href = _attr(attrs, "href")
     a = a.withColumn("__href", href).filter(P.any_contains(F.col("__href"), C.JOB_LINK_MARKERS))
