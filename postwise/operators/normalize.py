@@ -544,15 +544,19 @@ def normalize_search_rows(rows: DataFrame, order="seq") -> DataFrame:
 # ----------------------------------------------------------------- P16 / N11 / N12 ladders
 
 def in_turn(inputs: DataFrame, strategies) -> DataFrame:
-    """Strategies tried one after another per employer: each sees only the
-    inputs of employers for whom none before has yielded a row. ``strategies`` is a
-    list of (number, inputs → rows); the rows come with their ``strategy``."""
-    out, rest = None, inputs
+    """Strategies tried one after another per employer: the rows of each are made
+    from the inputs of employers for whom none before yields a row. ``strategies`` is
+    a list of (number, inputs → rows); the rows come with their ``strategy``. Which
+    employers a strategy yields for is asked of all inputs, so the question is the same
+    wherever it is asked and is answered once (a reused exchange of employer names)."""
+    out, won = None, None
     for i, (number, strategy) in enumerate(strategies):
-        rows = strategy(rest).withColumn("strategy", F.lit(number))
+        rows = strategy(inputs if won is None else inputs.join(won, "company", "left_anti"))
+        rows = rows.withColumn("strategy", F.lit(number))
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
         if i + 1 < len(strategies):
-            rest = rest.join(rows.select("company").distinct(), "company", "left_anti")
+            names = (rows if won is None else strategy(inputs)).select("company").distinct()
+            won = names if won is None else won.unionByName(names)
     return out
 
 
