@@ -94,13 +94,8 @@ RELOCATION_WORDS = ("relocation", "relocation package", "moving costs")
 APPLY_FORM_MARKER = "autofill with mygreenhouse"
 APPLY_FORM_CONTENT_WORDS = ("responsibilities", "requirements")
 
-# E-mail filters.
-EMAIL_ROLE_ACCOUNTS = (
-    "noreply", "no-reply", "donotreply", "support", "info", "hello", "contact", "privacy",
-    "legal", "security", "careers", "jobs", "apply", "hr", "talent", "recruiting", "notifications?",
-    "alerts?", "news", "feedback", "abuse", "postmaster", "webmaster", "admin", "team", "press",
-    "marketing", "sales", "billing", "payments?", "help", "bot", "automated", "system",
-)
+# E-mail filters. Fixed value: the local parts of role accounts, which are no recruiters.
+ROLE_ACCOUNT_PATTERN = (r"(?i)^(noreply|no-reply|donotreply|support|info|hello|contact|privacy|legal|security|careers|jobs|apply|hr|talent|recruiting|notifications?|alerts?|news|feedback|abuse|postmaster|webmaster|admin|team|press|marketing|sales|billing|payments?|help|bot|automated|system)\b")
 EMAIL_BLOCKED_DOMAIN_PARTS = ("sentry", "example", "test.", "amazonaws")
 EMAIL_MIN_LOCAL = 3
 

@@ -30,32 +30,56 @@ _C1_CHARACTERS = "".join(bytes([i]).decode("cp1252", "ignore") or chr(i) for i i
 
 
 def _numeric_entity(name: Column) -> Column:
-    """Character of ``#65`` or ``#x41`` ('' for control codes, U+FFFD for what is no character)."""
+    """Character of ``#65`` or ``#x41`` ('' for control codes and noncharacters, U+FFFD for
+    numbers that name none)."""
     code = F.when(F.lower(F.substring(name, 2, 1)) == "x", F.conv(F.substr(name, F.lit(3)), 16, 10)).otherwise(
         F.substr(name, F.lit(2))).cast("bigint")
     char = F.decode(F.unhex(F.lpad(F.hex(code), 8, "0")), "UTF-32")
     return (F.when((code == 0) | (code > 0x10FFFF) | code.between(0xD800, 0xDFFF), F.lit("\ufffd"))
             .when(code.between(128, 159), F.substr(F.lit(_C1_CHARACTERS), (code - 127).cast("int"), F.lit(1)))
-            .when(code.between(1, 8) | code.between(14, 31) | code.isin(11, 127), F.lit("")).otherwise(char))
+            .when(code.between(1, 8) | code.between(14, 31) | code.isin(11, 127) | code.between(0xFDD0, 0xFDEF)
+                  | (code.bitwiseAND(0xFFFE) == 0xFFFE), F.lit("")).otherwise(char))
+
+
+@functools.cache
+def _legacy_names() -> str:
+    """An alternation of the names that HTML5 knows without ';', longest first, so the
+    longest prefix of a reference is the one that matches."""
+    return "|".join(sorted((n for n in _entities.html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
 
 
 def unescape_native(c: Column) -> Column:
-    """One decoding pass over every ``&...;`` reference, JVM-side: the text is cut
-    at its ampersands and each piece starts with a reference or keeps its '&'."""
+    """One decoding pass over every reference, JVM-side, as HTML5 reads them: the text is
+    cut at its ampersands and each piece starts with a reference or keeps its '&'. A
+    name with ';' counts whole; else the longest name known without ';' that the piece
+    starts with (``&notit;`` is ``¬it;``). Numbers need no ';'. A text without '&' costs
+    one test."""
     names = F.str_to_map(F.lit(_named_entities()), F.lit("\u0001"), F.lit("\u0002"))
+    whole = r"^([A-Za-z][A-Za-z0-9]{0,31});"
+    number = r"^#([0-9]{1,8}|[xX][0-9a-fA-F]{1,7})"
+    legacy = f"^({_legacy_names()})"
 
-    # reference and piece side by side: a lambda's body repeats what it names twice
+    # what was found stands beside the piece: a lambda's body repeats what it names twice
     def cut(p: Column) -> Column:
-        name = F.regexp_extract(p, r"^(#[0-9]{1,8}|#[xX][0-9a-fA-F]{1,7}|[A-Za-z][A-Za-z0-9]*);", 1)
-        return F.struct(name.alias("name"), p.alias("p"))
+        return F.struct(F.regexp_extract(p, whole, 1).alias("whole"), p.alias("p"))
+
+    def look(x: Column) -> Column:
+        p = x["p"]
+        char = F.when(x["whole"] != "", F.try_element_at(names, x["whole"]))
+        prefix = F.when(char.isNull() & p.startswith("#"), F.regexp_extract(p, number, 0)).when(
+            char.isNull(), F.regexp_extract(p, legacy, 0))
+        return F.struct(char.alias("char"), F.coalesce(prefix, F.lit("")).alias("prefix"), x["whole"].alias("whole"), p.alias("p"))
 
     def piece(x: Column) -> Column:
-        name, p = x["name"], x["p"]
-        char = F.when(name.startswith("#"), _numeric_entity(name)).when(name != "", F.try_element_at(names, name))
-        return F.coalesce(F.concat(char, F.substr(p, F.length(name) + 2)), F.concat(F.lit("&"), p))
+        p, prefix = x["p"], x["prefix"]
+        after = F.length(prefix) + 1
+        by_prefix = F.when(prefix.startswith("#"), F.concat(
+            _numeric_entity(prefix), F.substr(p, after + F.when(F.substr(p, after, F.lit(1)) == ";", 1).otherwise(0)))).when(
+            prefix != "", F.concat(F.try_element_at(names, prefix), F.substr(p, after)))
+        return F.coalesce(F.concat(x["char"], F.substr(p, F.length(x["whole"]) + 2)), by_prefix, F.concat(F.lit("&"), p))
 
-    rest = F.transform(F.transform(F.slice(F.split(c, "&"), 2, 2**30), cut), piece)
-    return F.when(c.contains("&"), F.concat(F.substring_index(c, "&", 1), F.array_join(rest, ""))).otherwise(c)
+    pieces = F.transform(F.transform(F.transform(F.slice(F.split(c, "&"), 2, 2**30), cut), look), piece)
+    return F.when(c.contains("&"), F.concat(F.substring_index(c, "&", 1), F.array_join(pieces, ""))).otherwise(c)
 
 
 def _unescape_full_udf():
@@ -71,8 +95,7 @@ def _unescape_full_udf():
 
 
 def unescape(c: Column, full: bool = False) -> Column:
-    """HTML entity decoding: every reference that ends in ';' natively; with ``full``
-    a pandas UDF that also takes the legacy names without it."""
+    """HTML entity decoding; with ``full`` by the standard library in a pandas UDF."""
     return _unescape_full_udf()(c) if full else unescape_native(c)
 
 
@@ -95,7 +118,7 @@ def truncate(c, n: int) -> Column:
 
 MAILTO_PATTERN = C.MAILTO_PATTERN
 ADDRESS_PATTERN = C.ADDRESS_PATTERN
-ROLE_ACCOUNT_PATTERN = "(?i)^(" + "|".join(C.EMAIL_ROLE_ACCOUNTS) + r")\b"
+ROLE_ACCOUNT_PATTERN = C.ROLE_ACCOUNT_PATTERN
 
 
 def email_ok(e: Column) -> Column:

@@ -39,12 +39,12 @@ def new_score_entries(scored: DataFrame) -> DataFrame:
     return keyed.groupBy(F.col(KEY).alias("job_url")).agg(F.max("score").cast("int").alias("score"))
 
 
-# Fixed value: the request text around the posting fields ({profile} is supplied
-# by the user; the default is a neutral placeholder).
+# The request text around the posting fields (the profile is supplied by the user). Fixed
+# value: the form of the reply, which ``parse_score_reply`` reads.
+REPLY_FORM = '{"score": <integer 0-100>, "reason": "<one sentence>"}'
 PROMPT_TEMPLATE = (
-    "%s\n\nScore this job opportunity for the candidate on a scale of 0-100.\n\n"
-    "Job title: %s\nCompany: %s\nLocation: %s\nDescription: %s\n\n"
-    'Respond with only a JSON object: {"score": <integer 0-100>, "reason": "<one sentence>"}'
+    "%s\n\nHow well does the opening below suit this candidate? Rate it from 0 (not at all) to 100 (ideal).\n\n"
+    "Title: %s\nEmployer: %s\nPlace: %s\nAbout: %s\n\nReply with this JSON object and nothing else: " + REPLY_FORM
 )
 DEFAULT_PROFILE_TEXT = "Candidate profile: (supplied by the user)"
 

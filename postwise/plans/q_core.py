@@ -214,6 +214,34 @@ def html_to_text(spark, sf):
     return pg.select("page_id", T.html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"))
 
 
+_REFERENCES_SQL = f"""
+, pieces AS (SELECT seq, i, p FROM (SELECT seq, string_split(text, '&') AS ps FROM fx_entity_text), LATERAL (
+    SELECT unnest(range(1, len(ps) + 1)) AS i, unnest(ps) AS p)),
+named AS (SELECT q.*, regexp_extract(p, '^([A-Za-z][A-Za-z0-9]{{0,31}};)', 1) AS w,
+    regexp_extract(p, '^(#([0-9]{{1,8}}|[xX][0-9a-fA-F]{{1,7}});?)', 1) AS num FROM pieces q),
+best AS (SELECT n.seq, n.i, arg_max(e.name, length(e.name)) AS name, arg_max(e.chars, length(e.name)) AS chars
+  FROM named n JOIN fx_entity e ON n.i > 1 AND e.name NOT LIKE '%;' AND starts_with(n.p, e.name) GROUP BY n.seq, n.i),
+coded AS (SELECT *, CASE WHEN lower(num) LIKE '#x%' THEN CAST('0x' || rtrim(substr(num, 3), ';') AS BIGINT)
+    WHEN num <> '' THEN CAST(rtrim(substr(num, 2), ';') AS BIGINT) END AS code FROM named),
+read AS (SELECT c.seq, c.i, CASE WHEN c.i = 1 THEN c.p
+    WHEN e.chars IS NOT NULL THEN e.chars || substr(c.p, length(c.w) + 1)
+    WHEN code IS NOT NULL THEN CASE WHEN code = 0 OR code > 1114111 OR code BETWEEN 55296 AND 57343 THEN chr(65533)
+        WHEN code BETWEEN 128 AND 159 THEN substr({Q.lit(''.join(bytes([i]).decode('cp1252', 'ignore') or chr(i) for i in range(128, 160)))}, CAST(code - 127 AS INTEGER), 1)
+        WHEN code BETWEEN 1 AND 8 OR code BETWEEN 14 AND 31 OR code IN (11, 127) OR code BETWEEN 64976 AND 65007 OR code & 65534 = 65534 THEN ''
+        ELSE chr(CAST(code AS INTEGER)) END || substr(c.p, length(num) + 1)
+    WHEN b.name IS NOT NULL THEN b.chars || substr(c.p, length(b.name) + 1)
+    ELSE '&' || c.p END AS piece
+  FROM coded c LEFT JOIN fx_entity e ON e.name = c.w LEFT JOIN best b ON b.seq = c.seq AND b.i = c.i)
+SELECT seq, string_agg(piece, '' ORDER BY i) AS text FROM read GROUP BY seq"""
+
+
+@query("unescape_references", fixtures=["fx_entity_text", "fx_entity"], oracle=_REFERENCES_SQL)
+def unescape_references(spark, sf):
+    """every named, legacy and numeric character reference, with and without ';'."""
+    t = fixture(spark, sf, "fx_entity_text")
+    return t.select("seq", T.unescape(F.col("text")).alias("text"))
+
+
 @query("fmt_date", fixtures=["fx_dates"], oracle=f"""
 SELECT seq, date_raw, {Q.fmt_date('date_raw')} AS date_posted FROM fx_dates""")
 def fmt_date(spark, sf):

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import re
+from html.entities import html5 as _html5
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -151,6 +152,27 @@ SELECT o_orderkey AS seq, CASE o_orderkey % 9
 FROM {orders}
 """
 
+
+def _sql_text(s: str) -> str:
+    """A SQL expression of the text ``s`` that Spark and DuckDB read alike."""
+    return "concat(" + ", ".join(f"chr({ord(c)})" if c in "'\\" or ord(c) < 32 else f"'{c}'" for c in s) + ")"
+
+
+# Character references: the names of HTML5 (from the standard library), with their characters.
+_NAMES = sorted(_html5.items())
+FIXTURES["fx_entity"] = "SELECT * FROM (VALUES " + ", ".join(
+    f"({i}, '{name}', {_sql_text(chars)})" for i, (name, chars) in enumerate(_NAMES)) + ") AS t(n, name, chars)"
+
+# Texts that hold each name whole, cut short and before other characters, and numbers
+# from control codes to beyond the last character, with and without ';'.
+FIXTURES["fx_entity_text"] = f"""
+SELECT o.o_orderkey AS seq, concat('a & b &', e.name, 'x &', f.name, ' &', replace(e.name, ';', ''), 'Z; &', substr(f.name, 1, 3),
+  ' &#', CAST(o.o_orderkey * 37 % 1200000 AS STRING), ' &#', CAST(o.o_orderkey % 300 AS STRING), ';c &#x',
+  CASE o.o_orderkey % 4 WHEN 0 THEN '41' WHEN 1 THEN 'd800' WHEN 2 THEN 'FDD0;' ELSE '1F600;' END, 'g &; &#; &#x; &nosuchname; &') AS text
+FROM {{orders}} o JOIN {{fx_entity}} e ON e.n = o.o_orderkey % {len(_NAMES)}
+JOIN {{fx_entity}} f ON f.n = (o.o_orderkey * 7 + 3) % {len(_NAMES)}
+"""
+
 # Description cache: document texts keyed by posting URLs.
 FIXTURES["fx_desc_cache"] = """
 SELECT concat('https://jobs.example.org/p/', CAST(doc_id * 3 AS STRING)) AS key, text AS body FROM {documents}

@@ -126,3 +126,22 @@ def test_scores_beyond_32_bits_clamp(spark):
     df = spark.createDataFrame([('{"score": 99999999999}',), ('{"score": -99999999999}',), ('{"score": 50}',),
                                 ('{"score": "x"}',)], "r string")
     assert [r.s for r in df.select(S.parse_reply(F.col("r")).alias("s")).collect()] == [99, 0, 50, None]
+
+
+def test_references_are_read_as_the_standard_library_does(spark):
+    import html
+    import html.entities
+    import random
+
+    from postwise.functions.text import unescape_native
+
+    rng = random.Random(4)
+    names = list(html.entities.html5)
+    texts = [f"x &{n}y &{n.rstrip(';')} &{n.rstrip(';')}1; &{n[:-2]}" for n in names]
+    parts = ["&", ";", "#", "x", "amp", "not", "in", "lt", "38", "x26", "&#", "&#x", " ", "<", "copy", "&copy", "frac12", "AElig", "0", "é"]
+    texts += ["".join(rng.choices(parts, k=rng.randint(1, 12))) for _ in range(3000)]
+    texts += [f"&#{i} &#{i};" for i in (*range(0, 300), 0xD7FF, 0xD800, 0xDFFF, 0xFDD0, 0xFFFE, 0x1FFFF, 0x10FFFF, 0x110000)]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    got = {r.i: r.u for r in df.select("i", unescape_native(F.col("t")).alias("u")).collect()}
+    wrong = [(t, got[i], html.unescape(t)) for i, t in enumerate(texts) if got[i] != html.unescape(t)]
+    assert not wrong, wrong[:5]
