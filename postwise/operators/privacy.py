@@ -17,20 +17,18 @@ def pii_audit(records: DataFrame, target: str, body: str = "body", fields=C.PII_
     """A4: per target and field, keys removed and non-null values removed. Key
     presence is read from the raw JSON object (a typed column cannot tell an
     absent key from a null value)."""
-    rows = []
-    for f in fields:
-        keys = F.json_object_keys(F.col(body))
-        has_key = F.coalesce(F.array_contains(keys, f), F.lit(False))
-        value = F.get_json_object(F.col(body), f"$.{f}")
-        rows.append(records.agg(
-            F.lit(target).alias("target"), F.lit(f).alias("field"),
-            F.count_if(has_key).alias("removed_keys"),
-            F.count_if(has_key & value.isNotNull()).alias("removed_values"),
-        ))
-    out = rows[0]
-    for r in rows[1:]:
-        out = out.unionByName(r)
-    return out
+    # one scan per target: both counts of every field in one aggregate, then a row per field
+    keys = F.coalesce(F.json_object_keys(F.col(body)), F.array().cast("array<string>"))
+    read = records.select(keys.alias("__keys"), *[F.get_json_object(F.col(body), f"$.{f}").alias(f"__v{i}")
+                                                   for i, f in enumerate(fields)])
+    counts = []
+    for i, f in enumerate(fields):
+        has = F.array_contains("__keys", f)
+        counts += [F.count_if(has).alias(f"k{i}"), F.count_if(has & F.col(f"__v{i}").isNotNull()).alias(f"v{i}")]
+    totals = read.agg(*counts)
+    rows = F.array(*[F.struct(F.lit(target).alias("target"), F.lit(f).alias("field"), F.col(f"k{i}").alias("removed_keys"),
+                              F.col(f"v{i}").alias("removed_values")) for i, f in enumerate(fields)])
+    return totals.select(F.explode(rows).alias("r")).select("r.*")
 
 
 def scrub_json(records: DataFrame, body: str = "body", schema=None, fields=C.PII_FIELDS) -> DataFrame:

@@ -77,6 +77,17 @@ def reject_malformed(spark, sf):
     return bad.agg(F.count(F.lit(1)).alias("rejected"))
 
 
+@query("json_lines_split", fixtures=["fx_posting"], oracle="""
+SELECT coalesce(job_url, '') <> '' AS readable, count(*) AS n, count(CASE WHEN coalesce(job_url, '') <> '' THEN seq END) AS n_seq
+FROM fx_posting GROUP BY 1""")
+def json_lines_split(spark, sf):
+    """S2 + P22: good and rejected records of one parse, written by one job."""
+    root = scratch_path(spark, "json-lines")
+    SN.land_json_lines(spark, _corrupt_json_lines(spark, sf), schemas.POSTING_SEQ, root)
+    return spark.read.parquet(root).groupBy((F.col("readable") == F.lit("true")).alias("readable")).agg(
+        F.count(F.lit(1)).alias("n"), F.count("record.seq").alias("n_seq"))
+
+
 def _seen_map_texts(spark, sf):
     """The seen store as JSON object texts {url: iso time}, in chunks of at most
     1000 entries (chunk = numeric URL id div 1000)."""
@@ -148,10 +159,10 @@ def raw_payload_scan(spark, sf):
 @query("search_results_union", fixtures=["fx_search"], oracle="""
 SELECT search_term, seq, job_url FROM fx_search""")
 def search_results_union(spark, sf):
-    """Per-term result sets stacked with their term."""
-    s = fixture(spark, sf, "fx_search")
-    sets = {f"term{i}": s.filter(F.col("search_term") == f"term{i}").drop("search_term") for i in range(5)}
-    return PL.search_results_union(sets).select("search_term", "seq", "job_url")
+    """Result sets landed per term, stacked with their term, whatever the terms."""
+    root = scratch_path(spark, "result-sets")
+    PL.land_result_sets(fixture(spark, sf, "fx_search").select("search_term", "seq", "job_url"), root)
+    return PL.search_results_union(spark, root).select("search_term", "seq", "job_url")
 
 
 _PAGES_SQL = """
@@ -209,14 +220,11 @@ def snapshot_write_roundtrip(spark, sf):
 @query("page_files_scan", oracle=f"""
 SELECT page_id, {_html_to_text_sql('html', C.PAGE_TEXT_MAX)} AS text FROM pages""")
 def page_files_scan(spark, sf):
-    """S7 + F1: pages landed as HTML files (one file per page, in page_id=N
-    folders), read whole and cleaned."""
+    """S7 + F1: pages landed in packed files (many pages a file), read and cleaned."""
     pages = table(spark, sf, "pages")
-    root = scratch_path(spark, "page-files")
-    pages.select("page_id", "html").write.partitionBy("page_id").text(root)
-    files = SN.read_page_files(spark, root)
-    return files.select(F.col("page_id").cast("bigint").alias("page_id"),
-                        T.html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"))
+    root = SN.write_page_files(pages, scratch_path(spark, "page-files"), ("page_id", "url", "html"))
+    files = SN.read_page_files(spark, root, "page_id bigint, url string, html string")
+    return files.select("page_id", T.html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"))
 
 
 @query("kv_upsert", fixtures=["fx_posting", "fx_score"], oracle=f"""

@@ -45,7 +45,7 @@ def stream_new_postings(spark, sf):
         SC.land(part, src)
         stream = SC.stream_files(spark, src, p.schema)
         SC.run_available(SH.hourly_stream(stream, seen_dir, digest, scores,
-                                          as_of=lambda b: f"2024-02-01 {b:02d}:00:00"), ckpt)
+                                          as_of=lambda b: f"2024-02-01 {b:02d}:00:00", compact_every=2), ckpt)
     out = spark.read.parquet(digest)
     return out.select(F.col("batch_id").cast("bigint").alias("batch_id"), "seq", "job_url", "score", "rank")
 
@@ -125,7 +125,7 @@ m0 AS (SELECT job_url, seq, job_title, first_seen, last_seen, CAST(NULL AS BOOLE
 
 @query("stream_retention", fixtures=["fx_posting", "fx_prev", "fx_seen"], oracle=_retention_sql())
 def stream_retention(spark, sf):
-    """T4: three loads merged in turn (stamp, carry forward, expire)."""
+    """T4: three loads merged in turn (stamp, carry forward, expire), by buckets."""
     p, prev, seen = fixtures(spark, sf, "fx_posting", "fx_prev", "fx_seen")
     p = p.select("seq", "job_url", "job_title")
     root = scratch_path(spark, "retention")
@@ -136,7 +136,7 @@ def stream_retention(spark, sf):
         stream = SC.stream_files(spark, src, p.schema)
         SC.run_available(stream.writeStream.foreachBatch(
             SR.merge_batch(snaps, seen, as_of=lambda b: RETENTION_AS_OF[b])), ckpt)
-    last = spark.read.parquet(SR.snapshot_path(snaps, len(RETENTION_AS_OF) - 1))
+    last = SR.read_snapshot(spark, snaps, len(RETENTION_AS_OF) - 1)
     return last.select("job_url", "seq", "job_title", "first_seen", "last_seen", "stale")
 
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from urllib.parse import urlencode
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import config as C
@@ -43,13 +43,17 @@ def raw_payload_scan(payloads: DataFrame, status: str = "status") -> DataFrame:
     return payloads.filter(F.col(status).between(200, 299) & F.col("body").isNotNull())
 
 
-def search_results_union(result_sets: dict) -> DataFrame:
-    """Per-term result sets stacked, each tagged with its term."""
-    out = None
-    for term, df in result_sets.items():
-        tagged = df.withColumn("search_term", F.lit(term))
-        out = tagged if out is None else out.unionByName(tagged, allowMissingColumns=True)
-    return out
+def land_result_sets(rows: DataFrame, root: str, term: str = "search_term") -> str:
+    """The result sets of a search run, a folder per term. ``term_text`` keeps the term as
+    it is (null and empty ones included)."""
+    tagged = rows.withColumnRenamed(term, "term_text").withColumn("term", F.md5(F.coalesce("term_text", F.lit(""))))
+    tagged.write.partitionBy("term").parquet(root)
+    return root
+
+
+def search_results_union(spark: SparkSession, root: str, term: str = "search_term") -> DataFrame:
+    """All result sets under ``root`` stacked, each row with its term."""
+    return spark.read.parquet(root).drop("term").withColumnRenamed("term_text", term)
 
 
 def paged_prefix(pages: DataFrame, term: str = "term", page: str = "page", n: str = "n_jobs",

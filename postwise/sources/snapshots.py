@@ -9,7 +9,7 @@ tolerant JSON reader (S2) and the key→value map texts (S3, S4).
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -65,6 +65,24 @@ def read_json_tolerant(spark: SparkSession, path: str, schema: StructType, rejec
     return df.filter(F.col(corrupt).isNull()).drop(corrupt)
 
 
+def land_json_lines(spark: SparkSession, path: str, schema: StructType, root: str) -> dict:
+    """S2 / P22 as one job: JSON lines parsed once, the good records (``root/readable=true``,
+    as ``record``) and the rejected ones (``root/readable=false``, their ``line``) written by
+    one write, counted while they pass. Returns both counts."""
+    full = StructType([*schema.fields, schemas.StructField("_corrupt", schemas.StringType())])
+    parsed = spark.read.text(path).select(
+        F.col("value").alias("line"),
+        # a one-row generator, so the write reads the parsed value and nothing parses again
+        F.explode(F.array(F.from_json("value", full, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))).alias("r"))
+    good = F.col("r._corrupt").isNull()
+    rows = parsed.select(good.alias("readable"), F.when(good, F.struct(*[F.col(f"r.{f.name}") for f in schema.fields]))
+                         .alias("record"), F.when(~good, F.col("line")).alias("line"))
+    seen = Observation("json-lines")
+    rows = rows.observe(seen, F.count_if("readable").alias("good"), F.count_if(~F.col("readable")).alias("rejected"))
+    rows.write.mode("errorifexists").partitionBy("readable").parquet(root)
+    return dict(seen.get)
+
+
 def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists", partition_by=()) -> str:
     """K1: write a snapshot version (a new folder; never the one being read)."""
     w = df.write.mode(mode)
@@ -145,11 +163,16 @@ class KeyedStore:
         return read_bucketed(spark, self.table(version), self.path(version), schema, self.key, self.buckets)
 
 
-def read_page_files(spark: SparkSession, path: str) -> DataFrame:
-    """HTML pages landed as files, one row per file (whole text), with the
-    file's location and any partition columns of its folder."""
-    return (spark.read.text(path, wholetext=True)
-            .withColumnRenamed("value", "html").withColumn("file", F.input_file_name()))
+def write_page_files(pages: DataFrame, path: str, columns=("url", "html")) -> str:
+    """Pages packed into files of many records, one JSON line each (line breaks of a
+    page are escaped): at most one file per task, and every file can be split."""
+    pages.select(F.to_json(F.struct(*columns)).alias("value")).write.mode("errorifexists").text(path)
+    return path
+
+
+def read_page_files(spark: SparkSession, path: str, schema: str = "url string, html string") -> DataFrame:
+    """The pages of packed files, with the file they came from."""
+    return spark.read.schema(schema).json(path).withColumn("file", F.input_file_name())
 
 
 def kv_upsert(old: DataFrame, new: DataFrame, key: str = "job_url") -> DataFrame:
