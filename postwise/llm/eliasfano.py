@@ -13,6 +13,7 @@ import struct
 import numpy as np
 
 SAMPLE = 256
+_SLICE = 1 << 16  # values packed or unpacked at a time (a multiple of 8, so slices end on bytes)
 _HEAD = struct.Struct("<QQBxxxxxxx")  # values, bytes of the high part, low bits
 
 
@@ -29,9 +30,11 @@ class EliasFano:
         top = int(v[-1]) if n else 0
         low_bits = max(0, (top // n).bit_length() - 1) if n else 0
         low = np.zeros((n * low_bits + 7) // 8, np.uint8)
-        if low_bits:
-            bits = ((v[:, None] >> np.arange(low_bits, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8)
-            low = np.packbits(bits.ravel(), bitorder="little")
+        places = np.arange(low_bits, dtype=np.uint64)
+        for i in range(0, n if low_bits else 0, _SLICE):
+            bits = ((v[i:i + _SLICE, None] >> places) & np.uint64(1)).astype(np.uint8)
+            packed = np.packbits(bits.ravel(), bitorder="little")
+            low[i * low_bits // 8:i * low_bits // 8 + packed.size] = packed
         ones = (v >> np.uint64(low_bits)).astype(np.int64) + np.arange(n)
         size = int(ones[-1]) + 1 if n else 0
         unary = np.zeros(size, np.uint8)
@@ -76,11 +79,25 @@ class EliasFano:
         piece = int.from_bytes(self.low[at // 8:(at + self.low_bits + 7) // 8].tobytes(), "little") >> (at % 8)
         return value << self.low_bits | piece & ((1 << self.low_bits) - 1)
 
-    def all(self) -> np.ndarray:
-        """All values at once."""
-        ones = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))
-        high = (ones - np.arange(self.n)).astype(np.uint64) << np.uint64(self.low_bits)
+    def range(self, i: int, j: int) -> np.ndarray:
+        """Values ``i`` to ``j`` (without it): two selects bound the stretch of the high
+        part that holds them, and nothing else is unpacked."""
+        if not 0 <= i <= j <= self.n:
+            raise IndexError((i, j))
+        if i == j:
+            return np.zeros(0, np.uint64)
+        first, last = self.select(i), self.select(j - 1)
+        byte = first // 8
+        ones = np.flatnonzero(np.unpackbits(self.high[byte:last // 8 + 1], bitorder="little")) + byte * 8
+        ones = ones[(ones >= first) & (ones <= last)]
+        high = (ones - np.arange(i, j)).astype(np.uint64) << np.uint64(self.low_bits)
         if not self.low_bits:
             return high
-        bits = np.unpackbits(self.low, bitorder="little", count=self.n * self.low_bits).reshape(self.n, -1)
-        return high | (bits.astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(1, dtype=np.uint64)
+        at, end = i * self.low_bits, j * self.low_bits
+        bits = np.unpackbits(self.low[at // 8:(end + 7) // 8], bitorder="little")[at % 8:at % 8 + end - at]
+        return high | (bits.reshape(j - i, -1).astype(np.uint64) << np.arange(self.low_bits, dtype=np.uint64)).sum(
+            1, dtype=np.uint64)
+
+    def all(self) -> np.ndarray:
+        """All values at once."""
+        return np.concatenate([self.range(i, min(self.n, i + _SLICE)) for i in range(0, max(self.n, 1), _SLICE)])

@@ -5,13 +5,16 @@ order and streams the ids to a shard file: the concatenated id array (16 bits an
 id where the vocabulary allows it), then the document boundaries and the ids of
 the documents, both Elias-Fano coded with a select structure, then a fixed
 footer. A reader finds any document's ids with two ``select`` calls and one
-range read. A task holds a batch of texts and its shard's boundaries, never the
-id array; a shard is closed at ``shard_tokens`` ids.
+range read; the whole file is read back in blocks of documents whose boundaries two
+selects find. A task holds a batch of texts and its shard's boundaries (16 bytes a
+document), never the id array; a shard is closed at ``shard_tokens`` ids or
+``shard_docs`` documents.
 
 Encoding uses the tokenizers library. Texts whose white space is only single
 spaces and line breaks are cut there (the pre-tokenizer always cuts there too),
-and the library encodes each distinct word once per worker as long as a bounded
-table has room; other texts are encoded whole.
+and the library encodes each distinct word once per worker as long as a table
+knows it: two generations of words, the older of which goes when the younger is full,
+so words in use stay. Other texts are encoded whole.
 
 Defined results: a null or empty text is one end id; documents with a null id
 come first; repeated ids follow each other, ordered by a hash of their text;
@@ -22,9 +25,11 @@ from __future__ import annotations
 
 import json
 import os
+import re
 import string
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +42,11 @@ from .sharedio import reading, writing
 
 MAGIC = b"PWTOKEF1"
 _FOOT = struct.Struct("<QQQQQqBxxxxxxx8s")  # ids end, bounds end, docs end, documents, nulls, least id, id width, magic
-CACHE_WORDS = 500_000
+CACHE_WORDS = 500_000  # of each generation: about 100 MB
+BLOCK_DOCS = 4096
 _CLOSING = string.punctuation
+#: White space other than single spaces and line breaks between words.
+_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
 _CACHED_LENGTH = 64
 
 
@@ -63,7 +71,8 @@ class Encoder:
         self.opens_word = np.zeros(max(vocab.values()) + 1, bool)  # tokens that begin with a space
         self.opens_word[[i for t, i in vocab.items() if t.startswith("Ġ")]] = True
         self.cache_words = cache_words
-        self.spaced: dict[str, bytes] = {}  # words after a space
+        self.spaced: dict[str, bytes] = {}  # words as ``cut`` gives them
+        self.older: dict[str, bytes] = {}  # the generation before
         self.words: dict[str, bytes] = {}  # other stretches as they stand
 
     def _library(self, texts: list[str]) -> list[bytes]:
@@ -82,73 +91,80 @@ class Encoder:
         raw, cut = ids.astype(self.kind).tobytes(), (starts * self.width).tolist() + [ids.size * self.width]
         return [raw[i:j] for i, j in zip(cut, cut[1:])]
 
-    def _keep(self, table: dict[str, bytes], words: list[str], ids: list[bytes]) -> None:
-        room = self.cache_words - len(table)
-        if room > 0:
-            table.update([x for x in zip(words, ids) if len(x[0]) <= _CACHED_LENGTH][:room])
-
     def cut(self, text: str) -> list[str] | None:
         """Words that are encoded independently, or None for the whole text.
         Every word stands for itself after a space, or after a line break if it
         begins with one; the first word of a text is marked by a leading tab."""
         if not text or not self.cuts or any(s in text for s in self.special):
             return None
-        if text.replace("\n", " ") != " ".join(text.split()):
+        if "  " in text or _ODD_SPACE.search(text):
             return None
         return ("\t" + text).replace("\n", " \n").split(" ")
 
-    def _bare(self, word: str) -> str:
-        """``word`` without its closing punctuation where that is a stretch of its
-        own: after a letter or number, as the library sees them. After any other
-        symbol (a dash, a quote of another script) both are one stretch."""
-        bare = word.rstrip(_CLOSING)
-        if not bare or len(bare) == len(word):
-            return bare
-        ends = self.ends.get(bare[-1])
+    def _ends(self, char: str) -> bool:
+        """Whether closing punctuation after this character is a stretch of its own: after
+        a letter or number, as the library sees them. After any other symbol (a dash, a
+        quote of another script) both are one stretch."""
+        ends = self.ends.get(char)
         if ends is None:
-            ends = self.ends[bare[-1]] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(bare[-1] + ".")) > 1
-        return bare if ends else word
+            ends = self.ends[char] = len(self.tokenizer.pre_tokenizer.pre_tokenize_str(char + ".")) > 1
+        return ends
 
     def _learn(self, missing: set[str]) -> dict[str, bytes]:
-        """Ids of words that the table lacks; the table keeps them while it has room."""
+        """Ids of words that the young table lacks."""
         got: dict[str, bytes] = {}
-        lone = [w for w in missing if w[0] in "\t\n"]  # not after a space
-        bare = {w: self._bare(w) for w in missing if w[0] not in "\t\n"}
-        whole = [w for w, b in bare.items() if not b]
-        bases = list({b for b in bare.values() if b and b not in self.spaced})
-        tails = {w[len(b):] for w, b in bare.items() if b and len(b) < len(w)}
-        plain = list({w[1:] for w in lone if len(w) > 1}.union(tails, "\n").difference(self.words))
-        got.update(zip(bases, self._after_space(bases)))
+        older, spaced = self.older.get, self.spaced.get
+        lone, split, whole = [], [], []
+        heads: dict[str, bytes | None] = {}
+        stretches = {"\n"}
+        for w in missing:
+            known = older(w)
+            if known is not None:
+                got[w] = known
+            elif w[0] in "\t\n":  # not after a space
+                lone.append(w)
+                if len(w) > 1:
+                    stretches.add(w[1:])
+            else:
+                b = w.rstrip(_CLOSING)
+                if not b:
+                    whole.append(w)
+                elif len(b) < len(w) and self._ends(b[-1]):
+                    split.append((w, b))
+                    stretches.add(w[len(b):])
+                    heads[b] = None
+                else:
+                    heads[w] = None
+        for b in heads:
+            heads[b] = spaced(b) or older(b)
+        bases = [b for b, v in heads.items() if v is None]
+        heads.update(zip(bases, self._after_space(bases)))
+        if len(self.words) > self.cache_words:
+            self.words = {}
+        plain = list(stretches.difference(self.words))
+        text = dict(zip(plain, self._library(plain)))
+        self.words.update(x for x in text.items() if len(x[0]) <= _CACHED_LENGTH)
+        for w in stretches.difference(text):
+            text[w] = self.words[w]
+        got.update(heads)
         got.update(zip(whole, self._library([" " + w for w in whole])))
-        got_plain = dict(zip(plain, self._library(plain)))
-        self._keep(self.words, plain, list(got_plain.values()))
-        self._keep(self.spaced, list(got), list(got.values()))
-        text_of = lambda w: self.words.get(w) or got_plain[w]
-        for w, b in bare.items():
-            if w not in got:
-                head = self.spaced.get(b) or got[b]
-                got[w] = head + text_of(w[len(b):]) if len(b) < len(w) else head
+        for w, b in split:
+            got[w] = heads[b] + text[w[len(b):]]
         for w in lone:
-            got[w] = (text_of("\n") if w[0] == "\n" else b"") + (text_of(w[1:]) if len(w) > 1 else b"")
+            got[w] = (text["\n"] if w[0] == "\n" else b"") + (text[w[1:]] if len(w) > 1 else b"")
         return got
 
     def encode(self, texts: list[str]) -> list[bytes]:
         cuts = [self.cut(t) for t in texts]
-        known = self.spaced.get
-        found = [None if c is None else list(map(known, c)) for c in cuts]
-        holes = [[w for w, v in zip(c, f) if v is None] if f is not None and None in f else ()
-                 for c, f in zip(cuts, found)]
-        got = self._learn(set().union(*holes))
-        rest = iter(self._library([t for t, c in zip(texts, cuts) if c is None]))
-        out: list[bytes] = []
-        for c, f, h in zip(cuts, found, holes):
-            if f is None:
-                out.append(next(rest))
-                continue
-            if h:
-                fill = iter(h)
-                f = [got[next(fill)] if v is None else v for v in f]
-            out.append(b"".join(f))
+        if len(self.spaced) >= self.cache_words:  # full: from now on the older generation
+            self.older, self.spaced = self.spaced, {}
+        got = self._learn(set().union(*[c for c in cuts if c is not None]).difference(self.spaced))
+        self.spaced.update(got)
+        ids_of, rest = self.spaced.__getitem__, iter(self._library([t for t, c in zip(texts, cuts) if c is None]))
+        out = [next(rest) if c is None else b"".join(map(ids_of, c)) for c in cuts]
+        for w in got:
+            if len(w) > _CACHED_LENGTH:  # long words are of this batch only
+                del self.spaced[w]
         return out
 
 
@@ -166,7 +182,8 @@ class ShardWriter:
     """One shard: append documents in id order, then ``close``."""
 
     def __init__(self, out, width: int):
-        self.out, self.width, self.bounds, self.docs, self.nulls, self.size = out, width, [0], [], 0, 0
+        self.out, self.width, self.nulls, self.size = out, width, 0, 0
+        self.bounds, self.docs = array("Q", [0]), array("q")
 
     def append(self, doc_id: int | None, ids: bytes) -> None:
         self.out.write(ids)
@@ -180,7 +197,8 @@ class ShardWriter:
     def close(self) -> None:
         least = self.docs[0] if self.docs else 0
         bounds = EliasFano.build(self.bounds).to_bytes()
-        docs = EliasFano.build(np.array([d - least for d in self.docs], np.uint64)).to_bytes()
+        # differences of 64-bit ids may need all 64 bits: unsigned arithmetic wraps to them
+        docs = EliasFano.build(np.array(self.docs).astype(np.uint64) - np.array(least).astype(np.uint64)).to_bytes()
         self.out.write(bounds)
         self.out.write(docs)
         ends = (self.size, self.size + len(bounds), self.size + len(bounds) + len(docs))
@@ -212,18 +230,23 @@ class ShardReader:
 
     def documents(self) -> Iterator[tuple[int | None, int, np.ndarray]]:
         """(document id, start, ids) of all documents, in one pass over the file."""
-        bounds = self.bounds.all().astype(np.int64).tolist()
-        docs = [None] * self.nulls + [self.least + int(d) for d in self.docs.all()]
         block, at = b"", 0  # a window of the id array, at byte offset `at`
-        for i, doc in enumerate(docs):
-            a, b = bounds[i] * self.width, bounds[i + 1] * self.width
-            if b > at + len(block):
-                block, at = self.file.read_at(max(b - a, 1 << 22), a), a
-            yield doc, bounds[i], np.frombuffer(block[a - at:b - at], f"<u{self.width}")
+        for first in range(0, self.n, BLOCK_DOCS):
+            last = min(self.n, first + BLOCK_DOCS)
+            bounds = self.bounds.range(first, last + 1).astype(np.int64).tolist()
+            nulls = min(max(self.nulls - first, 0), last - first)
+            named = self.docs.range(first + nulls - self.nulls, last - self.nulls) if first + nulls < last else ()
+            docs = [None] * nulls + [self.least + int(d) for d in named]
+            for doc, start, end in zip(docs, bounds, bounds[1:]):
+                a, b = start * self.width, end * self.width
+                if b > at + len(block):
+                    block, at = self.file.read_at(max(b - a, 1 << 22), a), a
+                yield doc, start, np.frombuffer(block[a - at:b - at], f"<u{self.width}")
 
 
 def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, id_col: str = "doc_id",
-                 text_col: str = "text", shard_tokens: int = 1 << 27, batch_chars: int = 1 << 21) -> DataFrame:
+                 text_col: str = "text", shard_tokens: int = 1 << 27, shard_docs: int = 1 << 22,
+                 batch_chars: int = 1 << 21) -> DataFrame:
     """Write shards under ``folder``; returns the manifest (part, seq, path,
     n_docs, n_tokens), one row per shard."""
     text = text_bytes(F.col(f"`{text_col}`"))
@@ -254,7 +277,7 @@ def write_shards(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2,
             path = f"{folder}/part-{part:05d}-{len(done):03d}.tok"
             with writing(path) as out:
                 shard = ShardWriter(out, enc.width)
-                while item is not None and shard.size < shard_tokens * enc.width:
+                while item is not None and shard.size < shard_tokens * enc.width and len(shard.bounds) <= shard_docs:
                     shard.append(item[0], item[1] + end)
                     item = next(stream, None)
                 shard.close()

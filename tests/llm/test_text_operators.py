@@ -378,3 +378,63 @@ def test_pipeline_stages(spark, docs, odd_docs, no_docs):
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, no_docs, SF).count() == 0
         assert stage(spark, odd_docs, SF).count() >= 0
+
+
+def test_elias_fano_ranges():
+    import random
+
+    import numpy as np
+
+    from postwise.llm.eliasfano import EliasFano
+
+    rng = random.Random(3)
+    for n in (0, 1, 300, 70_000):
+        for step in (0, 1, 7, 10 ** 9):
+            v = np.cumsum([rng.randint(0, step) for _ in range(n)]).astype(np.uint64) if n else np.zeros(0, np.uint64)
+            coded = EliasFano.from_bytes(EliasFano.build(v).to_bytes())
+            assert (coded.all() == v).all()
+            for _ in range(10):
+                i = rng.randint(0, n)
+                j = rng.randint(i, n)
+                assert (coded.range(i, j) == v[i:j]).all()
+
+
+def test_many_empty_documents_close_shards_by_number(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from postwise.llm import tokens
+
+    docs = spark.range(300_000).select(F.col("id").alias("doc_id"), F.lit("").alias("text")).coalesce(1)
+    manifest = tokens.write_shards(docs, tokens.default_tokenizer(), f"file://{tmp_path}/t", shard_docs=100_000)
+    assert [r.n_docs for r in manifest.collect()] and max(r.n_docs for r in manifest.collect()) <= 100_000
+    got = tokens.read_shards(manifest)
+    row = got.agg(F.count("*").alias("n"), F.sum("n_tokens").alias("t"), F.max("start").alias("s"),
+                  F.count_if(F.col("doc_id") != F.col("start")).alias("wrong")).first()
+    assert (row.n, row.t, row.s, row.wrong) == (300_000, 300_000, 299_999, 0)
+
+
+def test_a_small_word_table_gives_the_same_ids():
+    import random
+
+    import numpy as np
+
+    from postwise.llm.tokens import Encoder, default_tokenizer
+
+    rng, enc = random.Random(9), Encoder(default_tokenizer(), cache_words=20)
+    words = ["word", "a", "don't", "x.", 'q".', "(b)", "###", "-", "é!", "1,5", "long" * 30, "end.", "\n", "", "the", "…?"]
+    for _ in range(40):
+        texts = [" ".join(rng.choices(words, k=rng.randint(0, 30))).replace(" \n ", rng.choice(["\n", " \n ", "\n\n"])) for _ in range(5)]
+        want = [np.array(enc.tokenizer.encode(t, add_special_tokens=False).ids, enc.kind).tobytes() for t in texts]
+        assert enc.encode(texts) == want
+    assert len(enc.spaced) < 200
+
+
+def test_repeated_ids_with_different_texts(spark, tmp_path):
+    from postwise.llm import tokens
+
+    docs = spark.createDataFrame([(1, "one"), (1, "another text"), (1, None), (None, "x"), (-2 ** 63, "y"), (2 ** 63 - 1, "z")],
+                                 "doc_id long, text string")
+    got = tokens.tokenize_documents(docs, folder=f"file://{tmp_path}/t").collect()
+    rows = sorted((r.start, r.doc_id, r.n_tokens) for r in got)
+    assert [r[1] for r in rows] == [None, -2 ** 63, 1, 1, 1, 2 ** 63 - 1]
+    assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:]))
