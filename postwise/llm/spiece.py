@@ -27,6 +27,7 @@ from __future__ import annotations
 import zlib
 from array import array
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import ahocorasick
 import numpy as np
@@ -83,18 +84,32 @@ class Encoder:
     # -- segmentation of one stretch
 
     def merge(self, s: str) -> list[str]:
-        """Merging by rank, step by step: the highest score first, then leftmost."""
-        parts = list(s)
-        while len(parts) > 1:
-            best, at = None, -1
-            for i in range(len(parts) - 1):
-                got = self.score.get(parts[i] + parts[i + 1])
-                if got is not None and (best is None or got > best):
-                    best, at = got, i
-            if at < 0:
-                break
-            parts[at:at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        """Merging by rank, step by step: the highest score first, then leftmost. Pairs
+        wait in a heap and parts form a chain, so a long run costs n log n."""
+        n = len(s)
+        parts: list[str | None] = list(s)
+        left, right = list(range(-1, n - 1)), list(range(1, n + 1))
+        score = self.score.get
+        heap = [(-got, i, 2) for i in range(n - 1) if (got := score(s[i:i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, size = heappop(heap)
+            j = right[i] if parts[i] is not None else n
+            # stale: one of the two has been merged since
+            if j >= n or len(parts[i]) + len(parts[j]) != size:
+                continue
+            parts[i] += parts[j]
+            parts[j] = None
+            right[i] = right[j]
+            if right[i] < n:
+                left[right[i]] = i
+            for k in (left[i], i):
+                if k >= 0 and right[k] < n:
+                    pair = parts[k] + parts[right[k]]
+                    got = score(pair)
+                    if got is not None:
+                        heappush(heap, (-got, k, len(pair)))
+        return [p for p in parts if p is not None]
 
     def _fits(self, a: str, b: str) -> bool:
         got = self._pairs.get((a, b))

