@@ -45,8 +45,9 @@ _FOOT = struct.Struct("<QQQQQqBxxxxxxx8s")  # ids end, bounds end, docs end, doc
 CACHE_WORDS = 500_000  # of each generation: about 100 MB
 BLOCK_DOCS = 4096
 _CLOSING = string.punctuation
-#: White space other than single spaces and line breaks between words.
-_ODD_SPACE = re.compile(r"[^\S \n]|[ \n][ \n]|^[ \n]|[ \n]\Z")
+#: White space other than spaces and line breaks.
+_ODD_SPACE = re.compile("[" + "".join(c for c in map(chr, range(0x3001)) if c.isspace() and c not in " \n") + "]")
+_GAPS = ("  ", "\n\n", " \n", "\n ")
 _CACHED_LENGTH = 64
 
 
@@ -97,7 +98,7 @@ class Encoder:
         begins with one; the first word of a text is marked by a leading tab."""
         if not text or not self.cuts or any(s in text for s in self.special):
             return None
-        if "  " in text or _ODD_SPACE.search(text):
+        if any(g in text for g in _GAPS) or text[0] in " \n" or text[-1] in " \n" or _ODD_SPACE.search(text):
             return None
         return ("\t" + text).replace("\n", " \n").split(" ")
 
