@@ -75,6 +75,29 @@ def stream_ttl_cache(spark, sf):
     return spark.read.parquet(out)
 
 
+@query("stream_ttl_state", oracle="""
+SELECT g.user_id, g.event_id FROM events g WHERE g.event_type = 'view'
+  AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = g.user_id AND p.event_type = 'purchase'
+              AND p.ts <= g.ts AND p.ts > g.ts - INTERVAL 24 HOURS)""")
+def stream_ttl_state(spark, sf):
+    """T2 as keyed state with event-time expiry, over the same rounds of events."""
+    from ..sources.fixtures import table
+    from ..streaming.first_sight import STATE_STORE
+    from ..streaming.keyed_cache import keyed_ttl_hits
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    ev = table(spark, sf, "events").select("event_id", "user_id", "event_type", F.col("ts").cast("timestamp").alias("ts"))
+    root = scratch_path(spark, "ttl-state")
+    src, out, ckpt = f"{root}/source", f"{root}/hits", f"{root}/checkpoint"
+    week = F.floor((F.dayofmonth("ts") - 1) / 7)
+    for r in range(5):
+        SC.land(ev.filter(week == r), src)
+        s = SC.stream_files(spark, src, ev.schema).filter(F.col("event_type").isin("view", "purchase"))
+        hits = keyed_ttl_hits(s, "user_id", "event_type = 'purchase'", "event_id", lateness="1 hour")
+        SC.run_available(hits.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt)
+    return spark.read.parquet(out).select("user_id", F.col("id").alias("event_id"))
+
+
 @query("cache_hits_ranged", oracle="""
 SELECT g.user_id, g.event_id FROM events g WHERE g.event_type = 'view'
   AND EXISTS (SELECT 1 FROM events p WHERE p.user_id = g.user_id AND p.event_type = 'purchase'

@@ -44,3 +44,36 @@ def test_replayed_batch_is_idempotent(spark):
     fn(p, 0)  # the same batch again (e.g. after a failure before the commit)
     again = sorted(tuple(r) for r in spark.read.parquet(f"{root}/d").select("seq", "score").collect())
     assert first == again and len(first) > 0
+
+
+def test_keyed_cache_forgets_keys_after_the_ttl(spark):
+    """Hits equal those of the rule; the state holds the keys of the last TTL only."""
+    import datetime as dt
+    import random
+
+    from postwise.session import scratch_path
+    from postwise.streaming import common as SC
+    from postwise.streaming.first_sight import STATE_STORE
+    from postwise.streaming.keyed_cache import keyed_ttl_hits
+
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", STATE_STORE)
+    rng, day0 = random.Random(3), dt.datetime(2024, 1, 1)
+    rows = [(i, rng.randint(0, 15), rng.choice(["put", "get", "get"]), day0 + dt.timedelta(minutes=rng.randint(0, 4 * 24 * 60)))
+            for i in range(600)]
+    rows += [(1000, 99, "put", day0 + dt.timedelta(days=30))]  # moves the watermark past all the others
+    events = spark.createDataFrame(rows, "event_id long, user_id long, kind string, ts timestamp")
+    root = scratch_path(spark, "t-ttl")
+    totals = []
+    for a, b in ((0, 2), (2, 4), (4, 40)):
+        SC.land(events.filter((events.ts >= day0 + dt.timedelta(days=a)) & (events.ts < day0 + dt.timedelta(days=b))), f"{root}/s")
+        hits = keyed_ttl_hits(SC.stream_files(spark, f"{root}/s", events.schema), "user_id", "kind = 'put'", "event_id",
+                              lateness="1 hour")
+        q = (hits.writeStream.format("parquet").option("path", f"{root}/o").outputMode("append")
+             .option("checkpointLocation", f"{root}/c").trigger(availableNow=True).start())
+        assert q.awaitTermination(120) and q.exception() is None
+        totals.append(max(p.stateOperators[0].numRowsTotal for p in q.recentProgress[-1:]))
+    want = {(u, i) for i, u, k, t in rows if k == "get" and any(
+        v == u and kk == "put" and t - dt.timedelta(hours=24) < tt <= t for _, v, kk, tt in rows)}
+    got = [(r.user_id, r.id) for r in spark.read.parquet(f"{root}/o").collect()]
+    assert sorted(got) == sorted(want)
+    assert min(totals[:2]) >= 10 and totals[-1] == 1, totals  # the last key alone is left
