@@ -42,7 +42,7 @@ from .sharedio import reading, writing
 
 MAGIC = b"PWTOKEF1"
 _FOOT = struct.Struct("<QQQQQqBxxxxxxx8s")  # ids end, bounds end, docs end, documents, nulls, least id, id width, magic
-CACHE_WORDS = 500_000  # of each generation: about 100 MB
+CACHE_WORDS = 700_000  # of each generation: about 140 MB
 BLOCK_DOCS = 4096
 _CLOSING = string.punctuation
 #: White space other than spaces and line breaks.
@@ -59,6 +59,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        # words come here once, as new ones: the library's own cache of words would only cost
+        self.fresh = Tokenizer.from_file(path)
+        model = self.fresh.model
+        model._resize_cache(0)
+        self.fresh.model = model
         self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
         self.kind = f"<u{self.width}"
         spec = json.loads(self.tokenizer.to_str())
@@ -85,7 +90,7 @@ class Encoder:
         where a token begins with a space (only the first of a word does)."""
         if not words:
             return []
-        ids = np.array(self.tokenizer.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
+        ids = np.array(self.fresh.encode_batch_fast([" " + " ".join(words)], add_special_tokens=False)[0].ids)
         starts = np.flatnonzero(self.opens_word[ids])
         if starts.size != len(words) or starts[0]:
             return self._library([" " + w for w in words])
