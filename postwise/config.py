@@ -226,6 +226,19 @@ class Profile:
     role_weights: tuple = ROLE_WEIGHTS
     language_phrases: tuple = LANGUAGE_PHRASES
     search_title_words: tuple = SEARCH_TITLE_WORDS
+    apply_form_marker: str = APPLY_FORM_MARKER
+    apply_form_content_words: tuple = APPLY_FORM_CONTENT_WORDS
+    role_accounts: str = ROLE_ACCOUNT_PATTERN
+    email_blocked_domain_parts: tuple = EMAIL_BLOCKED_DOMAIN_PARTS
+    email_min_local: int = EMAIL_MIN_LOCAL
+    json_promising_keys: tuple = JSON_PROMISING_KEYS
+    json_title_keys: tuple = JSON_TITLE_KEYS
+    json_title_object_keys: tuple = JSON_TITLE_OBJECT_KEYS
+    json_location_keys: tuple = JSON_LOCATION_KEYS
+    json_location_object_keys: tuple = JSON_LOCATION_OBJECT_KEYS
+    json_link_keys: tuple = JSON_LINK_KEYS
+    json_date_keys: tuple = JSON_DATE_KEYS
+    json_description_keys: tuple = JSON_DESCRIPTION_KEYS
     extra: dict = field(default_factory=dict)
 
 

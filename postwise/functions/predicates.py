@@ -69,11 +69,11 @@ def remote_ok(location: Column, profile: Profile = DEFAULT_PROFILE) -> Column:
     return low.isin("", "remote", "hybrid") | is_location(location, profile)
 
 
-def is_apply_form(html: Column) -> Column:
+def is_apply_form(html: Column, profile: Profile = DEFAULT_PROFILE) -> Column:
     """The page has the application-form marker and lacks both content words."""
     low = lower_text(html)
-    out = low.contains(C.APPLY_FORM_MARKER)
-    for w in C.APPLY_FORM_CONTENT_WORDS:
+    out = low.contains(profile.apply_form_marker)
+    for w in profile.apply_form_content_words:
         out = out & ~low.contains(w)
     return out
 

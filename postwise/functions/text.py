@@ -14,6 +14,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import config as C
+from ..config import DEFAULT_PROFILE, Profile
 from .values import col
 
 @functools.cache
@@ -121,21 +122,21 @@ ADDRESS_PATTERN = C.ADDRESS_PATTERN
 ROLE_ACCOUNT_PATTERN = C.ROLE_ACCOUNT_PATTERN
 
 
-def email_ok(e: Column) -> Column:
+def email_ok(e: Column, profile: Profile = DEFAULT_PROFILE) -> Column:
     local = F.substring_index(e, "@", 1)
     domain = F.when(e.contains("@"), F.split_part(e, F.lit("@"), F.lit(2))).otherwise(F.lit(""))
     bad_domain = F.lit(False)
-    for part in C.EMAIL_BLOCKED_DOMAIN_PARTS:
+    for part in profile.email_blocked_domain_parts:
         bad_domain = bad_domain | domain.contains(part)
     return (
-        ~local.rlike(ROLE_ACCOUNT_PATTERN)
+        ~local.rlike(profile.role_accounts)
         & ~bad_domain
-        & (F.length(local) >= C.EMAIL_MIN_LOCAL)
+        & (F.length(local) >= profile.email_min_local)
         & domain.contains(".")
     )
 
 
-def extract_emails(html) -> Column:
+def extract_emails(html, profile: Profile = DEFAULT_PROFILE) -> Column:
     """recruiter-looking addresses (mailto links and plain addresses), lower-case,
     distinct, role accounts and test/system domains removed. Order is not meaningful."""
     h = F.coalesce(col(html), F.lit(""))
@@ -144,9 +145,9 @@ def extract_emails(html) -> Column:
         F.regexp_extract_all(h, F.lit(ADDRESS_PATTERN), 1),
     )
     cleaned = F.array_distinct(F.transform(found, lambda x: F.trim(F.lower(x))))
-    return F.filter(cleaned, email_ok)
+    return F.filter(cleaned, lambda e: email_ok(e, profile))
 
 
-def first_email(html) -> Column:
+def first_email(html, profile: Profile = DEFAULT_PROFILE) -> Column:
     """One address per page — the smallest, so the pick is deterministic."""
-    return F.array_min(extract_emails(html))
+    return F.array_min(extract_emails(html, profile))

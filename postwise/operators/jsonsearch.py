@@ -64,10 +64,11 @@ def _get(m: Column, keys) -> Column:
     return F.coalesce(*[F.when(~F.trim(v).isin("", "{}", "[]", "false"), v) for v in (m[k] for k in keys)])
 
 
-#: The fields of a job item, each as text (of an object or list its JSON text).
-_ITEM_KEYS = tuple(dict.fromkeys((*C.JSON_TITLE_KEYS, *C.JSON_LOCATION_KEYS, *C.JSON_LINK_KEYS, *C.JSON_DATE_KEYS,
-                                  *C.JSON_DESCRIPTION_KEYS)))
-_ITEMS = "array<struct<" + ", ".join(f"`{k}`: string" for k in _ITEM_KEYS) + ">>"
+def _items(profile: Profile) -> str:
+    """The fields of a job item, each as text (of an object or list its JSON text)."""
+    keys = dict.fromkeys((*profile.json_title_keys, *profile.json_location_keys, *profile.json_link_keys,
+                          *profile.json_date_keys, *profile.json_description_keys))
+    return "array<struct<" + ", ".join(f"`{k}`: string" for k in keys) + ">>"
 
 
 def _text_or_named(v: Column, named: Column, keys) -> Column:
@@ -114,34 +115,35 @@ def json_job_search(docs: DataFrame, companies: DataFrame, note: Column | str, d
     dims = companies.groupBy(F.col("ind_name").alias("company")).agg(
         (F.min_by("careers_url", "ord") if "ord" in companies.columns else F.min("careers_url")).alias("careers_url"))
     # the employer travels with every node, so found items need no join back to their document
-    lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, carry=["company"])
+    lists = search_levels(docs.select(doc_id, "company", body), doc_id, body, promising=profile.json_promising_keys,
+                          carry=["company"])
     # a list is parsed once: the variant answers for its first element and gives the fields of all
     lists = lists.select(doc_id, "company", "path", F.explode(F.array(F.try_parse_json("v"))).alias("doc"))
     first_keys = F.map_keys(F.try_variant_get("doc", "$[0]", "map<string,variant>"))
-    looks = F.arrays_overlap(first_keys, F.array(*[F.lit(k) for k in (*C.JSON_TITLE_KEYS, *C.JSON_LINK_KEYS)]))
-    rows = lists.filter(looks).select(doc_id, "company", "path", F.posexplode(F.try_variant_get("doc", "$", _ITEMS)).alias(
+    looks = F.arrays_overlap(first_keys, F.array(*[F.lit(k) for k in (*profile.json_title_keys, *profile.json_link_keys)]))
+    rows = lists.filter(looks).select(doc_id, "company", "path", F.posexplode(F.try_variant_get("doc", "$", _items(profile))).alias(
         "ipos", "m")).filter(F.col("m").isNotNull())
     m = F.col("m")
-    tr, lr = _get(m, C.JSON_TITLE_KEYS), _get(m, C.JSON_LOCATION_KEYS)
+    tr, lr = _get(m, profile.json_title_keys), _get(m, profile.json_location_keys)
     named = _computed(rows, [doc_id, "company", "path", "ipos", "m"], tr=tr, lr=lr,
                       tm=F.when(_is_obj(tr), F.from_json(tr, MAP)), lm=F.when(_is_obj(lr), F.from_json(lr, MAP)))
     rows = _computed(named, [doc_id, "company", "path", "ipos", "m"],
-                     job_title=_text_or_named(F.col("tr"), F.col("tm"), C.JSON_TITLE_OBJECT_KEYS),
-                     loc=_text_or_named(F.col("lr"), F.col("lm"), C.JSON_LOCATION_OBJECT_KEYS))
+                     job_title=_text_or_named(F.col("tr"), F.col("tm"), profile.json_title_object_keys),
+                     loc=_text_or_named(F.col("lr"), F.col("lm"), profile.json_location_object_keys))
     rows = rows.filter((F.col("job_title") != "") & P.is_target_role(F.col("job_title"), profile, compact=True)).join(
         dims, "company")
     careers_nl = P.is_location(F.col("careers_url"), profile, compact=True)
     loc_ok = F.when(F.col("loc") == "", careers_nl).otherwise(
         F.lower("loc").isin("remote", "hybrid") | P.is_location(F.col("loc"), profile, compact=True))
-    link = F.coalesce(_get(m, C.JSON_LINK_KEYS), F.lit(""))
+    link = F.coalesce(_get(m, profile.json_link_keys), F.lit(""))
     hits = rows.filter(loc_ok).withColumn("job_url", resolve_url(link, F.col("careers_url")))
     w = Window.partitionBy(doc_id, "job_url").orderBy("path", "ipos")
     firsts = hits.withColumn("__rn", F.row_number().over(w)).filter(F.col("__rn") == 1).drop("__rn")
     if max_rows is not None:
         firsts = firsts.withColumn("__k", F.row_number().over(Window.partitionBy(doc_id).orderBy("path", "ipos"))) \
             .filter(F.col("__k") <= max_rows).drop("__k")
-    date = fmt_date(F.coalesce(_get(m, C.JSON_DATE_KEYS), F.lit("")))
-    desc = html_to_text(F.coalesce(_get(m, C.JSON_DESCRIPTION_KEYS), F.lit("")))
+    date = fmt_date(F.coalesce(_get(m, profile.json_date_keys), F.lit("")))
+    desc = html_to_text(F.coalesce(_get(m, profile.json_description_keys), F.lit("")))
     note_col = F.lit(note) if isinstance(note, str) else note
     return firsts.select(
         doc_id, "path", "ipos", "company", "job_title",

@@ -111,7 +111,7 @@ def normalize_greenhouse(payloads: DataFrame, companies: DataFrame, profile: Pro
     notes = F.when(dept != "", F.concat(F.lit("Dept: "), dept, F.lit(". " + C.NOTES["greenhouse"]))).otherwise(
         F.lit(C.NOTES["greenhouse"]))
     desc = F.when(has_id, html_to_text(j["content"]))
-    email = F.when(has_id & (F.length(F.trim(desc)) >= C.PLACEHOLDER_DESCRIPTION_MIN), first_email(j["content"]))
+    email = F.when(has_id & (F.length(F.trim(desc)) >= C.PLACEHOLDER_DESCRIPTION_MIN), first_email(j["content"], profile))
     return kept.select(*posting(job_title=title, location=with_country(loc), job_url=url,
                                 date_posted=fmt_date(first_truthy(j["first_published"], j["updated_at"])),
                                 recruiter_email=email, description=desc, notes=F.lit(notes)),
@@ -453,7 +453,7 @@ def jsonld_postings(pages: DataFrame, companies: DataFrame, lenient: bool = Fals
         kept = typed.filter(P.is_location(loc, profile) & P.is_target_role(title, profile))
         return kept.select(*posting(job_title=title, location=loc, job_url=first_truthy(it["url"], "page_url"),
                                     date_posted=fmt_date(it["datePosted"]),
-                                    recruiter_email=first_email(_txt(it["description"])),
+                                    recruiter_email=first_email(_txt(it["description"]), profile),
                                     notes=F.lit(C.NOTES["jsonld"]), keep_order=False),
                            F.col("page"), (F.col("x.si") * 100000 + F.col("x.ii")).alias("pos"))
     loc = F.trim(_ld_location(F.coalesce(it["jobLocation"], F.lit("{}")), " "))
@@ -606,14 +606,14 @@ def spa_ladder(captures: DataFrame, companies: DataFrame, profile: Profile = DEF
 
 # ----------------------------------------------------------------- P13 description ladder
 
-def page_facts(pages: DataFrame, urls: DataFrame) -> DataFrame:
+def page_facts(pages: DataFrame, urls: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
     """What the ladder reads of the pages at ``urls`` (column url): text, e-mail and
     the application-form flag, computed once a page (the last landing of a URL)."""
     wanted = last_pages(pages.join(urls.select("url").distinct(), "url", "left_semi"))
     return wanted.filter(F.col("html").isNotNull()).select(
         "url", F.struct(html_to_text(F.col("html"), C.PAGE_TEXT_MAX).alias("text"),
-                        first_email(F.col("html")).alias("email"),
-                        P.is_apply_form(F.col("html")).alias("form")).alias("fact"))
+                        first_email(F.col("html"), profile).alias("email"),
+                        P.is_apply_form(F.col("html"), profile).alias("form")).alias("fact"))
 
 
 def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile = DEFAULT_PROFILE) -> DataFrame:
@@ -640,7 +640,7 @@ def description_ladder(postings: DataFrame, pages: DataFrame, profile: Profile =
         "__job", F.coalesce(job_url, F.lit(""))).withColumn("__short", short).withColumn("__desc0", desc0)
     pairs = d.select("__slug", "__job").filter((F.col("__slug") != "") | (F.col("__job") != "")).distinct()
     needs = pairs.select("__slug", "__job", F.explode(F.array("__slug", "__job")).alias("url")).filter(F.col("url") != "")
-    found = needs.join(page_facts(pages, needs), "url")
+    found = needs.join(page_facts(pages, needs, profile), "url")
     facts = found.groupBy("__slug", "__job").agg(
         F.max(F.when(F.col("url") == F.col("__slug"), F.col("fact"))).alias("__slug_page"),
         F.max(F.when(F.col("url") == F.col("__job"), F.col("fact"))).alias("__job_page"))

@@ -273,6 +273,33 @@ def extract_emails(spark, sf):
     return t.select("doc_id", F.explode(T.extract_emails(F.col("html"))).alias("email"))
 
 
+SWAPPED = C.Profile(roles=("account manager", "data analyst"), seniority=(), crafts=(), locations=("berlin", "remote"),
+                    role_accounts="(?i)^(jane)", email_blocked_domain_parts=("nowhere",), email_min_local=2,
+                    apply_form_marker="requirements", apply_form_content_words=("<footer",))
+
+
+@query("swapped_profile", fixtures=["fx_posting", "fx_email_text", "fx_apply_page"], oracle=f"""
+, found AS (SELECT DISTINCT doc_id, lower(trim(e)) AS email FROM (SELECT doc_id, unnest(list_concat(
+    regexp_extract_all(html, {Q.lit(T.MAILTO_PATTERN)}, 1), regexp_extract_all(html, {Q.lit(T.ADDRESS_PATTERN)}, 1))) AS e
+    FROM fx_email_text))
+SELECT 'posting' AS kind, seq AS id, CAST(NULL AS VARCHAR) AS email FROM fx_posting
+  WHERE regexp_matches(lower(coalesce(job_title, '')), 'account manager|data analyst')
+    AND regexp_matches(lower(coalesce(location, '')), 'berlin|remote')
+UNION ALL SELECT 'email', doc_id, email FROM found WHERE NOT starts_with(email, 'jane') AND length(split_part(email, '@', 1)) >= 2
+    AND NOT contains(split_part(email, '@', 2), 'nowhere') AND contains(split_part(email, '@', 2), '.')
+UNION ALL SELECT 'form', page_id, NULL FROM fx_apply_page
+  WHERE contains(lower(html), 'requirements') AND NOT contains(lower(html), '<footer')""")
+def swapped_profile(spark, sf):
+    """Other keyword lists for roles, locations, e-mail filters and the form detector."""
+    p, t, a = (fixture(spark, sf, n) for n in ("fx_posting", "fx_email_text", "fx_apply_page"))
+    none = F.lit(None).cast("string").alias("email")
+    kept = p.filter(P.is_target_role(F.col("job_title"), SWAPPED) & P.is_location(F.col("location"), SWAPPED))
+    mails = t.select(F.lit("email").alias("kind"), F.col("doc_id").alias("id"),
+                     F.explode(T.extract_emails(F.col("html"), SWAPPED)).alias("email"))
+    forms = a.filter(P.is_apply_form(F.col("html"), SWAPPED)).select(F.lit("form").alias("kind"), F.col("page_id").alias("id"), none)
+    return kept.select(F.lit("posting").alias("kind"), F.col("seq").alias("id"), none).unionByName(mails).unionByName(forms)
+
+
 @query("recruiter_email", fixtures=["fx_email_text"], oracle=_EMAIL_SQL + """
 SELECT t.doc_id, min(ok.email) AS recruiter_email FROM fx_email_text t LEFT JOIN ok ON ok.doc_id = t.doc_id
 GROUP BY t.doc_id""")
