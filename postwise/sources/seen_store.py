@@ -1,9 +1,9 @@
 """The seen store of the hourly run, ordered by key, with the key range of every file.
 
-* ``base/version=V``  files sorted on ``job_url``, each a range of its own;
-* ``files/version=V`` one row per base file in use: its path, first and last key, and
+* ``root-base/version=V``  files sorted on ``job_url``, each a range of its own;
+* ``root-files/version=V`` one row per base file in use: its path, first and last key, and
   the batch up to which the base holds the marks;
-* ``batch_id=N``      the marks of batch N, until a maintenance run has merged them.
+* ``root/batch_id=N``      the marks of batch N; a maintenance run merges them.
 
 A batch asks for its own keys: their places among the files' key ranges name the files
 that can hold them, and only these are read, beside the few batches since the last
@@ -33,7 +33,7 @@ class SeenStore:
         """The files of the newest version below batch ``before``, in key order: one row
         per file comes to the driver."""
         try:
-            table = spark.read.schema(f"{_FILES}, version bigint").parquet(f"{self.root}/files")
+            table = spark.read.schema(f"{_FILES}, version bigint").parquet(f"{self.root}-files")
             table = table.filter(F.col("version") < before)
             newest = table.agg(F.max("version")).first()[0]
         except AnalysisException as e:
@@ -43,7 +43,7 @@ class SeenStore:
         return [] if newest is None else table.filter(F.col("version") == newest).orderBy("hi").collect()
 
     def _write(self, rows: DataFrame, version: int, kept: list, upto: int) -> None:
-        spark, path = rows.sparkSession, f"{self.root}/base/version={int(version)}"
+        spark, path = rows.sparkSession, f"{self.root}-base/version={int(version)}"
         n = rows.count()
         if n:
             cut = rows.repartitionByRange(max(1, -(-n // self.rows_per_file)), "job_url")
@@ -55,7 +55,7 @@ class SeenStore:
             new = []
         listed = [(r[0], r[1], r[2], r[3], int(upto)) for r in [*kept, *new]]
         spark.createDataFrame(listed, _FILES).coalesce(1).write.mode("overwrite").parquet(
-            f"{self.root}/files/version={int(version)}")
+            f"{self.root}-files/version={int(version)}")
 
     def create(self, seen: DataFrame) -> None:
         """The store as it is before the first batch; keyless rows can't be asked for."""
