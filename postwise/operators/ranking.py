@@ -62,7 +62,9 @@ def boundaries(df: DataFrame, keys, ranges: int) -> list:
 
 
 def range_of(bounds: list, df: DataFrame, keys) -> Column:
-    """The number of boundaries that sort before the row, by binary search."""
+    """The number of boundaries that sort before the row, by binary search. Never null, and
+    known to be so: a join on it then adds no filter, which would be pushed below the
+    columns' own expressions and evaluate them at every step of the search."""
     if not bounds:
         return F.lit(0)
     kind = T.ArrayType(df.select(*[c for c, _ in keys]).schema)
@@ -75,7 +77,7 @@ def range_of(bounds: list, df: DataFrame, keys) -> Column:
         return F.when((more <= len(bounds)) & _before(F.element_at(table, F.least(more, F.lit(len(bounds)))), keys),
                       more).otherwise(n)
 
-    return F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search)
+    return F.coalesce(F.aggregate(F.array(*[F.lit(s) for s in steps]), F.lit(0), search), F.lit(0))
 
 
 def global_rank(df: DataFrame, order, rank_col: str = "rank", ranges: int | None = None) -> DataFrame:

@@ -111,3 +111,16 @@ def test_bucketed_stores_are_not_shuffled(spark):
     # the new keys, and the two sides of the stamping join; the stores add none
     # (unbucketed they would add three: the snapshot's window, two seen aggregates)
     assert len(re.findall(r"Exchange hashpartitioning", text)) <= 3, text
+
+
+def test_ranking_adds_no_filter_on_the_search_for_the_range(spark):
+    """A filter on the range would be pushed below the score and compute it at every step."""
+    from pyspark.sql import functions as F
+
+    from postwise.operators import ranking as O
+
+    df = spark.range(1000, numPartitions=4).select(F.pmod(F.hash("id"), F.lit(50)).alias("score"),
+                                                   F.col("id").alias("seq"), F.col("id").cast("string").alias("job_url"))
+    ranked = O.rank_by_score(df)
+    assert "Filter isnotnull(aggregate" not in ranked._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(r["rank"] for r in ranked.collect()) == list(range(1, 1001))
