@@ -236,7 +236,9 @@ UNION ALL SELECT job_url, score FROM nw""")
 def kv_upsert(spark, sf):
     """K2: score store upserted with freshly computed scores, written as a new version."""
     p, old = fixtures(spark, sf, "fx_posting", "fx_score")
-    new = W.dedup_first_by_url(p).select("job_url", S.rule_score(notes=null_str()).alias("score"))
+    # scored on the way in, so the rows that are sorted by key hold the score, not the texts
+    scored = p.select("seq", "job_url", S.rule_score(notes=null_str()).alias("score"))
+    new = W.dedup_first_by_url(scored).select("job_url", "score")
     store = SN.kv_upsert(old.select("job_url", "score"), new)
     path = SN.write_snapshot(store, SN.new_version_path(spark, "score-store"))
     return SN.read_table(spark, path, schemas.SCORE)

@@ -176,9 +176,9 @@ def read_page_files(spark: SparkSession, path: str, schema: str = "url string, h
 
 
 def kv_upsert(old: DataFrame, new: DataFrame, key: str = "job_url") -> DataFrame:
-    """K2: store ← old entries whose key is not in ``new``, plus ``new``."""
-    new_keys = new.select(key).distinct()
-    return old.join(new_keys, key, "left_anti").unionByName(new)
+    """K2: store ← old entries whose key is not in ``new``, plus ``new``. The keys of ``new``
+    are not made distinct: an anti join asks for the first match only."""
+    return old.join(new.select(key), key, "left_anti").unionByName(new)
 
 
 def kv_map_explode(texts: DataFrame, body: str = "body", key: str = "key", value: str = "value") -> DataFrame:

@@ -130,3 +130,15 @@ def test_rank_of_ties_nulls_and_any_number_of_ranges(spark):
     same = spark.createDataFrame([(1, "u", 1)] * 500, "score int, job_url string, seq long")
     assert sorted(r["rank"] for r in O.rank_by_score(same).collect()) == list(range(1, 501))
     assert O.rank_by_score(same.limit(0)).collect() == []
+
+
+def test_upsert_keeps_repeated_entries_and_needs_no_distinct_keys(spark):
+    from postwise.sources import snapshots as SN
+
+    old = spark.createDataFrame([("a", 1), ("a", 2), ("b", 3), (None, 4)], "job_url string, score int")
+    new = spark.createDataFrame([("b", 5), ("b", 6), ("c", 7), (None, 8)], "job_url string, score int")
+    out = SN.kv_upsert(old, new)
+    assert sorted(tuple(r) for r in out.filter("job_url IS NOT NULL").collect()) == [
+        ("a", 1), ("a", 2), ("b", 5), ("b", 6), ("c", 7)]
+    assert sorted(r.score for r in out.filter("job_url IS NULL").collect()) == [4, 8]
+    assert "Aggregate" not in out._jdf.queryExecution().executedPlan().toString()
