@@ -31,10 +31,20 @@ TYPES = ("greenhouse", "icims", "lever", "smartrecruiters", "ashby", "recruitee"
 _PAGES = ("html", "unheard_of", None)
 
 
+def _kind():
+    return F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("ord") % len(TYPES) + 1).cast("int"))
+
+
 def employers(spark, sf):
-    kind = F.element_at(F.array(*[F.lit(t) for t in TYPES]), (F.col("ord") % len(TYPES) + 1).cast("int"))
     return fixture(spark, sf, "fx_company").select(F.col("ind_name").alias("company"), "ord", F.col("careers_url").alias("url"),
-                                                   kind.alias("source_type"))
+                                                   _kind().alias("source_type"))
+
+
+def _part(kind):
+    """The part of the mixed payloads an employer's pages belong to; none without an ord."""
+    page = F.when(kind.isNull() | kind.isin("html", "unheard_of"), F.lit("html")).otherwise(kind)
+    odd = page.isin("spa", "html") & (F.col("ord") % 2 != 0)
+    return F.when(F.col("ord").isNotNull(), F.when(odd, F.concat(page, F.lit(" anchors"))).otherwise(page))
 
 
 @landed_input
@@ -43,35 +53,33 @@ def mixed_payloads(spark, sf):
     c = employers(spark, sf)
     kinds = c.select("company", "ord", F.col("url").alias("page_url"), "source_type")
     none = F.lit(None).cast("string")
+    # an employer's pages are built in the one part its type belongs to
+    dealt = QN.Dealt(spark, sf, "mixed", _part(_kind()))
 
-    def part(pages, keep, page=F.col("page"), category=none, term=F.lit(None).cast("int")):
-        rows = pages.select("company", "page", "body").join(kinds, "company").filter(keep)
+    def part(name, pages, page=F.col("page"), category=none, term=F.lit(None).cast("int"), **kw):
+        built = pages(spark, sf, only=dealt.of(name), **kw)
+        rows = built.select("company", "page", "body").join(kinds.filter(_part(F.col("source_type")) == name), "company")
         return rows.select("company", "source_type", category.alias("category"), term.alias("term_rank"),
                            page.cast("int").alias("page"), F.col("page_url").alias("url"), "body")
 
-    def of(t):
-        return F.col("source_type") == t
-
-    even, whole = F.col("ord") % 2 == 0, F.coalesce(F.col("source_type"), F.lit("")).isin("html", "unheard_of", "")
     half = F.floor(F.col("page") / 2)
-    anchors = QN.anchor_pages(spark, sf, chunk=PAGE, per_company=True)
     parts = [
-        part(QN.greenhouse_pages(spark, sf), of("greenhouse")),
-        part(QN.icims_pages(spark, sf), of("icims"), half,
+        part("greenhouse", QN.greenhouse_pages),
+        part("icims", QN.icims_pages, half,
              F.element_at(F.array(F.lit("Engineering"), F.lit("Machine Learning")), (F.col("page") % 2 + 1).cast("int"))),
-        part(QN.lever_pages(spark, sf), of("lever")),
-        part(QN.smartrecruiters_pages(spark, sf), of("smartrecruiters")),
-        part(QN.ashby_pages(spark, sf), of("ashby")),
-        part(QN.recruitee_pages(spark, sf), of("recruitee")),
-        part(QN.slug_listing(spark, sf), of("picnic")),
-        part(QN.attr_pages(spark, sf), of("homerun")),
-        part(QN.index_pages(spark, sf), of("kpmg_lunr")),
-        part(QN.workday_pages(spark, sf), of("workday"), half, term=(F.col("page") % 2).cast("int")),
-        part(QN.embedded_pages(spark, sf), of("bitvavo")),
-        part(QN.free_json_docs(spark, sf), of("spa") & even),
-        part(anchors, of("spa") & ~even),
-        part(QN.html_pages(spark, sf), whole & even),
-        part(anchors, whole & ~even),
+        part("lever", QN.lever_pages),
+        part("smartrecruiters", QN.smartrecruiters_pages),
+        part("ashby", QN.ashby_pages),
+        part("recruitee", QN.recruitee_pages),
+        part("picnic", QN.slug_listing),
+        part("homerun", QN.attr_pages),
+        part("kpmg_lunr", QN.index_pages),
+        part("workday", QN.workday_pages, half, term=(F.col("page") % 2).cast("int")),
+        part("bitvavo", QN.embedded_pages),
+        part("spa", QN.free_json_docs),
+        part("spa anchors", QN.anchor_pages, chunk=PAGE, per_company=True),
+        part("html", QN.html_pages),
+        part("html anchors", QN.anchor_pages, chunk=PAGE, per_company=True),
     ]
     body = F.when(F.col("source_type").isin(*N.JSON_TYPES), F.lit('{"jobs": [')).when(F.col("source_type").isNull(), F.lit("  "))
     parts.append(c.select("company", "source_type", none.alias("category"), F.lit(None).cast("int").alias("term_rank"),

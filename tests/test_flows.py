@@ -85,3 +85,20 @@ def test_portal_ingest_returns_rejected_payloads(spark):
     prev, seen = fixtures(spark, SMALL, "fx_prev", "fx_seen")
     run = FL.portal_ingest(payloads, dims(spark, SMALL), prev, seen, "1998-01-20", types=["greenhouse", "lever", "html"])
     assert sorted(r.company for r in run.rejected.collect()) == ["B", "C", "D"]
+
+
+def test_mixed_pages_are_built_from_their_own_employers(spark):
+    from postwise.plans import q_flows as QF
+    from postwise.plans import q_normalize as QN
+
+    dealt = QN.Dealt(spark, SMALL, "mixed", QF._part(QF._kind()))
+    whole = QN.base(spark, SMALL)
+    names = whole.select("company").distinct().count()
+    parts = [r[0] for r in QF.employers(spark, SMALL).select(QF._part(F.col("source_type"))).distinct().collect()]
+    assert sum(dealt.of(p).postings.select("company").distinct().count() for p in parts) == names
+    assert sum(dealt.of(p).postings.count() for p in parts) == whole.count()
+    own = dealt.of("lever")
+    got = QN.lever_pages(spark, SMALL, only=own).select("company", "page", "body")
+    want = QN.lever_pages(spark, SMALL).join(own.employers.select("company"), "company", "left_semi").select(
+        "company", "page", "body")
+    assert got.count() > 0 and got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
