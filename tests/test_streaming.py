@@ -77,3 +77,11 @@ def test_keyed_cache_forgets_keys_after_the_ttl(spark):
     got = [(r.user_id, r.id) for r in spark.read.parquet(f"{root}/o").collect()]
     assert sorted(got) == sorted(want)
     assert min(totals[:2]) >= 10 and totals[-1] == 1, totals  # the last key alone is left
+
+
+def test_a_run_has_no_time_limit_of_its_own():
+    import inspect
+
+    from postwise.streaming.common import run_available
+
+    assert inspect.signature(run_available).parameters["timeout_s"].default is None
