@@ -32,6 +32,13 @@ def frame(spark, rows=ROWS):
     return spark.createDataFrame(data, T.StructType(kinds))
 
 
+@pytest.fixture(scope="module", autouse=True)
+def _nothing_left_cached(spark):
+    """The session is shared: what a module's tests have cached is dropped after it."""
+    yield
+    spark.catalog.clearCache()
+
+
 @pytest.fixture(scope="session")
 def odd_docs(spark):
     return frame(spark)
