@@ -70,8 +70,9 @@ def stream_ttl_cache(spark, sf):
         s = SC.stream_files(spark, src, ev.schema)
         hits = ST.ttl_hits(s.filter(F.col("event_type") == "view"), s.filter(F.col("event_type") == "purchase"),
                            key="user_id", lateness="1 hour")
-        SC.run_available(hits.select("user_id", "event_id").writeStream.format("parquet").option("path", out)
-                         .outputMode("append"), ckpt)
+        with SC.settings(spark, SC.JOIN_STATE):
+            SC.run_available(hits.select("user_id", "event_id").writeStream.format("parquet").option("path", out)
+                             .outputMode("append"), ckpt)
     return spark.read.parquet(out)
 
 

@@ -4,8 +4,11 @@ A lookup of key k at time t is a hit when the latest store of k is younger than
 the TTL, i.e. when some store of k happened in (t - ttl, t]. That is a left-semi
 stream-stream join with an event-time range condition; both sides carry a
 watermark, so Spark keeps only the stores that can still match (state bounded
-by the TTL). No per-key ordering or grouping is needed, so a key with a third
-of all events is not funnelled into one task.
+by the TTL). No per-key ordering or grouping is needed. Time is cut into
+spans of the TTL and a store stands in its own and the next one, so rows meet by
+(key, span): a lookup is compared with the stores of two spans only, and a key with
+a third of all events is spread over its spans. ``common.JOIN_STATE`` are settings
+under which the state of the join costs little beside its rows.
 
 The batch twin (J7) is ``cache_hits`` over a table.
 """
@@ -22,12 +25,16 @@ def ttl_hits(lookups: DataFrame, stores: DataFrame, key: str, ts: str = "ts",
              ttl_hours: int = C.CACHE_TTL_HOURS, *, lateness: str) -> DataFrame:
     """Lookups that find a fresh entry (works on streams and on tables). Rows
     that arrive more than ``lateness`` behind the stream are dropped."""
-    g = lookups.withWatermark(ts, lateness).alias("g")
-    s = stores.select(F.col(key).alias("__k"), F.col(ts).alias("__put_ts")).withWatermark("__put_ts", lateness).alias("s")
-    cond = ((F.col(f"g.{key}") == F.col("s.__k"))
+    def span(c):
+        return F.floor(F.unix_micros(F.col(c).cast("timestamp")) / F.lit(ttl_hours * 3_600_000_000)).cast("long")
+
+    g = lookups.withWatermark(ts, lateness).withColumn("__in", span(ts)).alias("g")
+    s = stores.select(F.col(key).alias("__k"), F.col(ts).alias("__put_ts")).withWatermark("__put_ts", lateness)
+    s = s.withColumn("__span", F.explode(F.array(span("__put_ts"), span("__put_ts") + 1))).alias("s")
+    cond = ((F.col(f"g.{key}") == F.col("s.__k")) & (F.col("g.__in") == F.col("s.__span"))
             & (F.col("s.__put_ts") <= F.col(f"g.{ts}"))
             & (F.col("s.__put_ts") > F.col(f"g.{ts}") - F.expr(f"INTERVAL {int(ttl_hours)} HOURS")))
-    return g.join(s, cond, "left_semi")
+    return g.join(s, cond, "left_semi").drop("__in")
 
 
 def ttl_hits_batch(lookups: DataFrame, stores: DataFrame, key: str, ts: str = "ts",
