@@ -95,7 +95,8 @@ def stream_ttl_state(spark, sf):
         SC.land(ev.filter(week == r), src)
         s = SC.stream_files(spark, src, ev.schema).filter(F.col("event_type").isin("view", "purchase"))
         hits = keyed_ttl_hits(s, "user_id", "event_type = 'purchase'", "event_id", lateness="1 hour")
-        SC.run_available(hits.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt)
+        with SC.settings(spark, SC.CHANGES_ONLY):
+            SC.run_available(hits.writeStream.format("parquet").option("path", out).outputMode("append"), ckpt)
     return spark.read.parquet(out).select("user_id", F.col("id").alias("event_id"))
 
 
