@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from .. import schemas
-from ..session import scratch_path
+from ..session import scratch_path, settings
 
 
 def empty(spark: SparkSession, schema: StructType) -> DataFrame:
@@ -84,11 +84,13 @@ def land_json_lines(spark: SparkSession, path: str, schema: StructType, root: st
 
 
 def write_snapshot(df: DataFrame, path: str, mode: str = "errorifexists", partition_by=()) -> str:
-    """K1: write a snapshot version (a new folder; never the one being read)."""
+    """K1: write a snapshot version (a new folder; never the one being read). A task keeps a
+    file open for each of a few partition values, so its rows need no sort by them."""
     w = df.write.mode(mode)
     if partition_by:
         w = w.partitionBy(*partition_by)
-    w.parquet(path)
+    with settings(df.sparkSession, {"spark.sql.maxConcurrentOutputFileWriters": "8"}):
+        w.parquet(path)
     return path
 
 
