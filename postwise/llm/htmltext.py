@@ -1,12 +1,24 @@
 """Operator 8: main text of web pages.
 
-Markup is read once per page and cut into blocks. Where the page says what a
-block is, that decides: blocks inside its article (or main) element are kept,
-blocks inside menus, headers, footers, sidebars, notices, adverts, the article's
-forms and reader comments are dropped. Blocks of pages without such an element
-are open, and a suffix array per host decides them: token runs that a good share
-of the host's pages hold are boilerplate, what is left of a block is kept. Pages
-that are near copies of each other (SimHash classes) count once.
+Markup is read once per page and cut into blocks. Blocks inside menus, headers,
+footers, sidebars, notices, adverts, forms of the article and reader comments, as
+far as the page names them so, are dropped. All other blocks of all pages go through
+a suffix array per host, which decides what the markup leaves in doubt.
+
+Blocks inside an article (or main) element: the array is one of blocks. A suffix
+begins at each block, and its beginning is the fewest whole blocks that have
+``min_run`` words; a doubted block is one by itself, however short. Beginnings that a
+good share of the host's articles hold are repeated. Copies and near copies of an
+article are no evidence: an article of which more than half the words stand in
+beginnings that another of the host's articles holds too is not counted. Repeated
+blocks go if the markup doubts them: if a class or id around them has a word for
+furniture beside others, or one that may name a part of an article. Repeated blocks
+without any such name (shared headings, openings, licences) are the article's own.
+
+Blocks of pages without such an element are open, and the array is one of their
+words: token runs that a good share of the host's open pages hold are boilerplate,
+what is left of a block is kept. Pages that are near copies of each other (SimHash
+classes) count once.
 
 The suffix array is distributed. A suffix is a row (host, beginning as a hash, page,
 position); suffixes with equal beginnings stand together in the array, and a
@@ -34,6 +46,7 @@ import re
 from collections.abc import Iterator
 from itertools import accumulate
 
+import xxhash
 from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
@@ -84,10 +97,13 @@ PARTS = frozenset(
     "group row col column mobile desktop sticky fixed floating js user reader google this us text image".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu menubar".split())
 
+# doubted: inside the article, by a name that may mean furniture;
 # held: an article inside a wrapper that looks like furniture; form: a form inside the article;
 # wrapped: furniture by its name, which an article inside may prove wrong; dropped: furniture whatever it holds
-_FORM, _HELD, _MAIN, _OPEN, _WRAPPED, _DROP = 5, 4, 3, 2, 1, 0
+_HELD_DOUBTED, _MAIN_DOUBTED, _FORM, _HELD, _MAIN, _OPEN, _WRAPPED, _DROP = 7, 6, 5, 4, 3, 2, 1, 0
 _SKIPPED = (_WRAPPED, _DROP)
+_DOUBTED = {_MAIN: _MAIN_DOUBTED, _HELD: _HELD_DOUBTED}
+_INSIDE = (_MAIN, _HELD, _FORM, _MAIN_DOUBTED, _HELD_DOUBTED)
 
 
 def _attributes(text: str) -> dict[str, str]:
@@ -105,8 +121,8 @@ def _role_of(tag: str, attrs: str, state: int) -> int:
     if state == _DROP:
         return _DROP
     if tag == "form":  # a form may span the page: around the article it says nothing of its content
-        return _FORM if state in (_MAIN, _HELD, _FORM) else state
-    if tag in UNSEEN or tag in FURNITURE and not (tag == "header" and state in (_MAIN, _HELD, _FORM)):
+        return _FORM if state in _INSIDE else state
+    if tag in UNSEEN or tag in FURNITURE and not (tag == "header" and state in _INSIDE):
         return _DROP
     found = _attributes(attrs) if attrs.strip() else {}
     if tag == "main":
@@ -124,9 +140,9 @@ def _role_of(tag: str, attrs: str, state: int) -> int:
         return _MAIN
     if role == "article":
         return _HELD if state in (_WRAPPED, _HELD) else _MAIN if state == _OPEN else state
-    if tag in HINTED and _hinted(found, inside=state in (_MAIN, _HELD, _FORM)):
+    if tag in HINTED and _hinted(found, inside=state in _INSIDE):
         return _WRAPPED
-    return state
+    return _DOUBTED[state] if state in _DOUBTED and tag in BREAKS and _doubted(found) else state
 
 
 def _hinted(found: dict[str, str], leading: bool = False, inside: bool = False) -> bool:
@@ -151,6 +167,12 @@ def _hinted(found: dict[str, str], leading: bool = False, inside: bool = False)
     return False
 
 
+def _doubted(found: dict[str, str]) -> bool:
+    """Whether a class or id has a hint at all, unless it speaks of a neighbour."""
+    names = (_TOKEN.findall(name) for kind in ("class", "id") for name in found.get(kind, "").lower().split())
+    return any(NEIGHBOUR.isdisjoint(words) and not HINTS.isdisjoint(words) for words in names)
+
+
 class _Open:
     """The open elements of a page: a stack with the state outside of each, the places of
     its barriers, and counts of names, so that no tag looks through elements it does not
@@ -195,6 +217,11 @@ class _Open:
 def blocks(page: str) -> tuple[list[str], list[str]]:
     """(blocks of the article, open blocks) in page order; open blocks are given
     only for a page without an article."""
+    return cut(page)[:2]
+
+
+def cut(page: str) -> tuple[list[str], list[str], list[bool]]:
+    """The ``blocks`` of a page, and for each block of the article whether the markup doubts it."""
     found: list[tuple[int, str]] = []  # state, text
     held: list[str] = []
     elements = _Open()
@@ -256,10 +283,11 @@ def blocks(page: str) -> tuple[list[str], list[str]]:
         elements.push(tag, state)
         state = new
     flush()
-    for kind in (_MAIN, _HELD):
-        if any(k == kind for k, _ in found):
-            return [text for k, text in found if k == kind], []
-    return [], [text for _, text in found]
+    for kind, doubted in _DOUBTED.items():
+        main = [(text, k == doubted) for k, text in found if k in (kind, doubted)]
+        if main:
+            return [text for text, _ in main], [], [d for _, d in main]
+    return [], [text for _, text in found], []
 
 
 def _text(raw: bytes | None) -> str:
@@ -267,16 +295,17 @@ def _text(raw: bytes | None) -> str:
 
 
 _BLOCKS = T.StructType([T.StructField("main", T.ArrayType(T.StringType())),
-                        T.StructField("open", T.ArrayType(T.StringType()))])
+                        T.StructField("open", T.ArrayType(T.StringType())),
+                        T.StructField("doubted", T.ArrayType(T.BooleanType()))])
 
 
 @arrow_udf(_BLOCKS)
 def _page_blocks(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.list_(pa.string())
     for pages in batches:
-        got = [blocks(_text(p)) for p in pages.to_pylist()]
-        yield pa.StructArray.from_arrays([pa.array([g[0] for g in got], kind), pa.array([g[1] for g in got], kind)],
-                                         names=["main", "open"])
+        main, loose, doubted = zip(*(cut(_text(p)) for p in pages.to_pylist())) if len(pages) else ((), (), ())
+        yield pa.StructArray.from_arrays([pa.array(main, kind), pa.array(loose, kind), pa.array(doubted, pa.list_(pa.bool_()))],
+                                         names=["main", "open", "doubted"])
 
 
 def page_blocks(html: Column | str) -> Column:
@@ -313,6 +342,86 @@ def _block_starts(open_blocks: pa.Array) -> pa.Array:
 _END = "\x1e"  # the token of a block's end
 
 
+def _block_suffixes(blocks: Column | str, doubted: Column | str, min_run: int) -> Column:
+    """Per block the beginning of its suffix, the fewest whole blocks with ``min_run`` words (none
+    where the page has no more so many), and a doubted block by itself if it is shorter: place of the
+    first word, words, hash, whether the page has it for the first time, whether a block in it is
+    doubted, and the words of the page."""
+    kind = pa.list_(pa.struct([("pos", pa.int32()), ("n", pa.int32()), ("begin", pa.int64()), ("first", pa.bool_()),
+                               ("doubted", pa.bool_()), ("size", pa.int32())]))
+
+    def beginnings(bl: list[str], doubt: list[bool]) -> list[tuple]:
+        ends = [0, *accumulate(b.count(" ") + 1 for b in bl)]
+        out, met, j = [], set(), 0
+        for i in range(len(bl)):
+            while j < len(bl) and ends[j] - ends[i] < min_run:
+                j += 1
+            spans = [(i, j)] if ends[j] - ends[i] >= min_run else []
+            if doubt[i] and spans != [(i, i + 1)]:
+                spans.append((i, i + 1))
+            for a, b in spans:
+                h = xxhash.xxh64_intdigest(_END.join(bl[a:b]).encode("utf-8", "replace"))
+                h -= (h >> 63) << 64  # signed
+                out.append((ends[a], ends[b] - ends[a], h, h not in met, any(doubt[a:b]), ends[-1]))
+                met.add(h)
+        return out
+
+    @arrow_udf("array<struct<pos int, n int, begin bigint, first boolean, doubted boolean, size int>>")
+    def suffixes(texts: pa.Array, doubts: pa.Array) -> pa.Array:
+        return pa.array([beginnings(*page) for page in zip(texts.to_pylist(), doubts.to_pylist())], kind)
+
+    return suffixes(blocks, doubted)
+
+
+@arrow_udf(T.ArrayType(T.StringType()))
+def _undoubted(main: pa.Array, doubted: pa.Array, covered: pa.Array) -> pa.Array:
+    """The blocks without the doubted ones in the runs of whole blocks (first word, words)."""
+    out = []
+    for bl, doubt, runs in zip(main.to_pylist(), doubted.to_pylist(), covered.to_pylist()):
+        sizes = [b.count(" ") + 1 for b in bl]
+        gone, starts = set(), {at: i for i, at in enumerate([0, *accumulate(sizes)])}
+        for r in runs or ():
+            gone.update(range(starts[r["pos"]], starts[r["pos"] + r["n"]]))
+        out.append([b for i, b in enumerate(bl) if not (doubt[i] and i in gone)])
+    return pa.array(out, pa.list_(pa.string()))
+
+
+@arrow_udf(T.LongType())
+def _covered_words(covered: pa.Array) -> pa.Array:
+    """Words in the union of the runs (first word, words)."""
+    out = []
+    for runs in covered.to_pylist():
+        total = end = 0
+        for s, e in sorted((r["pos"], r["pos"] + r["n"]) for r in runs or ()):
+            total += max(0, e - max(s, end))
+            end = max(end, e)
+        out.append(total)
+    return pa.array(out, pa.int64())
+
+
+def article_boilerplate(articles: DataFrame, min_run: int = 8, share: float = 0.3, min_pages: int = 3) -> DataFrame:
+    """``articles`` (row, host, main, doubted) to (row, covered): the runs (``pos``, ``n``) of whole
+    blocks, some doubted, that a ``share`` of the host's articles hold, and ``min_pages`` of them at
+    least. Articles that mostly consist of what others hold as well are copies: they do not count,
+    but hold such a run too. Articles without a host are kept whole."""
+    known = articles.filter(F.col("host").isNotNull())
+    suffixes = written(known.select("row", "host", F.inline(_block_suffixes("main", "doubted", min_run))), "article-suffixes")
+    runs = F.collect_list(F.struct("pos", "n")).alias("covered")  # at most one entry per block of a page
+    key = ["host", "begin"]
+    # combined map-side: a notice on every page of a host is one row per map task
+    again = suffixes.filter("first").groupBy(key).agg(F.count(F.lit(1)).alias("held")).filter("held > 1")
+    held = written(suffixes.join(again.select(key), key, "left_semi"), "article-repeats")
+    copies = held.groupBy("row", "host", "size").agg(runs).filter(2 * _covered_words("covered") > F.col("size"))
+    copies = written(copies.select("row", "host"), "article-copies")
+    sizes = known.groupBy("host").agg(F.count(F.lit(1)).alias("pages")).join(
+        copies.groupBy("host").agg(F.count(F.lit(1)).alias("copies")), "host", "left")
+    sizes = sizes.select("host", (F.col("pages") - F.coalesce("copies", F.lit(0))).alias("pages"))
+    counts = (held.filter("first").join(copies.select("row"), "row", "left_anti").groupBy(key)
+              .agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_pages))
+    shared = counts.join(sizes, "host").filter(F.col("n") >= F.lit(share) * F.col("pages")).select(key)
+    return written(held.filter("doubted").join(shared, key, "left_semi").groupBy("row").agg(runs), "article-boilerplate")
+
+
 def suffix_beginnings(pages: DataFrame, min_run: int) -> DataFrame:
     """(row, host, class, pos, n, begin, edge): the beginnings of all suffixes of the
     pages' token streams: the first ``min_run`` tokens of each, and at the first word of a
@@ -377,9 +486,17 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
     parsed = written(pages.select(F.col(f"`{id_col}`").alias("page_id"), url.alias("url"),
                                   F.monotonically_increasing_id().alias("row"),
                                   page_blocks(F.col(f"`{html_col}`")).alias("b")).select(
-        "page_id", "url", "row", F.array_join("b.main", "\n\n").alias("text"), F.col("b.open").alias("open")), "page-blocks")
-    both = parsed.filter(F.size("open") == 0).select("page_id", "url", "text")
-    loose = parsed.filter(F.size("open") > 0).select("page_id", "url", "row", host_of(F.col("url")).alias("host"), "open")
+        "page_id", "url", "row", host_of(F.col("url")).alias("host"), F.col("b.main").alias("main"),
+        F.col("b.doubted").alias("doubted"), F.col("b.open").alias("open")), "page-blocks")
+    stated = parsed.filter(F.size("open") == 0).select("page_id", "url", "row", "main", "doubted")
+    covered = article_boilerplate(parsed.filter(F.size("main") > 0).select("row", "host", "main", "doubted"), min_run)
+    if covered.isEmpty():
+        left = stated.withColumn("blocks", F.col("main"))
+    else:
+        left = stated.join(covered, "row", "left").withColumn(
+            "blocks", F.when(F.col("covered").isNull(), F.col("main")).otherwise(_undoubted("main", "doubted", "covered")))
+    both = left.select("page_id", "url", F.array_join("blocks", "\n\n").alias("text"))
+    loose = parsed.filter(F.size("open") > 0).select("page_id", "url", "row", "host", "open")
     if not loose.isEmpty():
         left = unique_blocks(loose.select("row", "host", "open"), min_run)
         both = both.unionByName(loose.select("row", "page_id", "url").join(left, "row").select(

@@ -512,3 +512,35 @@ def test_each_page_is_read_once(spark):
     df = spark.createDataFrame([(1, "u", "<p>x</p>")], "page_id long, url string, html string").select(page.alias("b"))
     plan = df.select("b.main", "b.open")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("ArrowEvalPython") == 1
+
+
+def test_host_array_decides_doubted_blocks_of_articles(spark):
+    """Inside articles repeated blocks with a doubtful name go; copies, and blocks that are not repeated or not named, stay."""
+    from postwise.llm import htmltext
+
+    rng = random.Random(8)
+    prose = lambda n: " ".join(f"w{rng.randrange(5000)}" for _ in range(n))
+    named = lambda name, *bl: [f'<div class="{name}">', *bl, "</div>"]
+    notice, licence, copy = prose(11), prose(12), [prose(30) for _ in range(4)]
+    menu = [f"item{i}" for i in range(9)]  # one word a block
+    shared = [*named("related", notice), *named("menu-of-today", *menu)]
+    arts = [[licence, prose(40), *shared, prose(30), "The.", *named("related-work", prose(20)), prose(9)] for _ in range(7)]
+    arts[2].insert(1, notice)  # the words of a notice, but not named
+    copied = [*copy[:2], *named("search", copy[2]), copy[3]]
+    arts += [[*copied, prose(20)] for _ in range(6)] + [[*copied, *shared]]
+    page = lambda bl: "".join(b if b[0] == "<" else f"<p>{b}</p>" for b in ["<article>", *bl, "</article>"])
+    rows = [(i, f"https://h.example/{i}", page(a)) for i, a in enumerate(arts)]
+    rows += [(100 + i, u, page([*shared, prose(30)])) for i, u in enumerate([None, None, None, None, "https://one.example/"])]
+    got = {r.page_id: r.text for r in htmltext.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert len(got) == len(rows)
+    for i, a in enumerate(arts):
+        rest = [b for b in a if b[0] != "<" and b not in menu and b != notice]
+        assert got[i] == "\n\n".join(rest[:1] + [notice] * (i == 2) + rest[1:]), i
+    assert all(got[100 + i].startswith("\n\n".join([notice, *menu])) for i in range(5))
+
+
+def test_doubted_blocks_are_cut_as_before():
+    got = htmltext.cut('<article class="post-comments-open"><p>a</p><ul class="share-prices"><li>b</li></ul><h2 id="menu">c</h2>'
+                       '<div class="no-sidebar">d</div><div class="ad">gone</div><p>e <i class="search">f</i></p></article>')
+    assert got == (["a", "b", "c", "d", "e f"], [], [False, True, True, False, False])
+    assert htmltext.cut('<div class="related"><p>x</p></div>') == ([], [], []) and htmltext.cut("") == ([], [], [])
