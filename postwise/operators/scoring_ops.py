@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, StructField, StructType
 
 from .. import config as C
-from ..functions.scoring import clamp_score, rule_score
+from ..functions.scoring import clamp_score, full_text, rule_score, rule_score_of, title_text
 from ..functions.text import truncate
 from .merge import KEY, salt_empty_key, score_table, with_key
 
@@ -25,12 +25,14 @@ def score_with_cache(postings: DataFrame, scores: DataFrame, scorer: Callable[[D
     Adds ``score`` and ``from_cache``."""
     table = score_table(scores)
     keyed = salt_empty_key(with_key(postings)).join(table, KEY, "left")
-    fresh = rule_score(notes=notes if notes is not None else
-                       (F.col("notes") if "notes" in postings.columns else F.lit(None).cast("string")))
+    if notes is None:
+        notes = F.col("notes") if "notes" in postings.columns else F.lit(None).cast("string")
+    keyed = keyed.withColumn("__title", title_text(notes=notes)).withColumn("__text", full_text(F.col("__title")))
+    fresh = rule_score_of(F.col("__title"), F.col("__text"))
     hit = F.col("__score").isNotNull()
     return (keyed.withColumn("from_cache", hit)
             .withColumn("score", F.when(hit, F.col("__score").cast("int")).otherwise(fresh))
-            .drop("__score", KEY))
+            .drop("__score", "__title", "__text", KEY))
 
 
 def new_score_entries(scored: DataFrame) -> DataFrame:

@@ -193,8 +193,8 @@ SELECT nw.seq, nw.job_url, CASE WHEN sc.score IS NOT NULL THEN sc.score ELSE {Q.
 FROM nw JOIN mb ON mb.job_url = nw.job_url AND mb.mb = nw.b LEFT JOIN sc ON sc.job_url = nw.job_url""")
 def stream_first_sight(spark, sf):
     """T1 with keyed state: the seen set lives in the RocksDB state store (seeded
-    from the seen table once), so each batch touches only its own keys; four
-    rounds of postings, then the passing rows scored (cache first)."""
+    from the seen table once), so each batch touches only the state rows its own keys
+    fall into; four rounds of postings, then the passing rows scored (cache first)."""
     from ..operators import scoring_ops as SO
     from ..streaming.first_sight import STATE_STORE, first_sight
 
@@ -206,7 +206,8 @@ def stream_first_sight(spark, sf):
     for part in _rounds(p, ROUNDS):
         SC.land(part, src)
         s = SC.stream_files(spark, src, p.schema)
-        SC.run_available(first_sight(s, seen, "2024-02-01 00:00:00").writeStream.format("parquet")
-                         .option("path", out).outputMode("append"), ckpt)
+        with SC.settings(spark, SC.CHANGES_ONLY):
+            SC.run_available(first_sight(s, seen, "2024-02-01 00:00:00").writeStream.format("parquet")
+                             .option("path", out).outputMode("append"), ckpt)
     passed = spark.read.parquet(out)
     return SO.score_with_cache(passed, scores, notes=F.lit(None).cast("string")).select("seq", "job_url", "score")
