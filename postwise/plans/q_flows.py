@@ -49,7 +49,7 @@ def _part(kind):
 
 @landed_input
 def mixed_payloads(spark, sf):
-    """(company, source_type, category, term_rank, page, url, body) of all formats."""
+    """(company, source_type, category, term_rank, page, url, body) of all formats, part by part."""
     c = employers(spark, sf)
     kinds = c.select("company", "ord", F.col("url").alias("page_url"), "source_type")
     none = F.lit(None).cast("string")
@@ -63,31 +63,25 @@ def mixed_payloads(spark, sf):
                            page.cast("int").alias("page"), F.col("page_url").alias("url"), "body")
 
     half = F.floor(F.col("page") / 2)
-    parts = [
-        part("greenhouse", QN.greenhouse_pages),
-        part("icims", QN.icims_pages, half,
-             F.element_at(F.array(F.lit("Engineering"), F.lit("Machine Learning")), (F.col("page") % 2 + 1).cast("int"))),
-        part("lever", QN.lever_pages),
-        part("smartrecruiters", QN.smartrecruiters_pages),
-        part("ashby", QN.ashby_pages),
-        part("recruitee", QN.recruitee_pages),
-        part("picnic", QN.slug_listing),
-        part("homerun", QN.attr_pages),
-        part("kpmg_lunr", QN.index_pages),
-        part("workday", QN.workday_pages, half, term=(F.col("page") % 2).cast("int")),
-        part("bitvavo", QN.embedded_pages),
-        part("spa", QN.free_json_docs),
-        part("spa anchors", QN.anchor_pages, chunk=PAGE, per_company=True),
-        part("html", QN.html_pages),
-        part("html anchors", QN.anchor_pages, chunk=PAGE, per_company=True),
-    ]
+    yield part("greenhouse", QN.greenhouse_pages)
+    yield part("icims", QN.icims_pages, half,
+               F.element_at(F.array(F.lit("Engineering"), F.lit("Machine Learning")), (F.col("page") % 2 + 1).cast("int")))
+    yield part("lever", QN.lever_pages)
+    yield part("smartrecruiters", QN.smartrecruiters_pages)
+    yield part("ashby", QN.ashby_pages)
+    yield part("recruitee", QN.recruitee_pages)
+    yield part("picnic", QN.slug_listing)
+    yield part("homerun", QN.attr_pages)
+    yield part("kpmg_lunr", QN.index_pages)
+    yield part("workday", QN.workday_pages, half, term=(F.col("page") % 2).cast("int"))
+    yield part("bitvavo", QN.embedded_pages)
+    yield part("spa", QN.free_json_docs)
+    yield part("spa anchors", QN.anchor_pages, chunk=PAGE, per_company=True)
+    yield part("html", QN.html_pages)
+    yield part("html anchors", QN.anchor_pages, chunk=PAGE, per_company=True)
     body = F.when(F.col("source_type").isin(*N.JSON_TYPES), F.lit('{"jobs": [')).when(F.col("source_type").isNull(), F.lit("  "))
-    parts.append(c.select("company", "source_type", none.alias("category"), F.lit(None).cast("int").alias("term_rank"),
-                          F.lit(1_000_000).alias("page"), "url", body.alias("body")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    yield c.select("company", "source_type", none.alias("category"), F.lit(None).cast("int").alias("term_rank"),
+                   F.lit(1_000_000).alias("page"), "url", body.alias("body"))
 
 
 _LANDED: dict = {}
@@ -155,7 +149,8 @@ SELECT {', '.join(COLS)}, kind AS source_type FROM ({formats_sql(False)})""")
 def normalize_all(spark, sf):
     """G1: payloads of all formats, a null and an unknown type, from a payload store."""
     payloads = landed_store(spark, sf).read(spark, 1)
-    return N.normalize_all(payloads, QN.dims(spark, sf), details=QN.slug_details(spark, sf)).select(*COLS, "source_type")
+    return N.normalize_all(payloads, QN.dims(spark, sf), details=QN.slug_details(spark, sf), written=True).select(
+        *COLS, "source_type")
 
 
 # ------------------------------------------------------------------ ingest runs
