@@ -28,7 +28,7 @@ from ..operators import privacy as PV
 from ..operators import ranking as O
 from ..operators import reports as R
 from ..operators import scoring_ops as SO
-from ..session import staged
+from ..session import staged, staged_parts
 from ..sources import snapshots as SN
 from ..sources.payload_store import PayloadStore
 from ..sources.result_cache import ResultCache
@@ -75,15 +75,21 @@ def portal_ingest(payloads: DataFrame, companies: DataFrame, prev: DataFrame, se
     looked = None
     if cached is not None:
         looked = cached.cache.look_up(companies, cached.reads, as_of, cached.force)
-        payloads = payloads.join(looked.missing, "company", "left_semi")
-    fresh = N.normalize_all(payloads, companies, profile, types=types, details=details, pages=pages).drop("source_type")
+        payloads = payloads.join(staged(looked.missing, "missing"), "company", "left_semi")  # asked by every format
     place = companies.groupBy(F.col("ind_name").alias("company")).agg(F.min("ord").cast("long").alias("__ord"))
-    fresh = fresh.join(place, "company", "left").withColumn("place", F.struct(
-        F.col("__ord").alias("ord"), F.coalesce("term", F.lit("")).alias("term"), F.col("page").cast("long").alias("page"),
-        F.col("pos").cast("long").alias("pos"))).drop("__ord", "term", "page", "pos")
-    if cached is not None:
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.drop("source_type").join(place, "company", "left").withColumn("place", F.struct(
+            F.col("__ord").alias("ord"), F.coalesce("term", F.lit("")).alias("term"), F.col("page").cast("long").alias("page"),
+            F.col("pos").cast("long").alias("pos"))).drop("__ord", "term", "page", "pos")
+
+    if cached is None:
+        fresh = placed(N.normalize_all(payloads, companies, profile, types=types, details=details, pages=pages))
+    else:
         cols = [f.name for f in cached.cache.schema.fields]
-        fetched = staged(fresh, "fetched")  # written back, and merged
+        # written back, and merged; a job a format, whose plan is all the driver holds
+        fetched = staged_parts(payloads.sparkSession, map(placed, N.by_format(
+            payloads, companies, profile, types, details, pages, written=True)), "fetched")
         cached.cache.write_back(fetched.select(*cols), cached.writes, cached.reads, as_of, answered=looked.fresh)
         fresh = fetched.unionByName(looked.rows, allowMissingColumns=True)
     retain = refreshed is None
