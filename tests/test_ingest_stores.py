@@ -205,7 +205,8 @@ def test_a_run_with_a_cache_fetches_format_by_format(spark, monkeypatch):
     monkeypatch.setattr(FL, "staged_parts", spy)
     run, _ = QF._full_run(spark, SMALL)
     assert len(seen_plans) == len(N.registry()) and all("place" in p for p in seen_plans)
-    assert [set(re.findall(r"format#\d+ = (\w+)", p)) for p in seen_plans] == [{kind} for kind in N.registry()]
+    of = [set(re.findall(r"format#\d+ = (\w+)", p)) for p in seen_plans]  # greenhouse is read as written before its ladder
+    assert of == [{kind} if kind != "greenhouse" else set() for kind in N.registry()]
     assert run.snapshot.count() > 0
 
 
